@@ -171,7 +171,8 @@ class Codec:
             return text.split(" ")
         return [x if i == 0 else x[1:] for i, x in enumerate(re.split(r"(?<=\S)(?= \S)", text))]
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+    def learn(self, texts: list[str | None]) -> list[list[str]]:
+        """Fold the words of the texts that are not known yet; their stretches."""
         cut = [self.stretches(t) if t else [] for t in texts]
         heads = [" " + c[0] for c in cut if c]  # stretches without a space before them; others never begin so
         new = {w for c in cut for w in c[1:]}.union(heads).difference(self.known)
@@ -179,7 +180,20 @@ class Codec:
             self.known = {}
             new = {w for c in cut for w in c[1:]}.union(heads)
         self._learn(list(new))
-        get = self.known.__getitem__
+        return cut
+
+    def counts(self, cut: list[str]) -> list[int]:
+        """Token counts of a text's stretches."""
+        if not cut:
+            return []
+        keys = [" " + cut[0], *cut[1:]]
+        new = [k for k in keys if k not in self.known]
+        if new:
+            self._learn(list(dict.fromkeys(new)))
+        return [len(self.known[k]) >> 2 for k in keys]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        cut, get = self.learn(texts), self.known.__getitem__
         return [b"".join(map(get, [" " + c[0], *c[1:]])) if c else b"" for c in cut]
 
     def _learn(self, stretches: list[str]) -> None:

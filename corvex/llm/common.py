@@ -55,6 +55,7 @@ def map_column(
     carry: Iterable[str],
     fields: list[tuple[str, str]],
     make: Callable[[], Callable[..., list[tuple]]],
+    rows_at_once: int = SLICE,
 ) -> DataFrame:
     """Arrow map that leaves `carry` as it is and adds `fields` (name, DDL type).
 
@@ -73,10 +74,10 @@ def map_column(
         fn, types = make(), [f.type for f in arrow_schema(out)]
         target = pa.schema([pa.field(f.name, t) for f, t in zip(out.fields, types)])
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                b = whole.slice(at, SLICE)
-                rows = fn(*[b.column(k + i).to_pylist() for i in range(len(inputs))])
-                cols = list(zip(*rows))
+            for at in range(0, whole.num_rows, rows_at_once):
+                b = whole.slice(at, rows_at_once)
+                found = fn(*[b.column(k + i).to_pylist() for i in range(len(inputs))])
+                cols = list(zip(*found))
                 new = [pa.array(c, type=t) for c, t in zip(cols, types[k:])]
                 old = [b.column(i).cast(types[i]) for i in range(k)]
                 yield pa.RecordBatch.from_arrays([*old, *new], schema=target)

@@ -6,17 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, simhash, suffix_dedup
+from . import bpe, decontam, html_extract, langid, licenses, lm, quality, simhash, suffix_dedup, token_counts
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license_id", "n_matched", "n_shingles")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.cascade(table(spark, sf_dir, "documents"), carry=["doc_id"], measures=True)
     return found.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.main_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     ids = bpe.encode(table(spark, sf_dir, "documents"), path, pattern, carry=["doc_id"])
@@ -44,11 +54,42 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = token_counts.with_sample_edits(table(spark, sf_dir, "documents"))
+    return token_counts.count_edited(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, carry=["doc_id"])
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn(docs), carry=["doc_id"])
+    fold = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")) % langid.FOLDS
+    return found.select("doc_id", (fold == langid.HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+def _op1_sql() -> str:
+    rows = [(k, s) for k, t in licenses.TEMPLATES.items() for s in licenses._shingles_of(t)]
+    span = max(sum(1 for x, _ in rows if x == k) for k in licenses.TEMPLATES)
+    values = ", ".join(f"('{k}', '{s}')" for k, s in rows)
+    return f"""
+WITH t(license_id, shingle) AS (VALUES {values}),
+n AS (SELECT license_id, count(*) AS n_shingles FROM t GROUP BY license_id),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+p AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+h AS (SELECT DISTINCT doc_id, license_id, shingle, unnest([pos // {span}, pos // {span} - 1]) AS win FROM p JOIN t USING (shingle)),
+c AS (SELECT doc_id, license_id, win, count(DISTINCT shingle) AS n FROM h GROUP BY ALL)
+SELECT doc_id, license_id, max(n)::BIGINT AS n_matched, any_value(n_shingles)::BIGINT AS n_shingles
+FROM c JOIN n USING (license_id) WHERE n >= {licenses.CONTAINED} * n_shingles GROUP BY doc_id, license_id"""
+
+
 OP2_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
@@ -94,5 +135,11 @@ k AS (SELECT doc_id, string_agg(hex(array_slice(b, c.a, coalesce(c.z, n + 1) - 1
 SELECT doc_id, n::BIGINT AS n_bytes, coalesce(x.removed, 0)::BIGINT AS n_removed, coalesce(x.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
 FROM d LEFT JOIN (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM r GROUP BY doc_id) x USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_byte_bpe, op5_decontamination, op6_suffix_dedup, op8_simhash)}
-SQL = {"op2_quality_rules": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_suffix_dedup": OP6_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_quality_rules, op3_html_extraction, op4_byte_bpe, op5_decontamination,
+        op6_suffix_dedup, op7_lm_scoring, op8_simhash, op9_token_counts, op10_language_id,
+    )
+}
+SQL = {"op1_license_scan": _op1_sql(), "op2_quality_rules": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_suffix_dedup": OP6_SQL}
