@@ -1 +1,3 @@
+"""Registered queries, by family."""
 
+from . import search, usage  # noqa: F401
