@@ -7,8 +7,9 @@ dealt into chunks by a hash of the id:
 
 1. each chunk's distinct anchors go to shards, which tell the chunks what anchors occur in two documents;
 2. stretches under such anchors, each distinct content of a chunk once with its smallest id, go to shards.
-   There a suffix array is made by induced sorting, and its permuted common prefixes cut it into classes of
-   suffixes that share WIDTH bytes; a class's smallest id goes back to the chunks;
+   Of these, contents that share an anchor and SIDE bytes beside it go into a suffix array made by induced
+   sorting, and its permuted common prefixes cut it into classes of suffixes that share WIDTH bytes; a
+   class's smallest id goes back to the chunks;
 3. chunks mark the strings whose class has a smaller id than the document, and cut the bytes out.
 
 Hash collisions of anchors only bring more stretches to compare. However many copies a passage has, a chunk
@@ -30,7 +31,8 @@ from .common import MAX_ID, arrow_schema, input_bytes
 from .suffix_array import common_prefixes, suffix_array
 
 WIDTH = 50
-K = 16
+K = 24
+SIDE = (WIDTH - K) // 2  # an equal string goes on for so many bytes left or right of its anchor
 SPAN = WIDTH - K + 1  # anchors are the smallest of so many hashes
 STRETCH = 64  # strings in one stretch at most
 PIECE = 1 << 17  # bytes hashed at a time
@@ -40,16 +42,22 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _hashes(b: np.ndarray) -> np.ndarray:
-    """A hash of the K (a power of two) bytes from each position on."""
+def _hashes(b: np.ndarray, k: int = K) -> np.ndarray:
+    """A hash of the k bytes from each position on, joined from those of powers of two."""
     cur, step, mul = (b.astype(np.uint64) + np.uint64(1)) * _MIX, 1, 0x9E3779B97F4A7C15
-    while step < K:
-        cur = cur[:-step] * np.uint64(mul) + cur[step:]
+    out, done = None, 0
+    while k >= step:
+        if k & step:
+            n = len(b) - done - step + 1
+            out = cur.copy() if out is None else out[:n] * np.uint64(mul) + cur[done : done + n]
+            done += step
+        if k >= 2 * step:
+            cur = cur[:-step] * np.uint64(mul) + cur[step:]
         step, mul = 2 * step, mul * mul % (1 << 64)
-    cur ^= cur >> np.uint64(29)
-    cur *= _MIX
-    cur ^= cur >> np.uint64(32)
-    return cur
+    out ^= out >> np.uint64(29)
+    out *= _MIX
+    out ^= out >> np.uint64(32)
+    return out
 
 
 def _window_min(h: np.ndarray, span: int) -> np.ndarray:
@@ -105,9 +113,14 @@ def _stretches(batch):
     return joined, text, first, place, n, m[first]
 
 
-def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
-    """Anchors are small hashes; mixed again, they spread evenly."""
-    return ((anchor * _MUL) >> np.uint64(33)).astype(np.int64) % shards
+def _key(anchor: np.ndarray, bits: int) -> np.ndarray:
+    """Anchors are small hashes; mixed and cut to `bits` bits, they spread evenly and pack well."""
+    return (anchor * _MUL) >> np.uint64(64 - bits)
+
+
+def _shard(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """By ranges of the keys."""
+    return ((keys >> np.uint64(max(bits - 32, 0))) * np.uint64(shards) >> np.uint64(min(bits, 32))).astype(np.int64)
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -130,17 +143,33 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys: the first, the width of the largest gap in bytes, and the gaps."""
+    gaps = np.diff(keys).astype("<u8")
+    w = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return keys[:1].astype("<u8").tobytes() + bytes([w]) + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :w]).tobytes()
+
+
+def _unpack(b: bytes, n: int) -> tuple[np.ndarray, int]:
+    """n keys, and where they end."""
+    w = b[8]
+    out = np.zeros((n, 8), np.uint8)
+    out[1:, :w] = np.frombuffer(b, np.uint8, (n - 1) * w, 9).reshape(n - 1, w)
+    out[0] = np.frombuffer(b, np.uint8, 8)
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64), 9 + (n - 1) * w
+
+
 ANCHORS = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("blob", pa.binary()), ("n", pa.int64())])
-REPLY = pa.schema([("chunk", pa.int64()), ("kind", pa.int64()), ("blob", pa.binary())])
-ANCHORS_DDL, REPLY_DDL = "shard bigint, chunk bigint, blob binary, n bigint", "chunk bigint, kind bigint, blob binary"
+REPLY = pa.schema([("chunk", pa.int64()), ("kind", pa.int64()), ("blob", pa.binary()), ("n", pa.int64())])
+ANCHORS_DDL, REPLY_DDL = "shard bigint, chunk bigint, blob binary, n bigint", "chunk bigint, kind bigint, blob binary, n bigint"
 
 
-def _send_anchors(shards: int):
+def _send_anchors(shards: int, bits: int):
     def run(key, t):
         ids, texts, _ = _chunk_rows(t)
         found, owner = [], []
         for _, text, _, _, _, anchor in stretches(texts):
-            found.append(anchor)
+            found.append(_key(anchor, bits))
             owner.append(text)
         if not found:
             return _table(ANCHORS, [])
@@ -150,19 +179,22 @@ def _send_anchors(shards: int):
         first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
         several = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
         a = a[first]
-        s = _shard(a, shards)
-        by = np.argsort(s, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(s[by]) != 0)).tolist() + [len(by)]
+        s = _shard(a, bits, shards)
+        cuts = np.flatnonzero(np.append(True, np.diff(s) != 0)).tolist() + [len(s)]
         chunk = key[0].as_py()
-        return _table(ANCHORS, [(int(s[by[x]]), chunk, a[by[x:y]].tobytes() + several[by[x:y]].tobytes(), y - x) for x, y in zip(cuts, cuts[1:])])
+        return _table(ANCHORS, [(int(s[x]), chunk, _pack(a[x:y]) + np.packbits(several[x:y]).tobytes(), y - x) for x, y in zip(cuts, cuts[1:])])
 
     return run
 
 
 def _match_anchors(key, t):
     blobs, chunks, ns = (t.column(c).to_pylist() for c in ("blob", "chunk", "n"))
-    a = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blobs, ns)])
-    several = np.concatenate([np.frombuffer(b, bool, n, 8 * n) for b, n in zip(blobs, ns)])
+    parts, flags = [], []
+    for b, n in zip(blobs, ns):
+        keys, at = _unpack(b, n)
+        parts.append(keys)
+        flags.append(np.unpackbits(np.frombuffer(b, np.uint8, -1, at), count=n).astype(bool))
+    a, several = np.concatenate(parts), np.concatenate(flags)
     source = np.repeat(np.arange(len(ns)), ns)
     order = np.argsort(a, kind="stable")
     a, several, source = a[order], several[order], source[order]
@@ -170,22 +202,24 @@ def _match_anchors(key, t):
     size = np.diff(np.append(first, len(a)))
     hit = np.repeat((size > 1) | np.logical_or.reduceat(several, first), size)
     a, source = a[hit], source[hit]
-    by = np.argsort(source, kind="stable")
+    by = np.argsort(source, kind="stable")  # and so sorted within each
     a, cuts = a[by], np.searchsorted(source[by], np.arange(len(ns) + 1))
-    return _table(REPLY, [(chunks[i], 0, a[x:y].tobytes()) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x])
+    return _table(REPLY, [(chunks[i], 0, _pack(a[x:y]), int(y - x)) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x])
 
 
 def _anchors_of(replies: pa.Table) -> np.ndarray:
-    blobs = [b for b, k in zip(replies.column("blob").to_pylist(), replies.column("kind").to_pylist()) if k == 0]
-    return np.unique(np.frombuffer(b"".join(blobs), np.uint64))
+    rows = zip(*(replies.column(c).to_pylist() for c in ("kind", "blob", "n")))
+    found = [_unpack(b, n)[0] for k, b, n in rows if k == 0]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def _contents(texts: list[bytes], wanted: np.ndarray):
+def _contents(texts: list[bytes], wanted: np.ndarray, bits: int):
     """Distinct contents of stretches under wanted anchors in order of first sight, with anchor and number
     of strings, and all such stretches as (content number, text number, place)."""
     seen: dict[bytes, int] = {}
     anchors, sizes, which, owner, places = [], [], [], [], []
     for joined, text, first, place, n, anchor in stretches(texts):
+        anchor = _key(anchor, bits)
         sel = np.flatnonzero(_member(anchor, wanted))
         f, c, a = first[sel], n[sel].tolist(), anchor[sel].tolist()
         nums = []
@@ -210,31 +244,55 @@ def _low_ids(count: int, which: np.ndarray, owner: np.ndarray, ids: list[int]) -
     return low
 
 
-_HEAD = np.dtype([("no", "<u4"), ("size", "<u2"), ("anchor", "<u8"), ("low", "<i8")])
+_HEAD = np.dtype([("no", "<u4"), ("size", "<u2"), ("low", "<i8")])
 _BACK = np.dtype([("no", "<u4"), ("at", "<u2"), ("size", "<u2"), ("low", "<i8")])
 
 
-def _send_contents(shards: int):
+def _send_contents(shards: int, bits: int):
     def run(key, left, right):
         ids, texts, _ = _chunk_rows(left)
-        seen, anchors, sizes, which, owner, _ = _contents(texts, _anchors_of(right))
+        seen, anchors, sizes, which, owner, _ = _contents(texts, _anchors_of(right), bits)
         if not seen:
             return _table(ANCHORS, [])
         low = _low_ids(len(seen), which, owner, ids)
-        s = _shard(anchors, shards)
+        s = _shard(anchors, bits, shards)
         by = np.argsort(s, kind="stable")
         cuts = np.flatnonzero(np.append(True, np.diff(s[by]) != 0)).tolist() + [len(by)]
         rows, chunk = [], key[0].as_py()
         for x, y in zip(cuts, cuts[1:]):
             nos = by[x:y]
             head = np.empty(len(nos), _HEAD)
-            head["no"], head["size"], head["anchor"], head["low"] = nos, sizes[nos] + WIDTH - 1, anchors[nos], low[nos]
+            head["no"], head["size"], head["low"] = nos, sizes[nos] + WIDTH - 1, low[nos]
             rows.append((int(s[nos[0]]), chunk, head.tobytes() + b"".join(seen[i] for i in nos.tolist()), len(nos)))
         return _table(ANCHORS, rows)
 
     return run
 
 
+def _may_share(contents: list[bytes]) -> np.ndarray:
+    """Numbers of the contents that may share a string with another: two strings of WIDTH bytes are equal only
+    if their anchors are and the SIDE bytes left or right of them."""
+    size = np.array([len(c) for c in contents])
+    joined, start = np.frombuffer(b"".join(contents), np.uint8), np.cumsum(size) - size
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    h = np.append(_hashes(joined), np.full(K - 1, top))
+    for back in range(1, K):
+        h[start + size - back] = top
+    low = np.minimum.reduceat(h, start)
+    at = np.flatnonzero(h == np.repeat(low, size))
+    owner = np.searchsorted(start, at, side="right") - 1
+    times = np.bincount(owner, minlength=len(contents))
+    anchor = at[np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))]
+    wide = _hashes(joined, K + SIDE)
+    right, left = anchor + K + SIDE <= start + size, anchor - SIDE >= start
+    keys = np.concatenate([wide[anchor[right]], ~wide[anchor[left] - SIDE]])
+    of = np.concatenate([np.flatnonzero(right), np.flatnonzero(left)])
+    _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+    keep = times > 1  # with an anchor that repeats, its place tells nothing
+    keep[of[count[inverse] > 1]] = True
+    return np.flatnonzero(keep)
+
+
 def class_lows(contents: list[bytes], low: np.ndarray) -> list[np.ndarray]:
     """For each content, the smallest id by string: that of the class of equal WIDTH-byte strings."""
     size = np.array([len(c) for c in contents])
@@ -275,11 +333,7 @@ def _match_contents(key, t):
     contents = list(seen)
     low = np.full(len(contents), MAX_ID, np.int64)
     np.minimum.at(low, num, head["low"])
-    anchor = np.zeros(len(contents), np.uint64)
-    anchor[num] = head["anchor"]
-    # a content alone under its anchor shares no string with others
-    _, inverse, count = np.unique(anchor, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(count[inverse] > 1)
+    several = _may_share(contents)
     lows: list = [None] * len(contents)
     if len(several):
         for i, x in zip(several.tolist(), class_lows([contents[i] for i in several.tolist()], low[several])):
@@ -298,14 +352,14 @@ def _match_contents(key, t):
             edges = [0, *(cut.tolist() if len(cut) else ()), len(x)]
             back += [(no, a, b - a, int(x[a])) for a, b in zip(edges, edges[1:]) if x[a] < own]
         if back:
-            rows.append((chunk, 1, np.array(back, _BACK).tobytes()))
+            rows.append((chunk, 1, np.array(back, _BACK).tobytes(), len(back)))
     return _table(REPLY, rows)
 
 
-def _cut(out: pa.Schema, carried: int, decoded: bool):
+def _cut(out: pa.Schema, carried: int, decoded: bool, bits: int):
     def run(key, left, right):
         ids, texts, order = _chunk_rows(left)
-        seen, _, sizes, which, owner, places = _contents(texts, _anchors_of(right))
+        seen, _, sizes, which, owner, places = _contents(texts, _anchors_of(right), bits)
         offset = np.cumsum(sizes) - sizes
         low = np.repeat(_low_ids(len(seen), which, owner, ids), sizes)  # by string of each content
         for blob, kind in zip(right.column("blob").to_pylist(), right.column("kind").to_pylist()):
@@ -350,7 +404,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """`carry` (default: all columns) plus n_bytes, n_removed, spans (byte offsets) and kept: binary or, if
     `decoded`, a string without the remains of characters that were cut in two."""
     cols = [c for c in (docs.columns if carry is None else carry) if c not in ("n_bytes", "n_removed", "spans", "kept")]
-    chunks = max(LEAST_CHUNKS, -(-input_bytes(docs, text_col) // CHUNK_BYTES))
+    stored = input_bytes(docs, text_col)
+    chunks = max(LEAST_CHUNKS, -(-stored // CHUNK_BYTES))
+    bits = min(max(stored.bit_length() + 12, 33), 64)  # so that about one anchor in 10,000 coincides with another
     ident = F.col(f"`{id_col}`").cast("bigint")
     view = docs.select(
         F.pmod(F.xxhash64(ident), F.lit(chunks)).alias("_cx_chunk"),
@@ -360,12 +416,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     dealt = view.repartition("_cx_chunk")
     lean = dealt.groupBy("_cx_chunk")
-    sent = lean.applyInArrow(_send_anchors(chunks), ANCHORS_DDL)
+    sent = lean.applyInArrow(_send_anchors(chunks, bits), ANCHORS_DDL)
     shared = sent.groupBy("shard").applyInArrow(_match_anchors, REPLY_DDL)
-    contents = lean.cogroup(shared.groupBy("chunk")).applyInArrow(_send_contents(chunks), ANCHORS_DDL)
+    contents = lean.cogroup(shared.groupBy("chunk")).applyInArrow(_send_contents(chunks, bits), ANCHORS_DDL)
     lows = contents.groupBy("shard").applyInArrow(_match_contents, REPLY_DDL)
     fields = [T.StructField(c, view.schema[f"_cx_c{i}"].dataType) for i, c in enumerate(cols)]
     fields += [T.StructField(n, T.DataType.fromDDL(t)) for n, t in (("n_bytes", "bigint"), ("n_removed", "bigint"), ("spans", "array<struct<start:bigint,end:bigint>>"), ("kept", "string" if decoded else "binary"))]
     out = T.StructType(fields)
     replies = shared.unionByName(lows).groupBy("chunk")
-    return lean.cogroup(replies).applyInArrow(_cut(arrow_schema(out), len(cols), decoded), out)
+    return lean.cogroup(replies).applyInArrow(_cut(arrow_schema(out), len(cols), decoded, bits), out)
