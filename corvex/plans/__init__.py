@@ -1,3 +1,3 @@
 """Registered queries, by family."""
 
-from . import graph, search, usage  # noqa: F401
+from . import graph, lifecycle, search, usage  # noqa: F401
