@@ -105,7 +105,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     ident = F.col(f"`{id_col}`")
     view = docs.select(ident.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     near = view.where(F.lower("text").rlike("|".join(map(re.escape, telling)) if telling else r"\b\B"))
-    places = near.select("doc_id", F.posexplode(shingles(words(F.col("text")))).alias("pos", "shingle"))
+    split = near.select("doc_id", words(F.col("text")).alias("w"))  # once, not anew for each shingle
+    places = split.select("doc_id", F.posexplode(shingles(F.col("w"))).alias("pos", "shingle"))
     hits = places.join(F.broadcast(table.select("shingle").distinct()), "shingle", "left_semi")
     window = F.explode(F.array(F.floor(F.col("pos") / span), F.floor(F.col("pos") / span) - 1))
     windows = hits.select("doc_id", window.alias("win"), "pos", "shingle").groupBy("doc_id", "win").agg(
