@@ -31,13 +31,13 @@ def bfs(spark, d):
     return G.neighbours(e, e.agg(F.min("src").alias("node")), 2)
 
 
-@query("graph_capped_context", f"{E}, s AS (SELECT min(src) AS s FROM edges) SELECT y AS node, 1 AS hop, row_number() OVER (ORDER BY y)::INTEGER AS rank FROM both_ways, s WHERE x = s QUALIFY rank <= 7")
+@query("graph_capped_context", f"{E}, s AS (SELECT min(src) AS s FROM edges) SELECT y AS node, 1 AS hop, row_number() OVER (ORDER BY y)::INTEGER AS rank FROM both_ways, s WHERE x = s QUALIFY rank <= 5")
 def capped(spark, d):
     from pyspark.sql import Window as W
 
     e = edges(spark, d)
     e = e.withColumn("pos", F.row_number().over(W.partitionBy("src").orderBy("dst")))
-    return G.capped_neighbours(e, e.agg(F.min("src").alias("node")), 2, 7)
+    return G.capped_neighbours(e, e.agg(F.min("src").alias("node")), 2, 5)
 
 
 @query("graph_components", f"{E}, s AS (SELECT min(x) AS s FROM both_ways), r AS (SELECT s AS node FROM s UNION SELECT y FROM r JOIN both_ways ON x = node) SELECT node, (SELECT s FROM s) AS root FROM r")
