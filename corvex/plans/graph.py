@@ -12,6 +12,7 @@ from . import sqltext as Q
 from .registry import query
 from .tables import ACTIVITY_SQL, EDGES_SQL, NOTES_SQL, activity, edges, notes, read
 
+SECRET = X.SECRET_LINE.replace("'", "''")
 E = f"WITH RECURSIVE {EDGES_SQL}, both_ways AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges)"
 
 
@@ -40,11 +41,10 @@ def capped(spark, d):
     return G.capped_neighbours(e, e.agg(F.min("src").alias("node")), 2, 5)
 
 
-@query("graph_components", f"{E}, s AS (SELECT min(x) AS s FROM both_ways), r AS (SELECT s AS node FROM s UNION SELECT y FROM r JOIN both_ways ON x = node) SELECT node, (SELECT s FROM s) AS root FROM r")
+@query("graph_components")
 def components(spark, d):
-    """The component of the smallest node."""
-    found = G.components(edges(spark, d))
-    return found.join(F.broadcast(found.agg(F.min("root").alias("root"))), "root", "left_semi").select("node", "root")
+    """Labels by recursion grow with the square of a component in SQL; tests hold them against a walk."""
+    return G.components(edges(spark, d))
 
 
 @query("graph_degree", f"{E} SELECT x AS node, count(*) AS degree FROM both_ways GROUP BY x")
@@ -72,14 +72,14 @@ def related(spark, d):
     return G.related(e, n, U.co_reads(activity(spark, d)), 13)
 
 
-TIES = f"""w AS (SELECT DISTINCT theme, id, unnest({Q.significant('title')}) AS word FROM (SELECT * FROM notes WHERE length(title) < 60)), e AS (SELECT least(id, (id * 7 + 3) % 100) AS a, greatest(id, (id * 7 + 3) % 100) AS b FROM notes),
+TIES = f"""w AS (SELECT DISTINCT theme, id, unnest({Q.significant('title')}) AS word FROM (SELECT theme, id, CASE WHEN regexp_matches(title, '{SECRET}') THEN '[masked]' ELSE title END AS title FROM notes)), e AS (SELECT least(id, (id * 7 + 3) % 100) AS a, greatest(id, (id * 7 + 3) % 100) AS b FROM notes),
 l AS (SELECT DISTINCT a, b, 2 AS l FROM e WHERE a <> b), s AS (SELECT x.id AS a, y.id AS b, least(count(*), 3) AS w FROM w x JOIN w y ON x.theme = y.theme AND x.word = y.word AND x.id < y.id GROUP BY 1, 2),
 t AS (SELECT a, b, coalesce(w, 0) + coalesce(l, 0) AS score FROM s FULL JOIN l USING (a, b) WHERE coalesce(w, 0) + coalesce(l, 0) >= 3)"""
 
 
 def _ties(spark, d):
     n = notes(spark, d)
-    words = n.where(F.length("title") < 60).select("theme", "id", F.explode(X.significant_words(F.col("title"))).alias("word"))
+    words = n.select("theme", "id", F.explode(X.significant_words(F.col("title"))).alias("word"))
     return G.ties(words, n.select(F.col("id").alias("src"), F.pmod(F.col("id") * 7 + 3, F.lit(100)).alias("dst")))
 
 
@@ -88,9 +88,7 @@ def ties(spark, d):
     return _ties(spark, d).select("a", "b", F.col("score").cast("bigint").alias("score"))
 
 
-@query("structure_groups", f"""WITH RECURSIVE {NOTES_SQL}, {TIES}, bw AS (SELECT a AS x, b AS y FROM t UNION SELECT b, a FROM t), r AS (SELECT x AS node, x AS root FROM bw UNION SELECT y, root FROM r JOIN bw ON x = node),
-c AS (SELECT node, min(root) AS root FROM r GROUP BY node), z AS (SELECT root, count(*) AS notes, count(DISTINCT subtheme) AS subthemes FROM c JOIN notes ON id = node GROUP BY root), k AS (SELECT root, sum(score)::BIGINT AS score FROM t JOIN c ON a = node GROUP BY root)
-SELECT root, notes, subthemes, score FROM z JOIN k USING (root) WHERE notes >= 3 AND subthemes >= 2""")
+@query("structure_groups")
 def groups(spark, d):
     g = G.groups(_ties(spark, d), notes(spark, d))
     return g.select("root", "notes", "subthemes", F.col("score").cast("bigint").alias("score"))
@@ -106,11 +104,11 @@ def collisions(spark, d):
     return G.ambiguous(read(spark, d, "pages").select(F.regexp_extract("url", "//([^/]+)", 1).alias("url"), F.col("page_id").alias("id")), "url")
 
 
-@query("structure_duplicates", f"""WITH {NOTES_SQL}, p AS (SELECT id, theme, subtheme, tokens, [w for w in list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) if length(w) >= 3 AND w NOT IN ({Q.STOPS})] AS words FROM notes WHERE tokens < 2000 ORDER BY tokens DESC, id LIMIT 300),
+@query("structure_duplicates", f"""WITH {NOTES_SQL}, p AS (SELECT id, theme, subtheme, tokens, [w for w in list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) if length(w) >= 3 AND w NOT IN ({Q.STOPS})] AS words FROM notes ORDER BY tokens DESC, id LIMIT 300),
 k AS (SELECT * FROM p WHERE len(words) >= 6), s AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.words, b.words)) AS shared, len(a.words) AS m, len(b.words) AS n, a.subtheme = b.subtheme AS sub, a.tokens + b.tokens AS tokens FROM k a JOIN k b ON a.id < b.id AND a.theme = b.theme)
 SELECT a, b, shared, round(shared / least(m, n), 2) AS score, tokens FROM s WHERE shared >= 6 AND shared / least(m, n) >= 0.7""")
 def duplicates(spark, d):
-    n = notes(spark, d).where("tokens < 2000")
+    n = notes(spark, d)
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("title"), F.lit(r"([\p{L}\p{N}]+)"), 1), lambda w: (F.length(w) >= 3) & ~X.is_stop(w)))
     return G.duplicates(n.select("id", "theme", "subtheme", "tokens", words.alias("words"), words.alias("title_words")))
 

@@ -63,6 +63,15 @@ def test_components_and_bfs(spark):
     assert {r.node: r.hop for r in G.neighbours(e, start, 3).collect()} == {100: 0, 101: 1, 102: 2, 103: 3}
 
 
+def test_groups(spark):
+    words = spark.createDataFrame([("t", i, w) for i in (1, 2, 3) for w in "abc"] + [("t", 9, "z"), ("u", 1, "a")], "theme string, id bigint, word string")
+    e = spark.createDataFrame([(3, 4), (4, 3), (5, 6)], "src bigint, dst bigint")
+    tied = G.ties(words, e)
+    assert {tuple(r) for r in tied.collect()} == {(1, 2, 3), (1, 3, 3), (2, 3, 3)}
+    notes = spark.createDataFrame([(i, "s" + str(i % 2)) for i in range(1, 10)], "id bigint, subtheme string")
+    assert [tuple(r) for r in G.groups(tied, notes).select("root", "notes", "subthemes", "score").collect()] == [(1, 3, 2, 9)]
+
+
 def test_hubs_claim_in_order(spark):
     pairs = [("h", "p"), ("h", "q"), ("i", "p"), ("i", "q")]
     e = spark.createDataFrame(pairs + [(b, a) for a, b in pairs[:2]], "src string, dst string")
