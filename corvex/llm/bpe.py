@@ -25,7 +25,8 @@ from .common import map_column
 
 NONE = 1 << 62  # rank of a pair that is not to be merged
 CACHE_WORDS = 600_000  # words a worker remembers; beyond it starts anew
-LONG = 64  # bytes; longer words are folded with a heap
+LONG = 64  # bytes; longer words are folded one by one, with a heap
+FEW = 32  # words; fewer are folded one by one
 _WIDE = re.compile(r"\s | \s")  # a space beside other white space
 
 
@@ -107,6 +108,8 @@ class Folder:
 
     def fold(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers. No word is empty."""
+        if len(words) < FEW:
+            return [np.array(merge_long(w, self.map), "<u4").tobytes() for w in words]
         long = {i: np.array(merge_long(w, self.map), "<u4").tobytes() for i, w in enumerate(words) if len(w) > LONG}
         short = [w for w in words if len(w) <= LONG]
         if not short:
@@ -182,14 +185,15 @@ class Codec:
         self._learn(list(new))
         return cut
 
-    def counts(self, cut: list[str]) -> list[int]:
-        """Token counts of a text's stretches."""
+    def counts(self, cut: list[str], head: bool = True) -> list[int]:
+        """Token counts of stretches; with `head`, the first has no space before it."""
         if not cut:
             return []
-        keys = [" " + cut[0], *cut[1:]]
-        new = [k for k in keys if k not in self.known]
-        if new:
-            self._learn(list(dict.fromkeys(new)))
+        keys = [" " + cut[0], *cut[1:]] if head else cut
+        try:
+            return [len(x) >> 2 for x in map(self.known.__getitem__, keys)]
+        except KeyError:
+            self._learn([k for k in dict.fromkeys(keys) if k not in self.known])
         return [len(self.known[k]) >> 2 for k in keys]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:

@@ -12,9 +12,9 @@ each to the result of the one before; a null or empty list of edits changes noth
 
 from __future__ import annotations
 
-import re
 import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,30 +22,26 @@ from .bpe import Codec, codec
 from .common import map_column
 
 LEAF = 32
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class TokenTree:
-    def __init__(self, text: str, encoder: Codec):
+    """A text is its stretches joined by safe spaces. Counted with a space before each stretch, the first too,
+    a leaf's characters are the lengths of its stretches and one for each."""
+
+    def __init__(self, text: str, encoder: Codec, cut: list[str] | None = None):
         self.encoder, self.reencoded = encoder, 0
-        self._leaves(self._count(text))
-
-    def _count(self, text: str) -> list[tuple[str, int]]:
-        """Stretches, with the space that begins them, and their token counts."""
-        cut = self.encoder.stretches(text) if text else []
-        pieces = cut[:1] + [" " + s for s in cut[1:]]
-        counts = self.encoder.counts(cut)
-        return [(p, n) for p, n in zip(pieces, counts) if p]
-
-    def _leaves(self, stretches: list[tuple[str, int]]) -> None:
-        self.leaves = [stretches[i : i + LEAF] for i in range(0, len(stretches), LEAF)] or [[]]
-        self._grow()
-
-    def _grow(self) -> None:
-        self.size = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for k, leaf in enumerate(self.leaves):
-            self.chars[self.size + k], self.tokens[self.size + k] = sum(len(s) for s, _ in leaf), sum(n for _, n in leaf)
+        parts = (cut if cut is not None else encoder.stretches(text) if text else []) or [""]
+        self._build(parts, encoder.counts(parts))
+
+    def _build(self, parts: list[str], counts: list[int]) -> None:
+        self.parts, self.counts = parts, counts  # of leaves that no edit has touched
+        self.own: dict[int, tuple[list[str], list[int]]] = {}
+        n = np.arange(0, len(parts), LEAF)
+        self.n, self.size = len(n), 1 << (len(n) - 1).bit_length()
+        pad = [0] * (self.size - self.n)
+        chars = np.add.reduceat(np.fromiter(map(len, parts), np.int64, len(parts)) + 1, n).tolist() + pad
+        tokens = np.add.reduceat(np.array(counts, np.int64), n).tolist() + pad
+        self.chars, self.tokens = [0] * self.size + chars, [0] * self.size + tokens
         for k in range(self.size - 1, 0, -1):
             self._sum(k)
 
@@ -53,72 +49,70 @@ class TokenTree:
         self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
         self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
 
+    def _leaf(self, k: int) -> tuple[list[str], list[int]]:
+        at = slice(k * LEAF, (k + 1) * LEAF)
+        return self.own.get(k) or (self.parts[at], self.counts[at])
+
     def total(self) -> int:
         return self.tokens[1]
 
     def text(self) -> str:
-        return "".join(s for leaf in self.leaves for s, _ in leaf)
+        return " ".join(p for k in range(self.n) for p in self._leaf(k)[0])
 
     def _find(self, at: int) -> tuple[int, int]:
-        """The leaf that holds character `at` (or the last one), and the characters before that leaf."""
+        """The leaf whose stretches, with their spaces, hold place `at` (or the last), and where it begins."""
         k, before = 1, 0
         while k < self.size:
             k *= 2
             if at >= before + self.chars[k] and self.chars[k + 1]:
                 before += self.chars[k]
                 k += 1
-        return min(k - self.size, len(self.leaves) - 1), before
+        return k - self.size, before
 
     def edit(self, a: int, b: int, new: str) -> None:
         """Put `new` in place of the characters [a, b)."""
-        n = self.chars[1]
+        n = self.chars[1] - 1
         a = min(max(a, 0), n)
         b = min(max(b, a), n)
-        first, before = self._find(max(a - 1, 0))
-        last, last_before = self._find(min(b + 1, max(n - 1, 0)))
-        # the nearest safe spaces may lie in the next leaves: stretches begin with one, so whole leaves do
-        while first and before >= a - 1:
-            first -= 1
-            before -= self.chars[self.size + first]
-        stretches = [x for leaf in self.leaves[first : last + 1] for x in leaf]
-        lo, at = 0, before
-        while lo < len(stretches) and at + len(stretches[lo][0]) < a - 1:
-            at += len(stretches[lo][0])
+        # the stretch with a - 1 keeps its first character, so the space before it stays safe; that after
+        # the stretch with b + 1 keeps the character before it
+        (first, at), (last, _) = self._find(max(a - 1, 0)), self._find(b + 1)
+        parts, counts = [], []
+        for k in range(first, last + 1):
+            p, c = self._leaf(k)
+            parts += p
+            counts += c
+        lo = 0
+        while lo + 1 < len(parts) and at + len(parts[lo]) + 1 <= a - 1:
+            at += len(parts[lo]) + 1
             lo += 1
         hi, end = lo, at
-        while hi < len(stretches) and end <= b + 1:
-            end += len(stretches[hi][0])
+        while hi < len(parts) and end <= b + 1:
+            end += len(parts[hi]) + 1
             hi += 1
-        if hi == len(stretches) and last + 1 < len(self.leaves) and end <= b + 1:
-            last += 1
-            stretches += self.leaves[last]
-            end += len(stretches[hi][0])
-            hi += 1
-        old = "".join(s for s, _ in stretches[lo:hi])
+        old = " ".join(parts[lo:hi])
         region = old[: a - at] + new + old[b - at :]
         self.reencoded += len(region)
-        lead = region[:1] == " " and at > 0
-        found = self._count(("x" if lead else "") + region)
-        if lead:  # the region begins with a safe space, so the stand-in before it is a stretch of its own
-            found = found[1:]
-        patched = stretches[:lo] + found + stretches[hi:]
-        self._patch(first, last, patched)
-
-    def _patch(self, first: int, last: int, stretches: list[tuple[str, int]]) -> None:
+        cut = self.encoder.stretches(region)
+        head = first == 0 and lo == 0
+        self._patch(first, last, parts[:lo] + cut + parts[hi:], counts[:lo] + self.encoder.counts(cut, head) + counts[hi:])
+
+    def _patch(self, first: int, last: int, parts: list[str], counts: list[int]) -> None:
         n = last - first + 1
-        if len(stretches) <= 2 * LEAF * n:  # leaves may grow to twice their size before the tree is built anew
-            step = -(-len(stretches) // n) or 1
-            for i in range(n):
-                leaf = stretches[i * step : (i + 1) * step]
-                self.leaves[first + i] = leaf
-                k = self.size + first + i
-                self.chars[k], self.tokens[k] = sum(len(s) for s, _ in leaf), sum(c for _, c in leaf)
-            for k in {(self.size + i) >> 1 for i in range(first, last + 1)}:
-                while k:
-                    self._sum(k)
-                    k >>= 1
-        else:
-            self._leaves([x for leaf in self.leaves[:first] for x in leaf] + stretches + [x for leaf in self.leaves[last + 1 :] for x in leaf])
+        if not n <= len(parts) <= 2 * LEAF * n:  # leaves may grow to twice their size, and not be empty
+            before = [self._leaf(k) for k in range(first)] + [(parts, counts)] + [self._leaf(k) for k in range(last + 1, self.n)]
+            self._build([x for p, _ in before for x in p], [x for _, c in before for x in c])
+            return
+        edges = [len(parts) * i // n for i in range(n + 1)]
+        for i, (x, y) in enumerate(zip(edges, edges[1:])):
+            p, c = parts[x:y], counts[x:y]
+            self.own[first + i] = p, c
+            k = self.size + first + i
+            self.chars[k], self.tokens[k] = sum(map(len, p)) + len(p), sum(c)
+        for k in {(self.size + i) >> 1 for i in range(first, last + 1)}:
+            while k:
+                self._sum(k)
+                k >>= 1
 
 
 def count_edited(
@@ -132,10 +126,9 @@ def count_edited(
         c = codec(path, pattern)
 
         def fn(texts, edits):
-            c.learn(texts)
             out = []
-            for t, e in zip(texts, edits):
-                tree = TokenTree(t or "", c)
+            for t, e, cut in zip(texts, edits, c.learn(texts)):
+                tree = TokenTree(t or "", c, cut)
                 before = tree.total()
                 for x in e or []:
                     tree.edit(x["start"] or 0, x["end"] or 0, x["text"] or "")
