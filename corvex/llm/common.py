@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE = 256  # rows held as Python objects at a time
+LIBC = ctypes.CDLL(None)
 MAX_ID = (1 << 63) - 1  # stands for a null id where ids are ordered
 
 
@@ -39,8 +41,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def release() -> None:
+    """Hand freed memory back to the system: workers are kept from stage to stage, and what one stage left
+    to its allocator would be missing in the next."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:

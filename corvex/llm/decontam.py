@@ -120,31 +120,29 @@ def decontaminate(
     sc = docs.sparkSession.sparkContext
     df = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_cx_text"))
     df = df.withColumn("_cx_hits", F.lit(None).cast(state[0][1])).withColumn("_cx_items", F.lit(None).cast(state[1][1]))
-    for items in shards(benchmark, item_col, bench_text_col, shard_bytes):
-        shared = sc.broadcast(items)
+    fields = [("n_words", "bigint"), ("n_hit", "bigint"), ("item_ids", "array<string>"), ("spans", "array<struct<start:int,end:int>>"), ("contaminated", "boolean")]
+    all_items = shards(benchmark, item_col, bench_text_col, shard_bytes)
+    for k, items in enumerate(all_items):
+        shared, last = sc.broadcast(items), k == len(all_items) - 1
 
-        def make(shared=shared):
+        def make(shared=shared, last=last):
             a = automaton(shared.value, window)
 
             def one(text, hits, ids):
-                ranges, new = scan(a, words(text))
-                old = [(h["a"], h["b"]) for h in hits or []]
-                return [{"a": x, "b": y} for x, y in merge(ranges + old)], sorted(new | set(ids or []))
+                w = words(text)
+                ranges, new = scan(a, w)
+                found = merge(ranges + [(h["a"], h["b"]) for h in hits or []])
+                items = sorted(new | set(ids or []))
+                if not last:
+                    return [{"a": x, "b": y} for x, y in found], items
+                hit, spans = sum(y - x for x, y in found), []
+                if found:
+                    at = [m.span() for m in WORD.finditer(text)]
+                    spans = [{"start": at[x][0], "end": at[y - 1][1]} for x, y in found]
+                return len(w), hit, items, spans, hit > 0 and MIN_SHARE * hit >= len(w)
 
             return lambda *cols: [one(*row) for row in zip(*cols)]
 
-        df = map_column(df, ["_cx_text", "_cx_hits", "_cx_items"], [*kept, "_cx_text"], list(state), make)
-
-    def finish():
-        def one(text, hits, ids):
-            n = len(words(text))
-            spans, hit = [], sum(h["b"] - h["a"] for h in hits)
-            if hits:
-                at = [m.span() for m in WORD.finditer(text)]
-                spans = [{"start": at[h["a"]][0], "end": at[h["b"] - 1][1]} for h in hits]
-            return n, hit, ids, spans, hit > 0 and MIN_SHARE * hit >= n
-
-        return lambda *cols: [one(*row) for row in zip(*cols)]
-
-    fields = [("n_words", "bigint"), ("n_hit", "bigint"), ("item_ids", "array<string>"), ("spans", "array<struct<start:int,end:int>>"), ("contaminated", "boolean")]
-    return map_column(df, ["_cx_text", "_cx_hits", "_cx_items"], kept, fields, finish)
+        carried, out = (kept, fields) if last else ([*kept, "_cx_text"], list(state))
+        df = map_column(df, ["_cx_text", "_cx_hits", "_cx_items"], carried, out, make)
+    return df

@@ -133,8 +133,8 @@ def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) between near fingerprints, from one column fp of distinct fingerprints."""
     todo, edges = distinct.select("fp"), None
     for i, blocks in enumerate(FAMILIES):
-        keys = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks(blocks))]))
-        rows = todo.select("fp", keys.alias("x")).select("fp", "x.t", "x.k")
+        literal = F.expr(f"array({', '.join(f'{m}L' for m in masks(blocks))})")
+        rows = todo.select("fp", F.posexplode(literal).alias("t", "m")).select("fp", "t", F.col("fp").bitwiseAND(F.col("m")).alias("k"))
         sizes = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
         last = i == len(FAMILIES) - 1
         fit = sizes if last else sizes.where(F.col("n") <= BUCKET)
@@ -147,6 +147,8 @@ def links(distinct: DataFrame) -> DataFrame:
         if not last:
             over = sizes.where(F.col("n") > BUCKET).select("t", "k")
             todo = checkpoint(rows.join(over, ["t", "k"], "left_semi").select("fp").distinct())
+            if not todo.limit(1).count():
+                break
     return edges.distinct()
 
 

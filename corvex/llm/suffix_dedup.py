@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MAX_ID, arrow_schema, input_bytes
+from .common import MAX_ID, arrow_schema, input_bytes, release
 from .suffix_array import common_prefixes, suffix_array
 
 WIDTH = 50
@@ -36,7 +36,7 @@ SIDE = (WIDTH - K) // 2  # an equal string goes on for so many bytes left or rig
 SPAN = WIDTH - K + 1  # anchors are the smallest of so many hashes
 STRETCH = 64  # strings in one stretch at most
 PIECE = 1 << 17  # bytes hashed at a time
-CHUNK_BYTES = 8 << 20  # of stored input in a chunk; texts take about twice that
+CHUNK_BYTES = 4 << 20  # of stored input in a chunk; texts take about twice that
 LEAST_CHUNKS = 64
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -166,6 +166,7 @@ ANCHORS_DDL, REPLY_DDL = "shard bigint, chunk bigint, blob binary, n bigint", "c
 
 def _send_anchors(shards: int, bits: int):
     def run(key, t):
+        release()
         ids, texts, _ = _chunk_rows(t)
         found, owner = [], []
         for _, text, _, _, _, anchor in stretches(texts):
@@ -188,6 +189,7 @@ def _send_anchors(shards: int, bits: int):
 
 
 def _match_anchors(key, t):
+    release()
     blobs, chunks, ns = (t.column(c).to_pylist() for c in ("blob", "chunk", "n"))
     parts, flags = [], []
     for b, n in zip(blobs, ns):
@@ -250,6 +252,7 @@ _BACK = np.dtype([("no", "<u4"), ("at", "<u2"), ("size", "<u2"), ("low", "<i8")]
 
 def _send_contents(shards: int, bits: int):
     def run(key, left, right):
+        release()
         ids, texts, _ = _chunk_rows(left)
         seen, anchors, sizes, which, owner, _ = _contents(texts, _anchors_of(right), bits)
         if not seen:
@@ -318,6 +321,7 @@ def class_lows(contents: list[bytes], low: np.ndarray) -> list[np.ndarray]:
 
 
 def _match_contents(key, t):
+    release()
     blobs, chunks, ns = (t.column(c).to_pylist() for c in ("blob", "chunk", "n"))
     heads, which, seen = [], [], {}
     for b, n in zip(blobs, ns):
@@ -358,6 +362,7 @@ def _match_contents(key, t):
 
 def _cut(out: pa.Schema, carried: int, decoded: bool, bits: int):
     def run(key, left, right):
+        release()
         ids, texts, order = _chunk_rows(left)
         seen, _, sizes, which, owner, places = _contents(texts, _anchors_of(right), bits)
         offset = np.cumsum(sizes) - sizes
