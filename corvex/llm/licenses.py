@@ -81,12 +81,17 @@ def telling_words(text: str) -> list[str]:
     return chosen
 
 
-def _signature(prefix: str) -> list[Column]:
-    return [F.min(F.xxhash64("shingle", F.lit(i))).alias(f"{prefix}{i}") for i in range(BANDS * ROWS)]
+def _signature(found: str) -> Column:
+    """Minima of the hashed shingles under BANDS * ROWS hash functions."""
+    def low(i: Column) -> Column:
+        return F.array_min(F.transform(F.col(found), lambda s: F.xxhash64(s, i)))
 
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), low)
 
-def _bands() -> Column:
-    return F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
+
+def _bands(sig: str) -> Column:
+    part = lambda b, r: F.element_at(F.col(sig), b * ROWS + r + 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[part(b, r) for r in range(ROWS)]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,11 +115,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     hits = places.join(F.broadcast(table.select("shingle").distinct()), "shingle", "left_semi")
     window = F.explode(F.array(F.floor(F.col("pos") / span), F.floor(F.col("pos") / span) - 1))
     windows = hits.select("doc_id", window.alias("win"), "pos", "shingle").groupBy("doc_id", "win").agg(
-        F.collect_set("shingle").alias("found"), F.min(F.struct("pos", "shingle"))["pos"].alias("first_word"), *_signature("m")
+        F.collect_set("shingle").alias("found"), F.min("pos").alias("first_word")
     )
-    wanted = table.groupBy("license_id", "n_shingles").agg(F.collect_set("shingle").alias("wanted"), *_signature("m"))
-    wanted = wanted.select("license_id", "n_shingles", "wanted", F.posexplode(_bands()).alias("b", "key"))
-    bands = windows.select("doc_id", "win", "found", "first_word", F.posexplode(_bands()).alias("b", "key"))
+    windows = windows.withColumn("sig", _signature("found"))
+    wanted = table.groupBy("license_id", "n_shingles").agg(F.collect_set("shingle").alias("wanted")).withColumn("sig", _signature("wanted"))
+    wanted = wanted.select("license_id", "n_shingles", "wanted", F.posexplode(_bands("sig")).alias("b", "key"))
+    bands = windows.select("doc_id", "win", "found", "first_word", F.posexplode(_bands("sig")).alias("b", "key"))
     met = bands.join(F.broadcast(wanted), ["b", "key"])
     shared = F.size(F.array_intersect("found", "wanted")).cast("bigint")
     good = met.select("doc_id", "license_id", "n_shingles", "first_word", shared.alias("n_matched")).where(F.col("n_matched") >= CONTAINED * F.col("n_shingles"))
