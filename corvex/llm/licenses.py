@@ -1,4 +1,4 @@
-"""License scan: MinHash bands over overlapping text windows retrieve templates, shingle containment decides.
+"""License scan: shingle postings over overlapping text windows retrieve templates, shingle containment decides.
 
 DataFrame functions only. Words are runs of letters and digits, lower case; a shingle is SHINGLE words (a
 template of fewer is one shingle). Steps:
@@ -6,13 +6,12 @@ template of fewer is one shingle). Steps:
 1. documents that cannot hold any template are left out: of each template, words are chosen such that a text
    with none of them lacks more than 1 - CONTAINED of its shingles; a text with no chosen word of any
    template is no match for certain;
-2. the remaining texts' shingles that occur in some template are kept, with their place;
+2. the remaining texts' shingles that occur in some template are kept, with their place, once for each
+   template that has them. So each template is retrieved by its own shingles, whatever stands beside it:
+   nothing is missed, be the template short, part of a longer one or among others;
 3. places fall into windows of twice the longest template, overlapping by half, so an occurrence lies whole
-   in one window. Of each window, BANDS bands of ROWS minima over hashed shingles are compared to those of
-   the templates. As shingles of no template are gone, a window that contains CONTAINED of a template alone
-   has similarity CONTAINED or more and is found with probability 1 - (1 - CONTAINED^ROWS)^BANDS, more than
-   1 - 1e-20; beside as many shingles of other templates (similarity 0.4), 1 - 2e-4;
-4. windows and retrieved templates are verified by the exact share of the template's shingles.
+   in one window;
+4. windows and templates are verified by the exact share of the template's shingles.
 
 Templates are a small fixed table, checked against MOST_TEMPLATES, so they travel as literals and broadcast.
 
@@ -29,7 +28,6 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 CONTAINED = 0.8
-BANDS, ROWS = 48, 2
 MOST_TEMPLATES = 2000
 
 #: Notices as their publishers word them.
@@ -81,23 +79,10 @@ def telling_words(text: str) -> list[str]:
     return chosen
 
 
-def _signature(found: str) -> Column:
-    """Minima of the hashed shingles under BANDS * ROWS hash functions."""
-    def low(i: Column) -> Column:
-        return F.array_min(F.transform(F.col(found), lambda s: F.xxhash64(s, i)))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), low)
-
-
-def _bands(sig: str) -> Column:
-    part = lambda b, r: F.element_at(F.col(sig), b * ROWS + r + 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[part(b, r) for r in range(ROWS)]))
-
-
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document and template it contains: doc_id, license_id, n_matched and n_shingles
     (distinct shingles of the template in its best window, and of the template), first_word (the place, from
-    0, of the first word of any template in that window)."""
+    0, of the template's first word in that window)."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"{len(templates)} templates; at most {MOST_TEMPLATES} can be literals")
     spark: SparkSession = docs.sparkSession
@@ -112,18 +97,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     near = view.where(F.lower("text").rlike("|".join(map(re.escape, telling)) if telling else r"\b\B"))
     split = near.select("doc_id", words(F.col("text")).alias("w"))  # once, not anew for each shingle
     places = split.select("doc_id", F.posexplode(shingles(F.col("w"))).alias("pos", "shingle"))
-    hits = places.join(F.broadcast(table.select("shingle").distinct()), "shingle", "left_semi")
+    hits = places.join(F.broadcast(table), "shingle")
     window = F.explode(F.array(F.floor(F.col("pos") / span), F.floor(F.col("pos") / span) - 1))
-    windows = hits.select("doc_id", window.alias("win"), "pos", "shingle").groupBy("doc_id", "win").agg(
-        F.collect_set("shingle").alias("found"), F.min("pos").alias("first_word")
+    windows = hits.select("doc_id", "license_id", "n_shingles", window.alias("win"), "pos", "shingle").groupBy("doc_id", "license_id", "n_shingles", "win").agg(
+        F.size(F.collect_set("shingle")).cast("bigint").alias("n_matched"), F.min("pos").alias("first_word")
     )
-    windows = windows.withColumn("sig", _signature("found"))
-    wanted = table.groupBy("license_id", "n_shingles").agg(F.collect_set("shingle").alias("wanted")).withColumn("sig", _signature("wanted"))
-    wanted = wanted.select("license_id", "n_shingles", "wanted", F.posexplode(_bands("sig")).alias("b", "key"))
-    bands = windows.select("doc_id", "win", "found", "first_word", F.posexplode(_bands("sig")).alias("b", "key"))
-    met = bands.join(F.broadcast(wanted), ["b", "key"])
-    shared = F.size(F.array_intersect("found", "wanted")).cast("bigint")
-    good = met.select("doc_id", "license_id", "n_shingles", "first_word", shared.alias("n_matched")).where(F.col("n_matched") >= CONTAINED * F.col("n_shingles"))
+    good = windows.where(F.col("n_matched") >= CONTAINED * F.col("n_shingles"))
     best = F.max_by(F.struct("n_matched", "first_word"), F.struct("n_matched", -F.col("first_word")))
     return good.groupBy("doc_id", "license_id", "n_shingles").agg(best.alias("x")).select(
         "doc_id", "license_id", F.col("x.n_matched").alias("n_matched"), "n_shingles", F.col("x.first_word").cast("bigint").alias("first_word")

@@ -39,3 +39,18 @@ def test_telling_words():
         s = C._shingles_of(t)
         left = [x for x in s if not set(x.split()) & set(C.telling_words(t))]
         assert len(left) < C.CONTAINED * len(s)
+
+
+def held(text, templates):
+    """Templates contained in the whole text."""
+    w = C._words_of(text)
+    have = {" ".join(w[k : k + n]) for n in range(1, C.SHINGLE + 1) for k in range(len(w) - n + 1)}
+    want = {name: set(C._shingles_of(t)) for name, t in templates.items()}
+    return {name for name, s in want.items() if len(s & have) >= C.CONTAINED * len(s)}
+
+
+def test_every_pair_of_notices_is_found(spark, docs_of):
+    texts = [f"{'x ' * at}{a} {b}" for at in (0, 7, 23, 44) for a in C.TEMPLATES.values() for b in C.TEMPLATES.values()]
+    texts += ["x " * at + C.TEMPLATES["apache-header"] for at in range(45)]
+    got = {(r.doc_id, r.license_id) for r in C.scan(docs_of(list(enumerate(texts)))).collect()}
+    assert got == {(i, name) for i, t in enumerate(texts) for name in held(t, C.TEMPLATES)}
