@@ -1,4 +1,4 @@
-"""License scan: shingle postings over overlapping text windows retrieve templates, shingle containment decides.
+"""License scan: shingle postings retrieve templates, shingle containment in text windows decides.
 
 DataFrame functions only. Words are runs of letters and digits, lower case; a shingle is SHINGLE words (a
 template of fewer is one shingle). Steps:
@@ -9,14 +9,16 @@ template of fewer is one shingle). Steps:
 2. the remaining texts' shingles that occur in some template are kept, with their place, once for each
    template that has them. So each template is retrieved by its own shingles, whatever stands beside it:
    nothing is missed, be the template short, part of a longer one or among others;
-3. places fall into windows of twice the longest template, overlapping by half, so an occurrence lies whole
-   in one window;
-4. windows and templates are verified by the exact share of the template's shingles.
+3. a window starts at each place of a template's shingles and is SPREAD times the longest template, so what
+   is found depends on no offset: an occurrence with words put in counts as long as its ends are less than
+   that apart;
+4. windows are verified by the exact share of the template's shingles.
 
 Templates are a small fixed table, checked against MOST_TEMPLATES, so they travel as literals and broadcast.
 
 Defined results: null and empty texts match nothing; rows with one id count as one document, whose null is a
-value like others; a template found in several windows gives one row, with the best window's share.
+value like others; a template found in several windows gives one row, with the best window's share, the first
+of equals.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SHINGLE = 5
 CONTAINED = 0.8
+SPREAD = 3
 MOST_TEMPLATES = 2000
 
 #: Notices as their publishers word them.
@@ -90,7 +94,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     known = {k: s for k, s in known.items() if s}
     rows = [(k, s, len(ss)) for k, ss in known.items() for s in ss]
     table = spark.createDataFrame(rows, "license_id string, shingle string, n_shingles bigint")
-    span = max([len(s) for s in known.values()], default=1)  # a window holds two of the longest
+    span = max([len(s) for s in known.values()], default=1)
     telling = sorted({w for k in known for w in telling_words(templates[k])})
     ident = F.col(f"`{id_col}`")
     view = docs.select(ident.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -98,10 +102,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     split = near.select("doc_id", words(F.col("text")).alias("w"))  # once, not anew for each shingle
     places = split.select("doc_id", F.posexplode(shingles(F.col("w"))).alias("pos", "shingle"))
     hits = places.join(F.broadcast(table), "shingle")
-    window = F.explode(F.array(F.floor(F.col("pos") / span), F.floor(F.col("pos") / span) - 1))
-    windows = hits.select("doc_id", "license_id", "n_shingles", window.alias("win"), "pos", "shingle").groupBy("doc_id", "license_id", "n_shingles", "win").agg(
-        F.size(F.collect_set("shingle")).cast("bigint").alias("n_matched"), F.min("pos").alias("first_word")
-    )
+    within = W.partitionBy("doc_id", "license_id").orderBy("pos").rangeBetween(0, SPREAD * span - 1)
+    n_matched = F.size(F.collect_set("shingle").over(within)).cast("bigint")
+    windows = hits.select("doc_id", "license_id", "n_shingles", n_matched.alias("n_matched"), F.col("pos").alias("first_word"))
     good = windows.where(F.col("n_matched") >= CONTAINED * F.col("n_shingles"))
     best = F.max_by(F.struct("n_matched", "first_word"), F.struct("n_matched", -F.col("first_word")))
     return good.groupBy("doc_id", "license_id", "n_shingles").agg(best.alias("x")).select(

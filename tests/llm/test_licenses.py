@@ -54,3 +54,13 @@ def test_every_pair_of_notices_is_found(spark, docs_of):
     texts += ["x " * at + C.TEMPLATES["apache-header"] for at in range(45)]
     got = {(r.doc_id, r.license_id) for r in C.scan(docs_of(list(enumerate(texts)))).collect()}
     assert got == {(i, name) for i, t in enumerate(texts) for name in held(t, C.TEMPLATES)}
+
+
+def test_edited_notice_is_found_at_any_offset(spark, docs_of):
+    w = C.TEMPLATES["mit-permission"].split()
+    few = w[:15] + ["q"] * 8 + w[15:32] + ["q"] * 3 + w[32:]
+    far = w[:25] + ["q"] * 80 + w[25:]
+    apart = w[:25] + ["q"] * 135 + w[25:]
+    texts = [" ".join(["x"] * at + x) for x in (few, far, apart) for at in range(45)]
+    got = {(r.doc_id, r.n_matched, r.first_word) for r in C.scan(docs_of(list(enumerate(texts)))).collect() if r.license_id == "mit-permission"}
+    assert got == {(at, 37, at) for at in range(45)} | {(45 + at, 41, at) for at in range(45)}
