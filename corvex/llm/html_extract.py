@@ -2,13 +2,15 @@
 
 Pass 1 scores each page's containers: by the share of the page's prose they hold, and by how little else
 they hold. A container is named by its generalised path, the tags and classes from the root with digits
-and order taken out. Spark adds up the scores per host and path. Pass 2 parses each page again and takes
-the container at the best-voted path of its host that the page has; a page with none of the host's RANKED
-paths takes its own best container.
+and order taken out. Spark adds up, per host and path, the scores and the leads over the best ancestor on the
+same page. Pass 2 parses each page again and ranks the page's own containers by the sums of their paths; below
+the best, a path that leads its ancestors over all pages of the host that have it goes before them, so a path
+which all templates share is not taken where a template has one of its own.
 
-Votes are summed per host and path before they meet, so a hot host costs no more than a cold one. The
-ranked paths are joined to the pages by broadcast while they are at most BROADCAST_HOSTS hosts, else by a
-join on the host with SALTS salts.
+Votes are summed per host and path before they meet, so a hot host costs no more than a cold one. Paths of one
+page alone need not be sent back, as that page knows its own scores; all others are. They are joined to the
+pages by broadcast while they are of at most BROADCAST_HOSTS hosts and BROADCAST_PATHS in all, else by a join
+on the host with SALTS salts.
 
 Defined results: null or empty html gives an empty text; html without any prose gives what blocks there are
 outside menus and the like; a null or odd url is host ''; unclosed tags end with their parent; repeated
@@ -18,16 +20,16 @@ pages are extracted one by one.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_column
 
-RANKED = 8
 BROADCAST_HOSTS = 20_000
+BROADCAST_PATHS = 160_000
 SALTS = 32
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>", re.S)
@@ -199,20 +201,47 @@ def candidates(elements: list[Element], blocks) -> list[tuple[int, str]]:
     return sorted(((s, p) for p, s in best.items()), key=lambda x: (-x[0], -len(x[1]), x[1]))
 
 
-def votes(html: str | None, keep: int = 3) -> list[tuple[int, str]]:
-    return candidates(*parse(html or ""))[:keep]
+def votes(found: list[tuple[int, str]]) -> dict[str, tuple[int, int]]:
+    """Score of each candidate's path, and its lead over the best of its ancestors on the page."""
+    have = {p: s for s, p in found}
+    out = {}
+    for s, p in found:
+        up, best = p, 0
+        while up := up.rpartition("/")[0]:
+            best = max(best, have.get(up, 0))
+        out[p] = (s, s - best)
+    return out
+
+
+def choose(found: list[tuple[int, str]], sums: dict[str, tuple[int, int]]) -> str:
+    """The path of the page's candidates to take, by the host's sums; paths without any have this page's own."""
+    own = votes(found)
+    # a voted path that holds next to nothing of this page is none of its paths
+    left = [(sums.get(p, own[p]), p) for s, p in found if 4 * s >= found[0][0]]
+    path = ""
+    while left:
+        path = min(left, key=lambda x: (-x[0][0], -len(x[1]), x[1]))[1]
+        left = [x for x in left if x[0][1] >= 0 and x[1].startswith(path + "/")]
+    return path
+
 
+@lru_cache(maxsize=64)
+def _sums(lines: str) -> dict[str, tuple[int, int]]:
+    rows = (x.rsplit("\t", 2) for x in lines.split("\n") if x)
+    return {p: (int(s), int(d)) for p, s, d in rows}
 
-def extract(html: str | None, ranked: list[str]) -> str:
+
+def extract(html: str | None, ranked: list[str] | dict[str, tuple[int, int]]) -> str:
+    """The main text by paths in their order, or by the sums of scores and leads of paths."""
     if not html:
         return ""
     elements, blocks = parse(html)
     found = candidates(elements, blocks)
     if not found:
         return "\n\n".join(text for owner, text, _ in blocks if not _outside(owner, None))
-    have = {p: s for s, p in found}
-    # a voted path that holds next to nothing of this page is none of its paths
-    path = next((p for p in ranked if 4 * have.get(p, 0) >= found[0][0]), found[0][1])
+    if not isinstance(ranked, dict):
+        ranked = {p: (1_000_000 * (len(ranked) - k), -1) for k, p in enumerate(ranked)}
+    path = choose(found, ranked)
     tops = [e for e in elements if e.path == path and e.tag in CONTAINER and e.good]
     most = max(e.good for e in tops)
     chosen = [e for e in tops if 10 * e.good >= most]
@@ -238,15 +267,15 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", ca
     view = pages.select(*[F.col(f"`{c}`").alias(f"_cx_c{i}") for i, c in enumerate(cols)], F.col(f"`{html_col}`").alias("_cx_html"), host(F.col(f"`{url_col}`")).alias("_cx_host"))
 
     def vote():
-        return lambda xs: [([{"path": p, "score": s} for s, p in votes(x)],) for x in xs]
-
-    voted = map_column(view.select("_cx_html", "_cx_host"), ["_cx_html"], ["_cx_host"], [("v", "array<struct<path:string,score:bigint>>")], vote)
-    sums = voted.select("_cx_host", F.explode("v").alias("v")).groupBy("_cx_host", "v.path").agg(F.sum("v.score").alias("score"))
-    order = W.partitionBy("_cx_host").orderBy(F.desc("score"), F.desc(F.length("path")), "path")
-    top = sums.withColumn("k", F.row_number().over(order)).where(F.col("k") <= RANKED)
-    ranked = checkpoint(top.groupBy("_cx_host").agg(F.array_sort(F.collect_list(F.struct("k", "path"))).alias("paths")))
-    ranked = ranked.select("_cx_host", F.col("paths.path").alias("_cx_paths"))
-    if ranked.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        return lambda xs: [([{"path": p, "score": s, "lead": d} for p, (s, d) in votes(candidates(*parse(x or ""))).items()],) for x in xs]
+
+    voted = map_column(view.select("_cx_html", "_cx_host"), ["_cx_html"], ["_cx_host"], [("v", "array<struct<path:string,score:bigint,lead:bigint>>")], vote)
+    sums = voted.select("_cx_host", F.explode("v").alias("v")).groupBy("_cx_host", "v.path").agg(F.count("*").alias("n"), F.sum("v.score").alias("score"), F.sum("v.lead").alias("lead"))
+    line = F.concat_ws("\t", "path", "score", "lead")
+    ranked = checkpoint(sums.where("n > 1").groupBy("_cx_host").agg(F.array_join(F.collect_list(line), "\n").alias("_cx_paths"), F.count("*").alias("n")))
+    hosts, paths = ranked.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ranked = ranked.drop("n")
+    if hosts <= BROADCAST_HOSTS and paths <= BROADCAST_PATHS:
         joined = view.join(F.broadcast(ranked), "_cx_host", "left")
     else:
         salted = view.withColumn("_cx_salt", F.pmod(F.xxhash64("_cx_html"), F.lit(SALTS)).cast("int"))
@@ -254,7 +283,7 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", ca
         joined = salted.join(spread, ["_cx_host", "_cx_salt"], "left")
 
     def take():
-        return lambda xs, ps: [(extract(x, p or []),) for x, p in zip(xs, ps)]
+        return lambda xs, ps: [(extract(x, _sums(p or "")),) for x, p in zip(xs, ps)]
 
     inner = [f"_cx_c{i}" for i in range(len(cols))]
     out = map_column(joined, ["_cx_html", "_cx_paths"], inner, [("text", "string")], take)

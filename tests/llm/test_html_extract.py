@@ -33,3 +33,21 @@ def test_long_and_broken():
     assert H.extract("<p>" * 3000 + "deep", []) == "deep"
     assert H.extract("<div><p>a &amp b &lt;i&gt; <a href='x>broken", []).startswith("a & b <i>")
     assert H.extract("plain text only", []) == "plain text only"
+
+
+def test_each_template_of_a_host_has_its_own_path(spark):
+    def page(k, i, times):
+        prose = " ".join([f"Story {i} of template {k} goes on and on with many words."] * times)
+        return f"<html><body><div class='story-x{chr(97 + k)}'><p>{prose}</p></div><div class='box'><p>Boilerplate that every page of this host shows.</p></div></body></html>", prose
+
+    rows = [(100 * k + i, "http://h.example/", *page(k, i, 10)) for k in range(12) for i in range(3 if k < 11 else 1)]
+    rows.append((9999, "http://h.example/", *page(0, 9, 4)))  # its own best is the body
+    assert H.candidates(*H.parse(rows[-1][2]))[0][1] == "/html/body"
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, want string")
+    assert [(r.page_id, r.text) for r in H.main_text(df).collect() if r.text != r.want] == []
+
+
+def test_ancestor_stays_where_it_wins(spark):
+    two = "<html><body><div class='a'><p>" + "First half of it. " * 9 + "</p></div><div class='b'><p>" + "Second half of it. " * 9 + "</p></div></body></html>"
+    df = spark.createDataFrame([(i, "http://h.example/", two) for i in range(4)], "page_id bigint, url string, html string")
+    assert all("First" in r.text and "Second" in r.text for r in H.main_text(df).collect())
