@@ -242,14 +242,12 @@ def extract(html: str | None, ranked: list[str] | dict[str, tuple[int, int]]) ->
     if not isinstance(ranked, dict):
         ranked = {p: (1_000_000 * (len(ranked) - k), -1) for k, p in enumerate(ranked)}
     path = choose(found, ranked)
-    tops = [e for e in elements if e.path == path and e.tag in CONTAINER and e.good]
-    most = max(e.good for e in tops)
-    chosen = [e for e in tops if 10 * e.good >= most]
+    chosen = {id(e) for e in elements if e.path == path and e.tag in CONTAINER and e.good}
 
     def inside(owner):
         e = owner
         while e is not None:
-            if e in chosen:
+            if id(e) in chosen:
                 return not _outside(owner, e)
             e = e.parent
         return False

@@ -51,3 +51,9 @@ def test_ancestor_stays_where_it_wins(spark):
     two = "<html><body><div class='a'><p>" + "First half of it. " * 9 + "</p></div><div class='b'><p>" + "Second half of it. " * 9 + "</p></div></body></html>"
     df = spark.createDataFrame([(i, "http://h.example/", two) for i in range(4)], "page_id bigint, url string, html string")
     assert all("First" in r.text and "Second" in r.text for r in H.main_text(df).collect())
+
+
+def test_small_parts_at_the_path_stay():
+    rest = " ".join(["The rest of the article goes on for long."] * 30)
+    page = f"<body><div class='content'><p>A short intro comes first.</p></div><div class='ad'>Buy now</div><div class='content'><p>{rest}</p></div></body>"
+    assert H.extract(page, []) == "A short intro comes first.\n\n" + rest
