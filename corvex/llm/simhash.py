@@ -176,23 +176,39 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of `docs`: doc_id, fp bigint, component_id."""
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row for each row of `docs`: doc_id, fp, root (a fingerprint that names the group) and component_id."""
     view = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     prints = checkpoint(fingerprints(view, "text", ["doc_id"]))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(nodes))
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(labelled.select("fp", "root").join(named, "root"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labelled.select("fp", "root").join(named, "root"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of `docs`: doc_id, fp bigint, component_id."""
+    return _groups(docs, id_col, text_col).drop("root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each near-duplicate group: that of the smallest id. Rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    """`docs` with one row of each near-duplicate group: that of the smallest id, of several such rows the one
+    of the smallest text. Rows with a null id stay."""
+    found, ident = _groups(docs, id_col, text_col), F.col(f"`{id_col}`").cast("bigint")
+    first = F.col("doc_id") == F.col("component_id")
+    keep = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(first).alias("first")).where("first")
     keep = checkpoint(keep.select(F.col("doc_id").alias("_cx_keep"), "n"))
-    own = docs.join(keep, docs[id_col].cast("bigint") == keep["_cx_keep"], "left_semi")
-    if keep.where("n > 1").limit(1).count():  # an id on several rows: one of them stays
-        own = own.dropDuplicates([id_col])
+    several = keep.where("n > 1")
+    if not several.limit(1).count():
+        own = docs.join(keep, ident == F.col("_cx_keep"), "left_semi")
+    else:  # the id alone does not tell which of its rows is the group's
+        own = docs.join(keep.where("n = 1"), ident == F.col("_cx_keep"), "left_semi")
+        rows = docs.join(several, ident == F.col("_cx_keep"), "left_semi")
+        rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_cx_row"), ident.alias("_cx_id"), F.col(f"`{text_col}`").alias("_cx_text"))
+        roots = found.where(first).select(F.col("doc_id").alias("_cx_id"), "fp", "root").distinct()
+        rows = fingerprints(rows, "_cx_text", rows.columns).join(roots, ["_cx_id", "fp"])
+        least = F.min_by("_cx_row", F.struct("_cx_text", F.to_json("_cx_row")))
+        picked = rows.groupBy("_cx_id", "root").agg(least.alias("r"))
+        own = own.unionByName(picked.select(*[F.col("r").getField(c).alias(c) for c in docs.columns]))
     return own.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

@@ -67,3 +67,10 @@ def test_masks_guarantee():
 def test_forest_spans():
     fps = np.array([0, 1, 3, 15, 31, 7 << 40 | 7, 255 << 20], np.int64)
     assert sorted(H.forest(fps)) == [(1, 0), (3, 0), (15, 0), (31, 0)]
+
+
+def test_rows_of_one_id_in_different_groups(spark, docs_of):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (2, b), (2, a), (3, c), (3, b), (5, "own " + c[::-1]), (5, b[::-1]), (5, b[::-1]), (6, a)]
+    got = sorted((r.doc_id, r.text) for r in H.keep_one(docs_of(rows)).collect())
+    assert got == sorted([(1, a), (2, b), (3, c), (5, "own " + c[::-1]), (5, b[::-1])])
