@@ -43,10 +43,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit) and ids_sha256."""
+    """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit), ids_sha256, and decoded_sha256 of the
+    bytes that the ids decode to."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     ids = bpe.encode(docs, path, pattern, carry=["doc_id", "lang", "source"])
-    return ids.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"))
+    back = bpe.decode(ids, path, pattern)
+    return back.select(
+        "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids",
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 STAGES = [

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import public_tokenizers as P
 import tiktoken
@@ -36,3 +38,9 @@ def test_stages_keep_the_columns(spark):
     for _, stage in C.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_last_stage_decodes(spark):
+    docs = spark.createDataFrame([(1, "Añ 🙂 some text", "en", "s"), (2, "", "en", "s"), (3, None, "en", "s")], "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r.decoded_sha256 for r in C.byte_bpe(spark, docs, SF).collect()}
+    assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t, *_ in docs.collect()}
