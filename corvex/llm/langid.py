@@ -7,7 +7,8 @@ gives. Training sequences are pieces of labelled texts, half of them spliced fro
 the field learns to switch. Forward-backward then labels every word of every whole text.
 
 The field is fitted on at most SAMPLE labelled training documents of a language, of at most SAMPLE_BYTES
-bytes each, those of the smallest hashes; at most LANGUAGES languages. All documents are labelled.
+bytes each, those of the smallest hashes; of a language
+with none so short, the first characters of long ones. All documents are labelled.
 
 Defined results: a null text or one without letters is `und` with score 0; documents with a null language
 are not learned from; without any training document all are `und`; ties go to the first label in order.
@@ -22,12 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_column
 
 FOLDS, HELD_OUT = 3, 1
-SAMPLE, SAMPLE_BYTES, LANGUAGES = 200, 20_000, 200
+SAMPLE, SAMPLE_BYTES = 200, 20_000
+UNITED = 20
 BITS, LONGEST = 16, 4  # feature buckets, n-grams
 PIECE = 24  # words in a training sequence
 EPOCHS, BATCH, RATE, DECAY = 4, 256, 0.3, 1e-4
@@ -198,16 +201,23 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field:
-    """Fit on a bounded sample of the labelled documents that are not held out."""
+    """Fit on a bounded sample, of each language, of the labelled documents that are not held out."""
     ident = F.col(f"`{id_col}`").cast("bigint")
     lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
     fold = F.crc32(F.encode(F.coalesce(ident.cast("string"), F.lit("")), "utf-8")) % FOLDS
-    pool = docs.where((fold != HELD_OUT) & lang.isNotNull() & F.octet_length(text).between(1, SAMPLE_BYTES))
-    langs = [r[0] for r in pool.groupBy(lang.alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()]
+    pool = docs.where((fold != HELD_OUT) & lang.isNotNull() & (F.octet_length(text) > 0))
+    short = F.octet_length(text) <= SAMPLE_BYTES
+    langs = {r.l: r.short for r in pool.groupBy(lang.alias("l")).agg(F.bool_or(short).alias("short")).collect()}
+    usable = short | lang.isin([x for x, has in langs.items() if not has])
+    few = pool.where(usable).select(lang.alias("l"), F.substring(text, 1, SAMPLE_BYTES).alias("t"), F.xxhash64(ident).alias("h"), ident.alias("i"))
     taken = None
-    for x in sorted(langs):
-        few = pool.where(lang == x).select(lang.alias("l"), text.alias("t"), F.xxhash64(ident).alias("h"), ident.alias("i")).orderBy("h", "i", "t").limit(SAMPLE)
-        taken = few if taken is None else taken.unionByName(few)
+    if len(langs) > UNITED:  # as many plans in one would take minutes to plan
+        k = F.row_number().over(W.partitionBy("l").orderBy("h", "i", "t"))
+        taken = few.withColumn("k", k).where(F.col("k") <= SAMPLE).drop("k")
+    else:
+        for x in sorted(langs):
+            one = few.where(F.col("l") == x).orderBy("h", "i", "t").limit(SAMPLE)
+            taken = one if taken is None else taken.unionByName(one)
     rows = [] if taken is None else taken.orderBy("l", "h", "i", "t").collect()
     return fit([words(r.t) for r in rows], [r.l for r in rows])
 
@@ -222,7 +232,7 @@ def _spans(text: str, best: np.ndarray, labels: list[str]) -> list[dict]:
 def identify(docs: DataFrame, field: Field, text_col: str = "text", carry: list[str] | None = None, spans: bool = False) -> DataFrame:
     """`carry` (default: all columns) plus lang_pred and score, the label of the largest mean probability
     over the words and that mean; with `spans`, also the stretches of words of one language."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # its size is fixed by BITS, LANGUAGES and LEXICON_WORDS
+    shared = docs.sparkSession.sparkContext.broadcast(field)  # its size is fixed by BITS, LEXICON_WORDS and the number of languages
 
     def make():
         f = shared.value

@@ -53,3 +53,19 @@ def test_edges(spark, docs_of, odd_rows):
     none = L.learn(docs_of(odd_rows, lang=None))
     assert none.labels == [] and {r.lang_pred for r in L.identify(docs, none).collect()} == {"und"}
     assert L.identify(docs.limit(0), f).count() == 0
+
+
+def test_languages_of_long_documents_are_learned(spark):
+    random.seed(5)
+    data = [(i, text("en", 40), "en") for i in range(30)] + [(100 + i, text("fr", 5000), "fr") for i in range(8)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    assert all(len(t.encode()) > L.SAMPLE_BYTES for _, t, g in data if g == "fr")
+    f = L.learn(docs)
+    assert f.labels == ["en", "fr"] and {r.lang_pred for r in L.identify(docs.where("lang = 'fr'"), f).collect()} == {"fr"}
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(L, "fit", lambda texts, tags: sorted(set(tags)))
+    docs = spark.createDataFrame([(i, f"word{i}", f"l{i:03}") for i in range(340)], "doc_id bigint, text string, lang string")
+    want = [f"l{i:03}" for i in range(340) if not L.held_out(i)]
+    assert len(want) > 200 and L.learn(docs) == want
