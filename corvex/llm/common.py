@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 SLICE = 256  # rows held as Python objects at a time
 LIBC = ctypes.CDLL(None)
+MOST_TASKS = 50_000
 MAX_ID = (1 << 63) - 1  # stands for a null id where ids are ordered
 
 
@@ -30,10 +31,13 @@ def input_bytes(df: DataFrame, text_col: str) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's spark.checkpoint.dir; a folder of our own only where none is set."""
+    """Use the session's spark.checkpoint.dir. Only a session within one machine gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvex-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corvex-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -41,6 +45,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def deal(df: DataFrame, chunks: int, key: str = "_cx_chunk") -> DataFrame:
+    """`df` by chunk, a few chunks to a task, so that tasks do not grow with the input."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, min(chunks // 2, MOST_TASKS)), key)
+
+
 def release() -> None:
     """Hand freed memory back to the system: workers are kept from stage to stage, and what one stage left
     to its allocator would be missing in the next."""

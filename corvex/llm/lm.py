@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, input_bytes, release
+from .common import arrow_schema, deal, input_bytes, release
 
 FOLDS, HELD_OUT = 7, 2
 ORDER = 3
@@ -124,6 +124,18 @@ def _unpack(b: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
     return out.view("<u8").ravel(), at + 1 + n * w
 
 
+def _pack_counts(x: np.ndarray) -> bytes:
+    """A byte each, and what does not fit one after them."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype("<u8").tobytes()
+
+
+def _unpack_counts(b: bytes, n: int, at: int = 0) -> np.ndarray:
+    x = np.frombuffer(b, np.uint8, n, at).astype(np.int64)
+    big = np.flatnonzero(x == 255)
+    x[big] = np.frombuffer(b, "<u8", len(big), at + n)
+    return x
+
+
 def _pack_sorted(keys: np.ndarray) -> bytes:
     return keys[:1].astype("<u8").tobytes() + _pack(np.diff(keys)) if len(keys) else b""
 
@@ -171,7 +183,7 @@ def _ask(word_shards: int, shards: int, bits: int, order: int):
             cuts = np.searchsorted(_shard(keys, 64 if k == 1 else bits, many), np.arange(many + 1)).tolist()
             for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if b > a or k == 1:  # shards that have none of its words answer with their sums
-                    rows.append((k, s, chunk, b - a, _pack_sorted(keys[a:b]) + _pack(seen[a:b])))
+                    rows.append((k, s, chunk, b - a, _pack_sorted(keys[a:b]) + _pack_counts(seen[a:b])))
         return _mail(rows)
 
     return run
@@ -186,7 +198,7 @@ def _answer(key, t):
     for n, b in zip(ns, blobs):
         k, at = _unpack_sorted(b, n)
         keys.append(k)
-        counts.append(_unpack(b, n, at)[0].astype(np.int64))
+        counts.append(_unpack_counts(b, n, at))
     k, x = np.concatenate(keys), np.concatenate(counts)
     by = np.argsort(k, kind="stable")
     k = k[by]
@@ -196,7 +208,7 @@ def _answer(key, t):
     total[by] = np.repeat(sums, np.diff(np.append(first, len(k))))
     head = np.array([sums.sum(), np.count_nonzero(sums)], "<u8").tobytes()
     ends = np.cumsum(ns).tolist()
-    return _mail([(level, shard, c, n, head + _pack(total[e - n : e])) for c, n, e in zip(chunks, ns, ends)])
+    return _mail([(level, shard, c, n, head + _pack_counts(total[e - n : e])) for c, n, e in zip(chunks, ns, ends)])
 
 
 class Automaton:
@@ -293,15 +305,14 @@ def _score(bits: int, order: int, priors: tuple[float, ...], out: pa.Schema, car
         for k, level in enumerate(c.levels, 1):
             mine = [(n, b) for lv, _, n, b in rows if lv == k]
             got = np.empty(len(level.key), np.int64)
-            got[_sorted_keys(level, k, bits)[1]] = np.concatenate([_unpack(b, n, 16)[0] for n, b in mine]) if mine else np.zeros(0, np.int64)
+            got[_sorted_keys(level, k, bits)[1]] = np.concatenate([_unpack_counts(b, n, 16) for n, b in mine]) if mine else np.zeros(0, np.int64)
             counts.append(got)
             if k == 1:
                 sums = [np.frombuffer(b, "<u8", 2).tolist() for _, b in mine]
                 total, distinct = sum(x for x, _ in sums), sum(y for _, y in sums)
-        model = Automaton(c.levels, counts, total, distinct, priors)
-        flat = c.flat[1:]
-        for level in c.levels:  # the places are of no more use
-            level.at = None
+        for level in c.levels:  # of no more use
+            level.at = level.key = level.seen = None
+        model, flat = Automaton(c.levels, counts, total, distinct, priors), c.flat[1:]
         start = np.cumsum(c.size) - c.size
         base = np.add.reduceat(model.word[flat], start)
         known = np.add.reduceat((counts[0][flat] > 0).astype(np.int64), start)
@@ -330,7 +341,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
         F.pmod(F.xxhash64(ident, F.col(f"`{text_col}`")), F.lit(chunks)).alias("_cx_chunk"), ident.alias("_cx_id"), F.col(f"`{text_col}`").alias("_cx_text"),
         *[F.col(f"`{c}`").alias(f"_cx_c{i}") for i, c in enumerate(cols)],
     )
-    dealt = view.repartition("_cx_chunk").groupBy("_cx_chunk")
+    dealt = deal(view, chunks).groupBy("_cx_chunk")
     asked = dealt.applyInArrow(_ask(word_shards, chunks, bits, order), MAIL_DDL)
     told = asked.groupBy("level", "shard").applyInArrow(_answer, MAIL_DDL)
     out = T.StructType([*[T.StructField(c, view.schema[f"_cx_c{i}"].dataType) for i, c in enumerate(cols)], *[T.StructField(n, T.DataType.fromDDL(t)) for n, t in FIELDS]])
