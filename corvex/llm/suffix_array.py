@@ -1,7 +1,9 @@
 """Suffix arrays by induced sorting, and their permuted common prefixes, over numpy arrays.
 
-The induction is linear: a bucket (the suffixes that begin with one symbol) is filled in the order in which
-earlier buckets and the bucket itself induce it, a whole bucket's worth of suffixes at a time.
+Suffixes are classified; the leftmost-smaller substrings are sorted by induction and named; the string of their
+names is sorted by recursion, whatever its size; and its order induces that of all suffixes. The induction is
+linear: a bucket (the suffixes that begin with one symbol) is filled in the order in which earlier buckets and the
+bucket itself induce it, a whole bucket's worth of suffixes at a time, or one by one where buckets are tiny.
 """
 
 from __future__ import annotations
@@ -90,23 +92,31 @@ def _names(s: np.ndarray, order: np.ndarray, size_at: np.ndarray) -> np.ndarray:
     return np.cumsum(differ) - 1
 
 
-def _double(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string over many symbols, by doubling the compared length."""
-    n, rank, step = len(names), names.astype(np.int64), 1
-    while True:
-        key = (rank + 1) * (n + 2)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.cumsum(np.append(False, k[1:] != k[:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1 or step >= n:
-            return order
-        step *= 2
-
-
-SMALL_ALPHABET = 512
+def _induce_each(s: np.ndarray, up: np.ndarray, lms: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The same, a suffix at a time: for strings of so many symbols that a bucket holds but a few suffixes."""
+    text, rising, n = s.tolist(), up.tolist(), len(s)
+    sa, tail, head = [-1] * n, starts[1:].tolist(), starts[:-1].tolist()
+    for i in reversed(lms.tolist()):
+        c = text[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+    for k in range(n):
+        j = sa[k] - 1
+        if j >= 0 and not rising[j]:
+            c = text[j]
+            sa[head[c]] = j
+            head[c] += 1
+    tail = starts[1:].tolist()
+    for k in range(n - 1, -1, -1):
+        j = sa[k] - 1
+        if j >= 0 and rising[j]:
+            c = text[j]
+            tail[c] -= 1
+            sa[tail[c]] = j
+    return np.array(sa, np.int64)
+
+
+FULL_BUCKET = 64  # suffixes of a bucket, on average, from which on whole buckets are moved
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -120,7 +130,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     up = suffix_types(s)
     lms = np.flatnonzero(up[1:] & ~up[:-1]) + 1
     by_first = lms[np.argsort(s[lms], kind="stable")]
-    sa = _induce(s, up, by_first, starts)
+    induce = _induce if n >= FULL_BUCKET * k else _induce_each
+    sa = induce(s, up, by_first, starts)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = sa[is_lms[sa]]  # sorted by substring
@@ -131,9 +142,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         name_at = np.empty(n, np.int64)
         name_at[order] = names
         text = name_at[lms]  # ends with the unique smallest name, that of the last symbol
-        sub = suffix_array(text) if names[-1] < SMALL_ALPHABET else _double(text)
-        order = lms[sub]
-    return _induce(s, up, order, starts)
+        order = lms[suffix_array(text)]
+    return induce(s, up, order, starts)
 
 
 def common_prefixes(raw: np.ndarray, sa: np.ndarray) -> np.ndarray:

@@ -7,16 +7,18 @@ dealt into chunks by a hash of the id:
 
 1. each chunk's distinct anchors go to shards, which tell the chunks what anchors occur in two documents;
 2. stretches under such anchors, each distinct content of a chunk once with its smallest id, go to shards.
-   Of these, contents that share an anchor and SIDE bytes beside it go into a suffix array made by induced
-   sorting, and its permuted common prefixes cut it into classes of suffixes that share WIDTH bytes; a
-   class's smallest id goes back to the chunks;
+   Of these, contents that have two documents, or share an anchor and SIDE bytes beside it with another content,
+   go into a suffix array made by induced sorting, and its permuted common prefixes cut it into classes of
+   suffixes that share WIDTH bytes; a class's smallest id goes back to the chunks;
 3. chunks mark the strings whose class has a smaller id than the document, and cut the bytes out.
 
 Hash collisions of anchors only bring more stretches to compare. However many copies a passage has, a chunk
-sends it once. Nothing is collected or broadcast.
+sends it once. An anchor in very many contexts (HOT_CHUNKS, HOT_CONTEXTS) does not bring them to one shard: its
+strings travel one by one, to the shards of their own hashes. Nothing is collected or broadcast.
 
 Defined results: null and empty texts and texts under WIDTH bytes lose nothing; rows with the same id never
 lose bytes to each other; a null id counts as larger than all others; rows come out as often as they went in.
+Chunks are dealt by id and text, so rows without an id, or with one and the same, are spread like others.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ K = 24
 SIDE = (WIDTH - K) // 2  # an equal string goes on for so many bytes left or right of its anchor
 SPAN = WIDTH - K + 1  # anchors are the smallest of so many hashes
 STRETCH = 64  # strings in one stretch at most
+HOT_CHUNKS, HOT_CONTEXTS = 512, 256  # an anchor in more chunks, or in more contexts of one, is hot
 PIECE = 1 << 17  # bytes hashed at a time
 CHUNK_BYTES = 4 << 20  # of stored input in a chunk; texts take about twice that
 LEAST_CHUNKS = 64
@@ -168,22 +171,27 @@ def _send_anchors(shards: int, bits: int):
     def run(key, t):
         release()
         ids, texts, _ = _chunk_rows(t)
-        found, owner = [], []
-        for _, text, _, _, _, anchor in stretches(texts):
+        found, owner, contexts = [], [], []
+        for joined, text, first, _, n, anchor in stretches(texts):
             found.append(_key(anchor, bits))
             owner.append(text)
+            h = _hashes(np.frombuffer(joined, np.uint8))
+            contexts.append((h[first] * _MUL + h[first + n - 1 + WIDTH - K]) * _MUL + n.astype(np.uint64))
         if not found:
             return _table(ANCHORS, [])
-        a, own = np.concatenate(found), np.array(ids, np.int64)[np.concatenate(owner)]
+        a, own, context = np.concatenate(found), np.array(ids, np.int64)[np.concatenate(owner)], np.concatenate(contexts)
         order = np.argsort(a, kind="stable")
         a, own = a[order], own[order]
         first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
         several = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+        size, hot = np.diff(np.append(first, len(a))), np.zeros(len(first), bool)
+        for k in np.flatnonzero(size > HOT_CONTEXTS):  # few
+            hot[k] = len(np.unique(context[order[first[k] : first[k] + size[k]]])) > HOT_CONTEXTS
         a = a[first]
         s = _shard(a, bits, shards)
         cuts = np.flatnonzero(np.append(True, np.diff(s) != 0)).tolist() + [len(s)]
         chunk = key[0].as_py()
-        return _table(ANCHORS, [(int(s[x]), chunk, _pack(a[x:y]) + np.packbits(several[x:y]).tobytes(), y - x) for x, y in zip(cuts, cuts[1:])])
+        return _table(ANCHORS, [(int(s[x]), chunk, _pack(a[x:y]) + np.packbits(several[x:y]).tobytes() + np.packbits(hot[x:y]).tobytes(), y - x) for x, y in zip(cuts, cuts[1:])])
 
     return run
 
@@ -191,39 +199,63 @@ def _send_anchors(shards: int, bits: int):
 def _match_anchors(key, t):
     release()
     blobs, chunks, ns = (t.column(c).to_pylist() for c in ("blob", "chunk", "n"))
-    parts, flags = [], []
+    parts, flags, hots = [], [], []
     for b, n in zip(blobs, ns):
         keys, at = _unpack(b, n)
         parts.append(keys)
-        flags.append(np.unpackbits(np.frombuffer(b, np.uint8, -1, at), count=n).astype(bool))
-    a, several = np.concatenate(parts), np.concatenate(flags)
+        flags.append(_bits(b, n, at))
+        hots.append(_bits(b, n, at + (n + 7) // 8))
+    a, several, hot = np.concatenate(parts), np.concatenate(flags), np.concatenate(hots)
     source = np.repeat(np.arange(len(ns)), ns)
     order = np.argsort(a, kind="stable")
-    a, several, source = a[order], several[order], source[order]
+    a, several, hot, source = a[order], several[order], hot[order], source[order]
     first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
     size = np.diff(np.append(first, len(a)))
     hit = np.repeat((size > 1) | np.logical_or.reduceat(several, first), size)
-    a, source = a[hit], source[hit]
+    hot = np.repeat((size > HOT_CHUNKS) | np.logical_or.reduceat(hot, first), size)
+    a, source, hot = a[hit], source[hit], hot[hit]
     by = np.argsort(source, kind="stable")  # and so sorted within each
-    a, cuts = a[by], np.searchsorted(source[by], np.arange(len(ns) + 1))
-    return _table(REPLY, [(chunks[i], 0, _pack(a[x:y]), int(y - x)) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x])
+    a, hot, cuts = a[by], hot[by], np.searchsorted(source[by], np.arange(len(ns) + 1))
+    return _table(REPLY, [(chunks[i], 0, _pack(a[x:y]) + np.packbits(hot[x:y]).tobytes(), int(y - x)) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x])
 
 
-def _anchors_of(replies: pa.Table) -> np.ndarray:
+def _bits(b: bytes, n: int, at: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
+
+
+def _anchors_of(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted anchors that two documents have, and those of them that are hot."""
     rows = zip(*(replies.column(c).to_pylist() for c in ("kind", "blob", "n")))
-    found = [_unpack(b, n)[0] for k, b, n in rows if k == 0]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    found, hot = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    for k, b, n in rows:
+        if k == 0:
+            keys, at = _unpack(b, n)
+            found.append(keys)
+            hot.append(_bits(b, n, at))
+    keys, hot = np.concatenate(found), np.concatenate(hot)
+    return np.unique(keys), np.unique(keys[hot])
 
 
-def _contents(texts: list[bytes], wanted: np.ndarray, bits: int):
+def _contents(texts: list[bytes], told: tuple[np.ndarray, np.ndarray], bits: int):
     """Distinct contents of stretches under wanted anchors in order of first sight, with anchor and number
-    of strings, and all such stretches as (content number, text number, place)."""
+    of strings, and all such stretches as (content number, text number, place). The strings under a hot anchor
+    are contents of their own, with their own hash in the anchor's place."""
+    wanted, hot = told
     seen: dict[bytes, int] = {}
     anchors, sizes, which, owner, places = [], [], [], [], []
     for joined, text, first, place, n, anchor in stretches(texts):
         anchor = _key(anchor, bits)
         sel = np.flatnonzero(_member(anchor, wanted))
-        f, c, a = first[sel], n[sel].tolist(), anchor[sel].tolist()
+        first, n, anchor, text, place = first[sel], n[sel], anchor[sel], text[sel], place[sel]
+        split = _member(anchor, hot)
+        if split.any():
+            many = np.where(split, n, 1)
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            first, place, text = np.repeat(first, many) + step, np.repeat(place, many) + step, np.repeat(text, many)
+            split = np.repeat(split, many)
+            whole = _key(_hashes(np.frombuffer(joined, np.uint8), WIDTH), bits)
+            n, anchor = np.where(split, 1, np.repeat(n, many)), np.where(split, whole[np.minimum(first, len(whole) - 1)], np.repeat(anchor, many))
+        f, c, a = first, n.tolist(), anchor.tolist()
         nums = []
         for at, cnt, anc in zip(f.tolist(), c, a):
             content = joined[at : at + cnt + WIDTH - 1]
@@ -234,19 +266,22 @@ def _contents(texts: list[bytes], wanted: np.ndarray, bits: int):
                 sizes.append(cnt)
             nums.append(k)
         which.append(np.array(nums, np.int64))
-        owner.append(text[sel])
-        places.append(place[sel])
+        owner.append(text)
+        places.append(place)
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return list(seen), np.array(anchors, np.uint64), np.array(sizes, np.int64), cat(which), cat(owner), cat(places)
 
 
-def _low_ids(count: int, which: np.ndarray, owner: np.ndarray, ids: list[int]) -> np.ndarray:
-    low = np.full(count, MAX_ID, np.int64)
-    np.minimum.at(low, which, np.array(ids, np.int64)[owner])
-    return low
+def _id_bounds(count: int, which: np.ndarray, owner: np.ndarray, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest id that has each content."""
+    low, high, own = np.full(count, MAX_ID, np.int64), np.full(count, -MAX_ID, np.int64), np.array(ids, np.int64)[owner]
+    np.minimum.at(low, which, own)
+    np.maximum.at(high, which, own)
+    return low, high
 
 
-_HEAD = np.dtype([("no", "<u4"), ("size", "<u2"), ("low", "<i8")])
+# `many`: other documents of the chunk than that of the smallest id have the content as well
+_HEAD = np.dtype([("no", "<u4"), ("size", "<u2"), ("many", "?"), ("low", "<i8")])
 _BACK = np.dtype([("no", "<u4"), ("at", "<u2"), ("size", "<u2"), ("low", "<i8")])
 
 
@@ -257,7 +292,7 @@ def _send_contents(shards: int, bits: int):
         seen, anchors, sizes, which, owner, _ = _contents(texts, _anchors_of(right), bits)
         if not seen:
             return _table(ANCHORS, [])
-        low = _low_ids(len(seen), which, owner, ids)
+        low, high = _id_bounds(len(seen), which, owner, ids)
         s = _shard(anchors, bits, shards)
         by = np.argsort(s, kind="stable")
         cuts = np.flatnonzero(np.append(True, np.diff(s[by]) != 0)).tolist() + [len(by)]
@@ -265,7 +300,7 @@ def _send_contents(shards: int, bits: int):
         for x, y in zip(cuts, cuts[1:]):
             nos = by[x:y]
             head = np.empty(len(nos), _HEAD)
-            head["no"], head["size"], head["low"] = nos, sizes[nos] + WIDTH - 1, low[nos]
+            head["no"], head["size"], head["low"], head["many"] = nos, sizes[nos] + WIDTH - 1, low[nos], high[nos] > low[nos]
             rows.append((int(s[nos[0]]), chunk, head.tobytes() + b"".join(seen[i] for i in nos.tolist()), len(nos)))
         return _table(ANCHORS, rows)
 
@@ -335,26 +370,26 @@ def _match_contents(key, t):
         which.append(np.array(nums, np.int64))
     head, num = np.concatenate(heads), np.concatenate(which)
     contents = list(seen)
-    low = np.full(len(contents), MAX_ID, np.int64)
+    low, high = np.full(len(contents), MAX_ID, np.int64), np.full(len(contents), -MAX_ID, np.int64)
     np.minimum.at(low, num, head["low"])
-    several = _may_share(contents)
+    np.maximum.at(high, num, head["low"])
+    live = high > low
+    live[num[head["many"]]] = True
+    live[_may_share(contents)] = True
+    several = np.flatnonzero(live)
     lows: list = [None] * len(contents)
     if len(several):
         for i, x in zip(several.tolist(), class_lows([contents[i] for i in several.tolist()], low[several])):
-            lows[i] = x
+            cut = np.flatnonzero(x[1:] != x[:-1]) + 1
+            edges = [0, *cut.tolist(), len(x)]
+            lows[i] = [(a, b - a, v) for a, b, v in zip(edges, edges[1:], x[edges[:-1]].tolist())]
     rows, at = [], 0
     for chunk, h in zip(chunks, heads):
         back = []
         mine, at = num[at : at + len(h)].tolist(), at + len(h)
-        for no, size, own, k in zip(h["no"].tolist(), h["size"].tolist(), h["low"].tolist(), mine):
-            if lows[k] is None:
-                if low[k] < own:
-                    back.append((no, 0, size - WIDTH + 1, int(low[k])))
-                continue
-            x = lows[k]
-            cut = np.flatnonzero(x[1:] != x[:-1]) + 1 if x[0] != x[-1] or x.min() != x.max() else ()
-            edges = [0, *(cut.tolist() if len(cut) else ()), len(x)]
-            back += [(no, a, b - a, int(x[a])) for a, b in zip(edges, edges[1:]) if x[a] < own]
+        for no, many, own, k in zip(h["no"].tolist(), h["many"].tolist(), h["low"].tolist(), mine):
+            if lows[k] is not None:
+                back += [(no, a, n, v) for a, n, v in lows[k] if v < own or many]
         if back:
             rows.append((chunk, 1, np.array(back, _BACK).tobytes(), len(back)))
     return _table(REPLY, rows)
@@ -366,7 +401,7 @@ def _cut(out: pa.Schema, carried: int, decoded: bool, bits: int):
         ids, texts, order = _chunk_rows(left)
         seen, _, sizes, which, owner, places = _contents(texts, _anchors_of(right), bits)
         offset = np.cumsum(sizes) - sizes
-        low = np.repeat(_low_ids(len(seen), which, owner, ids), sizes)  # by string of each content
+        low = np.full(int(sizes.sum()), MAX_ID, np.int64)  # by string of each content
         for blob, kind in zip(right.column("blob").to_pylist(), right.column("kind").to_pylist()):
             if kind == 1:
                 back = np.frombuffer(blob, _BACK)
@@ -414,7 +449,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = min(max(stored.bit_length() + 12, 33), 64)  # so that about one anchor in 10,000 coincides with another
     ident = F.col(f"`{id_col}`").cast("bigint")
     view = docs.select(
-        F.pmod(F.xxhash64(ident), F.lit(chunks)).alias("_cx_chunk"),
+        F.pmod(F.xxhash64(ident, F.col(f"`{text_col}`")), F.lit(chunks)).alias("_cx_chunk"),
         ident.alias("_cx_id"),
         F.col(f"`{text_col}`").alias("_cx_text"),
         *[F.col(f"`{c}`").alias(f"_cx_c{i}") for i, c in enumerate(cols)],
