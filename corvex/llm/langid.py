@@ -6,22 +6,25 @@ words are learned together, by gradient ascent of the likelihood that the forwar
 gives. Training sequences are pieces of labelled texts, half of them spliced from two languages, so that
 the field learns to switch. Forward-backward then labels every word of every whole text.
 
-The field is fitted on at most SAMPLE labelled training documents of a language, of at most SAMPLE_BYTES
-bytes each, those of the smallest hashes; of a language
-with none so short, the first characters of long ones. All documents are labelled.
-
-Defined results: a null text or one without letters is `und` with score 0; documents with a null language
-are not learned from; without any training document all are `und`; ties go to the first label in order.
+The field is fitted on at most SAMPLE labelled training documents of a language, those of the smallest hashes,
+and of each on at most SAMPLE_CHARS characters, from a place that its hash tells; every language that training
+documents have is learned. All documents are labelled, every word of them: texts are taken together up to WORDS
+words, and a longer text goes through forward-backward in blocks of so many, which pass their messages on.
+
+Defined results: a word is a letter with the letters and marks that follow; a null text or one without letters is
+`und` with score 0; documents with a null language are not learned from; without any training document all are
+`und`; ties go to the first label in order; repeated rows are labelled one by one.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,14 +32,14 @@ from pyspark.sql import functions as F
 from .common import map_column
 
 FOLDS, HELD_OUT = 3, 1
-SAMPLE, SAMPLE_BYTES = 200, 20_000
-UNITED = 20
+SAMPLE, SAMPLE_CHARS = 200, 4_000
 BITS, LONGEST = 16, 4  # feature buckets, n-grams
 PIECE = 24  # words in a training sequence
+THINNED = 4
 EPOCHS, BATCH, RATE, DECAY = 4, 256, 0.3, 1e-4
 LEXICON_COUNT, LEXICON_SHARE, LEXICON_WORDS = 3, 0.9, 5000
-ROWS = 2048  # texts labelled at once
-WORD = re.compile(r"[^\W\d_]+")
+ROWS, WORDS = 2048, 1 << 16  # texts and words labelled at once, at most
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 UND = "und"
 
 
@@ -113,6 +116,35 @@ class Field:
             out[i] = fwd[slots[k]]
         return out
 
+    def blocks(self, ids: np.ndarray, emissions: np.ndarray, size: int = WORDS) -> Iterator[np.ndarray]:
+        """The same for one long sequence of words, in blocks from the last to the first: a first pass keeps the
+        forward message at each block's start, a second goes back and needs one block's at a time."""
+        move, first = np.exp(self.moves), np.exp(self.first)
+
+        def potentials(a):
+            e = emissions[ids[a : a + size]]
+            return np.exp(e - e.max(axis=1, keepdims=True))
+
+        def forward(e, start):
+            out, now = np.empty_like(e), start
+            for t in range(len(e)):
+                now = (first if now is None else now @ move) * e[t]
+                now = out[t] = now / now.sum()
+            return out
+
+        starts, edges = [None], range(0, len(ids), size)
+        for a in edges[:-1]:
+            starts.append(forward(potentials(a), starts[-1])[-1])
+        back = np.ones(len(self.labels))
+        for a, start in zip(reversed(edges), reversed(starts)):
+            e = potentials(a)
+            p = forward(e, start)
+            for t in range(len(e) - 1, -1, -1):
+                p[t] *= back
+                back = (back * e[t]) @ move.T
+                back /= back.sum()
+            yield p / p.sum(axis=1, keepdims=True)
+
 
 def _lexicon(texts: list[list[str]], labels: list[int]) -> dict[str, int]:
     counts: dict[str, Counter] = {}
@@ -205,24 +237,24 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ident = F.col(f"`{id_col}`").cast("bigint")
     lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
     fold = F.crc32(F.encode(F.coalesce(ident.cast("string"), F.lit("")), "utf-8")) % FOLDS
-    pool = docs.where((fold != HELD_OUT) & lang.isNotNull() & (F.octet_length(text) > 0))
-    short = F.octet_length(text) <= SAMPLE_BYTES
-    langs = {r.l: r.short for r in pool.groupBy(lang.alias("l")).agg(F.bool_or(short).alias("short")).collect()}
-    usable = short | lang.isin([x for x, has in langs.items() if not has])
-    few = pool.where(usable).select(lang.alias("l"), F.substring(text, 1, SAMPLE_BYTES).alias("t"), F.xxhash64(ident).alias("h"), ident.alias("i"))
-    taken = None
-    if len(langs) > UNITED:  # as many plans in one would take minutes to plan
-        k = F.row_number().over(W.partitionBy("l").orderBy("h", "i", "t"))
-        taken = few.withColumn("k", k).where(F.col("k") <= SAMPLE).drop("k")
-    else:
-        for x in sorted(langs):
-            one = few.where(F.col("l") == x).orderBy("h", "i", "t").limit(SAMPLE)
-            taken = one if taken is None else taken.unionByName(one)
-    rows = [] if taken is None else taken.orderBy("l", "h", "i", "t").collect()
-    return fit([words(r.t) for r in rows], [r.l for r in rows])
-
-
-def _spans(text: str, best: np.ndarray, labels: list[str]) -> list[dict]:
+    own = F.xxhash64(ident, text)
+    pool = docs.where((fold != HELD_OUT) & lang.isNotNull() & (F.octet_length(text) > 0)).select(lang.alias("l"), text.alias("t"), own.alias("h"))
+    sizes = {r.l: r.n for r in pool.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return fit([], [])
+    # of each language, about THINNED times as many as are wanted go on, whatever its size, and of them SAMPLE
+    bound = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, THINNED * SAMPLE / n))])
+    thin = pool.where((F.col("h") / 2.0**64 + 0.5) <= bound[F.col("l")])
+    room = F.greatest(F.length("t") - SAMPLE_CHARS + 1, F.lit(1))
+    piece = F.substring("t", F.pmod("h", room.cast("bigint")).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    k = F.row_number().over(W.partitionBy("l").orderBy("h", "p"))
+    rows = thin.select("l", "h", piece.alias("p")).withColumn("k", k).where(F.col("k") <= SAMPLE).orderBy("l", "k").collect()
+    return fit([words(r.p) for r in rows], [r.l for r in rows])
+
+
+def _spans(text: str | None, best: np.ndarray, labels: list[str]) -> list[dict]:
+    if not len(best):
+        return []
     cut = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
     # lowering may change a text's length; places are those of the lowered text where it does
     at = [m.span() for m in WORD.finditer(text.lower())]
@@ -237,22 +269,41 @@ def identify(docs: DataFrame, field: Field, text_col: str = "text", carry: list[
     def make():
         f = shared.value
 
-        def fn(texts):
+        def some(texts):
             ids: dict[str, int] = {}
             seqs = []
             for t in texts:
-                seqs.append(np.array([ids.setdefault(w, len(ids)) for w in words(t)], np.int64))
+                seqs.append(np.array([ids.setdefault(w, len(ids)) for w in t], np.int64))
             if not f.labels or not ids:
-                return [(UND, 0.0) + (([],) if spans else ()) for _ in texts]
+                return [(UND, 0.0, ()) for _ in texts]
             e = f.emissions(list(ids))
-            full = [i for i, s in enumerate(seqs) if len(s)]
-            out = [(UND, 0.0) + (([],) if spans else ()) for _ in texts]
-            for i, p in zip(full, f.marginals([e[seqs[i]] for i in full])):
-                mean = p.mean(axis=0)
+            out = [(UND, 0.0, ()) for _ in texts]
+            if len(seqs) == 1 and len(seqs[0]) > WORDS:
+                total, best = np.zeros(len(f.labels)), []
+                for p in f.blocks(seqs[0], e):
+                    total += p.sum(axis=0)
+                    best.append(p.argmax(axis=1).astype(np.int16 if len(f.labels) < 1 << 15 else np.int32))
+                found = [(0, total / len(seqs[0]), np.concatenate(best[::-1]))]
+            else:
+                full = [i for i, s in enumerate(seqs) if len(s)]
+                found = [(i, p.mean(axis=0), p.argmax(axis=1)) for i, p in zip(full, f.marginals([e[seqs[i]] for i in full]))]
+            for i, mean, best in found:
                 k = int(mean.argmax())
-                out[i] = (f.labels[k], float(min(mean[k], 1.0))) + ((_spans(texts[i], p.argmax(axis=1), f.labels),) if spans else ())
+                out[i] = (f.labels[k], float(min(mean[k], 1.0)), best)
             return out
 
+        def fn(texts):
+            out, batch, size = [], [], 0
+            for t in texts:
+                w = words(t)
+                if batch and size + len(w) > WORDS:
+                    out += some(batch)
+                    batch, size = [], 0
+                batch.append(w)
+                size += len(w)
+            out += some(batch) if batch else []
+            return [x[:2] + (_spans(t, x[2], f.labels),) for t, x in zip(texts, out)] if spans else [x[:2] for x in out]
+
         return fn
 
     fields = [("lang_pred", "string"), ("score", "double")]
