@@ -1,28 +1,35 @@
 """Main text of web pages by consensus host paths.
 
 Pass 1 scores each page's containers: by the share of the page's prose they hold, and by how little else
-they hold. A container is named by its generalised path, the tags and classes from the root with digits
-and order taken out. Spark adds up, per host and path, the scores and the leads over the best ancestor on the
-same page. Pass 2 parses each page again and ranks the page's own containers by the sums of their paths; below
-the best, a path that leads its ancestors over all pages of the host that have it goes before them, so a path
-which all templates share is not taken where a template has one of its own.
+they hold. A container is named by its generalised path, the tags and classes from the root without what is
+numbered in them, told by a hash of the path. Spark adds up, per host and path, the scores and the leads over the
+best ancestor on the same page. Pass 2 parses each page again and ranks the page's own containers by the sums of
+their paths; below the best, a path that leads its ancestors over all pages of the host that have it goes before
+them, so a path which all templates share is not taken where a template has one of its own.
+
+Inside the chosen containers all text stays but that of page parts: elements whose tag says so, and elements of
+which a class, id or role is the name of a part (`comments`, `share-box`; not `form-factor`, in which only a word
+is), unless they hold most of the page's text. Parsing takes time and memory in proportion to the page, however
+deep it is nested.
 
 Votes are summed per host and path before they meet, so a hot host costs no more than a cold one. Paths of one
-page alone need not be sent back, as that page knows its own scores; all others are. They are joined to the
-pages by broadcast while they are of at most BROADCAST_HOSTS hosts and BROADCAST_PATHS in all, else by a join
-on the host with SALTS salts.
+page alone need not be sent back, as that page knows its own scores; all others are. They go to the pages by
+broadcast while they are of at most BROADCAST_HOSTS hosts and BROADCAST_PATHS in all; else each page's own paths
+are joined to the sums, and the page to these.
 
 Defined results: null or empty html gives an empty text; html without any prose gives what blocks there are
-outside menus and the like; a null or odd url is host ''; unclosed tags end with their parent; repeated
-pages are extracted one by one.
+outside page parts; a null or odd url is host ''; unclosed tags end with their parent; repeated pages are extracted
+one by one; columns of any other name are carried along, one called text is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 from html import unescape
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +37,16 @@ from .common import checkpoint, map_column
 
 BROADCAST_HOSTS = 20_000
 BROADCAST_PATHS = 160_000
-SALTS = 32
+SCALE = 10**9  # scores are integers from 0 to it
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>", re.S)
 ATTR = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+NUMBERED = re.compile(r"[^\W_]*\d[^\W_]*")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg math iframe object xmp".split())
-DROPPED = RAW | frozenset("head nav footer aside form button select option label dialog menu audio video canvas".split())
+RAW = frozenset("script style textarea title noscript xmp".split())  # up to their first closing tag
+NESTED = frozenset("template svg iframe object".split())  # up to their own closing tag
+DROPPED = RAW | NESTED | frozenset("head nav footer aside form button select option label dialog menu audio video canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
@@ -50,239 +59,313 @@ CLOSES = {  # an opening tag ends open elements of these tags, up to the nearest
     "td": ({"td", "th"}, {"table", "tr"}),
     "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
+    "body": ({"head"}, {"html"}),
 }
-# names of page parts that are not the article
-ASIDE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside rail footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register share sharing social related recommended recommendations more pagination pager widget widgets comment comments commentlist disqus reply replies respond discussion form search skip hidden tags toc copyright".split()
+ENDS_P = ({"p"}, CONTAINER | {"li", "table", "form", "nav", "aside", "header", "footer", "ul", "ol"})
+# A name is that of a page part if one of its words is of PARTS and all others of PARTS or BESIDE.
+PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsors sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login register share sharing pager pagination comment comments commentlist disqus replies respond recommended recommendations related".split()
+)
+BESIDE = frozenset(
+    "box wrapper wrap container block section area list item items bar inner outer left right top bottom primary secondary main page site global post posts entry article articles content story stories blog links link buttons button social form widget widgets reader readers user users google site header sticky fixed mobile desktop js row col column group panel thread feed body text title heading".split()
 )
 MAIN = frozenset("article content main post entry story text body page".split())
 
 
+class Node:
+    """A generalised path: its hash, and on this page the best score of its containers and of its ancestors'."""
+
+    __slots__ = ("key", "parent", "depth", "kids", "score", "up", "enter", "leave")
+
+    def __init__(self, key: int, parent: Node | None):
+        self.key, self.parent, self.depth, self.kids, self.score, self.up = key, parent, parent.depth + 1 if parent else 0, {}, 0, 0
+
+    def kid(self, shown: str) -> Node:
+        found = self.kids.get(shown)
+        if found is None:
+            h = xxhash.xxh64_intdigest(f"{self.key}/{shown}")
+            found = self.kids[shown] = Node(h - (1 << 64) if h >> 63 else h, self)
+        return found
+
+
+def path_key(path: str) -> int:
+    """The hash of a path such as /html/body/div.post."""
+    node = Node(0, None)
+    for shown in path.strip("/").split("/"):
+        node = node.kid(shown)
+    return node.key
+
+
 class Element:
-    __slots__ = ("tag", "path", "parent", "aside", "main", "good", "all")
+    __slots__ = ("tag", "node", "parent", "named", "tagged", "main", "good", "all", "parts", "headers", "headings", "top")
+
+    def __init__(self, tag, node, parent, named=False, tagged=False, main=False):
+        self.tag, self.node, self.parent, self.named, self.tagged, self.main = tag, node, parent, named, tagged, main
+        self.good = self.all = self.parts = self.headers = self.headings = 0
+        self.top = None
 
-    def __init__(self, tag, path, parent, aside, main):
-        self.tag, self.path, self.parent, self.aside, self.main, self.good, self.all = tag, path, parent, aside, main, 0, 0
 
+def is_part(name: str) -> bool:
+    words = [w.lower() for w in NAME.findall(name) if not w.isdigit()]
+    return any(w in PARTS for w in words) and all(w in PARTS or w in BESIDE for w in words)
 
-def _names(attrs: str) -> tuple[str, set[str], bool]:
-    """Generalised classes, the words of class, id and role, and whether the element is hidden."""
-    classes, words, hidden = "", set(), False
+
+def _names(attrs: str) -> tuple[str, list[str], bool]:
+    """Generalised classes, the names of class, id and role, and whether the element is hidden."""
+    classes, names, hidden = "", [], False
     for m in ATTR.finditer(attrs):
         key, value = (m[1] or m[5]).lower(), m[2] or m[3] or m[4] or ""
         if key == "class":
-            classes = ".".join(sorted({re.sub(r"\d+", "#", c.lower()) for c in value.split()}))
+            classes = ".".join(sorted({NUMBERED.sub("#", c.lower()) for c in value.split()}))
         if key in ("class", "id", "role"):
-            words.update(x.lower() for x in NAME.findall(value))
+            names += value.split()
         hidden |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None
-    return classes, words, hidden
+    return classes, names, hidden
 
 
-def parse(html: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
-    """Elements, and blocks in page order as (innermost block element, text, characters in links)."""
-    root = Element("#root", "", None, False, False)
-    elements, stack, blocks = [root], [root], []
-    parts: list[str] = []
-    links, in_link, at, owner = 0, 0, 0, root
-
-    def flush():
-        nonlocal parts, links
-        if parts:
-            text = " ".join(unescape("".join(parts)).split())
-            if text:
-                blocks.append((owner, text, links))
-            parts, links = [], 0
-
-    def text_until(end):
-        nonlocal links, owner
-        if end > at:
-            piece = html[at:end]
-            if not parts:
-                owner = next((e for e in reversed(stack) if e.tag in BLOCK or e.tag in DROPPED), root) if len(stack) > 1 else root
-            parts.append(piece)
-            if in_link:
-                links += len(piece)
-
-    pos, n = 0, len(html)
-    while pos < n:
-        m = TOKEN.search(html, pos)
-        if m is None:
-            break
-        text_until(m.start())
-        at = pos = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag == "br" or tag in ("td", "th"):
-            parts.append(" ") if parts else None
-        if tag in BLOCK:
-            flush()
-        if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            # an inline tag does not close blocks around it
-            if k and (tag in BLOCK or tag in CONTAINER or not any(e.tag in BLOCK for e in stack[k + 1 :])):
-                if any(e.tag in DROPPED or e.aside for e in stack[k:]):
-                    flush()
-                in_link -= sum(e.tag == "a" for e in stack[k:])
-                del stack[k:]
-            continue
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, pos)
-            at = pos = end.end() if end else n
-            continue
-        over, within = CLOSES.get(tag, (None, None))
-        if tag in BLOCK and tag not in CLOSES:
-            over, within = {"p"}, CONTAINER | {"li", "table", "form", "nav", "aside", "header", "footer", "ul", "ol"}
-            if tag == "body":
-                over = {"head"}
-        if over:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in over:
-                    in_link -= sum(e.tag == "a" for e in stack[i:])
-                    del stack[i:]
-                elif stack[i].tag in within:
-                    break
-        classes, words, hidden = _names(m[3]) if m[3] and m[3] != "/" else ("", set(), False)
-        parent = stack[-1]
-        shown = tag + ("." + classes if classes else "")
-        # a page part is told by its tag or a word of its names, unless it names the main part as well
-        aside = hidden or tag in DROPPED or bool(words & ASIDE) and not words & MAIN - {"page", "body", "text"} or tag not in ("html", "body") and bool(words & {"comment", "comments", "commentlist", "sidebar", "footer", "related"})
-        if aside and not in_link:
-            flush()
-        if tag in BLOCK or tag in CONTAINER or tag in DROPPED or aside:
-            e = Element(tag, f"{parent.path}/{shown}", parent, aside and tag not in ("html", "body"), tag in ("article", "main") or bool(words & MAIN))
-        else:  # inline elements are no containers; the path leaves them out
-            e = Element(tag, parent.path, parent, False, False)
-        elements.append(e)
-        stack.append(e)
-        in_link += tag == "a"
-        if m[3].endswith("/") and tag not in BLOCK:
-            stack.pop()
-            in_link -= tag == "a"
-    text_until(n)
-    flush()
-    return elements, blocks
-
-
-def _outside(e: Element, top: Element | None) -> bool:
-    """Whether a page part that is not the article lies on the way from `e` up to below `top`; of a header
-    inside the article, headings stay."""
-    heading = False
-    while e is not None and e is not top:
-        if e.aside:
-            return True
-        heading |= e.tag in ("h1", "h2", "h3")
-        if e.tag == "header" and not heading:
-            return True
-        e = e.parent
-    return False
-
-
-def candidates(elements: list[Element], blocks) -> list[tuple[int, str]]:
-    """(score of 0 to 1000, path) of the containers that hold prose, best first."""
-    total = 0
-    for owner, text, links in blocks:
-        bad = _outside(owner, None) or 2 * links > len(text)
-        total += 0 if bad else len(text)
-        e = owner
-        while e is not None:
-            e.all += len(text)
-            e.good += 0 if bad else len(text)
-            e = e.parent
-    best: dict[str, int] = {}
-    for e in elements:
-        if e.good and e.tag in CONTAINER:
-            score = (e.good / total) ** 2 * (e.good / e.all) * (1.0 if e.main else 0.75)
-            best[e.path] = max(best.get(e.path, 0), round(1000 * score))
-    # of equals, the deeper
-    return sorted(((s, p) for p, s in best.items()), key=lambda x: (-x[0], -len(x[1]), x[1]))
-
-
-def votes(found: list[tuple[int, str]]) -> dict[str, tuple[int, int]]:
-    """Score of each candidate's path, and its lead over the best of its ancestors on the page."""
-    have = {p: s for s, p in found}
-    out = {}
-    for s, p in found:
-        up, best = p, 0
-        while up := up.rpartition("/")[0]:
-            best = max(best, have.get(up, 0))
-        out[p] = (s, s - best)
-    return out
-
-
-def choose(found: list[tuple[int, str]], sums: dict[str, tuple[int, int]]) -> str:
-    """The path of the page's candidates to take, by the host's sums; paths without any have this page's own."""
-    own = votes(found)
-    # a voted path that holds next to nothing of this page is none of its paths
-    left = [(sums.get(p, own[p]), p) for s, p in found if 4 * s >= found[0][0]]
-    path = ""
-    while left:
-        path = min(left, key=lambda x: (-x[0][0], -len(x[1]), x[1]))[1]
-        left = [x for x in left if x[0][1] >= 0 and x[1].startswith(path + "/")]
-    return path
+@lru_cache(maxsize=8)
+def _closing(tag: str):
+    return re.compile(rf"<(/?){re.escape(tag)}\b[^>]*>", re.I)
 
 
-@lru_cache(maxsize=64)
-def _sums(lines: str) -> dict[str, tuple[int, int]]:
-    rows = (x.rsplit("\t", 2) for x in lines.split("\n") if x)
-    return {p: (int(s), int(d)) for p, s, d in rows}
+def _after(html: str, tag: str, at: int) -> int:
+    """The place after the closing tag that belongs to an element opened before `at`."""
+    depth = 1
+    for m in _closing(tag).finditer(html, at):
+        if m[1]:
+            depth -= 1
+        elif tag in NESTED and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(html)
 
 
-def extract(html: str | None, ranked: list[str] | dict[str, tuple[int, int]]) -> str:
-    """The main text by paths in their order, or by the sums of scores and leads of paths."""
+class _Parser:
+    """Elements, and blocks in page order as (innermost block element, text, characters in links)."""
+
+    def __init__(self, html: str):
+        self.html, self.root = html, Element("#root", Node(0, None), None)
+        self.elements, self.stack, self.blocks = [self.root], [self.root], []
+        self.places: dict[str, list[int]] = {}  # of open elements in the stack, by tag
+        self.owners = [self.root]  # innermost block elements, one for each open element
+        self.links = self.in_link = 0
+        self.parts: list[str] = []
+        self.owner = self.root
+        self.run()
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join(unescape("".join(self.parts)).split())
+            if text:
+                self.blocks.append((self.owner, text, self.links))
+            self.parts, self.links = [], 0
+
+    def text(self, a: int, b: int) -> None:
+        if b > a:
+            if not self.parts:
+                self.owner = self.owners[-1]
+            self.parts.append(self.html[a:b])
+            if self.in_link:
+                self.links += b - a
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def pop_to(self, k: int) -> None:
+        """Close the open elements from the k-th on."""
+        for e in self.stack[k:]:
+            self.places[e.tag].pop()
+            self.in_link -= e.tag == "a"
+        del self.stack[k:], self.owners[k:]
+
+    def close(self, tag: str) -> None:
+        k = self.last((tag,))
+        # an inline tag does not close blocks around it
+        if k and (tag in BLOCK or self.owners[-1] is self.owners[k]):
+            if any(e.tagged or e.named for e in self.stack[k:]):
+                self.flush()
+            self.pop_to(k)
+
+    def open(self, tag: str, attrs: str) -> None:
+        over, within = CLOSES.get(tag) or (ENDS_P if tag in BLOCK else ((), ()))
+        if over:
+            bound = self.last(within)
+            ended = [at[i] for t in over if (at := self.places.get(t)) and (i := bisect_right(at, bound)) < len(at)]
+            if ended:
+                self.pop_to(min(ended))
+        classes, names, hidden = _names(attrs) if attrs and attrs != "/" else ("", [], False)
+        parent = self.stack[-1]
+        named = (hidden or any(map(is_part, names))) and tag not in ("html", "body")
+        if named and not self.in_link:
+            self.flush()
+        tagged = tag in DROPPED
+        if tag in BLOCK or tag in CONTAINER or tagged or named:
+            node = parent.node.kid(tag + ("." + classes if classes else ""))
+            main = tag in ("article", "main") or any(w.lower() in MAIN for n in names for w in NAME.findall(n))
+            e = Element(tag, node, parent, named, tagged, main)
+        else:  # inline elements are no containers; the path leaves them out
+            e = Element(tag, parent.node, parent)
+        self.elements.append(e)
+        if attrs.endswith("/") and tag not in BLOCK:
+            return
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(e)
+        self.owners.append(e if tag in BLOCK or tagged else self.owners[-1])
+        self.in_link += tag == "a"
+
+    def run(self) -> None:
+        html, at, pos = self.html, 0, 0
+        while m := TOKEN.search(html, pos):
+            self.text(at, m.start())
+            at = pos = m.end()
+            tag = m[2]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if tag in ("br", "td", "th") and self.parts:
+                self.parts.append(" ")
+            if tag in BLOCK:
+                self.flush()
+            if m[1]:
+                self.close(tag)
+            elif tag in RAW or tag in NESTED:
+                if not m[3].endswith("/"):
+                    at = pos = _after(html, tag, pos)
+            elif tag not in VOID:
+                self.open(tag, m[3])
+        self.text(at, len(html))
+        self.flush()
+
+
+class Page:
+    """A parsed page: which blocks are page parts, and the containers' scores."""
+
+    def __init__(self, html: str):
+        p = _Parser(html)
+        self.elements, self.blocks, self.root = p.elements, p.blocks, p.root
+        total = 0
+        for owner, text, _ in self.blocks:
+            owner.all += len(text)
+            total += len(text)
+        for e in reversed(self.elements[1:]):
+            e.parent.all += e.all
+        for e in self.elements[1:]:
+            up = e.parent
+            e.parts = up.parts + (e.tagged or e.named and 2 * e.all <= total)
+            e.headers = up.headers + (e.tag == "header")
+            e.headings = up.headings + (e.tag in ("h1", "h2", "h3"))
+        prose = 0
+        for owner, text, links in self.blocks:
+            if not self.outside(owner, self.root) and 2 * links <= len(text):
+                owner.good += len(text)
+                prose += len(text)
+        for e in reversed(self.elements[1:]):
+            e.parent.good += e.good
+        self.nodes = [self.root.node]  # parents before their children
+        for node in self.nodes:
+            self.nodes.extend(node.kids.values())
+        for e in self.elements:
+            if e.good and e.tag in CONTAINER:
+                score = (e.good / prose) ** 2 * (e.good / e.all) * (1.0 if e.main else 0.75)
+                e.node.score = max(e.node.score, round(SCALE * score))
+        for node in self.nodes[1:]:
+            node.up = max(node.parent.up, node.parent.score)
+        self.found = sorted((n for n in self.nodes if n.score), key=lambda n: (-n.score, -n.depth, n.key))
+
+    @staticmethod
+    def outside(e: Element, top: Element) -> bool:
+        """Whether a page part that is not the article lies on the way from `e` up to below `top`; of a header
+        inside the article, headings stay."""
+        return e.parts > top.parts or e.headers > top.headers and e.headings == top.headings
+
+    def votes(self) -> list[tuple[int, int, int]]:
+        """Path, score and lead over the best of its ancestors of each container path with prose."""
+        return [(n.key, n.score, n.score - n.up) for n in self.found]
+
+    def choose(self, sums: dict[int, tuple[int, int]]) -> Node | None:
+        """The path to take, by the host's sums; paths without any have this page's own."""
+        if not self.found:
+            return None
+        # a voted path that holds next to nothing of this page is none of its paths
+        left = [(*sums.get(n.key, (n.score, n.score - n.up)), n) for n in self.found if 4 * n.score >= self.found[0].score]
+        left.sort(key=lambda x: (-x[0], -x[2].depth, x[2].key))
+        clock, walk = 0, [(self.root.node, False)]
+        while walk:
+            node, done = walk.pop()
+            clock += 1
+            if done:
+                node.leave = clock
+            else:
+                node.enter = clock
+                walk.append((node, True))
+                walk.extend((k, False) for k in node.kids.values())
+        path = left[0][2]
+        for _, lead, n in left[1:]:
+            if lead >= 0 and path.enter < n.enter and n.leave < path.leave:
+                path = n
+        return path
+
+    def text(self, sums: dict[int, tuple[int, int]]) -> str:
+        path = self.choose(sums)
+        if path is None:
+            return "\n\n".join(text for owner, text, _ in self.blocks if not self.outside(owner, self.root))
+        for e in self.elements:
+            own = e.node is path and e.tag in CONTAINER and e.good
+            e.top = e if own else e.parent.top if e.parent else None
+        return "\n\n".join(text for owner, text, _ in self.blocks if owner.top is not None and not self.outside(owner, owner.top))
+
+
+def extract(html: str | None, ranked: list[str] | dict[int, tuple[int, int]]) -> str:
+    """The main text by paths in their order, or by the sums of scores and leads of paths' hashes."""
     if not html:
         return ""
-    elements, blocks = parse(html)
-    found = candidates(elements, blocks)
-    if not found:
-        return "\n\n".join(text for owner, text, _ in blocks if not _outside(owner, None))
     if not isinstance(ranked, dict):
-        ranked = {p: (1_000_000 * (len(ranked) - k), -1) for k, p in enumerate(ranked)}
-    path = choose(found, ranked)
-    chosen = {id(e) for e in elements if e.path == path and e.tag in CONTAINER and e.good}
-
-    def inside(owner):
-        e = owner
-        while e is not None:
-            if id(e) in chosen:
-                return not _outside(owner, e)
-            e = e.parent
-        return False
-
-    return "\n\n".join(text for owner, text, _ in blocks if inside(owner))
+        ranked = {path_key(p): (1000 * SCALE * (len(ranked) - k), -1) for k, p in enumerate(ranked)}
+    return Page(html).text(ranked)
 
 
 def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+SUMS = "array<struct<path:bigint,score:bigint,lead:bigint>>"
+
+
+@lru_cache(maxsize=64)
+def _sums(lines: str) -> dict[int, tuple[int, int]]:
+    rows = (map(int, x.split(" ")) for x in lines.split("\n") if x)
+    return {p: (s, d) for p, s, d in rows}
+
+
 def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", carry: list[str] | None = None) -> DataFrame:
     """`carry` (default: all columns) plus text string."""
     cols = [c for c in (pages.columns if carry is None else carry) if c != "text"]
-    view = pages.select(*[F.col(f"`{c}`").alias(f"_cx_c{i}") for i, c in enumerate(cols)], F.col(f"`{html_col}`").alias("_cx_html"), host(F.col(f"`{url_col}`")).alias("_cx_host"))
+    html = F.col(f"`{html_col}`")
+    view = pages.select(*[F.col(f"`{c}`").alias(f"_cx_c{i}") for i, c in enumerate(cols)], html.alias("_cx_html"), host(F.col(f"`{url_col}`")).alias("_cx_host"))
 
     def vote():
-        return lambda xs: [([{"path": p, "score": s, "lead": d} for p, (s, d) in votes(candidates(*parse(x or ""))).items()],) for x in xs]
-
-    voted = map_column(view.select("_cx_html", "_cx_host"), ["_cx_html"], ["_cx_host"], [("v", "array<struct<path:string,score:bigint,lead:bigint>>")], vote)
-    sums = voted.select("_cx_host", F.explode("v").alias("v")).groupBy("_cx_host", "v.path").agg(F.count("*").alias("n"), F.sum("v.score").alias("score"), F.sum("v.lead").alias("lead"))
-    line = F.concat_ws("\t", "path", "score", "lead")
-    ranked = checkpoint(sums.where("n > 1").groupBy("_cx_host").agg(F.array_join(F.collect_list(line), "\n").alias("_cx_paths"), F.count("*").alias("n")))
-    hosts, paths = ranked.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    ranked = ranked.drop("n")
+        return lambda xs: [([{"path": p, "score": s, "lead": d} for p, s, d in Page(x or "").votes()],) for x in xs]
+
+    def votes_of(rows, keep):
+        return map_column(rows, ["_cx_html"], keep, [("v", SUMS)], vote)
+
+    each = votes_of(view.select("_cx_html", "_cx_host"), ["_cx_host"]).select("_cx_host", F.explode("v").alias("v"))
+    sums = each.groupBy("_cx_host", "v.path").agg(F.count("*").alias("n"), F.sum("v.score").alias("score"), F.sum("v.lead").alias("lead"))
+    shared = checkpoint(sums.where("n > 1").drop("n"))
+    hosts, paths = shared.agg(F.countDistinct("_cx_host"), F.count("*")).first()
+    told = F.array_join(F.collect_list(F.concat_ws(" ", "path", "score", "lead")), "\n").alias("_cx_sums")
     if hosts <= BROADCAST_HOSTS and paths <= BROADCAST_PATHS:
-        joined = view.join(F.broadcast(ranked), "_cx_host", "left")
+        joined = view.join(F.broadcast(shared.groupBy("_cx_host").agg(told)), "_cx_host", "left")
     else:
-        salted = view.withColumn("_cx_salt", F.pmod(F.xxhash64("_cx_html"), F.lit(SALTS)).cast("int"))
-        spread = ranked.withColumn("_cx_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(spread, ["_cx_host", "_cx_salt"], "left")
+        keyed = view.withColumn("_cx_key", F.xxhash64("_cx_html"))
+        own = votes_of(keyed.select("_cx_html", "_cx_host", "_cx_key"), ["_cx_host", "_cx_key"])
+        asked = own.select("_cx_host", "_cx_key", F.explode("v.path").alias("path")).distinct()
+        joined = keyed.join(asked.join(shared, ["_cx_host", "path"]).groupBy("_cx_host", "_cx_key").agg(told), ["_cx_host", "_cx_key"], "left")
 
     def take():
-        return lambda xs, ps: [(extract(x, _sums(p or "")),) for x, p in zip(xs, ps)]
+        return lambda xs, told: [(extract(x, _sums(s or "")),) for x, s in zip(xs, told)]
 
     inner = [f"_cx_c{i}" for i in range(len(cols))]
-    out = map_column(joined, ["_cx_html", "_cx_paths"], inner, [("text", "string")], take)
+    out = map_column(joined, ["_cx_html", "_cx_sums"], inner, [("text", "string")], take)
     return out.select(*[F.col(i).alias(c) for i, c in zip(inner, cols)], "text")

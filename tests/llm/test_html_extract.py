@@ -17,7 +17,7 @@ def test_pages_of_a_host(spark):
     assert H.main_text(df.limit(0)).count() == 0
 
 
-def test_salted_join_gives_the_same(spark, monkeypatch):
+def test_join_by_page_gives_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"http://h{i % 3}.example/", PAGE % (i, i)) for i in range(6)], "page_id bigint, url string, html string")
     a = sorted(map(tuple, H.main_text(df).collect()))
     monkeypatch.setattr(H, "BROADCAST_HOSTS", 1)
@@ -42,7 +42,7 @@ def test_each_template_of_a_host_has_its_own_path(spark):
 
     rows = [(100 * k + i, "http://h.example/", *page(k, i, 10)) for k in range(12) for i in range(3 if k < 11 else 1)]
     rows.append((9999, "http://h.example/", *page(0, 9, 4)))  # its own best is the body
-    assert H.candidates(*H.parse(rows[-1][2]))[0][1] == "/html/body"
+    assert H.Page(rows[-1][2]).found[0].key == H.path_key("/html/body")
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, want string")
     assert [(r.page_id, r.text) for r in H.main_text(df).collect() if r.text != r.want] == []
 
@@ -57,3 +57,67 @@ def test_small_parts_at_the_path_stay():
     rest = " ".join(["The rest of the article goes on for long."] * 30)
     page = f"<body><div class='content'><p>A short intro comes first.</p></div><div class='ad'>Buy now</div><div class='content'><p>{rest}</p></div></body>"
     assert H.extract(page, []) == "A short intro comes first.\n\n" + rest
+
+
+def test_names_of_parts():
+    assert all(map(H.is_part, "ad comments share-box navBar post-footer article-comments cookie_notice related-posts sidebar2 newsletter-form".split()))
+    assert not any(map(H.is_part, "more tags form-factor related-work content post-body headline advice commentary notice-period shared".split()))
+
+
+def test_text_inside_the_article_stays():
+    inside = "<div class='form-factor'><p>Form.</p></div><p class='more'>More.</p><div class='related-work'><p>Related.</p></div><p>Let <math><mi>x</mi></math> be.</p><svg><svg>a</svg>b</svg><p>End.</p>"
+    page = "<body><nav>Menu</nav><article><p>" + "Some prose first. " * 9 + "</p>" + inside + "<div class='comments'><p>Reader says.</p></div></article></body>"
+    got = H.extract(page, [])
+    assert got.split("\n\n")[1:] == ["Form.", "More.", "Related.", "Let x be.", "End."]
+
+
+def test_a_part_that_holds_most_text_is_none():
+    page = "<body><div id='sidebar'><p>" + "The article, in a box of a bad name. " * 9 + "</p></div><p>Other.</p></body>"
+    assert "The article" in H.extract(page, [])
+
+
+def test_deep_nesting_takes_linear_room():
+    deep = 60_000
+    page = "".join(f"<div class='c{i % 7}'>a{i} " for i in range(deep)) + "</div>" * deep
+    assert H.extract(page, []).startswith("a0\n\na1")
+    assert H.extract("<b>" * deep + "x" + "</i>" * deep, []) == "x"
+
+
+def test_extra_columns_and_odd_urls(spark):
+    rows = [(i, u, "<article><p>Body text.</p></article>", "mine", "path") for i, u in enumerate(("HTTP://U:p@A.example:80/x", "//b.example", "no url", "", None, "http://"))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, path string")
+    got = H.main_text(df)
+    assert got.columns == ["page_id", "url", "html", "path", "text"] and {(r.text, r.path) for r in got.collect()} == {("Body text.", "path")}
+    hosts = [r[0] for r in df.select(H.host(df.url)).collect()]
+    assert hosts == ["a.example", "b.example", "", "", "", ""]
+
+
+def test_generated_pages_against_their_articles_and_plain_sums(spark):
+    """Pages of known articles, and the whole vote by hand."""
+    import random
+    from collections import defaultdict
+    from html import escape
+
+    random.seed(8)
+    words = lambda n: " ".join(random.choice("Lorem ipsum & dolor <sit> \"amet\" élan".split()) for _ in range(n))
+    rows = []
+    for i in range(60):
+        k, blocks = i % 4, [words(random.randint(1, 40)) for _ in range(random.randint(2, 7))]
+        mark = lambda x, j: (f"<h2>{x}</h2>", f"<p>{x}", f"<p>{x}</p>", f"<ul><li>{x}</ul>", f"<blockquote>{x}</blockquote>")[(i + j) % 5]
+        parts = [mark(escape(b).replace(" ", random.choice([" ", "\n ", " <i>", "&#32;"]), 1), j) for j, b in enumerate(blocks)]
+        if i % 3 == 0:
+            parts.insert(1, "<div class='ad-box'>Buy</div>")
+        body = "".join(parts)
+        art = (f"<article>{body}</article>", f"<div id='main-{i}' class='post p{i}'>{body}</div>", f"<main><div class=text>{body}</div></main>", f"<table><tr><td class='story s{i}x'>{body}</table>")[k]
+        html = f"<!doctype html><title>T</title><header>Top</header><nav><ul><li><a href=/>Home</a></ul></nav>{art}<section class='comments'><p>{words(20)}</section><footer>End</footer>"
+        rows.append((i, f"http://h{k}.example/{i}", html, "\n\n".join(" ".join(b.split()) for b in blocks)))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, want string")
+    got = {r.page_id: r.text for r in H.main_text(df).collect()}
+    assert [i for i, _, _, want in rows if got[i] != want] == []
+    sums = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
+    for _, u, html, _ in rows:
+        for p, s, lead in H.Page(html).votes():
+            x = sums[u.split("/")[2]][p]
+            x[0], x[1], x[2] = x[0] + 1, x[1] + s, x[2] + lead
+    for i, u, html, _ in rows:
+        assert got[i] == H.extract(html, {p: (s, d) for p, (n, s, d) in sums[u.split("/")[2]].items() if n > 1})
