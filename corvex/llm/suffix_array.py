@@ -94,25 +94,27 @@ def _names(s: np.ndarray, order: np.ndarray, size_at: np.ndarray) -> np.ndarray:
 
 def _induce_each(s: np.ndarray, up: np.ndarray, lms: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The same, a suffix at a time: for strings of so many symbols that a bucket holds but a few suffixes."""
-    text, rising, n = s.tolist(), up.tolist(), len(s)
-    sa, tail, head = [-1] * n, starts[1:].tolist(), starts[:-1].tolist()
-    for i in reversed(lms.tolist()):
-        c = text[i]
-        tail[c] -= 1
-        sa[tail[c]] = i
-    for k in range(n):
-        j = sa[k] - 1
-        if j >= 0 and not rising[j]:
-            c = text[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = starts[1:].tolist()
-    for k in range(n - 1, -1, -1):
-        j = sa[k] - 1
-        if j >= 0 and rising[j]:
-            c = text[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
+    n = len(s)
+    before, falls = np.append(-1, s[:-1]), np.append(False, ~up[:-1])
+    # by suffix, the symbol before it if that begins a larger-type suffix (or a smaller-type one); n is no suffix
+    larger, smaller = np.append(np.where(falls, before, -1), -1).tolist(), np.append(np.where(falls, -1, before), -1).tolist()
+    sa, tail = np.full(n, n, np.int64), starts[1:]
+    first = np.searchsorted(s[lms], np.arange(len(starts)))
+    size = np.diff(first)
+    sa[_ragged(tail - size, size)] = lms  # each bucket's at its end, in their order
+    sa, head = sa.tolist(), starts[:-1].tolist()
+    for i in sa:  # reads what the loop itself puts further on
+        c = larger[i]
+        if c >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
+    tail = tail.tolist()
+    for i in reversed(sa):
+        c = smaller[i]
+        if c >= 0:
+            at = tail[c] = tail[c] - 1
+            sa[at] = i - 1
     return np.array(sa, np.int64)
 
 

@@ -7,9 +7,10 @@ dealt into chunks by a hash of the id:
 
 1. each chunk's distinct anchors go to shards, which tell the chunks what anchors occur in two documents;
 2. stretches under such anchors, each distinct content of a chunk once with its smallest id, go to shards.
-   Of these, contents that have two documents, or share an anchor and SIDE bytes beside it with another content,
-   go into a suffix array made by induced sorting, and its permuted common prefixes cut it into classes of
-   suffixes that share WIDTH bytes; a class's smallest id goes back to the chunks;
+   Equal contents are one there. Contents that share an anchor and SIDE bytes beside it with another content go
+   into a suffix array made by induced sorting, and its permuted common prefixes cut it into classes of suffixes
+   that share WIDTH bytes; the others share no string, so each string's class is that of the content. A class's
+   smallest id goes back to the chunks;
 3. chunks mark the strings whose class has a smaller id than the document, and cut the bytes out.
 
 Hash collisions of anchors only bring more stretches to compare. However many copies a passage has, a chunk
@@ -272,16 +273,14 @@ def _contents(texts: list[bytes], told: tuple[np.ndarray, np.ndarray], bits: int
     return list(seen), np.array(anchors, np.uint64), np.array(sizes, np.int64), cat(which), cat(owner), cat(places)
 
 
-def _id_bounds(count: int, which: np.ndarray, owner: np.ndarray, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest and the largest id that has each content."""
-    low, high, own = np.full(count, MAX_ID, np.int64), np.full(count, -MAX_ID, np.int64), np.array(ids, np.int64)[owner]
-    np.minimum.at(low, which, own)
-    np.maximum.at(high, which, own)
-    return low, high
+def _low_ids(count: int, which: np.ndarray, owner: np.ndarray, ids: list[int]) -> np.ndarray:
+    """The smallest id that has each content."""
+    low = np.full(count, MAX_ID, np.int64)
+    np.minimum.at(low, which, np.array(ids, np.int64)[owner])
+    return low
 
 
-# `many`: other documents of the chunk than that of the smallest id have the content as well
-_HEAD = np.dtype([("no", "<u4"), ("size", "<u2"), ("many", "?"), ("low", "<i8")])
+_HEAD = np.dtype([("no", "<u4"), ("size", "<u2"), ("low", "<i8")])
 _BACK = np.dtype([("no", "<u4"), ("at", "<u2"), ("size", "<u2"), ("low", "<i8")])
 
 
@@ -292,7 +291,7 @@ def _send_contents(shards: int, bits: int):
         seen, anchors, sizes, which, owner, _ = _contents(texts, _anchors_of(right), bits)
         if not seen:
             return _table(ANCHORS, [])
-        low, high = _id_bounds(len(seen), which, owner, ids)
+        low = _low_ids(len(seen), which, owner, ids)
         s = _shard(anchors, bits, shards)
         by = np.argsort(s, kind="stable")
         cuts = np.flatnonzero(np.append(True, np.diff(s[by]) != 0)).tolist() + [len(by)]
@@ -300,7 +299,7 @@ def _send_contents(shards: int, bits: int):
         for x, y in zip(cuts, cuts[1:]):
             nos = by[x:y]
             head = np.empty(len(nos), _HEAD)
-            head["no"], head["size"], head["low"], head["many"] = nos, sizes[nos] + WIDTH - 1, low[nos], high[nos] > low[nos]
+            head["no"], head["size"], head["low"] = nos, sizes[nos] + WIDTH - 1, low[nos]
             rows.append((int(s[nos[0]]), chunk, head.tobytes() + b"".join(seen[i] for i in nos.tolist()), len(nos)))
         return _table(ANCHORS, rows)
 
@@ -370,26 +369,18 @@ def _match_contents(key, t):
         which.append(np.array(nums, np.int64))
     head, num = np.concatenate(heads), np.concatenate(which)
     contents = list(seen)
-    low, high = np.full(len(contents), MAX_ID, np.int64), np.full(len(contents), -MAX_ID, np.int64)
+    low = np.full(len(contents), MAX_ID, np.int64)
     np.minimum.at(low, num, head["low"])
-    np.maximum.at(high, num, head["low"])
-    live = high > low
-    live[num[head["many"]]] = True
-    live[_may_share(contents)] = True
-    several = np.flatnonzero(live)
-    lows: list = [None] * len(contents)
+    lows = [[(0, len(c) - WIDTH + 1, v)] for c, v in zip(contents, low.tolist())]  # runs of strings of one class's low
+    several = _may_share(contents)
     if len(several):
         for i, x in zip(several.tolist(), class_lows([contents[i] for i in several.tolist()], low[several])):
-            cut = np.flatnonzero(x[1:] != x[:-1]) + 1
-            edges = [0, *cut.tolist(), len(x)]
+            edges = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
             lows[i] = [(a, b - a, v) for a, b, v in zip(edges, edges[1:], x[edges[:-1]].tolist())]
     rows, at = [], 0
     for chunk, h in zip(chunks, heads):
-        back = []
         mine, at = num[at : at + len(h)].tolist(), at + len(h)
-        for no, many, own, k in zip(h["no"].tolist(), h["many"].tolist(), h["low"].tolist(), mine):
-            if lows[k] is not None:
-                back += [(no, a, n, v) for a, n, v in lows[k] if v < own or many]
+        back = [(no, a, n, v) for no, own, k in zip(h["no"].tolist(), h["low"].tolist(), mine) for a, n, v in lows[k] if v < own]
         if back:
             rows.append((chunk, 1, np.array(back, _BACK).tobytes(), len(back)))
     return _table(REPLY, rows)
@@ -401,7 +392,7 @@ def _cut(out: pa.Schema, carried: int, decoded: bool, bits: int):
         ids, texts, order = _chunk_rows(left)
         seen, _, sizes, which, owner, places = _contents(texts, _anchors_of(right), bits)
         offset = np.cumsum(sizes) - sizes
-        low = np.full(int(sizes.sum()), MAX_ID, np.int64)  # by string of each content
+        low = np.repeat(_low_ids(len(seen), which, owner, ids), sizes)  # by string of each content
         for blob, kind in zip(right.column("blob").to_pylist(), right.column("kind").to_pylist()):
             if kind == 1:
                 back = np.frombuffer(blob, _BACK)

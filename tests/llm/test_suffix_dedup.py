@@ -73,3 +73,32 @@ def test_decoded_text_drops_halves(spark, docs_of):
     rows = [(1, "é" * 40), (2, "x" + "é" * 40 + "ü")]
     got = {r.doc_id: r.kept for r in S.remove_repeats(docs_of(rows), decoded=True).collect()}
     assert got == {1: "é" * 40, 2: "x"}  # the first byte of ü is that of é, and its second is nothing alone
+
+
+def test_hot_anchors_and_rows_without_ids(spark, docs_of, monkeypatch):
+    """One 24-byte string in very many contexts, and all rows under one id or none, stay exact and are spread."""
+    random.seed(6)
+    hot = "the very same twenty-four"
+    letters = lambda n: "".join(random.choice("abcdef") for _ in range(n))
+    rows = [(i, letters(30) + hot + letters(30)) for i in range(150)]
+    rows += [(300 + i, rows[i][1]) for i in range(0, 150, 7)] + [(500, rows[3][1][10:70] + letters(20))]
+    rows += [(None, x[1]) for x in rows[:5]] + [(7, x[1]) for x in rows[:40:3]]
+    monkeypatch.setattr(S, "HOT_CONTEXTS", 1)
+    monkeypatch.setattr(S, "HOT_CHUNKS", 2)
+    check(docs_of(rows), rows)
+
+
+def test_one_string_in_a_hundred_thousand_contexts():
+    """The strings under a hot anchor go to the shards of their own hashes."""
+    rng = np.random.default_rng(1)
+    hot = b"Z" * 8 + b"one string for them all!"
+    texts = [rng.integers(97, 123, 28).astype(np.uint8).tobytes() + hot + rng.integers(97, 123, 28).astype(np.uint8).tobytes() for _ in range(100_000)]
+    anchors = np.concatenate([S._key(a, 48) for *_, a in S.stretches(texts)])
+    keys, n = np.unique(anchors, return_counts=True)
+    hottest = keys[n > 10_000]
+    assert len(hottest)
+    shards = 64
+    cold = S._contents(texts, (keys, np.zeros(0, np.uint64)), 48)[1]
+    spread = S._contents(texts, (keys, np.sort(hottest)), 48)[1]
+    load = lambda a: np.bincount(S._shard(a, 48, shards), minlength=shards).max()
+    assert load(cold) > 40_000 and load(spread) < 3 * len(spread) / shards
