@@ -3,122 +3,159 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DAY = 86_400_000
-UNITS = {"s": 1000, "sec": 1000, "second": 1000, "m": 60_000, "min": 60_000, "minute": 60_000, "h": 3_600_000, "hr": 3_600_000, "hour": 3_600_000, "d": DAY, "day": DAY, "w": 7 * DAY, "wk": 7 * DAY, "week": 7 * DAY, "mo": 30 * DAY, "mon": 30 * DAY, "month": 30 * DAY, "y": 365 * DAY, "yr": 365 * DAY, "year": 365 * DAY}
-NUMBERS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "ten": 10}
 
+# Units of time in milliseconds, and number words.
+UNITS = {
+    "s": 1000, "sec": 1000, "second": 1000,
+    "m": 60_000, "min": 60_000, "minute": 60_000,
+    "h": 3_600_000, "hr": 3_600_000, "hour": 3_600_000,
+    "d": DAY, "day": DAY,
+    "w": 7 * DAY, "wk": 7 * DAY, "week": 7 * DAY,
+    "mo": 30 * DAY, "mon": 30 * DAY, "month": 30 * DAY,
+    "y": 365 * DAY, "yr": 365 * DAY, "year": 365 * DAY,
+}
+NUMBERS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "ten": 10}
 # Month names, English and French.
 MONTHS = {
-    1: "janvier janv jan january",
-    2: "février fevrier févr fevr fév fev feb february",
-    3: "mars mar march",
-    4: "avril avr apr april",
-    5: "mai may",
-    6: "juin jun june",
-    7: "juillet juil juill jul july",
-    8: "août aout aug august",
-    9: "septembre sept sep september",
-    10: "octobre oct october",
-    11: "novembre nov november",
-    12: "décembre decembre déc dec december",
+    "january": 1, "jan": 1, "janvier": 1, "janv": 1,
+    "february": 2, "feb": 2, "février": 2, "fevrier": 2, "févr": 2, "fevr": 2, "fév": 2, "fev": 2,
+    "march": 3, "mar": 3, "mars": 3,
+    "april": 4, "apr": 4, "avril": 4, "avr": 4,
+    "may": 5, "mai": 5,
+    "june": 6, "jun": 6, "juin": 6,
+    "july": 7, "jul": 7, "juillet": 7, "juil": 7, "juill": 7,
+    "august": 8, "aug": 8, "août": 8, "aout": 8,
+    "september": 9, "sept": 9, "sep": 9, "septembre": 9,
+    "october": 10, "oct": 10, "octobre": 10,
+    "november": 11, "nov": 11, "novembre": 11,
+    "december": 12, "dec": 12, "décembre": 12, "decembre": 12, "déc": 12,
 }
-NAMES = {w: m for m, ws in MONTHS.items() for w in ws.split()}
-_ANY = "|".join(sorted(NAMES, key=len, reverse=True))
+ENGLISH = "january february march april may june july august september october november december".split()
 
+# ---- timeframes: words become symbols, and a table tells what a row of symbols stands for ----
 
-def _ms(t: datetime) -> int:
-    return round(t.timestamp() * 1000)
+SYMBOLS = {w: "ago" for w in ("ago",)} | {w: "last" for w in ("last", "past", "this")} | {w: "th" for w in ("st", "nd", "rd", "th")} | {",": "", ".": ""}
 
 
-def _unit(u: str) -> int | None:
-    return UNITS.get(u) or UNITS.get(u.removesuffix("s"))
+def _symbol(token: str) -> tuple[str, float | int | None]:
+    """The kind of a token (n: number, u: unit, m: month, other words by SYMBOLS) and its value."""
+    if token[0].isdigit():
+        return "n", float(token) if "." in token else int(token)
+    if token in SYMBOLS:
+        return SYMBOLS[token], None
+    if token in NUMBERS:
+        return "n", NUMBERS[token]
+    unit = UNITS.get(token, UNITS.get(token.removesuffix("s")))
+    if unit:
+        return "u", unit
+    month = next((i for i, name in enumerate(ENGLISH, 1) if name[:3] == token[:3]), None) if len(token) >= 3 else None
+    return ("m", month) if month else ("?", None)
+
+
+def _calendar(now: datetime, month: int, day, year=None) -> int | None:
+    """The day of a month, of the year given or else of the latest such day that is not to come."""
+    if isinstance(day, float) or not 1 <= day <= 31:
+        return None
+    at = lambda y: int(datetime(y, month, 1, tzinfo=UTC).timestamp()) * 1000 + (day - 1) * DAY
+    if year is not None:
+        return at(year) if isinstance(year, int) and 1 <= year <= 9999 else None
+    t = at(now.year)
+    return t if t <= now.timestamp() * 1000 else at(now.year - 1)
+
+
+def _before(now: datetime, ms: float) -> int:
+    return round(now.timestamp() * 1000 - ms)
+
+
+RULES: dict[str, Callable[..., int | None]] = {
+    "n": lambda now, n: _before(now, n * DAY),
+    "n u": lambda now, n, u: _before(now, n * u),
+    "n u ago": lambda now, n, u: _before(now, n * u),
+    "last u": lambda now, u: _before(now, u),
+    "last n u": lambda now, n, u: _before(now, n * u),
+} | {
+    form: (lambda now, *v, order=order: _calendar(now, *[v[i] for i in order]))
+    for form, order in {
+        "m n": (0, 1), "m n th": (0, 1), "m n n": (0, 1, 2), "m n th n": (0, 1, 2),
+        "n m": (1, 0), "n th m": (1, 0), "n m n": (1, 0, 2), "n th m n": (1, 0, 2),
+    }.items()
+}
 
 
 def parse_timeframe(value, now_ms: int) -> int | None:
     """Epoch milliseconds that "7d", "two weeks ago", "last month", "yesterday", "Jan 5" or an ISO date
-    stand for; None if it is none of these. Days are UTC; months have 30 days and years 365."""
-    if value is None:
+    stand for; None if it is none of these. Days are UTC; months have 30 days and years 365; a number is days."""
+    if value is None or isinstance(value, bool):
         return None
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        return round(now_ms - value * DAY)
-    s = str(value).strip().lower()
-    now = datetime.fromtimestamp(now_ms / 1000, UTC)
-    midnight = now.replace(hour=0, minute=0, second=0, microsecond=0)
-    named = {"now": now_ms, "today": _ms(midnight), "yesterday": _ms(midnight - timedelta(days=1))}
-    if s in named:
-        return named[s]
-    if re.fullmatch(r"\d+(\.\d+)?", s):
-        return round(now_ms - float(s) * DAY)
-    m = re.fullmatch(rf"(\d+(?:\.\d+)?|{'|'.join(NUMBERS)})\s*([a-z]+)(?:\s+ago)?", s)
-    if m and (u := _unit(m[2])):
-        return round(now_ms - (NUMBERS.get(m[1]) or float(m[1])) * u)
-    m = re.fullmatch(r"(?:last|past|this)\s+(?:(\d+)\s+)?([a-z]+)", s)
-    if m and (u := _unit(m[2])):
-        return now_ms - int(m[1] or 1) * u
-    if re.fullmatch(r"\d{4}-\d{2}-\d{2}([t ][\d:.]+(z|[+-]\d{2}:?\d{2})?)?", s):
+    now, text = datetime.fromtimestamp(now_ms / 1000, UTC), str(value).strip().lower()
+    days = {"now": None, "today": 0, "yesterday": 1}
+    if text in days:
+        return now_ms if days[text] is None else int((now.replace(hour=0, minute=0, second=0, microsecond=0) - timedelta(days=days[text])).timestamp() * 1000)
+    if text[4:5] == "-" and text[:4].isdigit():
         try:
-            t = datetime.fromisoformat(s.replace(" ", "T").upper())
+            t = datetime.fromisoformat(text.upper())
         except ValueError:
             return None
-        return _ms(t if t.tzinfo else t.replace(tzinfo=UTC))
-    short = {k[:3]: m for m, k in enumerate("january february march april may june july august september october november december".split(), 1)}
-    m = re.fullmatch(r"([a-z]+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?(?:\s+(\d{4}))?", s)
-    name, day, year = (m[1], m[2], m[3]) if m else (None, None, None)
-    if m is None and (m := re.fullmatch(r"(\d{1,2})(?:st|nd|rd|th)?\s+([a-z]+)\.?,?(?:\s+(\d{4}))?", s)):
-        name, day, year = m[2], m[1], m[3]
-    if name and (month := short.get(name[:3])) and 1 <= int(day) <= 31:
-        first = lambda y: _ms(datetime(y, month, 1, tzinfo=UTC)) + (int(day) - 1) * DAY
-        if year:
-            return first(int(year))
-        t = first(now.year)
-        return t if t <= now_ms else first(now.year - 1)
-    return None
+        return round((t if t.tzinfo else t.replace(tzinfo=UTC)).timestamp() * 1000)
+    tokens = re.findall(r"\d+(?:\.\d+)?|[a-z]+|\S", text)
+    found = list(map(_symbol, tokens))
+    rule = RULES.get(" ".join(k for k, _ in found if k))
+    return rule(now, *[v for _, v in found if v is not None]) if rule else None
+
+
+# ---- dates in headings ----
+
+_NAMES = "|".join(sorted(MONTHS, key=len, reverse=True))
+#: Forms in the order in which they are tried, and what their groups hold: year, month, day or the month's name.
+FORMS = (
+    (r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", "YMD"),
+    (r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", "DMY"),
+    (r"\b(\d{1,2})/(\d{1,2})\b", "DM"),
+    (rf"(?iU)\b(\d{{1,2}})\s+({_NAMES})\.?\s*(\d{{4}})?\b", "DNY"),
+    (rf"(?iU)\b({_NAMES})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s*(\d{{4}})?\b", "NDY"),
+)
 
 
 def heading_date(title: Column) -> Column:
     """struct(year, month, day) of the first known form in a heading, else null; the year may be null.
     Numeric dates are read day first."""
-    part = lambda p, g: F.regexp_extract(title, p, g).try_cast("int")
-    month = lambda p, g: F.create_map(*[x for k, v in NAMES.items() for x in (F.lit(k), F.lit(v))])[F.lower(F.regexp_extract(title, p, g))]
-    iso, dmy, dm = r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", r"\b(\d{1,2})/(\d{1,2})\b"
-    d_name = rf"(?iU)\b(\d{{1,2}})\s+({_ANY})\.?\s*(\d{{4}})?\b"
-    name_d = rf"(?iU)\b({_ANY})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s*(\d{{4}})?\b"
-    forms = [
-        (part(iso, 1), part(iso, 2), part(iso, 3)),
-        (part(dmy, 3), part(dmy, 2), part(dmy, 1)),
-        (F.lit(None).cast("int"), part(dm, 2), part(dm, 1)),
-        (part(d_name, 3), month(d_name, 2), part(d_name, 1)),
-        (part(name_d, 3), month(name_d, 1), part(name_d, 2)),
-    ]
-    out = []
-    for y, m, d in forms:
-        ok = m.between(1, 12) & d.between(1, 31) & (y.isNull() | y.between(1900, 2999))
-        out.append(F.when(ok, F.struct(y.alias("year"), m.alias("month"), d.alias("day"))))
-    return F.coalesce(*out)
+    by_name = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    found = []
+    for pattern, holds in FORMS:
+        text = {k: F.regexp_extract(title, pattern, i) for i, k in enumerate(holds, 1)}
+        value = {k: c.try_cast("int") for k, c in text.items() if k != "N"}
+        month = value["M"] if "M" in value else by_name[F.lower(text["N"])]
+        year = value.get("Y", F.lit(None).cast("int"))
+        real = month.between(1, 12) & value["D"].between(1, 31) & F.coalesce(year.between(1900, 2999), F.lit(True))
+        found.append(F.when(real, F.struct(year.alias("year"), month.alias("month"), value["D"].alias("day"))))
+    return F.coalesce(*found)
+
+
+def _midnight(year: Column, month: Column, day: Column) -> Column:
+    """UTC milliseconds; days past a month's end run on into the next."""
+    first = F.make_date(year, month, F.lit(1))
+    return (F.unix_date(first).cast("bigint") + day - 1) * DAY
 
 
 def infer_years(dates: Column, anchor_ms: Column) -> Column:
     """Dates in document order with years filled in from the end: a date without a year is the latest such
     day that is not after the dated section that follows it, or after `anchor_ms`. array<bigint> of UTC
     midnights in milliseconds."""
-    def at(y, d):
-        return F.unix_millis(F.make_timestamp(y, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))) + (
-            F.datediff(F.add_months(F.make_date(y, F.lit(1), F.lit(1)), d["month"] - 1), F.make_date(y, F.lit(1), F.lit(1))) + d["day"] - 1
-        ).cast("bigint") * DAY
-
-    def step(acc, d):
-        year = F.coalesce(d["year"], F.year(F.timestamp_millis(acc["anchor"])))
-        t = at(year, d)
-        t = F.when(d["year"].isNull() & (t > acc["anchor"]), at(year - 1, d)).otherwise(t)
-        return F.struct(t.alias("anchor"), F.concat(F.array(t), acc["out"]).alias("out"))
-
-    start = F.struct(anchor_ms.cast("bigint").alias("anchor"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(F.reverse(dates), start, step)["out"]
+    def date_of(later, d):
+        latest = F.year(F.timestamp_millis(later))
+        past = (_midnight(latest, d["month"], d["day"]) > later).cast("int")
+        return _midnight(F.coalesce(d["year"], latest - past), d["month"], d["day"])
+
+    # the list grows from the back, its last entry is the section that follows; the anchor is taken off in the end
+    back = F.aggregate(F.reverse(dates), F.array(anchor_ms.cast("bigint")), lambda acc, d: F.concat(acc, F.array(date_of(F.element_at(acc, -1), d))))
+    return F.reverse(F.slice(back, F.lit(2), F.size(back)))
 
 
 def latest_iso_date(text: Column) -> Column:

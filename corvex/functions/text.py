@@ -65,36 +65,45 @@ def words(x) -> Column:
     return F.regexp_extract_all(fold(x), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+#: Endings in two rounds: of the first that a word has, being long enough, so many letters go and others come.
+#: (pattern of the ending, least length, letters that go, letters that come)
+PLURALS = (("ies", 5, 3, "y"), ("[^s0-9]s|[^0-9]x", 4, 1, ""))
+ENDINGS = (("tion|sion", 7, 4, ""), ("ing", 6, 3, ""))
+
+
 def stem(w) -> Column:
+    """Plural endings, then (unless a word in -ies) noun and verb endings."""
+    def first(c: Column, rules) -> Column:
+        out = c
+        for ending, least, goes, comes in reversed(rules):
+            n = F.length(c)
+            out = F.when((n >= least) & c.rlike(f"({ending})$"), F.concat(F.substring(c, F.lit(1), n - goes), F.lit(comes))).otherwise(out)
+        return out
+
     w = _col(w)
-    n = F.length(w)
-    cut = F.when(
-        (n > 3) & w.rlike("[sx]$") & ~w.endswith("ss") & ~w.rlike(r"[0-9].$"), F.substring(w, F.lit(1), n - 1)
-    ).otherwise(w)
-    k = F.length(cut)
-    return (
-        F.when((n > 4) & w.endswith("ies"), F.concat(F.substring(w, F.lit(1), n - 3), F.lit("y")))
-        .when((k > 6) & cut.rlike("(tion|sion)$"), F.substring(cut, F.lit(1), k - 4))
-        .when((k > 5) & cut.endswith("ing"), F.substring(cut, F.lit(1), k - 3))
-        .otherwise(cut)
-    )
+    ies, least, _, _ = PLURALS[0]
+    return F.when(w.endswith(ies) & (F.length(w) >= least), first(w, PLURALS)).otherwise(first(first(w, PLURALS[1:]), ENDINGS))
 
 
 def stem_word(w: str) -> str:
     """The same for one string, for the driver's side of a query."""
-    if len(w) > 4 and w.endswith("ies"):
-        return w[:-3] + "y"
-    if len(w) > 3 and w[-1] in "sx" and not w.endswith("ss") and not w[-2].isdigit():
-        w = w[:-1]
-    if len(w) > 6 and w.endswith(("tion", "sion")):
-        return w[:-4]
-    return w[:-3] if len(w) > 5 and w.endswith("ing") else w
+    for k, rules in enumerate((PLURALS, ENDINGS)):
+        for ending, least, goes, comes in rules:
+            if len(w) >= least and re.search(f"({ending})$", w):
+                w = w[: len(w) - goes] + comes
+                if comes:
+                    return w
+                break
+    return w
 
 
 def words_of(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", fold_text(text))
 
 
+STOP_STEMS = frozenset(map(stem_word, STOP_WORDS))
+
+
 def is_stop(w: Column) -> Column:
     return w.isin(*sorted(STOP_WORDS))
 
@@ -103,16 +112,26 @@ def terms(x) -> Column:
     return F.transform(F.filter(words(x), lambda w: ~is_stop(w)), stem)
 
 
-SECRET_LINE = r"(?i)\b(pass(word|wd|phrase)?|secret|token|api[_ -]?key|credential|mot de passe)\b\s*[:=]\s*\S+|\b(sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{12,}|\bAKIA[0-9A-Z]{16}\b|\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
+# Words that name a secret, what a secret looks like after them, and formats of known tokens.
+SECRET_WORDS = ("token", "password", "passwd", "secret", "api[ _-]?key", "bearer", "credential", "private[ _-]?key")
+SECRET_VALUES = (r"[:=]\s*`?[^\s`]{6,}`?", r"[A-Za-z0-9_+/=-]{24,}")
+TOKEN_FORMATS = (
+    r"sk-[A-Za-z0-9_-]{12,}", r"ghp_[A-Za-z0-9]{20,}", r"github_pat_[A-Za-z0-9_]{20,}", r"xox[abp]-[A-Za-z0-9-]{10,}", r"AKIA[0-9A-Z]{16}",
+    r"\b\d{8,10}:[A-Za-z0-9_-]{30,}",
+)
+MASK = "[line hidden: looks like a secret]"
 
 
 def looks_secret(line) -> Column:
-    return _col(line).rlike(SECRET_LINE)
+    """A word that names a secret and a value like one, or a known token format."""
+    line = _col(line)
+    any_of = lambda patterns, flags="": line.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
+    return any_of(TOKEN_FORMATS) | any_of(SECRET_WORDS, "(?i)") & any_of(SECRET_VALUES)
 
 
 def mask_secrets(x) -> Column:
-    """Lines that look like a secret become [masked]; headings keep their level."""
-    line = lambda s: F.when(looks_secret(s), F.concat(F.regexp_extract(s, r"^(#{1,6} )?", 0), F.lit("[masked]"))).otherwise(s)
+    """Lines that look like a secret become MASK; headings keep their level."""
+    line = lambda s: F.when(looks_secret(s), F.concat(F.regexp_extract(s, r"^(#{1,6}[ \t])?", 0), F.lit(MASK))).otherwise(s)
     return F.array_join(F.transform(F.split(_col(x), "\n"), line), "\n")
 
 
@@ -127,16 +146,21 @@ def tokens(x) -> Column:
     return F.ceil(F.octet_length(F.coalesce(_col(x), F.lit(""))) / 4).cast("bigint")
 
 
-def slugify(x, keep_slashes: bool = True) -> Column:
-    c = F.regexp_replace(F.regexp_replace(fold(x), r"\\", "/"), r"\.md$", "")
+#: Replacements in order: what is no letter, digit or dot; runs of hyphens; hyphens and dots at the ends.
+SLUG_RULES = ((r"[^\p{L}\p{N}.-]+", "-"), (r"-{2,}", "-"), (r"^[-.]+|-+$", ""))
 
+
+def slugify(x, keep_slashes: bool = True) -> Column:
+    """A path or name as a slug, a segment at a time; .md goes."""
     def segment(s: Column) -> Column:
-        s = F.regexp_replace(s, r"[^a-z0-9.\p{L}\p{N}-]+", "-")
-        return F.regexp_replace(F.regexp_replace(s, "-{2,}", "-"), r"^[-.]+|-+$", "")
+        for pattern, new in SLUG_RULES:
+            s = F.regexp_replace(s, pattern, new)
+        return s
 
+    path = F.regexp_replace(F.translate(fold(x), "\\", "/"), r"\.md$", "")
     if not keep_slashes:
-        return segment(F.replace(c, F.lit("/"), F.lit("-")))
-    return F.array_join(F.filter(F.transform(F.split(c, "/"), segment), lambda s: s != ""), "/")
+        return segment(F.translate(path, "/", "-"))
+    return F.array_join(F.filter(F.transform(F.split(path, "/"), segment), lambda s: s != ""), "/")
 
 
 def one_line(x, most: int = 200) -> Column:

@@ -18,33 +18,48 @@ from corvex.functions import text as X
 from . import lifecycle as L
 
 HEADER_LINES = 5
-LINK = r"\[\[([^\]|#]+)"
+#: What the words before a link in a header line say: how they begin, and how they end (if that matters).
+HUB_LEADS = ((("split", "on"), ("from",)), (("part", "of"), ()), (("summary",), None), (("up",), None))
+#: Words of a line that only names other notes.
+SIBLING_WORDS = ("sibling", "siblings", "see", "also", "related", "note", "notes", "and")
+
+
+def _inside_link(text: Column) -> Column:
+    """The target of the first [[target|label]] or [[target#part]] in a text; empty if there is none."""
+    inner = F.substring_index(F.substring_index(text, "]]", 1), "[[", -1)
+    return F.when(text.contains("[["), F.trim(F.substring_index(F.substring_index(inner, "|", 1), "#", 1))).otherwise("")
 
 
 def declared_hub(front_matter: Column, body: Column) -> Column:
-    """The hub in front matter (part_of, then parent), else in one of the first non-empty lines: "Split on …
-    from", "Part of …", "Summary:" or "Up:" with a link."""
-    raw = F.coalesce(F.get_json_object(front_matter, "$.part_of"), F.get_json_object(front_matter, "$.parent"))
-    named = F.coalesce(F.nullif(F.regexp_extract(raw, "^" + LINK, 1), F.lit("")), F.trim(raw))
+    """The hub in front matter (part_of, then parent), else in one of the first non-empty lines: a link after
+    "Split on … from", "Part of …", "Summary:" or "Up:"."""
+    raw = F.trim(F.coalesce(F.get_json_object(front_matter, "$.part_of"), F.get_json_object(front_matter, "$.parent")))
+    named = F.when(raw.startswith("[["), _inside_link(raw)).otherwise(raw)
     lines = F.slice(F.filter(F.split(body, r"\r?\n"), lambda x: F.trim(x) != ""), 1, HEADER_LINES)
-    lead = r"(?i)^[ \t>*_]*"
-    found = None
-    for mark in (r"split\s+on\b.{0,80}?\bfrom\b[ \t:]*", r"part\s+of\b.{0,80}?", r"summary\s*:?\s*", r"up\s*:?\s*"):
-        hit = F.transform(lines, _extract(lead + mark + LINK))
-        first = F.get(F.filter(hit, lambda x: x != ""), F.lit(0))
-        found = first if found is None else F.coalesce(found, first)
-    return F.coalesce(F.nullif(named, F.lit("")), F.trim(found))
 
+    def read(line: Column) -> Column:
+        before = F.substring_index(line, "[[", 1)
+        return F.struct(F.regexp_extract_all(F.lower(before), F.lit(r"([a-z]+)"), 1).alias("words"), F.lower(before).alias("before"), _inside_link(line).alias("to"))
+
+    def says(begin: tuple, end: tuple | None):
+        def test(x: Column) -> Column:
+            w = x["words"]
+            starts = (F.slice(w, 1, len(begin)) == F.array(*map(F.lit, begin))) & F.regexp_replace(x["before"], r"^[ \t>*_]+", "").startswith(begin[0])
+            return starts & (x["to"] != "") & (F.size(w) == len(begin) if end is None else (F.element_at(w, -1) == end[0]) if end else F.lit(True))
+
+        return test
 
-def _extract(pattern: str):
-    return lambda x: F.regexp_extract(x, pattern, 1)
+    found = [F.get(F.filter(F.transform(lines, read), says(*lead)), F.lit(0))["to"] for lead in HUB_LEADS]
+    return F.coalesce(F.nullif(named, F.lit("")), *found)
 
 
 def pure_sibling_line(line: Column) -> Column:
-    """Whether a line is nothing but links and words like "see also"."""
-    bare = F.regexp_replace(line, r"\[\[[^\]]*\]\]", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^\s*(?:[-*+•]|\d{1,3}[.)])\s*", ""), r"(?i)\b(siblings?|see also|related(\s+notes?)?|and|also)\b", "")
-    return line.contains("[[") & (F.regexp_replace(bare, r"[\s,;:.|/·*_()&-]+", "") == "")
+    """Whether a line is nothing but links and words like "see also": what stands between links has no other
+    letters or digits, but for the number of a list entry."""
+    between = F.array_join(F.transform(F.split(line, r"\[\["), lambda x: F.element_at(F.split(x, r"\]\]"), -1)), " ")
+    rest = F.filter(F.regexp_extract_all(F.lower(between), F.lit(r"([\p{L}\p{N}]+)"), 1), lambda w: ~w.isin(*SIBLING_WORDS))
+    numbered = (F.size(rest) == 1) & F.element_at(F.split(F.trim(line), r"[.)]"), 1).rlike(r"^\d{1,3}$")
+    return line.contains("[[") & ((F.size(rest) == 0) | numbered)
 
 
 def match_hub(hubs: DataFrame, place: str, globs: list[tuple[str, str]], least: int = 2) -> DataFrame:

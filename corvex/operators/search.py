@@ -1,30 +1,43 @@
-"""Ranked full-text search over notes: an inverted index as DataFrames, boolean queries, filters, pages.
+"""Ranked full-text search over notes: an inverted index as tables, boolean queries, filters, pages.
 
-A query is parsed on the driver; its terms and their expansions are a small table that is broadcast to the
-postings (at most 64 words with EXPANSIONS expansions each). Scores meet by document in one shuffle; titles
-and phrases are looked at only for documents that have a posting of the query.
+An index is three tables: postings (term, id, weighted frequency, length of the note), documents (id, length, the
+keys an exact name is compared with, the words in order) and the vocabulary (term, document frequency), with the
+number of notes and their mean length. `save` writes them sorted by term, so that a query reads the row groups of
+its own terms only and never the notes' texts; `update` makes the next version from the changed notes alone.
 
-Notes have: id, title, path, tags array<string>, description, headings, meta, hub, body, type, status,
-mtime_ms; all but id may be null. Corpus statistics always cover the whole corpus, also under filters.
+A query is parsed on the driver. Its terms with their expansions and its clauses are two small tables that are
+broadcast to the postings (at most QUERY_WORDS words with EXPANSIONS expansions each); scores meet by document in
+one shuffle. Names and phrases are looked up only for documents that have a posting of the query.
+
+Notes have: id, title, base, path, tags array<string>, description, headings, meta, hub, body, status, slug,
+mtime_ms; all but id may be null or absent. Corpus statistics always cover the whole corpus, also under filters.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvex.functions import text as X
 
+from .graph import shared_folder
+
 WEIGHTS = {"title": 8.0, "path": 4.0, "tags": 4.0, "description": 3.0, "headings": 2.0, "meta": 1.5, "hub": 0.5, "body": 1.0}
+PHRASE_FIELDS = ("title", "description", "tags", "body")
 K1, B = 1.2, 0.75
 PREFIX, FUZZY, FALLBACK, ARCHIVED = 0.6, 0.45, 0.3, 0.6
 PREFIX_LENGTH, FUZZY_LENGTH, EXPANSIONS = 5, 6, 60
-QUERY_CHARS, QUERY_WORDS = 2000, 64
+QUERY_CHARS, QUERY_WORDS, MOST_PAGE = 2000, 64, 1000
+INDEX_PARTS = 16  # least number of posting files
+
+# ---- queries ----
 
 
 @dataclass(frozen=True)
@@ -35,6 +48,10 @@ class Clause:
     phrase: str | None = None
     strict: bool = False
 
+    @property
+    def keys(self) -> list[str]:
+        return [t + "*" * self.prefix for t in self.terms]
+
 
 @dataclass
 class Query:
@@ -51,88 +68,182 @@ class Query:
         return list(dict.fromkeys(t for c in self.positive for t in c.terms))
 
 
+SIGNS = {"AND": "both", "&&": "both", "OR": "either", "||": "either", "NOT": "none"}
+LEAD = {"-": "none", "+": "both"}
+
+
+def lex(query: str) -> Iterator[tuple[str, str]]:
+    """(kind, text): signs (both, either, none), and items (phrase, tags, word)."""
+    for k, part in enumerate(query.replace("(", " ").replace(")", " ").split('"')):
+        closed = k % 2 == 1 and query.count('"') > k  # a quote that never ends is a character
+        if closed:
+            yield "phrase", part
+            continue
+        for word in part.split():
+            if word in SIGNS:
+                yield SIGNS[word], word
+                continue
+            if len(word) > 1 and word[0] in LEAD:
+                yield LEAD[word[0]], word[0]
+                word = word[1:]
+            name, colon, rest = word.partition(":")
+            yield ("tags", rest) if colon and rest and name.lower() in ("tag", "tags") else ("word", word)
+
+
+def _clause(kind: str, text: str, stop_words: bool = False) -> Clause | None:
+    """The wish or, of a quoted phrase, the demand that an item stands for; None if it has no words that count."""
+    words = X.words_of(text)
+    kept = tuple(X.stem_word(w) for w in words if w not in X.STOP_WORDS)
+    if kind == "phrase" or stop_words:
+        kept = kept or tuple(map(X.stem_word, words))
+    phrase = f" {' '.join(words)} " if len(words) > 1 or kind == "phrase" else None
+    return Clause("must" if kind == "phrase" else "should", kept, kind == "word" and text.endswith("*"), phrase, kind == "phrase") if kept else None
+
+
 def parse(query: str) -> Query:
-    """Words (should), AND and +word (must), NOT and -word, "phrases" (must), pre*, tag:a,b."""
+    """Words (should), AND and +word (must), NOT and -word, "phrases" (must), pre*, tag:a,b. What a sign asks of the
+    item after it is pending until that item comes; AND also demands the clause before it."""
     if len(query) > QUERY_CHARS or len(query.split()) > QUERY_WORDS:
         raise ValueError(f"a query has at most {QUERY_CHARS} characters and {QUERY_WORDS} words")
-    out, negate, required = Query(query), False, False
-    for m in re.finditer(r'"([^"]*)"|(\S+)', re.sub(r"[()]", " ", query)):
-        word, phrase = m[2], m[1]
-        if word in ("OR", "||"):
-            continue
-        if word in ("AND", "&&"):
-            required = True
-            if out.clauses and out.clauses[-1].mode == "should":
-                last = out.clauses.pop()
-                out.clauses.append(Clause("must", last.terms, last.prefix, last.phrase, last.strict))
-            continue
-        if word == "NOT":
-            negate = True
+    out, pending = Query(query), set()
+    for kind, text in lex(query):
+        if kind in ("both", "none", "either"):
+            pending.add(kind)
+            if text in ("AND", "&&") and out.clauses and out.clauses[-1].mode == "should":
+                out.clauses[-1] = replace(out.clauses[-1], mode="must")
             continue
-        refuse, negate = negate, False
-        if word is None:
-            ws = X.words_of(phrase)
-            kept = [X.stem_word(w) for w in ws if w not in X.STOP_WORDS] or [X.stem_word(w) for w in ws]
-            if ws:
-                out.clauses.append(Clause("not" if refuse else "must", tuple(kept), False, f" {' '.join(ws)} ", True))
-            required = False
-            continue
-        if len(word) > 1 and word[0] == "-":
-            refuse, word = True, word[1:]
-        elif len(word) > 1 and word[0] == "+":
-            required, word = True, word[1:]
-        if tag := re.fullmatch(r"(?i)tags?:(.+)", word):
-            out.tags += [t.strip() for t in tag[1].split(",") if t.strip()]
-        else:
-            ws = X.words_of(word.rstrip("*"))
-            kept = tuple(X.stem_word(w) for w in ws if w not in X.STOP_WORDS)
-            if kept:
-                mode = "not" if refuse else "must" if required else "should"
-                out.clauses.append(Clause(mode, kept, word.endswith("*"), f" {' '.join(ws)} " if len(ws) > 1 else None))
-        required = False
-    if not out.clauses and not out.tags:  # of stop words alone
-        ws = X.words_of(query)
-        if ws:
-            out.clauses.append(Clause("should", tuple(map(X.stem_word, ws)), False, f" {' '.join(ws)} " if len(ws) > 1 else None))
+        if kind == "tags":
+            out.tags += [t.strip() for t in text.split(",") if t.strip()]
+        elif clause := _clause(kind, text):
+            mode = "not" if "none" in pending else "must" if "both" in pending else clause.mode
+            out.clauses.append(replace(clause, mode=mode))
+        pending.clear()
+    if not out.clauses and not out.tags and (clause := _clause("words", query, stop_words=True)):
+        out.clauses.append(clause)
     return out
 
 
+# ---- index ----
+
+
 @dataclass
 class Index:
     notes: DataFrame
-    postings: DataFrame  # id, term, wtf, in_title
-    docs: DataFrame  # id, len
+    postings: DataFrame  # term, id, wtf, in_title, len
+    docs: DataFrame  # id, len, names array<string>, slugs array<string>, archived, words
     vocabulary: DataFrame  # term, df
     n: int
     mean_len: float
 
-    def persist(self) -> Index:
-        for d in (self.postings, self.docs, self.vocabulary):
-            d.persist()
-        return self
+
+def _text_of(notes: DataFrame, c: str) -> Column:
+    if c not in notes.columns:
+        return F.lit("")
+    text = F.array_join(F.col(c), " ") if dict(notes.dtypes)[c].startswith("array") else F.col(c)
+    if c == "path":
+        text = F.regexp_replace(text, r"[/_.-]+", " ")
+    if c == "title" and "base" in notes.columns:  # of a file of another name, that name as well
+        text = F.concat_ws("\n", text, F.when(X.fold("base") != X.fold("title"), F.col("base")))
+    return F.coalesce(text, F.lit(""))
 
 
 def postings_of(notes: DataFrame) -> DataFrame:
+    """term, id, wtf, in_title, len: words are exploded and summed by term before they meet."""
     have = [c for c in WEIGHTS if c in notes.columns]
+    part = lambda c: F.struct(F.lit(WEIGHTS[c]).alias("w"), F.lit(c == "title").alias("t"), F.lit(int(c == "body")).cast("bigint").alias("b"), _text_of(notes, c).alias("x"))
+    fields = notes.select("id", F.explode(F.array(*map(part, have))).alias("f"))
+    word = fields.select("id", "f.w", "f.t", "f.b", F.explode(X.words(F.col("f.x"))).alias("word")).where(~X.is_stop(F.col("word")))
+    each = word.groupBy("id", "word").agg(F.sum("w").alias("w"), F.max("t").alias("t"), F.sum("b").alias("b"))
+    terms = each.groupBy("id", X.stem("word").alias("term")).agg(F.sum("w").alias("wtf"), F.max("t").alias("in_title"), F.sum("b").alias("b"))
+    sizes = terms.groupBy("id").agg(F.sum("b").alias("len"))
+    return terms.join(sizes, "id").select("term", "id", "wtf", "in_title", "len")
+
+
+def documents_of(notes: DataFrame, postings: DataFrame) -> DataFrame:
+    """id, len, names and slugs that a query may name the note by, archived, words."""
+    sizes = postings.groupBy("id").agg(F.max("len").alias("len"))
+    folded = lambda c: F.trim(X.fold(F.col(c))) if c in notes.columns else F.lit("")
+    words = F.concat(*[X.words(_text_of(notes.drop("base"), c)) for c in PHRASE_FIELDS if c in notes.columns])
+    rows = notes.select(
+        "id", F.array(folded("title"), folded("base")).alias("names"),
+        F.array(folded("base"), F.regexp_replace(X.fold("title") if "title" in notes.columns else F.lit(""), r"[^\p{L}\p{N}]+", "-")).alias("slugs"),
+        is_archived(notes).alias("archived"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias("words"),
+    )
+    return rows.join(sizes, "id", "left").withColumn("len", F.coalesce("len", F.lit(0).cast("bigint")))
+
+
+def is_archived(notes: DataFrame) -> Column:
+    """By status, by a folder called archive, or by a slug that ends so."""
+    has = lambda c, test: F.coalesce(test(F.lower(F.trim(F.col(c)))), F.lit(False)) if c in notes.columns else F.lit(False)
+    return has("status", lambda c: c == "archived") | has("path", lambda c: c.rlike(r"(^|/)archive/")) | has("slug", lambda c: c.endswith("-archive"))
 
-    def field_terms(c: str) -> Column:
-        text = F.array_join(F.col(c), " ") if dict(notes.dtypes)[c].startswith("array") else F.col(c)
-        return F.transform(X.terms(text), lambda t: F.struct(t.alias("term"), F.lit(WEIGHTS[c]).alias("w"), F.lit(c == "title").alias("title")))
 
-    each = notes.select("id", F.explode(F.concat(*[field_terms(c) for c in have])).alias("x"))
-    return each.groupBy("id", "x.term").agg(F.sum("x.w").alias("wtf"), F.max("x.title").alias("in_title"))
+def _index(notes: DataFrame, postings: DataFrame, docs: DataFrame, vocabulary: DataFrame, stats: DataFrame) -> Index:
+    n, total = stats.first()
+    return Index(notes, postings, docs, vocabulary, n, (total or 0) / n if n and total else 1.0)
 
 
 def build(notes: DataFrame) -> Index:
+    """An index that is computed when it is asked."""
     postings = postings_of(notes)
-    docs = notes.select("id", F.size(X.terms(F.col("body"))).cast("bigint").alias("len"))
-    n, mean = docs.agg(F.count("*"), F.avg("len")).first()
-    return Index(notes, postings, docs, postings.groupBy("term").agg(F.count("*").alias("df")), n, mean or 1.0)
+    docs = documents_of(notes, postings)
+    stats = docs.agg(F.count("*"), F.sum("len"))
+    return _index(notes, postings, docs, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+
+def save(notes: DataFrame, path: str, parts: int = INDEX_PARTS) -> None:
+    """Write the index: postings in `parts` files by ranges of (term, id), so a frequent term may fill several."""
+    _write(path, postings_of(notes), lambda p: documents_of(notes, p), parts)
+
 
+def _write(path: str, postings: DataFrame, documents, parts: int, vocabulary=None) -> None:
+    read = postings.sparkSession.read
+    postings.repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    written = read.parquet(f"{path}/postings")
+    vocabulary = written.groupBy("term").agg(F.count("*").alias("df")) if vocabulary is None else vocabulary
+    vocabulary.repartitionByRange(max(1, parts // 4), "term").sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
+    documents(written).write.parquet(f"{path}/docs")
+    read.parquet(f"{path}/docs").agg(F.count("*").alias("n"), F.sum("len").alias("total")).write.parquet(f"{path}/stats")
 
-def merge_postings(old: DataFrame, changed_ids: DataFrame, new_notes: DataFrame) -> DataFrame:
+
+def load(spark: SparkSession, path: str, notes: DataFrame) -> Index:
+    read = lambda t: spark.read.parquet(f"{path}/{t}")
+    return _index(notes, read("postings"), read("docs"), read("vocabulary"), read("stats"))
+
+
+def update(spark: SparkSession, old: str, new: str, changed: DataFrame, removed: DataFrame, parts: int = INDEX_PARTS) -> None:
+    """The next version of a stored index: `changed` notes take the place of those of their ids or are added, notes
+    of `removed` ids go. Only they are tokenised; document frequencies change by what left and came."""
+    read = lambda t: spark.read.parquet(f"{old}/{t}")
+    gone = changed.select("id").unionByName(removed.select("id")).distinct()
+    came = postings_of(changed)
+    left = read("postings").join(gone, "id", "left_semi")
+    delta = left.select("term", F.lit(-1).alias("d")).unionByName(came.select("term", F.lit(1).alias("d"))).groupBy("term").agg(F.sum("d").alias("d"))
+    vocabulary = read("vocabulary").join(delta, "term", "full").select("term", (F.coalesce("df", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("df")).where("df > 0")
+    stay = read("docs").join(gone, "id", "left_anti")
+    _write(new, merge_postings(read("postings"), gone, came), lambda _: stay.unionByName(documents_of(changed, came)), parts, vocabulary)
+
+
+def merge_postings(old: DataFrame, changed_ids: DataFrame, came: DataFrame) -> DataFrame:
     """Postings after some notes changed or went: those of other notes and those of the new versions."""
-    return old.join(changed_ids.select("id").distinct(), "id", "left_anti").unionByName(postings_of(new_notes))
+    return old.join(changed_ids.select("id").distinct(), "id", "left_anti").unionByName(came)
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def stored(notes: DataFrame, key: str, parts: int = INDEX_PARTS) -> Index:
+    """The index of the notes that `key` names, written once per application in the folder that executors share."""
+    spark = notes.sparkSession
+    named = (spark.sparkContext.applicationId, key)
+    if named not in _STORED:
+        path = f"{shared_folder(spark)}/search-{spark.sparkContext.applicationId}-{hashlib.sha1(key.encode()).hexdigest()[:16]}"
+        save(notes, path, parts)
+        _STORED[named] = path
+    return load(spark, _STORED[named], notes)
+
+
+# ---- scoring ----
 
 
 def idf(df, n: int) -> float:
@@ -140,133 +251,104 @@ def idf(df, n: int) -> float:
 
 
 def _expansions(index: Index, q: Query) -> list[tuple]:
-    """(query term, explicit prefix, term, kind, factor, idf) for all the terms the query may match."""
-    wanted = {(t, c.prefix) for c in q.clauses for t in c.terms}
-    near = F.lit(False)
-    for t, explicit in wanted:
-        near = near | (F.col("term") == t)
-        if explicit or len(t) >= PREFIX_LENGTH:
-            near = near | F.col("term").startswith(t)
+    """(query term, key, term, fuzzy, factor, idf) for all the terms the query may match: the term itself, up to
+    EXPANSIONS that begin with it, and where the vocabulary lacks it as many that are one edit away."""
+    wanted = sorted({(t, c.prefix) for c in q.clauses for t in c.terms})
+    begins = lambda t, e: e or len(t) >= PREFIX_LENGTH
+    kinds = []
+    for t, e in wanted:
+        near = F.when(F.col("term").startswith(t), 1) if begins(t, e) else F.when(F.col("term") == t, 1)
         if len(t) >= FUZZY_LENGTH:
-            near = near | X.within_one_edit(F.col("term"), F.lit(t))
-    # of each query term, the first EXPANSIONS in order: a bounded result
-    kinds = F.explode(F.array(*[F.struct(F.lit(t).alias("q"), F.lit(e).alias("e")) for t, e in sorted(wanted)]))
-    pairs = index.vocabulary.where(near).select("term", "df", kinds.alias("k")).select("term", "df", "k.q", "k.e")
-    kind = (
-        F.when(F.col("term") == F.col("q"), 0)
-        .when(F.col("term").startswith(F.col("q")) & (F.col("e") | (F.length("q") >= PREFIX_LENGTH)), 1)
-        .when((F.length("q") >= FUZZY_LENGTH) & X.within_one_edit("term", "q"), 2)
-    )
-    w = W.partitionBy("q", "e", "kind").orderBy("term")
-    found = pairs.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("r", F.row_number().over(w)).where(F.col("r") <= EXPANSIONS).collect()
-    exact = {r.q: r.df for r in found if r.kind == 0}
+            near = near.when(X.within_one_edit(F.col("term"), F.lit(t)), 2)
+        kinds.append(F.struct(F.lit(t).alias("q"), F.lit(e).alias("e"), near.alias("kind")))
+    pairs = index.vocabulary.select("term", "df", F.explode(F.filter(F.array(*kinds), lambda k: k["kind"].isNotNull())).alias("k"))
+    order = W.partitionBy("k.q", "k.e", "k.kind").orderBy("term")
+    found = pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= EXPANSIONS).select("term", "df", "k.*").collect()
+    exact = {r.q: r.df for r in found if r.term == r.q}
     out = []
     for r in found:
-        value = idf(r.df, index.n)
-        if r.kind == 0:
-            out.append((r.q, r.e, r.term, 0, 1.0, value))
-        elif r.kind == 1:
-            cap = idf(exact[r.q], index.n) if r.q in exact else value
-            out.append((r.q, r.e, r.term, 0, 1.0 if r.e else PREFIX, min(value, cap)))
+        value, key = idf(r.df, index.n), r.q + "*" * r.e
+        if r.term == r.q:
+            out.append((r.q, key, r.term, False, 1.0, value))
+        elif r.kind == 1:  # never rarer than the word that was typed
+            out.append((r.q, key, r.term, False, 1.0 if r.e else PREFIX, min(value, idf(exact[r.q], index.n)) if r.q in exact else value))
         elif r.q not in exact:
-            out.append((r.q, r.e, r.term, 1, FUZZY, value))
+            out.append((r.q, key, r.term, True, FUZZY, value))
     return out
 
 
 def term_scores(index: Index, q: Query) -> DataFrame:
-    """id, scores map<string,double> by query term (with * after an explicit prefix), title_terms."""
-    spark = index.notes.sparkSession
+    """id, key, q, score, in_title, exact: the best score of each of the query's keys (a term, with * after an
+    explicit prefix) in each note; a fuzzy one counts only where there is no other."""
     rows = _expansions(index, q)
-    table = spark.createDataFrame(rows, "q string, e boolean, term string, kind int, factor double, idf double")
-    hits = index.postings.join(F.broadcast(table), "term").join(index.docs, "id")
-    norm = K1 * (1 - B + B * F.col("len") / F.lit(index.mean_len or 1.0))
+    table = index.notes.sparkSession.createDataFrame(rows, "q string, key string, term string, fuzzy boolean, factor double, idf double")
+    near = index.postings.where(F.col("term").isin(sorted({r[2] for r in rows})))  # reaches the scan
+    hits = near.join(F.broadcast(table), "term")
+    norm = K1 * (1 - B + B * F.col("len") / F.lit(index.mean_len))
     score = F.col("idf") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + norm) * F.col("factor")
-    key = F.concat("q", F.when(F.col("e"), "*").otherwise(""))
-    best = hits.groupBy("id", key.alias("key"), "q").agg(
-        F.max(F.when(F.col("kind") == 0, score)).alias("near"), F.max(score).alias("any"),
-        F.max((F.col("term") == F.col("q")) & F.col("in_title")).alias("in_title"),
-    )
-    return best.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("key", F.coalesce("near", "any")))).alias("scores"),
-        F.collect_set(F.when(F.col("in_title"), F.col("q"))).alias("title_terms"),
-    )
-
-
-def phrase_text(notes: DataFrame) -> Column:
-    fields = [c for c in WEIGHTS if c in notes.columns and c != "hub"]
-    text = [F.array_join(F.col(c), " ") if dict(notes.dtypes)[c].startswith("array") else F.coalesce(F.col(c), F.lit("")) for c in fields]
-    return F.concat(F.lit(" "), F.array_join(F.concat(*[X.words(t) for t in text]), " "), F.lit(" "))
-
-
-def is_archived(notes: DataFrame) -> Column:
-    has = lambda c, test: test(F.col(c)) if c in notes.columns else F.lit(False)
-    return (
-        has("status", lambda c: F.coalesce(X.fold(c) == "archived", F.lit(False)))
-        | has("path", lambda c: F.coalesce(F.exists(F.slice(F.split(F.lower(c), "/"), 1, F.greatest(F.size(F.split(c, "/")) - 1, F.lit(1))), lambda s: s == "archive") & c.contains("/"), F.lit(False)))
-        | F.coalesce(F.col("id").cast("string").endswith("-archive"), F.lit(False))
+    return hits.groupBy("id", "key", "q").agg(
+        F.coalesce(F.max(F.when(~F.col("fuzzy"), score)), F.max(score)).alias("score"),
+        F.max((F.col("term") == F.col("q")) & F.col("in_title")).alias("in_title"), F.max(F.col("term") == F.col("q")).alias("exact"),
     )
 
 
 def _scored(index: Index, q: Query, relaxed: bool = False) -> DataFrame:
     """id, score of the notes that satisfy the query; `relaxed` takes required words as wished for."""
-    notes = index.notes
-    scores = F.col("scores")
-    of = lambda t, c: F.coalesce(scores[t + ("*" if c.prefix else "")], F.lit(0.0))
-    m = term_scores(index, q).join(notes, "id")
-    phrases = any(c.phrase for c in q.clauses)
-    m = m.withColumn("_phrase", phrase_text(notes)) if phrases else m
-    has = lambda c: F.col("_phrase").contains(c.phrase)
-    for c in q.clauses:
-        present = has(c) if c.phrase and (c.strict or c.mode == "not") else None
-        if c.mode == "not":
-            held = present
-            if held is None:
-                held = F.lit(True)
-                for t in c.terms:
-                    held = held & (of(t, c) > 0 if c.prefix else F.array_contains(F.map_keys(scores), t))
-            m = m.where(~held)
-        elif c.mode == "must" and c.strict:
-            m = m.where(present)
-        elif c.mode == "must" and not relaxed:
-            for t in c.terms:
-                m = m.where(of(t, c) > 0)
-    score, any_hit, matched = F.lit(0.0), F.lit(False), []
-    for c in q.positive:
-        for t in c.terms:
-            score = score + of(t, c)
-            any_hit = any_hit | (of(t, c) > 0)
-    for t in q.terms:
-        hit = F.lit(False)
-        for c in q.positive:
-            if t in c.terms:
-                hit = hit | (of(t, c) > 0)
-        matched.append(hit.cast("int"))
-    m = m.where(any_hit)
-    coverage = sum(matched[1:], matched[0]) / F.lit(float(len(matched)))
-    score = score * (0.35 + 0.65 * coverage * coverage)
+    spark, positive, terms = index.notes.sparkSession, q.positive, q.terms
+    must = [c for c in positive if c.mode == "must" and (c.strict or not relaxed)]
+    demanded = {k for c in must if not c.strict for k in c.keys}
+    refused = [c for c in q.clauses if c.mode == "not"]
+    if not positive:
+        return index.docs.where("false").select("id", F.lit(0.0).alias("score"))
+    times: dict[str, int] = {}
+    for c in positive:
+        for k in c.keys:
+            times[k] = times.get(k, 0) + 1
+    every = dict.fromkeys([*times, *(k for c in refused for k in c.keys)])
+    table = spark.createDataFrame([(k, times.get(k, 0), k in demanded) for k in every], "key string, times int, demanded boolean")
+    hit = term_scores(index, q).join(F.broadcast(table), "key")
+    different = lambda c, when: F.size(F.collect_set(F.when(when, F.col(c))))
+    wished = F.col("times") > 0
+    sums = [
+        F.sum(F.col("score") * F.col("times")).alias("sum"), different("q", wished).alias("matched"),
+        different("key", F.col("demanded")).alias("held"), different("q", wished & F.col("in_title")).alias("in_title"),
+    ]
+    for i, c in enumerate(refused):
+        if not c.phrase:
+            there = F.col("key").isin(c.keys) & (F.col("exact") | F.lit(c.prefix))
+            sums.append((different("key", there) == len(set(c.keys))).alias(f"refused{i}"))
+    m = hit.groupBy("id").agg(*sums).where((F.col("matched") > 0) & (F.col("held") == len(demanded)))
+    blind = [c for c in must if c.strict and set(c.terms) <= X.STOP_STEMS]
+    docs = index.docs if any(c.phrase for c in q.clauses) else index.docs.drop("words")
+    if blind:  # a phrase of words that are in no index: every document may hold it
+        m = docs.join(m, "id", "left").fillna(0, ["sum", "matched", "held", "in_title"]).where(F.col("held") == len(demanded))
+    else:
+        m = docs.join(m, "id")
+    has = lambda c: F.col("words").contains(c.phrase)
+    for c in must:
+        if c.strict:
+            m = m.where(has(c))
+    for i, c in enumerate(refused):
+        m = m.where(~has(c) if c.phrase else ~F.coalesce(F.col(f"refused{i}"), F.lit(False)))
+    coverage = F.col("matched") / float(len(terms))
+    score = F.col("sum") * (0.35 + 0.65 * coverage * coverage)
     wanted = X.fold_text(q.text).replace('"', "").replace("*", "").strip()
     slug = re.sub(r"^-|-$", "", re.sub(r"[\W_]+", "-", wanted))
-    title = X.fold(F.col("title")) if "title" in notes.columns else F.lit("")
-    in_title = F.size(F.array_intersect("title_terms", F.array(*[F.lit(t) for t in q.terms])))
-    n = float(len(q.terms))
-    named = ((title == wanted) | (X.slugify(title, False) == slug)) & F.lit(bool(wanted))
-    score = (
-        F.when(named, score * 1.5 + 5)
-        .when(in_title == n, score * 1.5)
-        .when(in_title > 0, score * (1 + 0.2 * (in_title / n)))
-        .otherwise(score)
-    )
-    for c in q.positive:
+    named = (F.array_contains("names", wanted) | F.array_contains("slugs", slug)) & F.lit(bool(wanted))
+    share = F.col("in_title") / float(len(terms))
+    score = F.when(named, score * 1.5 + 5).otherwise(score * F.when(share == 1, 1.5).otherwise(1 + 0.2 * share))
+    for c in positive:
         if c.phrase and not c.strict:
-            score = F.when(has(c), score * 1.3).otherwise(score)
-    score = F.when(is_archived(notes), score * ARCHIVED).otherwise(score)
-    return m.select("id", score.alias("score"))
+            score = score * F.when(has(c), 1.3).otherwise(1.0)
+    return m.select("id", (score * F.when(F.col("archived"), ARCHIVED).otherwise(1.0)).alias("score"))
 
 
-def search(index: Index, query: str, keep: Column | None = None, page: int = 1, page_size: int = 10, fallback: bool = True) -> DataFrame:
-    """The page's notes: id, score, rank. `keep` filters notes and not the statistics. Where fewer strict
-    hits exist than the page ends with, notes that have only some of the required words fill it."""
-    q = parse(query)
+# ---- searches ----
+
+
+def hits_of(index: Index, q: Query, keep: Column | None = None, page: int = 1, page_size: int = 10, fallback: bool = True) -> DataFrame:
+    """id, score of all notes that the query and `keep` let through. Where fewer strict hits exist than a page
+    holds, notes that have only some of the required words fill it."""
     notes = index.notes
     if q.tags:
         want = F.array(*[F.lit(X.fold_text(t)) for t in q.tags])
@@ -274,59 +356,155 @@ def search(index: Index, query: str, keep: Column | None = None, page: int = 1,
         keep = tagged if keep is None else keep & tagged
     allowed = notes.where(keep) if keep is not None else None
     if not q.clauses:  # filters alone: newest first
-        hits = (allowed if allowed is not None else notes).select("id", (F.col("mtime_ms") / 1e13).alias("score"))
-    else:
-        hits = _scored(index, q)
-        if allowed is not None:
-            hits = hits.join(allowed.select("id"), "id", "left_semi")
-        if fallback and any(c.mode == "must" and not c.strict for c in q.clauses):
-            more = _scored(index, q, relaxed=True).join(hits, "id", "left_anti")
-            if allowed is not None:
-                more = more.join(allowed.select("id"), "id", "left_semi")
-            first = hits.limit(page * page_size)
-            short = F.lit(page * page_size - first.count())
-            ranked = more.orderBy(F.desc("score"), "id").limit(page * page_size)
-            filled = ranked.withColumn("r", F.row_number().over(W.orderBy(F.desc("score"), "id"))).where(F.col("r") <= short)
-            hits = hits.unionByName(filled.select("id", (F.col("score") * FALLBACK).alias("score")))
-    top = hits.orderBy(F.desc("score"), "id").limit(page * page_size)
-    ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))  # over one page of rows at most
+        return (allowed if allowed is not None else notes).select("id", (F.col("mtime_ms") / 1e13).alias("score"))
+    within = lambda h: h if allowed is None else h.join(allowed.select("id"), "id", "left_semi")
+    hits = within(_scored(index, q))
+    if not fallback or not any(c.mode == "must" and not c.strict for c in q.clauses):
+        return hits
+    room = page_size - hits.limit(page_size).count()
+    if room <= 0:
+        return hits
+    more = within(_scored(index, q, relaxed=True)).join(hits, "id", "left_anti")
+    filled = more.orderBy(F.desc("score"), "id").limit(room)
+    return hits.unionByName(filled.select("id", (F.col("score") * FALLBACK).alias("score")))
+
+
+def paged(hits: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:
+    """The page's rows with their rank."""
+    if page < 1 or not 1 <= page_size <= MOST_PAGE:
+        raise ValueError(f"pages begin at 1 and hold 1 to {MOST_PAGE} results")
+    top = hits.orderBy(*order).limit(page * page_size)
+    ranked = top.withColumn("rank", F.row_number().over(W.orderBy(*order)))  # over the rows up to the page
     return ranked.where(F.col("rank") > (page - 1) * page_size)
 
 
+def search(index: Index, query: str, keep: Column | None = None, page: int = 1, page_size: int = 10, fallback: bool = True) -> DataFrame:
+    """The page's notes: id, score, rank. `keep` filters notes and not the statistics."""
+    hits = hits_of(index, parse(query), keep, page, page_size, fallback)
+    return paged(hits, [F.desc("score"), F.col("id")], page, page_size)
+
+
+def find(
+    index: Index, query: str = "", kinds: tuple[str, ...] = (), categories: tuple[str, ...] = (), search_type: str = "text", keep: Column | None = None,
+    page: int = 1, page_size: int = 10, boosts: DataFrame | None = None, project: str = "main",
+) -> DataFrame:
+    """One page over notes, observations and relations: kind, permalink, pos, id, title, match, score, rank, total,
+    has_more. `kinds`: entity (the default, unless categories are given), observation, relation. `search_type`: text,
+    title or permalink; memory:// before a query says permalink. `boosts` (id, boost) are added to scores of a text
+    query. The index's notes need permalink, and observations and relations where these are asked for."""
+    query = query.strip()
+    if query.lower().startswith("memory://"):
+        search_type, query = "permalink", query[len("memory://") :]
+    lookup = search_type in ("title", "permalink")
+    q = Query(query) if lookup else parse(query)
+    wanted = set(kinds) or ({"observation"} if categories else {"entity"})
+    notes = index.notes
+    allowed = notes if keep is None else notes.where(keep)
+    parts, ident = [], notes.select("id", "permalink", "title")
+    none = lambda t, name: F.lit(None).cast(t).alias(name)
+    if "entity" in wanted:
+        if lookup:
+            found = title_hits(allowed, query) if search_type == "title" else permalink_hits(allowed, query, project)
+        else:
+            found = hits_of(index, q, keep, page, page_size)
+        named = found.join(ident.select("id", "title"), "id")
+        parts.append(named.select(F.lit("entity").alias("kind"), "id", none("int", "pos"), none("string", "match"), "title", "score"))
+    if "observation" in wanted:
+        found = observation_hits(allowed, q, categories, query if lookup else None)
+        parts.append(found.select(F.lit("observation").alias("kind"), "id", "pos", F.col("content").alias("match"), F.concat("category", F.lit(": "), _short(F.col("content"), 80)).alias("title"), "score"))
+    if "relation" in wanted:
+        found = relation_hits(allowed, q)
+        parts.append(found.select(F.lit("relation").alias("kind"), "id", "pos", F.concat("type", F.lit(" [["), "target", F.lit("]]")).alias("match"), F.concat("type", F.lit(": "), "target").alias("title"), "score"))
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p)
+    if boosts is not None and query and not lookup:
+        hits = hits.join(boosts.select("id", "boost"), "id", "left").withColumn("score", F.col("score") + F.coalesce("boost", F.lit(0.0))).drop("boost")
+    hits = hits.join(ident.select("id", "permalink"), "id")
+    # an observation or relation comes after its note and before notes whose names go on after its name
+    sign = F.when(F.col("kind") == "observation", "#").when(F.col("kind") == "relation", "@").otherwise("")
+    key = F.concat("permalink", sign, F.coalesce(F.lpad(F.col("pos").cast("string"), 5, "0"), F.lit("")))
+    total = hits.agg(F.count("*").alias("total"))
+    top = paged(hits.withColumn("key", key), [F.desc("score"), F.col("key")], page, page_size)
+    return top.drop("key").crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > page * page_size)  # one row of totals
+
+
+def _short(c: Column, most: int) -> Column:
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 1), F.lit("…"))).otherwise(c)
+
+
+def result_fields(page: DataFrame, notes: DataFrame) -> DataFrame:
+    """The fields of a result: title, type, score, entity, external_id, permalink, content, matched_chunk, file_path,
+    updated_at, note_type. `notes`: id, permalink, path, type, body, mtime_ms, external_id."""
+    slug = lambda c: X.slugify(c, False)
+    r = page.join(notes.select("id", "path", F.col("type").alias("note_type"), "body", "mtime_ms", "external_id"), "id")
+    category, content = F.regexp_extract("title", r"^(.*?): ", 1), F.coalesce("match", F.lit(""))
+    observed = F.concat("permalink", F.lit("/observations/"), F.coalesce(F.nullif(slug(category), F.lit("")), F.lit("note")), F.lit("/"), F.substring(slug(content), 1, 80))
+    related = F.concat("permalink", F.lit("/"), category, F.lit("/"), slug(F.regexp_extract("title", r"^.*?: (.*)$", 1)))
+    own = F.when(F.col("kind") == "observation", observed).when(F.col("kind") == "relation", related).otherwise(F.col("permalink"))
+    entity = F.col("kind") == "entity"
+    return r.select(
+        "title", F.col("kind").alias("type"), "score", F.col("permalink").alias("entity"), own.alias("permalink"),
+        F.when(entity, F.col("external_id")).otherwise(X.stable_id(F.concat("kind", F.lit(":"), own))).alias("external_id"),
+        F.when(entity, F.substring(F.trim("body"), 1, 4000)).otherwise(content).alias("content"), content.alias("matched_chunk"),
+        F.col("path").alias("file_path"), F.date_format(F.timestamp_millis("mtime_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updated_at"), "note_type", "rank",
+    )
+
+
 def _begins(t: str):
     return lambda x: x.startswith(t)
 
 
+def excerpt(line: Column, terms: list[str], most: int = 200) -> Column:
+    """A line of at most about `most` characters around the first query term it holds, cut between words, with an
+    ellipsis for what is left out."""
+    text = F.trim(F.regexp_replace(line, r"\s+", " "))
+    found = F.array_min(F.filter(F.array(*[F.instr(X.fold(text), t) for t in terms] or [F.lit(0)]), lambda i: i > 0))
+    at = F.coalesce(found - 1, F.lit(-1))
+    start = F.greatest(F.lit(0), F.least(at - round(most * 0.3), F.length(text) - most))
+    nxt = start + F.instr(F.substring(text, start + 1, F.length(text)), " ") - 1  # the first space from the start on
+    skip = (start > 0) & (nxt >= start) & (nxt < start + 30) & ((at < 0) | (nxt < at))
+    start = F.when(skip, nxt + 1).otherwise(start)
+    end = F.least(F.length(text), start + most - 2)
+    head = F.substring(text, F.lit(1), end + 1)
+    last = F.length(head) - F.instr(F.reverse(head), " ")  # place of the last space up to the end
+    end = F.when((end < F.length(text)) & (F.instr(head, " ") > 0) & (last > start + round(most * 0.75)), last).otherwise(end)
+    cut = F.concat(F.when(start > 0, "…").otherwise(""), F.trim(F.substring(text, start + 1, end - start)), F.when(end < F.length(text), "…").otherwise(""))
+    return F.when(F.length(text) <= most, text).otherwise(cut)
+
+
 def snippets(hits: DataFrame, notes: DataFrame, q: Query) -> DataFrame:
     """The best matching line of each hit: a point for each query term in it, PREFIX for a word that begins
     with one of three letters or more; the first of equals. Joined to the page's rows only."""
-    lines = hits.join(notes.select("id", "body"), "id").select("id", F.posexplode(F.split("body", r"\r?\n")).alias("line_no", "line"))
-    have = X.terms(F.col("line"))
+    lines = F.broadcast(hits.select("id")).join(notes.select("id", "body"), "id").select("id", F.posexplode(F.split("body", r"\r?\n")).alias("line_no", "line"))  # one page of ids
+    lines = lines.withColumn("have", X.terms(F.col("line")))
     score = F.lit(0.0)
     for t in q.terms:
-        near = F.exists(have, _begins(t)) if len(t) >= 3 else F.lit(False)
-        score = score + F.when(F.array_contains(have, t), 1.0).when(near, PREFIX).otherwise(0.0)
+        near = F.exists("have", _begins(t)) if len(t) >= 3 else F.lit(False)
+        score = score + F.when(F.array_contains("have", t), 1.0).when(near, PREFIX).otherwise(0.0)
     best = lines.withColumn("s", score).groupBy("id").agg(F.max_by(F.struct("line_no", "line"), F.struct("s", -F.col("line_no"))).alias("x"), F.max("s").alias("s"))
-    return best.select("id", F.when(F.col("s") > 0, X.one_line(F.col("x.line"))).otherwise(F.lit("")).alias("snippet"))
+    return best.select("id", F.when(F.col("s") > 0, excerpt(F.col("x.line"), q.terms)).otherwise(F.lit("")).alias("snippet"))
 
 
 def title_hits(notes: DataFrame, query: str) -> DataFrame:
-    """id, score by title: equal 3, prefix 2 and more, contained 1.5 and more, all words 1 (the last may be
-    the beginning of one)."""
+    """id, score by title or file name: equal 3, prefix 2 and more, contained 1.5 and more, all words 1 (the last may
+    be the beginning of one)."""
     q, ws = X.fold_text(query).strip(), X.words_of(query)
-    t = X.fold(F.col("title"))
+    t = F.trim(X.fold(F.col("title")))
+    b = F.trim(X.fold(F.col("base"))) if "base" in notes.columns else t
     share = F.lit(float(len(q))) / F.greatest(F.length(t), F.lit(1))
-    spaced = F.concat(F.lit(" "), F.array_join(X.words(F.col("title")), " "), F.lit(" "))
+    both = lambda test: test(t) | test(b)
+    spaced = F.concat(F.lit(" "), F.array_join(F.concat(X.words(F.col("title")), F.array(F.lit("|")), X.words(b)), " "), F.lit(" "))
     every = F.lit(bool(ws))
     for i, w in enumerate(ws):
         every = every & spaced.contains(f" {w}" if i == len(ws) - 1 else f" {w} ")
-    score = F.when(t == q, 3.0).when(t.startswith(q), 2 + share).when(t.contains(q), 1.5 + share).when(every, 1.0)
+    score = F.when(both(lambda x: x == q), 3.0).when(both(lambda x: x.startswith(q)), 2 + share).when(both(lambda x: x.contains(q)), 1.5 + share).when(every, 1.0)
     return notes.select("id", score.alias("score")).where(F.col("score").isNotNull() & F.lit(bool(q)))
 
 
 def permalink_hits(notes: DataFrame, query: str, project: str = "main") -> DataFrame:
     """id, score by permalink in three spellings: equal or glob 1, prefix 0.5."""
-    q = re.sub(r"^/+|/+$", "", query.strip()).lower()
+    q = query.strip().strip("/").lower()
     p, own = F.lower("permalink"), project + "/"
     bare = F.when(p.startswith(own), F.substring(p, len(own) + 1, 1 << 20)).otherwise(F.concat(F.lit(own), p))
     spellings = F.array(p, bare, F.regexp_replace(F.lower("path"), r"\.md$", ""))
@@ -337,27 +515,55 @@ def permalink_hits(notes: DataFrame, query: str, project: str = "main") -> DataF
     return notes.select("id", score.alias("score")).where(F.col("score").isNotNull() & F.lit(bool(q)))
 
 
-def observation_hits(notes: DataFrame, query: str, categories: list[str] | None = None) -> DataFrame:
-    """id, pos, score of observations (an array<struct<category,content>> of the note)."""
-    q = parse(query)
+def observation_hits(notes: DataFrame, query: str | Query, categories: tuple[str, ...] | list[str] = (), literal: str | None = None) -> DataFrame:
+    """id, pos, category, content, score of observations (an array<struct<category,content>> of the note): by the
+    share of the query's terms, by a literal text that they contain, or without either by the note's age."""
+    q = parse(query) if isinstance(query, str) else query
     refused = [t for c in q.clauses if c.mode == "not" for t in c.terms]
-    each = notes.select("id", X.terms(F.col("title")).alias("tt"), F.posexplode("observations").alias("pos", "o"))
-    have = X.terms(F.concat_ws(" ", "o.category", "o.content"))
+    newest = F.col("mtime_ms") / 1e13 if "mtime_ms" in notes.columns else F.lit(0.0)
+    each = notes.select("id", newest.alias("newest"), X.terms(F.col("title")).alias("tt"), F.posexplode("observations").alias("pos", "o"))
+    each = each.select("*", "o.category", "o.content").withColumn("have", X.terms(F.concat_ws(" ", "category", "content")))
     if categories:
-        each = each.where(X.fold(F.col("o.category")).isin([X.fold_text(c).strip() for c in categories]))
-    hit = F.lit(0.0)
-    for t in q.terms:
-        near = F.exists(have, _begins(t)) if len(t) >= PREFIX_LENGTH else F.lit(False)
-        hit = hit + F.when(F.array_contains(have, t), 1.0).when(near, PREFIX).otherwise(0.0)
-    bonus = F.when(F.arrays_overlap("tt", F.array(*[F.lit(t) for t in q.terms])), 0.1).otherwise(0.0)
-    out = each.where(~F.arrays_overlap(have, F.array(*map(F.lit, refused)))) if refused else each
-    return out.where(hit > 0).select("id", "pos", (hit / float(len(q.terms)) + bonus).alias("score"))
-
-
-def relation_hits(notes: DataFrame, query: str) -> DataFrame:
-    """id, pos, score of relations (an array<struct<type,target>> of the note): share of the query's terms."""
-    q = parse(query)
-    each = notes.select("id", F.posexplode("relations").alias("pos", "r"))
-    have = X.terms(F.concat_ws(" ", F.replace(F.col("r.type"), F.lit("_"), F.lit(" ")), F.col("r.target")))
+        each = each.where(F.trim(X.fold(F.col("category"))).isin([X.fold_text(c).strip() for c in categories]))
+    if refused:
+        each = each.where(~F.arrays_overlap("have", F.array(*map(F.lit, refused))))
+    if literal is not None:
+        text = X.fold_text(literal)
+        each = each.where(X.fold("content").contains(text) | X.fold("category").contains(text)).withColumn("score", F.lit(1.0))
+    elif q.terms:
+        hit = F.lit(0.0)
+        for t in q.terms:
+            near = F.exists("have", _begins(t)) if len(t) >= PREFIX_LENGTH else F.lit(False)
+            hit = hit + F.when(F.array_contains("have", t), 1.0).when(near, PREFIX).otherwise(0.0)
+        bonus = F.when(F.arrays_overlap("tt", F.array(*[F.lit(t) for t in q.terms])), 0.1).otherwise(0.0)
+        each = each.withColumn("hit", hit).where("hit > 0").withColumn("score", F.col("hit") / float(len(q.terms)) + bonus)
+    else:
+        each = each.withColumn("score", F.col("newest"))
+    return each.select("id", "pos", "category", "content", "score")
+
+
+def relation_hits(notes: DataFrame, query: str | Query) -> DataFrame:
+    """id, pos, type, target, score of relations (an array<struct<type,target>> of the note): share of the query's
+    terms, or without any the note's age."""
+    q = parse(query) if isinstance(query, str) else query
+    newest = F.col("mtime_ms") / 1e13 if "mtime_ms" in notes.columns else F.lit(0.0)
+    each = notes.select("id", newest.alias("newest"), F.posexplode("relations").alias("pos", "r")).select("id", "newest", "pos", "r.type", "r.target")
+    if not q.terms:
+        return each.select("id", "pos", "type", "target", F.col("newest").alias("score"))
+    have = X.terms(F.concat_ws(" ", F.replace(F.col("type"), F.lit("_"), F.lit(" ")), F.col("target")))
     hit = F.size(F.array_intersect(have, F.array(*[F.lit(t) for t in q.terms])))
-    return each.select("id", "pos", (hit / float(len(q.terms))).alias("score")).where("score > 0")
+    return each.select("id", "pos", "type", "target", (hit / float(len(q.terms))).alias("score")).where("score > 0")
+
+
+def with_hub_words(notes: DataFrame) -> DataFrame:
+    """`notes` plus hub: title and description of the note that front matter names as part_of, else as parent; a
+    name is a file name, slug, title or permalink, and of several notes with it the first by path has it."""
+    raw = F.coalesce(F.get_json_object("front_matter", "$.part_of[0]"), F.get_json_object("front_matter", "$.part_of"), F.get_json_object("front_matter", "$.parent[0]"), F.get_json_object("front_matter", "$.parent"))
+    link = F.regexp_extract(F.trim(raw), r"^\[\[([^\]|#]+)", 1)
+    asked = F.trim(X.fold(F.coalesce(F.nullif(link, F.lit("")), F.trim(F.regexp_replace(F.trim(raw), "^[\"']|[\"']$", "")))))
+    names = F.array_distinct(F.transform(F.array(*[F.col(c) for c in ("base", "slug", "title", "permalink") if c in notes.columns]), lambda x: F.trim(X.fold(x))))
+    words = F.concat_ws(" ", "title", F.coalesce("description", F.lit("")))
+    keys = notes.select("id", "path", words.alias("hub"), F.explode(names).alias("key")).where("key <> ''")
+    first = keys.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("hub_id"), "hub"), F.struct("path", "id")).alias("h"))
+    found = notes.select("id", asked.alias("key")).where("key <> ''").join(first, "key").where(F.col("id") != F.col("h.hub_id"))
+    return notes.join(found.select("id", F.col("h.hub").alias("hub")), "id", "left")

@@ -46,20 +46,28 @@ def fuse(lexical: DataFrame, vector: DataFrame, k: int = RRF) -> DataFrame:
 
 
 def split_paragraphs(body: Column, most: int = CHUNK_CHARS) -> Column:
-    """Paragraphs packed into pieces of at most `most` characters; a longer paragraph is a piece."""
+    """Paragraphs packed into pieces of at most `most` characters; of a longer one, so many characters at a time,
+    the rest going on with what follows."""
     def pack(acc, p):
         last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.length(last) + 2 + F.length(p) <= most)
-        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit("\n\n"), p)))).otherwise(F.concat(acc, F.array(p)))
+        joined = F.when(last == "", p).otherwise(F.concat(last, F.lit("\n\n"), p))
+        over = (F.length(joined) > most) & (last != "")
+        done = F.when(over, acc).otherwise(F.slice(acc, F.lit(1), F.size(acc) - 1))
+        rest = F.when(over, p).otherwise(joined)
+        cuts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(rest) / most) - 1, F.lit(0)).cast("int"))
+        return F.concat(done, F.transform(cuts, lambda k: F.substring(rest, k * most + 1, F.lit(most))))
 
-    parts = F.filter(F.transform(F.split(body, r"\n\s*\n"), F.trim), lambda p: p != "")
-    return F.aggregate(parts, F.array().cast("array<string>"), pack)
+    packed = F.aggregate(F.split(body, r"\n{2,}"), F.array(F.lit("")), pack)
+    trimmed = F.filter(F.transform(packed, F.trim), lambda p: p != "")
+    return F.when(F.length(body) <= most, F.filter(F.array(F.trim(body)), lambda p: p != "")).otherwise(trimmed)
 
 
 def chunks_of(sections: DataFrame) -> DataFrame:
-    """From permalink, title, pos, heading, text: key, permalink, heading, text, embed_input, hash."""
-    each = sections.select("permalink", "title", "pos", "heading", F.posexplode(split_paragraphs(F.col("text"))).alias("part", "text"))
-    joined = F.substring(F.concat_ws("\n", "title", "heading", "text"), 1, INPUT_CHARS)
+    """From permalink, title, description, pos, heading, text: key, permalink, heading, text, embed_input, hash. What
+    is embedded has the title, the description and a heading of another name before the text."""
+    each = sections.select("permalink", "title", "description", "pos", "heading", F.posexplode(split_paragraphs(F.col("text"))).alias("part", "text"))
+    some = F.filter(F.array("title", "description", F.when(F.col("heading") != F.col("title"), F.col("heading")), "text"), lambda x: x.isNotNull() & (x != ""))
+    joined = F.substring(F.array_join(some, "\n\n"), 1, INPUT_CHARS)
     key = F.concat("permalink", F.lit("#"), F.col("pos"), F.lit("."), F.col("part"))
     return each.select(key.alias("key"), "permalink", "heading", "text", joined.alias("embed_input"), F.sha1(joined).alias("hash"))
 

@@ -12,7 +12,6 @@ from . import sqltext as Q
 from .registry import query
 from .tables import ACTIVITY_SQL, EDGES_SQL, NOTES_SQL, activity, edges, notes, read
 
-SECRET = X.SECRET_LINE.replace("'", "''")
 E = f"WITH RECURSIVE {EDGES_SQL}, both_ways AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges)"
 
 
@@ -72,7 +71,7 @@ def related(spark, d):
     return G.related(e, n, U.co_reads(activity(spark, d)), 13)
 
 
-TIES = f"""w AS (SELECT DISTINCT theme, id, unnest({Q.significant('title')}) AS word FROM (SELECT theme, id, CASE WHEN regexp_matches(title, '{SECRET}') THEN '[masked]' ELSE title END AS title FROM notes)), e AS (SELECT least(id, (id * 7 + 3) % 100) AS a, greatest(id, (id * 7 + 3) % 100) AS b FROM notes),
+TIES = f"""w AS (SELECT DISTINCT theme, id, unnest({Q.significant('title')}) AS word FROM (SELECT theme, id, CASE WHEN {Q.secret('title')} THEN '{Q.MASK}' ELSE title END AS title FROM notes)), e AS (SELECT least(id, (id * 7 + 3) % 100) AS a, greatest(id, (id * 7 + 3) % 100) AS b FROM notes),
 l AS (SELECT DISTINCT a, b, 2 AS l FROM e WHERE a <> b), s AS (SELECT x.id AS a, y.id AS b, least(count(*), 3) AS w FROM w x JOIN w y ON x.theme = y.theme AND x.word = y.word AND x.id < y.id GROUP BY 1, 2),
 t AS (SELECT a, b, coalesce(w, 0) + coalesce(l, 0) AS score FROM s FULL JOIN l USING (a, b) WHERE coalesce(w, 0) + coalesce(l, 0) >= 3)"""
 

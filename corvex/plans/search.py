@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from corvex.functions import text as X
 from corvex.operators import filters as P
 from corvex.operators import search as S
 from corvex.operators import semantic as V
+from corvex.operators.graph import shared_folder
 
 from . import sqltext as Q
 from .registry import query
-from .tables import NOTES_SQL, notes, read
+from .tables import NOTES_SQL, notes, read, version
 
 N = f"WITH {NOTES_SQL}"
 INDEX_SQL = f"""f AS (SELECT id, 8.0::DOUBLE AS w, true AS title, unnest({Q.terms('title')}) AS term FROM notes UNION ALL SELECT id, 1.0, false, unnest({Q.terms('body')}) FROM notes),
@@ -35,7 +38,8 @@ r AS (SELECT id, s * (0.35 + 0.65 * c * c) * CASE WHEN t = {len(words)} THEN 1.5
 
 
 def _index(spark, d):
-    return S.build(notes(spark, d).select("id", "title", "body", "mtime_ms"))
+    """Built once for a version of the table; queries read what they need of it."""
+    return S.stored(notes(spark, d).select("id", "title", "body", "mtime_ms"), "notes:" + version(spark, d, "documents"))
 
 
 def _query(name: str, text: str, words: list[str], limit: int = 10, extra: str = ""):
@@ -88,7 +92,8 @@ def filtered(spark, d):
 
 @query("search_filter_only", f"{N} SELECT id, round(mtime_ms / 1e13, 9) AS score FROM notes WHERE subtheme = 'fr' ORDER BY mtime_ms DESC, id LIMIT 10")
 def filter_only(spark, d):
-    ix = S.Index(notes(spark, d).withColumn("tags", F.array("subtheme")), None, None, None, 0, 1.0)
+    ix = _index(spark, d)
+    ix.notes = notes(spark, d).withColumn("tags", F.array("subtheme"))
     return S.search(ix, "tag:FR").select("id", F.round("score", 9).alias("score"))
 
 
@@ -100,15 +105,21 @@ def document_frequency(spark, d):
 @query("search_corpus_stats", f"{N}, {INDEX_SQL} SELECT n, round(a, 6) AS mean_len, (SELECT count(*) FROM p) AS postings, (SELECT sum(wtf) FROM p) AS weight FROM st")
 def corpus_stats(spark, d):
     ix = _index(spark, d)
-    return ix.postings.agg(F.lit(ix.n).alias("n"), F.round(F.lit(ix.mean_len), 6).alias("mean_len"), F.count("*").alias("postings"), F.sum("wtf").alias("weight"))
+    return ix.postings.agg(F.lit(ix.n).cast("bigint").alias("n"), F.round(F.lit(ix.mean_len), 6).alias("mean_len"), F.count("*").alias("postings"), F.sum("wtf").alias("weight"))
 
 
-@query("search_incremental_index", f"{N}, {INDEX_SQL} SELECT term, count(*) AS df FROM p WHERE id % 10 <> 3 GROUP BY term")
+@query("search_incremental_index", f"""WITH {NOTES_SQL.replace('notes AS', 'all_notes AS')}, notes AS (SELECT id, title, CASE WHEN id % 10 = 5 THEN title ELSE body END AS body FROM all_notes WHERE id % 10 <> 3), {INDEX_SQL}
+SELECT v.term, v.df, sum(wtf) AS weight, any_value(n) AS n, any_value(round(a, 6)) AS mean_len FROM v JOIN p USING (term), st GROUP BY v.term, v.df""")
 def incremental_index(spark, d):
-    """Notes of which a tenth changed to nothing: postings of the others remain."""
+    """An index without a tenth of the notes, and its next version: that tenth added, one changed, one gone."""
     n = notes(spark, d).select("id", "title", "body")
-    gone = n.where(F.pmod("id", F.lit(10)) == 3)
-    return S.merge_postings(S.postings_of(n), gone, gone.where("false")).groupBy("term").agg(F.count("*").alias("df"))
+    old, new = (f"{shared_folder(spark)}/search-{k}-{uuid.uuid4().hex}" for k in ("old", "new"))
+    S.save(n.where("id % 10 <> 4"), old)
+    changed = n.where("id % 10 = 4").unionByName(n.where("id % 10 = 5").withColumn("body", F.col("title")))
+    S.update(spark, old, new, changed, n.where("id % 10 = 3"))
+    ix = S.load(spark, new, n)
+    weight = ix.postings.groupBy("term").agg(F.sum("wtf").alias("weight"))
+    return ix.vocabulary.join(weight, "term").select("term", "df", "weight", F.lit(ix.n).cast("bigint").alias("n"), F.round(F.lit(ix.mean_len), 6).alias("mean_len"))
 
 
 @query("search_title", f"""{N}, t AS (SELECT id, {Q.fold('title')} AS t, ' ' || array_to_string({Q.words('title')}, ' ') || ' ' AS s FROM notes), q AS (SELECT 'the and attion' AS q)
@@ -145,10 +156,7 @@ def text_terms(spark, d):
     return notes(spark, d).select("id", X.terms("title").alias("terms"), X.fold("title").alias("folded"))
 
 
-_SECRET = X.SECRET_LINE.replace("'", "''")
-
-
-@query("text_significant_words", f"{N} SELECT id, list_sort({Q.significant('title')}) AS words FROM (SELECT id, CASE WHEN regexp_matches(title, '{_SECRET}') THEN '[masked]' ELSE title END AS title FROM notes)")
+@query("text_significant_words", f"{N} SELECT id, list_sort({Q.significant('title')}) AS words FROM (SELECT id, CASE WHEN {Q.secret('title')} THEN '{Q.MASK}' ELSE title END AS title FROM notes)")
 def text_significant(spark, d):
     return notes(spark, d).select("id", F.array_sort(X.significant_words(F.col("title"))).alias("words"))
 
@@ -158,7 +166,7 @@ def text_stable_ids(spark, d):
     return notes(spark, d).select("id", X.stable_id("title").alias("uuid"), X.stable_int("title").alias("n"))
 
 
-@query("text_mask_secrets", f"SELECT doc_id, count(*) FILTER (regexp_matches(line, '{_SECRET}')) AS masked FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
+@query("text_mask_secrets", f"SELECT doc_id, count(*) FILTER ({Q.secret('line')}) AS masked FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
 def text_mask(spark, d):
     docs = read(spark, d, "documents").where("text IS NOT NULL")
     return docs.select("doc_id", F.size(F.filter(F.split("text", "\n"), X.looks_secret)).cast("bigint").alias("masked"))
@@ -200,7 +208,7 @@ def vector_filtered(spark, d):
 def hybrid(spark, d):
     c = _chunks(spark, d)
     n = c.groupBy("permalink").agg(F.count("*").alias("n"))
-    lex = n.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "permalink"))).where("rank <= 6")
+    lex = n.orderBy(F.desc("n"), "permalink").limit(6).withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "permalink")))
     return V.fuse(lex, V.semantic_search(c, QUERY_VECTOR)).select("permalink", F.round("score", 9).alias("score"))
 
 

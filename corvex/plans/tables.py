@@ -15,6 +15,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def version(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A key that changes when the table's file does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    return f"{status.getPath()}:{status.getModificationTime()}:{status.getLen()}"
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     return d.select(

@@ -35,7 +35,13 @@ def test_words_of_has_only_words(t):
 
 def test_terms_and_significant_words(spark):
     assert one(spark, ["The decisions of the deploying teams"], X.terms("x")) == [["deci", "deploy", "team"]]
-    assert one(spark, ["Alpha alpha be BETA\npassword: hunter2"], X.significant_words("x")) == [["alpha", "beta", "masked"]]
+    assert one(spark, ["Alpha alpha be BETA\npassword: hunter2"], X.significant_words("x")) == [["alpha", "beta", "line", "hidden", "looks", "secret"]]
+
+
+def test_secrets(spark):
+    lines = ["Authorization: Bearer abcdef123456", "-----BEGIN PRIVATE KEY: abcdefgh", "github_pat_0123456789abcdefghij", "12345678:" + "a" * 30, "password: hunter2", "the passphrase: longer words", "a token of thanks", "## secret = `abcdef`", "sk-abcdefghijkl"]
+    assert one(spark, lines, X.looks_secret("x")) == [True, True, True, True, True, False, False, True, True]
+    assert one(spark, ["## secret = `abcdef`\nplain"], X.mask_secrets("x")) == ["## " + X.MASK + "\nplain"]
 
 
 def test_tokens_slug_wildcard(spark):
@@ -61,6 +67,17 @@ def test_parse_timeframe():
     assert D.parse_timeframe("whenever", NOW) is None and D.parse_timeframe(None, NOW) is None
 
 
+def test_parse_timeframe_forms():
+    ms = lambda *d: int(datetime(*d, tzinfo=UTC).timestamp() * 1000)
+    cases = {
+        "1.5 days": NOW - 36 * 3_600_000, "an hour ago": NOW - 3_600_000, "past 2 weeks": NOW - 14 * D.DAY, "this year": NOW - 365 * D.DAY, "3mo": NOW - 90 * D.DAY,
+        "march 5th, 2024": ms(2024, 3, 5), "5 mar 2024": ms(2024, 3, 5), "mon": None, "2026-13-01": None, "2026-01-05T06:00:00Z": ms(2026, 1, 5, 6), "2026-01-05 06:00": ms(2026, 1, 5, 6),
+        "now": NOW, "32 jan": None, "": None, "5 apples": None,
+    }
+    for text, want in cases.items():
+        assert D.parse_timeframe(text, NOW) == want, text
+
+
 def test_heading_dates(spark):
     titles = ["2026-10-12 review", "5/11/2026", "Notes 5/10 soir", "12 oct.", "Oct 12, 2026", "3 février", "Chapter 13/45", "plain"]
     got = one(spark, titles, D.heading_date(F.col("x")))

@@ -50,19 +50,33 @@ def test_read_notes(spark, folder):
     notes = {r.path: r for r in M.read_notes(spark, folder).collect()}
     assert set(notes) == {"a.md", "sub/B Note.md", "broken.md"}
     a = notes["a.md"]
-    assert a.title == "Décisions: café" and a.tags == ["infra", "ops"] and a.permalink == "a" and a.type == "note"
+    assert a.title == "Décisions: café" and a.tags == ["infra", "ops"] and a.permalink == "main/a" and a.type == "note"
     assert json.loads(a.front_matter)["metadata"] == {"owner": "ann", "levels": [1, 2.5]}
     assert json.loads(a.front_matter)["summary"] == "two lines folded"
     assert [(s.heading, s.level) for s in a.sections] == [("Head", 1), ("Sub", 2), ("Next", 1)]
     assert a.sections[0].end == a.sections[2].start and a.sections[1].end == a.sections[2].start
-    assert [(o.category, o.content, o.tags, o.context) for o in a.observations] == [("decision", "use spark #infra", ["infra"], "2026")]
+    assert [(o.category, o.content, o.tags, o.context) for o in a.observations] == [("decision", "use spark", ["infra"], "2026")]
     assert [(r.type, r.target, r.context) for r in a.relations] == [("depends_on", "Other Note", "strongly"), ("links_to", "Third", None)]
     b = notes["sub/B Note.md"]
-    assert b.title == "B Note" and b.permalink == "sub/b-note" and b.body == "no front matter\r\n"
+    assert b.title == "B Note" and b.permalink == "main/sub/b-note" and b.body == "no front matter\r\n"
     c = notes["broken.md"]
     assert c.front_matter_error and c.title == "Kept" and c.status == "open" and c.body == "body\n"
 
 
+def test_note_forms():
+    text = "# A closed heading ##\n#hashtag\n- is part  of [[Big|shown]] (why)\n- [x] task\n- [a](link)\n- [note] see [[One]] and [[Two#part]] #tag here\n- [[Only]]\n- **bold** [[Three]]\n[[]] [[bad]x]]"
+    n = M.parse_note("dir/My Note.md", text.encode(), 5, project="work")
+    assert [s["heading"] for s in n["sections"]] == ["A closed heading"] and n["permalink"] == "work/dir/my-note"
+    assert [(r["type"], r["target"], r["context"]) for r in n["relations"]] == [("is_part_of", "Big", "why"), ("links_to", "One", None), ("links_to", "Two", None), ("links_to", "Only", None), ("links_to", "Three", None)]
+    assert [(o["category"], o["content"], o["tags"]) for o in n["observations"]] == [("note", "see [[One]] and [[Two#part]]  here", ["tag"])]
+
+
+def test_scalars():
+    cases = {"": None, "~": None, "NULL": None, "True": True, "false": False, "7": 7, "-2.5": -2.5, "007": "007", "'it''s'": "it's", '"a\\n"': "a\n", "[a, 'b, c', [1]]": ["a", "b, c", [1]], "{k: v, n: 2}": {"k": "v", "n": 2}, "text # note": "text", '"bad\\q"': "bad\\q"}
+    for text, want in cases.items():
+        assert M.scalar(text) == want, text
+
+
 def test_changed(spark, folder):
     old = M.scan(spark, folder).select("path", "mtime_ms", "size").collect()
     old = spark.createDataFrame(old)
