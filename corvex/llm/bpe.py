@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import map_column
 
 NONE = 1 << 62  # rank of a pair that is not to be merged
-CACHE_WORDS = 600_000  # words a worker remembers; beyond it starts anew
+CACHE_BYTES = 96 << 20  # of what a worker remembers, about; beyond it starts anew
+SHORT = 48  # characters; longer stretches of text are not remembered, but the words in them
 LONG = 64  # bytes; longer words are folded one by one, with a heap
 FEW = 32  # words; fewer are folded one by one
 _WIDE = re.compile(r"\s | \s")  # a space beside other white space
@@ -164,8 +165,11 @@ class Codec:
         self.pieces = [b""] * (max(self.ranks.values()) + 1)
         for piece, i in self.ranks.items():
             self.pieces[i] = piece
-        self.folder, self.split = Folder(self.ranks), regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.folder, self.split, self.matches = Folder(self.ranks), compiled.findall, compiled.finditer
         self.known: dict[str, bytes] = {}  # stretch of text -> ids
+        self.words: dict[str, bytes] = {}  # match of the pattern in longer stretches -> ids
+        self.room = CACHE_BYTES
 
     def stretches(self, text: str) -> list[str]:
         """Parts of the text between which a match of the pattern always ends: before a space between two
@@ -175,30 +179,48 @@ class Codec:
         return [x if i == 0 else x[1:] for i, x in enumerate(re.split(r"(?<=\S)(?= \S)", text))]
 
     def learn(self, texts: list[str | None]) -> list[list[str]]:
-        """Fold the words of the texts that are not known yet; their stretches."""
+        """Fold the short stretches of the texts that are not known yet; the texts' stretches."""
         cut = [self.stretches(t) if t else [] for t in texts]
-        heads = [" " + c[0] for c in cut if c]  # stretches without a space before them; others never begin so
-        new = {w for c in cut for w in c[1:]}.union(heads).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = {w for c in cut for w in c[1:]}.union(heads)
-        self._learn(list(new))
+        seen = {w for c in cut for w in c[1:]}.union(" " + c[0] for c in cut if c)  # others never begin with a space
+        self._learn([w for w in seen.difference(self.known) if len(w) <= SHORT])
         return cut
 
     def counts(self, cut: list[str], head: bool = True) -> list[int]:
         """Token counts of stretches; with `head`, the first has no space before it."""
-        if not cut:
-            return []
-        keys = [" " + cut[0], *cut[1:]] if head else cut
-        try:
-            return [len(x) >> 2 for x in map(self.known.__getitem__, keys)]
-        except KeyError:
-            self._learn([k for k in dict.fromkeys(keys) if k not in self.known])
-        return [len(self.known[k]) >> 2 for k in keys]
+        keys = [" " + cut[0], *cut[1:]] if head and cut else cut
+        return [len(x) >> 2 for x in self.ids(keys)]
+
+    def ids(self, keys: list[str]) -> list[bytes]:
+        """Ids of stretches (see `learn` for how the first of a text is written)."""
+        get = self.known.get
+        found = [get(k) for k in keys]
+        if None in found:
+            new = [k for k, x in dict(zip(keys, found)).items() if x is None]
+            long = {k: b"".join(self.words_ids(self._split(k))) for k in new if len(k) > SHORT}
+            self._learn([k for k in new if len(k) <= SHORT])  # last, as to remember may be to forget others
+            found = [x if x is not None else long[k] if k in long else self.known[k] for k, x in zip(keys, found)]
+        return found
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        cut, get = self.learn(texts), self.known.__getitem__
-        return [b"".join(map(get, [" " + c[0], *c[1:]])) if c else b"" for c in cut]
+        return [b"".join(self.ids([" " + c[0], *c[1:]])) if c else b"" for c in self.learn(texts)]
+
+    def words_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of whole matches of the pattern."""
+        new = [w for w in dict.fromkeys(words) if w not in self.words]
+        folded = dict(zip(new, self.folder.fold([w.encode("utf-8", "surrogatepass") for w in new]))) if new else {}
+        out = [self.words[w] if w in self.words else folded[w] for w in words]
+        self._remember("words", {w: x for w, x in folded.items() if len(w) <= SHORT})
+        return out
+
+    def _split(self, key: str) -> list[str]:
+        return self.split(key[1:] if key[:1] == " " else " " + key)
+
+    def _remember(self, name: str, more: dict[str, bytes]) -> None:
+        size = sum(2 * len(k) + len(x) for k, x in more.items()) + 200 * len(more)  # and the objects around them
+        self.room -= size
+        if self.room < 0:
+            self.known, self.words, self.room = {}, {}, CACHE_BYTES - size
+        getattr(self, name).update(more)
 
     def _learn(self, stretches: list[str]) -> None:
         plain, mixed, distinct = [], [], {}
@@ -207,13 +229,13 @@ class Codec:
                 plain.append(s)
                 distinct[" " + s] = None
             else:
-                p = self.split(s[1:] if s[:1] == " " else " " + s)
+                p = self._split(s)
                 mixed.append((s, p))
                 distinct.update(dict.fromkeys(p))
         folded = self.folder.fold([w.encode("utf-8", "surrogatepass") for w in distinct]) if distinct else []
         ids = dict(zip(distinct, folded))
-        self.known.update((s, ids[" " + s]) for s in plain)
-        self.known.update((s, b"".join([ids[x] for x in p])) for s, p in mixed)
+        new = {s: ids[" " + s] for s in plain} | {s: b"".join([ids[x] for x in p]) for s, p in mixed}
+        self._remember("known", new)
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
@@ -286,5 +308,5 @@ def fold_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word"
             ))
         )
 
-    folded = F.aggregate(F.slice(start, 2, 1 << 20), start, merge)
+    folded = F.aggregate(F.slice(start, F.lit(2), F.size(start)), start, merge)
     return words.withColumn("ids", F.transform(folded, rank))

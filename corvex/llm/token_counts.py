@@ -1,13 +1,16 @@
 """Edit-aware token counts: a segment tree of token counts over the pre-tokens of a document.
 
-A space between two characters that are no white space always begins a pre-token, whatever else the text
-holds. Such spaces cut a document into stretches of whole pre-tokens; a leaf holds up to LEAF consecutive
-stretches, with their characters and token counts, and inner nodes hold sums. An edit of the characters
-[a, b) leaves every such space valid that lies before a - 1 or after b + 1, so only the text between the
-nearest two is encoded again; leaves are patched and the sums on their paths updated.
+A document is a list of parts, each one or more whole pre-tokens: stretches between spaces that always begin a
+pre-token, of which long ones are cut into their pre-tokens. A leaf holds up to LEAF consecutive parts, with their
+characters and token counts, and inner nodes hold sums. An edit is encoded again from two parts before it, and in
+front of white space there, since how a pre-token ends depends on no more than that, up to the first place behind it
+where a new pre-token begins where an old part did: from there on the old ones hold, as they follow from the text
+behind them alone. So an edit costs a bounded piece in any script. Leaves are patched and the sums on their paths
+updated.
 
 Defined results: a null text counts as empty; an edit's place is clipped to the text; edits apply in order,
-each to the result of the one before; a null or empty list of edits changes nothing.
+each to the result of the one before; a null or empty list of edits changes nothing; repeated rows are counted one
+by one; columns of other names are carried along, those with the names of the results replaced.
 """
 
 from __future__ import annotations
@@ -18,20 +21,31 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Codec, codec
+from .bpe import SHORT, Codec, codec
 from .common import map_column
 
 LEAF = 32
+AHEAD = 8  # parts that are read behind an edit, at first
 
 
 class TokenTree:
-    """A text is its stretches joined by safe spaces. Counted with a space before each stretch, the first too,
-    a leaf's characters are the lengths of its stretches and one for each."""
-
     def __init__(self, text: str, encoder: Codec, cut: list[str] | None = None):
         self.encoder, self.reencoded = encoder, 0
-        parts = (cut if cut is not None else encoder.stretches(text) if text else []) or [""]
-        self._build(parts, encoder.counts(parts))
+        parts, counts = [], []
+        stretches = (cut if cut is not None else encoder.stretches(text) if text else [])
+        for i, (s, n) in enumerate(zip(stretches, encoder.counts(stretches))):
+            whole = s if i == 0 else " " + s
+            if len(whole) <= SHORT:
+                parts.append(whole)
+                counts.append(n)
+            else:
+                words = encoder.split(whole)
+                parts += words
+                counts += self._tokens(words)
+        self._build(parts or [""], counts or [0])
+
+    def _tokens(self, words: list[str]) -> list[int]:
+        return [len(x) >> 2 for x in self.encoder.words_ids(words)]
 
     def _build(self, parts: list[str], counts: list[int]) -> None:
         self.parts, self.counts = parts, counts  # of leaves that no edit has touched
@@ -39,7 +53,7 @@ class TokenTree:
         n = np.arange(0, len(parts), LEAF)
         self.n, self.size = len(n), 1 << (len(n) - 1).bit_length()
         pad = [0] * (self.size - self.n)
-        chars = np.add.reduceat(np.fromiter(map(len, parts), np.int64, len(parts)) + 1, n).tolist() + pad
+        chars = np.add.reduceat(np.fromiter(map(len, parts), np.int64, len(parts)), n).tolist() + pad
         tokens = np.add.reduceat(np.array(counts, np.int64), n).tolist() + pad
         self.chars, self.tokens = [0] * self.size + chars, [0] * self.size + tokens
         for k in range(self.size - 1, 0, -1):
@@ -57,10 +71,10 @@ class TokenTree:
         return self.tokens[1]
 
     def text(self) -> str:
-        return " ".join(p for k in range(self.n) for p in self._leaf(k)[0])
+        return "".join(p for k in range(self.n) for p in self._leaf(k)[0])
 
     def _find(self, at: int) -> tuple[int, int]:
-        """The leaf whose stretches, with their spaces, hold place `at` (or the last), and where it begins."""
+        """The leaf whose parts hold place `at` (or the last), and where it begins."""
         k, before = 1, 0
         while k < self.size:
             k *= 2
@@ -71,44 +85,79 @@ class TokenTree:
 
     def edit(self, a: int, b: int, new: str) -> None:
         """Put `new` in place of the characters [a, b)."""
-        n = self.chars[1] - 1
-        a = min(max(a, 0), n)
-        b = min(max(b, a), n)
-        # the stretch with a - 1 keeps its first character, so the space before it stays safe; that after
-        # the stretch with b + 1 keeps the character before it
-        (first, at), (last, _) = self._find(max(a - 1, 0)), self._find(b + 1)
-        parts, counts = [], []
-        for k in range(first, last + 1):
+        a = min(max(a, 0), self.chars[1])
+        b = min(max(b, a), self.chars[1])
+        first, at = self._find(max(a - 1, 0))
+        last = self._find(b)[0]
+        parts, counts = [list(x) for x in self._leaf(first)]
+        for k in range(first + 1, last + 1):
             p, c = self._leaf(k)
             parts += p
             counts += c
-        lo = 0
-        while lo + 1 < len(parts) and at + len(parts[lo]) + 1 <= a - 1:
-            at += len(parts[lo]) + 1
+        # from two parts before the one with a - 1, and from in front of white space there
+        lo, end = 0, at
+        while lo + 1 < len(parts) and end + len(parts[lo]) <= a - 1:
+            end += len(parts[lo])
             lo += 1
-        hi, end = lo, at
-        while hi < len(parts) and end <= b + 1:
-            end += len(parts[hi]) + 1
+        back = 0
+        while back < 2 or (lo > 0 or first > 0) and parts[lo].isspace():
+            if lo == 0:
+                if first == 0:
+                    break
+                first -= 1
+                p, c = self._leaf(first)
+                parts, counts, lo = p + parts, c + counts, len(p)
+            lo -= 1
+            end -= len(parts[lo])
+            back += 1
+        at, shift = end, len(new) - (b - a)
+        hi, old_end, ahead = lo, at, AHEAD
+        while hi < len(parts) and old_end <= b:
+            old_end += len(parts[hi])
             hi += 1
-        old = " ".join(parts[lo:hi])
-        region = old[: a - at] + new + old[b - at :]
-        self.reencoded += len(region)
-        cut = self.encoder.stretches(region)
-        head = first == 0 and lo == 0
-        self._patch(first, last, parts[:lo] + cut + parts[hi:], counts[:lo] + self.encoder.counts(cut, head) + counts[hi:])
+        while True:
+            want = hi + ahead
+            while len(parts) < want and last + 1 < self.n:
+                last += 1
+                p, c = self._leaf(last)
+                parts, counts = parts + p, counts + c
+            far = min(want, len(parts))
+            whole = far == len(parts) and last + 1 == self.n
+            old = "".join(parts[lo:far])
+            region = old[: a - at] + new + old[b - at :]
+            ends = {}  # of old parts behind the edit, in the new text
+            place = 0
+            for k in range(lo, far):
+                place += len(parts[k])
+                if at + place >= b:
+                    ends[place + shift] = k + 1
+            words, to, done = [], 0, None
+            for m in self.encoder.matches(region):
+                words.append(m[0])
+                to = m.end()
+                if to in ends and to >= a - at + len(new) and (to < len(region) and not region[-1].isspace() or whole):
+                    done = ends[to]
+                    break
+            if done is None and whole:
+                done = far
+            if done is not None:
+                break
+            ahead *= 4
+        self.reencoded += to
+        self._patch(first, last, parts[:lo] + words + parts[done:], counts[:lo] + self._tokens(words) + counts[done:])
 
     def _patch(self, first: int, last: int, parts: list[str], counts: list[int]) -> None:
         n = last - first + 1
         if not n <= len(parts) <= 2 * LEAF * n:  # leaves may grow to twice their size, and not be empty
             before = [self._leaf(k) for k in range(first)] + [(parts, counts)] + [self._leaf(k) for k in range(last + 1, self.n)]
-            self._build([x for p, _ in before for x in p], [x for _, c in before for x in c])
+            self._build([x for p, _ in before for x in p] or [""], [x for _, c in before for x in c] or [0])
             return
         edges = [len(parts) * i // n for i in range(n + 1)]
         for i, (x, y) in enumerate(zip(edges, edges[1:])):
             p, c = parts[x:y], counts[x:y]
             self.own[first + i] = p, c
             k = self.size + first + i
-            self.chars[k], self.tokens[k] = sum(map(len, p)) + len(p), sum(c)
+            self.chars[k], self.tokens[k] = sum(map(len, p)), sum(c)
         for k in {(self.size + i) >> 1 for i in range(first, last + 1)}:
             while k:
                 self._sum(k)

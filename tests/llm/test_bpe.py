@@ -41,12 +41,23 @@ def test_every_sixth_character(codec, library):
 
 
 def test_long_words_and_full_cache(codec, library, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 900)
+    codec.room = 0
     random.seed(1)
     texts = ["".join(random.choice("abc") for _ in range(n)) for n in (63, 64, 65, 3000)] + ["one two three four five six seven"] * 2
     assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_all(texts)] == library.encode_ordinary_batch(texts)
 
 
+def test_long_stretches_are_not_remembered(library):
+    """Text without spaces is one stretch; only the words in it stay, up to a bound in bytes."""
+    c = bpe.Codec(PATH, P.PATTERN)
+    random.seed(2)
+    texts = ["".join(chr(random.randint(0x4E00, 0x9FA5)) + random.choice(["", "，", "。"]) for _ in range(3000)) for _ in range(20)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in c.encode_all(texts)] == library.encode_ordinary_batch(texts)
+    assert max(map(len, [*c.known, *c.words]), default=0) <= bpe.SHORT
+    assert sum(2 * len(k) + len(x) + 200 for d in (c.known, c.words) for k, x in d.items()) <= bpe.CACHE_BYTES
+
+
 def test_edges(spark, docs_of, odd_rows, library):
     out = bpe.decode(bpe.encode(docs_of(odd_rows), PATH, P.PATTERN, carry=["doc_id", "text"]), PATH, P.PATTERN).collect()
     assert len(out) == len(odd_rows)
@@ -84,3 +95,19 @@ def test_count_query(spark, docs_of, odd_rows, library):
         for a, b, new in token_counts.sample_edits(len(t), "" if r.doc_id is None else str(r.doc_id)):
             t = t[:a] + new + t[b:]
         assert r.n_tokens_after == len(library.encode_ordinary(t))
+
+
+def test_an_edit_costs_a_bounded_piece_in_any_script(codec):
+    random.seed(3)
+    for text in ("".join(chr(random.randint(0x4E00, 0x9FA5)) + random.choice(["", "", "，"]) for _ in range(20_000)), "\n".join(f"word{i}" for i in range(8_000)), "word " * 9_000):
+        tree = token_counts.TokenTree(text, codec)
+        tree.edit(len(text) // 2, len(text) // 2 + 3, "new!")
+        assert tree.reencoded < 1000
+        assert tree.total() == len(codec.encode(text[: len(text) // 2] + "new!" + text[len(text) // 2 + 3 :])) // 4
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "mine", 7)], "doc_id bigint, text string, ids string, n_edits int")
+    assert sorted(bpe.encode(docs, PATH, P.PATTERN).columns) == ["doc_id", "ids", "n_edits", "text"]
+    r = token_counts.count_edited(token_counts.with_sample_edits(docs), PATH, P.PATTERN)
+    assert r.first().n_edits == 3 and r.first().ids == "mine"
