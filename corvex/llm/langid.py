@@ -18,6 +18,7 @@ Defined results: a word is a letter with the letters and marks that follow; a nu
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,12 +40,17 @@ THINNED = 4
 EPOCHS, BATCH, RATE, DECAY = 4, 256, 0.3, 1e-4
 LEXICON_COUNT, LEXICON_SHARE, LEXICON_WORDS = 3, 0.9, 5000
 ROWS, WORDS = 2048, 1 << 16  # texts and words labelled at once, at most
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
+WORD, MARK = regex.compile(r"\p{L}[\p{L}\p{M}]*+"), regex.compile(r"\p{M}")
+PLAIN = re.compile(r"[^\W\d_]+")  # the same where there are no marks and no numbers but digits
 UND = "und"
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    found = PLAIN.findall(low)
+    if not found or "".join(found).isalpha() and (low.isascii() or not MARK.search(low)):
+        return found
+    return WORD.findall(low)
 
 
 def grams(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
