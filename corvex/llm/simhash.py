@@ -33,6 +33,7 @@ SEED = 42
 DISTANCE = 3
 FAMILIES = (4, 7, 16)  # numbers of blocks
 BUCKET = 512
+HOT_KEYS = 1000
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -176,15 +177,25 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _join_one(big: DataFrame, one: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """`big` with the row of `one` under its key; `n` tells how many of the `total` rows of `big` have it. Keys with
+    more than one row in HOT_KEYS, of which there are fewer than that, are broadcast, so none fills a task alone."""
+    hot = one.where(F.col(n) * HOT_KEYS > total).drop(n)
+    cold = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.drop(n), key)
+    return cold.unionByName(big.join(F.broadcast(hot), key))
+
+
 def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each row of `docs`: doc_id, fp, root (a fingerprint that names the group) and component_id."""
     view = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     prints = checkpoint(fingerprints(view, "text", ["doc_id"]))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     roots = components(links(nodes))
-    labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(labelled.select("fp", "root").join(named, "root"), "fp").select("doc_id", "fp", "root", "component_id")
+    labelled = checkpoint(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")))
+    named = labelled.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("m"))
+    rows, distinct = labelled.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tagged = _join_one(labelled.select("fp", "n", "root"), named, "root", "m", distinct)
+    return _join_one(prints, tagged, "fp", "n", rows).select("doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
