@@ -76,16 +76,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op1_sql() -> str:
-    rows = [(k, s) for k, t in licenses.TEMPLATES.items() for s in licenses._shingles_of(t)]
+    """Of each document and template, the most distinct shingles in a window that starts at one of its hits."""
+    rows = [(k, x) for k, t in licenses.TEMPLATES.items() for x in licenses._shingles_of(t)]
     span = max(sum(1 for x, _ in rows if x == k) for k in licenses.TEMPLATES)
-    values = ", ".join(f"('{k}', '{s}')" for k, s in rows)
+    values = ", ".join(f"('{k}', '{x}', {x.count(' ') + 1})" for k, x in rows)
     return f"""
-WITH t(license_id, shingle) AS (VALUES {values}),
+WITH t(license_id, shingle, k) AS (VALUES {values}),
 n AS (SELECT license_id, count(*) AS n_shingles FROM t GROUP BY license_id),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
-p AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
-h AS (SELECT DISTINCT doc_id, license_id, shingle, unnest([pos // {span}, pos // {span} - 1]) AS win FROM p JOIN t USING (shingle)),
-c AS (SELECT doc_id, license_id, win, count(DISTINCT shingle) AS n FROM h GROUP BY ALL)
+s AS (SELECT doc_id, w, k, unnest(range(1, greatest(len(w) - k + 1, CASE WHEN k = {licenses.SHINGLE} THEN 1 ELSE 0 END) + 1)) AS i FROM d, (SELECT DISTINCT k FROM t) WHERE len(w) > 0),
+p AS (SELECT DISTINCT doc_id, i - 1 AS pos, array_to_string(w[i:i + k - 1], ' ') AS shingle FROM s),
+h AS (SELECT doc_id, license_id, pos, shingle FROM p JOIN t USING (shingle)),
+c AS (SELECT a.doc_id, a.license_id, a.pos, count(DISTINCT b.shingle) AS n FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.license_id = b.license_id AND b.pos BETWEEN a.pos AND a.pos + {licenses.SPREAD * span - 1} GROUP BY ALL)
 SELECT doc_id, license_id, max(n)::BIGINT AS n_matched, any_value(n_shingles)::BIGINT AS n_shingles
 FROM c JOIN n USING (license_id) WHERE n >= {licenses.CONTAINED} * n_shingles GROUP BY doc_id, license_id"""
 

@@ -96,7 +96,7 @@ def test_variants_and_bare_reservations(spark, docs_of):
     }
 
 
-def test_query_equals_sql_but_for_notices_shorter_than_a_shingle(spark):
+def test_query_equals_sql(spark):
     import duckdb
 
     from corvex.llm import queries
@@ -106,4 +106,4 @@ def test_query_equals_sql_but_for_notices_shorter_than_a_shingle(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = set(con.execute(queries.SQL["op1_license_scan"]).fetchall())
-    assert want and got - want == {x for x in got if x[1] == "all-rights-bare"} and not want - got
+    assert want and got == want and any(x[1] == "all-rights-bare" for x in got)
