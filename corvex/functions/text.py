@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -200,6 +201,43 @@ def stable_int(x) -> Column:
     return F.conv(F.substring(F.sha1(_col(x)), 1, 7), 16, 10).cast("bigint")
 
 
+def iso(ms) -> Column:
+    """Milliseconds as an ISO instant."""
+    return F.date_format(F.timestamp_millis(_col(ms)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def prefix_hash(index: Column, rules: Column) -> Column:
+    """A hash of what is always loaded, of 16 characters."""
+    both = F.concat(F.coalesce(index, F.lit("")), F.lit("\0"), F.coalesce(rules, F.lit("")))
+    return F.substring(F.sha2(F.encode(both, "utf-8"), 256), 1, 16)
+
+
+META_SKIPPED, META_DEPTH = ("title", "permalink", "description", "tags", "type"), 3
+
+
+def _flat(value, depth: int) -> list[str]:
+    if value is None or depth > META_DEPTH:
+        return []
+    if isinstance(value, dict):
+        return [x for v in value.values() for x in _flat(v, depth + 1)]
+    if isinstance(value, list):
+        return [x for v in value for x in _flat(v, depth + 1)]
+    return [str(value).lower() if isinstance(value, bool) else str(value)]
+
+
+@F.pandas_udf(T.StringType())
+def meta_text(front_matter: pd.Series) -> pd.Series:
+    """The values of front matter (JSON) to a depth of three, without those that have fields of their own."""
+    def one(x):
+        try:
+            data = json.loads(x) if x else {}
+        except ValueError:
+            return ""
+        return " ".join(y for k, v in data.items() if k not in META_SKIPPED for y in _flat(v, 0)) if isinstance(data, dict) else ""
+
+    return front_matter.map(one)
+
+
 def tool_kind(name) -> Column:
     """write, search or read by a tool's name, in that order; null for others."""
     n = F.lower(_col(name))
@@ -211,6 +249,11 @@ def tool_kind(name) -> Column:
 
 
 def register(spark) -> None:
-    """SQL functions tok and fold_text; words and terms come as array<string>."""
+    """SQL functions tok, fold_text, meta_text, and stem_word and terms of plain Latin text."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tok(x STRING) RETURNS BIGINT RETURN CAST(ceil(octet_length(coalesce(x, '')) / 4) AS BIGINT)")
     spark.udf.register("fold_text", fold_any)
+    spark.udf.register("meta_text", meta_text)
+    stem_all = F.pandas_udf(lambda x: x.map(lambda w: None if w is None else stem_word(w)), T.StringType())
+    terms_all = F.pandas_udf(lambda x: x.map(lambda t: [stem_word(w) for w in words_of(t or "") if w not in STOP_WORDS]), T.ArrayType(T.StringType()))
+    spark.udf.register("stem_word", stem_all)
+    spark.udf.register("terms", terms_all)

@@ -31,16 +31,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def resolve_links(links: DataFrame, notes: DataFrame) -> DataFrame:
-    """`links` (target, …) plus to: the note by title, permalink, slug, path, slugified or folded title, the
-    first of these that any note has; of several notes the first by permalink and path."""
-    keys = notes.select("id", "permalink", "path", F.posexplode(F.array(
-        F.col("title"), F.lower("permalink"), F.col("slug"), F.lower(F.regexp_replace("path", r"\.md$", "")), X.slugify("title"), X.fold("title"),
-    )).alias("tier", "key")).where("key IS NOT NULL AND key <> ''")
+def _bare(c) -> Column:
+    return F.lower(F.regexp_replace(c, r"\.md$", ""))
+
+
+#: Names by which a note is found, in the order in which they count: of the note, and of what is asked.
+LINK_TIERS = (
+    (lambda: F.col("title"), lambda t: t), (lambda: F.lower("permalink"), F.lower), (lambda: F.col("slug"), F.lower),
+    (lambda: _bare("path"), _bare), (lambda: X.slugify("title"), X.slugify), (lambda: X.fold("title"), X.fold),
+)
+READ_TIERS = (  # an identifier that ends in .md is a path before all else
+    (lambda: F.lower("path"), lambda t: F.when(F.lower(t).endswith(".md"), F.lower(t))), (lambda: F.lower("permalink"), F.lower), (lambda: _bare("path"), _bare),
+    (lambda: F.col("title"), lambda t: t), (lambda: F.col("slug"), F.lower), (lambda: F.col("slug"), lambda t: X.slugify(t, False)),
+)
+
+
+def resolve_links(links: DataFrame, notes: DataFrame, tiers=LINK_TIERS) -> DataFrame:
+    """`links` (target, …) plus to: the note by title, permalink, slug, path, slugified or folded title (or by other
+    `tiers`), the first of these that any note has; of several notes the first by permalink and path."""
+    keys = notes.select("id", "permalink", "path", F.posexplode(F.array(*[own() for own, _ in tiers])).alias("tier", "key")).where("key IS NOT NULL AND key <> ''")
     best = keys.groupBy("tier", "key").agg(F.min(F.struct("permalink", "path", "id"))["id"].alias("to"))
-    asked = links.select("target").distinct().select("target", F.posexplode(F.array(
-        F.col("target"), F.lower("target"), F.lower("target"), F.lower(F.regexp_replace("target", r"\.md$", "")), X.slugify("target"), X.fold("target"),
-    )).alias("tier", "key"))
+    asked = links.select("target").distinct().select("target", F.posexplode(F.array(*[of(F.col("target")) for _, of in tiers])).alias("tier", "key"))
     found = asked.join(best, ["tier", "key"]).groupBy("target").agg(F.min_by("to", "tier").alias("to"))
     return links.join(found, "target", "left")
 
@@ -73,9 +84,15 @@ def neighbours(edges: DataFrame, start: DataFrame, depth: int = 1, allowed: Data
     return seen
 
 
-def capped_neighbours(edges: DataFrame, start: DataFrame, depth: int, most: int) -> DataFrame:
+def read_notes(asked: DataFrame, notes: DataFrame) -> DataFrame:
+    """`asked` (target) with to: notes by identifier, as a reader names them."""
+    return resolve_links(asked, notes, READ_TIERS)
+
+
+def capped_neighbours(edges: DataFrame, start: DataFrame, depth: int, most: int, allowed: DataFrame | None = None) -> DataFrame:
     """The first `most` nodes in breadth-first order: by hop, then in the order in which the nodes before
-    them were reached and their edges' positions (columns src, dst, pos; outgoing before incoming)."""
+    them were reached and their edges' positions (columns src, dst, pos; outgoing before incoming). Only nodes of
+    `allowed`, such as recent ones, are shown and expanded; those of `start` are expanded and not shown."""
     both = edges.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.lit(0).alias("way"), "pos").unionByName(edges.select(F.col("dst").alias("x"), F.col("src").alias("y"), F.lit(1).alias("way"), "pos"))
     seen = cut(start.select("node", F.lit(0).alias("hop"), F.array(F.lit(0).cast("bigint")).alias("order")).dropDuplicates(["node"]))
     frontier = seen
@@ -84,6 +101,8 @@ def capped_neighbours(edges: DataFrame, start: DataFrame, depth: int, most: int)
         order = F.concat("order", F.array(F.col("way").cast("bigint"), F.col("pos").cast("bigint")))
         nxt = step.select(F.col("y").alias("node"), order.alias("order")).groupBy("node").agg(F.min("order").alias("order"))
         nxt = nxt.join(seen.select("node"), "node", "left_anti")
+        if allowed is not None:
+            nxt = nxt.join(allowed.select("node"), "node", "left_semi")
         # no more than `most` can be shown, so no more need be expanded
         frontier = cut(nxt.withColumn("hop", F.lit(hop)).orderBy("order", "node").limit(most).select("node", "hop", "order"))
         seen = seen.unionByName(frontier)

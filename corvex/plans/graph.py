@@ -31,18 +31,26 @@ def bfs(spark, d):
     return G.neighbours(e, e.agg(F.min("src").alias("node")), 2)
 
 
-@query("graph_capped_context", f"{E}, s AS (SELECT min(src) AS s FROM edges) SELECT y AS node, 1 AS hop, row_number() OVER (ORDER BY y)::INTEGER AS rank FROM both_ways, s WHERE x = s QUALIFY rank <= 5")
+@query("graph_capped_context", f"""WITH RECURSIVE {EDGES_SQL}, s AS (SELECT min(src) AS s FROM edges), p AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS pos FROM edges),
+b AS (SELECT src AS x, dst AS y, 0 AS way, pos FROM p UNION ALL SELECT dst, src, 1, pos FROM p), ok AS (SELECT DISTINCT x AS node FROM b WHERE ascii(right(x, 1)) % 4 <> 0),
+h1 AS (SELECT y AS node, min([0, way, pos]) AS o FROM b, s WHERE x = s AND y <> s AND y IN (SELECT node FROM ok) GROUP BY y ORDER BY o, node LIMIT 13),
+h2 AS (SELECT y AS node, min(list_concat(o, [way, pos])) AS o FROM b JOIN h1 ON x = node, s WHERE y <> s AND y NOT IN (SELECT node FROM h1) AND y IN (SELECT node FROM ok) GROUP BY y ORDER BY o, y LIMIT 13),
+u AS (SELECT node, 1 AS hop, o FROM h1 UNION ALL SELECT node, 2, o FROM h2) SELECT node, hop, row_number() OVER (ORDER BY hop, o, node)::INTEGER AS rank FROM u QUALIFY rank <= 13""")
 def capped(spark, d):
+    """Two hops, only over nodes that a gate lets through, up to a cap beyond the first hop."""
     from pyspark.sql import Window as W
 
     e = edges(spark, d)
     e = e.withColumn("pos", F.row_number().over(W.partitionBy("src").orderBy("dst")))
-    return G.capped_neighbours(e, e.agg(F.min("src").alias("node")), 2, 5)
+    gate = e.select(F.col("src").alias("node")).union(e.select("dst")).where(F.ascii(F.right("node", F.lit(1))) % 4 != 0)
+    return G.capped_neighbours(e, e.agg(F.min("src").alias("node")), 2, 13, gate)
 
 
-@query("graph_components")
+COMPONENTS = """lab(node, root) USING KEY (node) AS (SELECT DISTINCT x, x FROM b UNION SELECT b.y, min(lab.root) FROM lab JOIN b ON b.x = lab.node JOIN recurring.lab AS o ON o.node = b.y WHERE lab.root < o.root GROUP BY b.y)"""
+
+
+@query("graph_components", f"WITH RECURSIVE {EDGES_SQL}, b(x, y) AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst), {COMPONENTS} SELECT node, root FROM lab")
 def components(spark, d):
-    """Labels by recursion grow with the square of a component in SQL; tests hold them against a walk."""
     return G.components(edges(spark, d))
 
 
@@ -87,15 +95,18 @@ def ties(spark, d):
     return _ties(spark, d).select("a", "b", F.col("score").cast("bigint").alias("score"))
 
 
-@query("structure_groups")
+@query("structure_groups", f"""WITH RECURSIVE {NOTES_SQL}, {TIES}, b(x, y) AS (SELECT a, b FROM t UNION SELECT b, a FROM t), {COMPONENTS}, g AS (SELECT root, count(*) AS notes, count(DISTINCT subtheme) AS subthemes FROM lab JOIN notes ON id = node GROUP BY root)
+SELECT root, notes, subthemes, sum(score)::BIGINT AS score FROM g JOIN lab USING (root) JOIN t ON t.a = lab.node WHERE notes >= 3 AND subthemes >= 2 GROUP BY ALL""")
 def groups(spark, d):
     g = G.groups(_ties(spark, d), notes(spark, d))
     return g.select("root", "notes", "subthemes", F.col("score").cast("bigint").alias("score"))
 
 
-@query("structure_mutual_links", f"WITH {NOTES_SQL}, e AS (SELECT id AS src, (id * 3 + 1) % 8 AS dst FROM notes) SELECT DISTINCT x.src AS hub, x.dst AS part FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src <> x.dst")
+@query("structure_mutual_links", f"WITH {NOTES_SQL}, e AS (SELECT id AS src, CASE WHEN id % 2 = 0 THEN id + 1 ELSE id - 1 END AS dst FROM notes WHERE id % 5 <> 0 UNION ALL SELECT id, id // 2 FROM notes) SELECT DISTINCT x.src AS hub, x.dst AS part FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src <> x.dst")
 def mutual(spark, d):
-    return G.mutual(notes(spark, d).select(F.col("id").alias("src"), F.pmod(F.col("id") * 3 + 1, F.lit(8)).alias("dst")))
+    n = notes(spark, d)
+    pairs = n.where("id % 5 <> 0").select(F.col("id").alias("src"), F.when(F.col("id") % 2 == 0, F.col("id") + 1).otherwise(F.col("id") - 1).alias("dst"))
+    return G.mutual(pairs.unionByName(n.select(F.col("id").alias("src"), F.floor(F.col("id") / 2).alias("dst"))))
 
 
 @query("structure_collisions", "SELECT url, list_sort(list(page_id)) AS ids FROM (SELECT lower(regexp_extract(url, '//([^/]+)', 1)) AS url, page_id FROM pages) GROUP BY url HAVING count(*) > 1")
