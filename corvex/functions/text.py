@@ -66,31 +66,36 @@ def words(x) -> Column:
     return F.regexp_extract_all(fold(x), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-#: Endings in two rounds: of the first that a word has, being long enough, so many letters go and others come.
-#: (pattern of the ending, least length, letters that go, letters that come)
-PLURALS = (("ies", 5, 3, "y"), ("[^s0-9]s|[^0-9]x", 4, 1, ""))
-ENDINGS = (("tion|sion", 7, 4, ""), ("ing", 6, 3, ""))
+#: Endings in two rounds, of which the first that a word has counts: the ending, the word's least length, letters that
+#: go, letters that come, and signs that it must not follow.
+DIGITS = "0123456789"
+PLURALS = (("ies", 5, 3, "y", ""), ("s", 4, 1, "", "s" + DIGITS), ("x", 4, 1, "", DIGITS))
+ENDINGS = (("tion", 7, 4, "", ""), ("sion", 7, 4, "", ""), ("ing", 6, 3, "", ""))
+
+
+def _cut_ending(c: Column, rules) -> Column:
+    out, n = c, F.length(c)
+    for ending, least, goes, comes, not_after in reversed(rules):
+        has = (n >= least) & c.endswith(ending)
+        if not_after:
+            has = has & ~F.substring(c, n - len(ending), F.lit(1)).isin(*not_after)
+        cut = F.substring(c, F.lit(1), n - goes)
+        out = F.when(has, F.concat(cut, F.lit(comes)) if comes else cut).otherwise(out)
+    return out
 
 
 def stem(w) -> Column:
     """Plural endings, then (unless a word in -ies) noun and verb endings."""
-    def first(c: Column, rules) -> Column:
-        out = c
-        for ending, least, goes, comes in reversed(rules):
-            n = F.length(c)
-            out = F.when((n >= least) & c.rlike(f"({ending})$"), F.concat(F.substring(c, F.lit(1), n - goes), F.lit(comes))).otherwise(out)
-        return out
-
     w = _col(w)
-    ies, least, _, _ = PLURALS[0]
-    return F.when(w.endswith(ies) & (F.length(w) >= least), first(w, PLURALS)).otherwise(first(first(w, PLURALS[1:]), ENDINGS))
+    ies, least, *_ = PLURALS[0]
+    return F.when(w.endswith(ies) & (F.length(w) >= least), _cut_ending(w, PLURALS[:1])).otherwise(_cut_ending(_cut_ending(w, PLURALS[1:]), ENDINGS))
 
 
 def stem_word(w: str) -> str:
     """The same for one string, for the driver's side of a query."""
-    for k, rules in enumerate((PLURALS, ENDINGS)):
-        for ending, least, goes, comes in rules:
-            if len(w) >= least and re.search(f"({ending})$", w):
+    for rules in (PLURALS, ENDINGS):
+        for ending, least, goes, comes, not_after in rules:
+            if len(w) >= least and w.endswith(ending) and w[-len(ending) - 1] not in not_after:
                 w = w[: len(w) - goes] + comes
                 if comes:
                     return w

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 RESAMPLES, SEED, LOW, HIGH = 2000, 7, 50, 1949
 CALL_TOKENS = 5000
+MOST_QUESTIONS = 5000
 
 
 def retrieval(ranks: DataFrame) -> DataFrame:
@@ -44,7 +45,8 @@ def relative_difference(runs: DataFrame, variant: str, base: str) -> DataFrame:
         d = np.sort(v[draw].sum(axis=1) / b[draw].sum(axis=1) - 1)
         return pd.DataFrame([{"n": n, "change": v.sum() / b.sum() - 1, "low": d[LOW], "high": d[HIGH]}])
 
-    # the questions of a benchmark are a few hundred rows
+    if paired.limit(MOST_QUESTIONS + 1).count() > MOST_QUESTIONS:  # they are drawn from in one task
+        raise ValueError(f"more than {MOST_QUESTIONS} questions")
     return paired.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(boot, "n bigint, change double, low double, high double")
 
 

@@ -147,17 +147,27 @@ def related(edges: DataFrame, notes: DataFrame, usage: DataFrame, note, most: in
     return evidence.groupBy("id").agg(F.sum("w").alias("score"), F.array_sort(F.collect_set("why")).alias("reasons")).orderBy(F.desc("score"), "id").limit(most)
 
 
-def ties(words: DataFrame, edges: DataFrame, strong: int = 3) -> DataFrame:
-    """Pairs a < b of one theme with score 2 for a link and up to 3 for shared words; `words` has theme, id,
-    word. A word's notes within a theme meet by salt, so that a frequent word is dealt over many tasks."""
+def ties(words: DataFrame, edges: DataFrame, strong: int = 3, most: int = 3) -> DataFrame:
+    """Pairs a < b of one theme with score 2 for a link and up to `most` for shared words, from `strong` = `most` on;
+    `words` has theme, id, word. Two notes without a link need `most` words in common, so they share one among all
+    but their most - 1 most frequent ones: only these rarer words are joined, and frequent ones never alone. Linked
+    pairs come from their links. A word's notes meet by salt, so that a frequent word is dealt over many tasks."""
+    if strong != most:
+        raise ValueError("what is joined is told by `strong` words in common")
     salts = 16
     w = words.select("theme", "id", "word").distinct()
-    left = w.select("theme", "word", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("s"))
-    right = w.select("theme", "word", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("s"))
-    shared = left.join(right, ["theme", "word", "s"]).where("a < b").groupBy("a", "b").agg(F.least(F.count("*"), F.lit(3)).alias("w"))
+    df = w.groupBy("theme", "word").agg(F.count("*").alias("df"))
+    sets = w.join(df, ["theme", "word"]).groupBy("theme", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("words"))
+    rare = sets.select("theme", "id", F.explode(F.slice("words", F.lit(1), F.greatest(F.size("words") - (most - 1), F.lit(0)))).alias("word"))
+    left = rare.select("theme", "word", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("s"))
+    right = rare.select("theme", "word", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("s"))
+    met = left.join(right, ["theme", "word", "s"]).where("a < b").select("a", "b").distinct()
     linked = undirected(edges).withColumn("l", F.lit(2))
-    both = shared.join(linked, ["a", "b"], "full").select("a", "b", (F.coalesce("w", F.lit(0)) + F.coalesce("l", F.lit(0))).alias("score"))
-    return both.where(F.col("score") >= strong)
+    pairs = met.join(linked, ["a", "b"], "full").select("a", "b", F.coalesce("l", F.lit(0)).alias("l"))
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("theme").alias(f"theme_{k}"), F.col("words").alias(f"words_{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("theme_a = theme_b")
+    shared = F.least(F.size(F.array_intersect("words_a", "words_b")), F.lit(most))
+    return both.select("a", "b", (shared + F.col("l")).alias("score"), shared.alias("w")).where((F.col("score") >= strong) & (F.col("w") > 0)).drop("w")
 
 
 def groups(tied: DataFrame, notes: DataFrame, least: int = 3) -> DataFrame:

@@ -72,17 +72,27 @@ SIGNS = {"AND": "both", "&&": "both", "OR": "either", "||": "either", "NOT": "no
 LEAD = {"-": "none", "+": "both"}
 
 
+def _parts(query: str) -> Iterator[tuple[bool, str]]:
+    """Quoted texts (True) and words; a quote counts where a word would begin and if another follows."""
+    at = 0
+    while at < len(query):
+        if query[at].isspace():
+            at += 1
+            continue
+        close = query.find('"', at + 1) if query[at] == '"' else -1
+        end = close if close >= 0 else at + len(query[at:].split(None, 1)[0])
+        yield close >= 0, query[at + (close >= 0) : end]
+        at = end + (close >= 0)
+
+
 def lex(query: str) -> Iterator[tuple[str, str]]:
     """(kind, text): signs (both, either, none), and items (phrase, tags, word)."""
-    for k, part in enumerate(query.replace("(", " ").replace(")", " ").split('"')):
-        closed = k % 2 == 1 and query.count('"') > k  # a quote that never ends is a character
-        if closed:
-            yield "phrase", part
-            continue
-        for word in part.split():
-            if word in SIGNS:
-                yield SIGNS[word], word
-                continue
+    for quoted, word in _parts(query.replace("(", " ").replace(")", " ")):
+        if quoted:
+            yield "phrase", word
+        elif word in SIGNS:
+            yield SIGNS[word], word
+        else:
             if len(word) > 1 and word[0] in LEAD:
                 yield LEAD[word[0]], word[0]
                 word = word[1:]
@@ -193,6 +203,9 @@ def build(notes: DataFrame) -> Index:
 
 def save(notes: DataFrame, path: str, parts: int = INDEX_PARTS) -> None:
     """Write the index: postings in `parts` files by ranges of (term, id), so a frequent term may fill several."""
+    cores = notes.sparkSession.sparkContext.defaultParallelism
+    # by note, once: all sums by note and term, and their lengths, are then local; and all cores split words
+    notes = notes.repartition(max(2 * cores, notes.rdd.getNumPartitions()), "id")
     _write(path, postings_of(notes), lambda p: documents_of(notes, p), parts)
 
 
@@ -455,22 +468,29 @@ def _begins(t: str):
     return lambda x: x.startswith(t)
 
 
-def excerpt(line: Column, terms: list[str], most: int = 200) -> Column:
-    """A line of at most about `most` characters around the first query term it holds, cut between words, with an
-    ellipsis for what is left out."""
-    text = F.trim(F.regexp_replace(line, r"\s+", " "))
-    found = F.array_min(F.filter(F.array(*[F.instr(X.fold(text), t) for t in terms] or [F.lit(0)]), lambda i: i > 0))
-    at = F.coalesce(found - 1, F.lit(-1))
-    start = F.greatest(F.lit(0), F.least(at - round(most * 0.3), F.length(text) - most))
-    nxt = start + F.instr(F.substring(text, start + 1, F.length(text)), " ") - 1  # the first space from the start on
-    skip = (start > 0) & (nxt >= start) & (nxt < start + 30) & ((at < 0) | (nxt < at))
-    start = F.when(skip, nxt + 1).otherwise(start)
-    end = F.least(F.length(text), start + most - 2)
-    head = F.substring(text, F.lit(1), end + 1)
-    last = F.length(head) - F.instr(F.reverse(head), " ")  # place of the last space up to the end
-    end = F.when((end < F.length(text)) & (F.instr(head, " ") > 0) & (last > start + round(most * 0.75)), last).otherwise(end)
-    cut = F.concat(F.when(start > 0, "…").otherwise(""), F.trim(F.substring(text, start + 1, end - start)), F.when(end < F.length(text), "…").otherwise(""))
-    return F.when(F.length(text) <= most, text).otherwise(cut)
+def excerpts(lines: DataFrame, terms: list[str], most: int = 200) -> DataFrame:
+    """`lines` (line, …) plus excerpt: of a line about `most` characters around the first query term it holds, cut
+    between words, with an ellipsis for what is left out."""
+    space = lambda c: F.instr(c, " ")
+    found = F.array_min(F.filter(F.array(*[F.instr(F.col("_fold"), t) for t in terms] or [F.lit(0)]), lambda i: i > 0))
+    steps = {  # each from those before it; places count from 0
+        "_text": F.trim(F.regexp_replace("line", r"\s+", " ")),
+        "_n": F.length("_text"),
+        "_fold": X.fold("_text"),
+        "_at": F.coalesce(found - 1, F.lit(-1)),
+        "_from": F.greatest(F.lit(0), F.least(F.col("_at") - round(most * 0.3), F.col("_n") - most)),
+        "_gap": F.col("_from") + space(F.substring("_text", F.col("_from") + 1, F.col("_n"))) - 1,
+        "_start": F.when((F.col("_from") > 0) & (F.col("_gap") >= F.col("_from")) & (F.col("_gap") < F.col("_from") + 30) & ((F.col("_at") < 0) | (F.col("_gap") < F.col("_at"))), F.col("_gap") + 1).otherwise(F.col("_from")),
+        "_to": F.least(F.col("_n"), F.col("_start") + most - 2),
+        "_head": F.substring("_text", F.lit(1), F.col("_to") + 1),
+        "_last": F.when(space("_head") > 0, F.length("_head") - space(F.reverse("_head"))).otherwise(-1),
+        "_end": F.when((F.col("_to") < F.col("_n")) & (F.col("_last") > F.col("_start") + round(most * 0.75)), F.col("_last")).otherwise(F.col("_to")),
+    }
+    out = lines
+    for name, c in steps.items():
+        out = out.withColumn(name, c)
+    cut = F.concat(F.when(F.col("_start") > 0, "…").otherwise(""), F.trim(F.substring("_text", F.col("_start") + 1, F.col("_end") - F.col("_start"))), F.when(F.col("_end") < F.col("_n"), "…").otherwise(""))
+    return out.withColumn("excerpt", F.when(F.col("_n") <= most, F.col("_text")).otherwise(cut)).drop(*steps)
 
 
 def snippets(hits: DataFrame, notes: DataFrame, q: Query) -> DataFrame:
@@ -483,7 +503,8 @@ def snippets(hits: DataFrame, notes: DataFrame, q: Query) -> DataFrame:
         near = F.exists("have", _begins(t)) if len(t) >= 3 else F.lit(False)
         score = score + F.when(F.array_contains("have", t), 1.0).when(near, PREFIX).otherwise(0.0)
     best = lines.withColumn("s", score).groupBy("id").agg(F.max_by(F.struct("line_no", "line"), F.struct("s", -F.col("line_no"))).alias("x"), F.max("s").alias("s"))
-    return best.select("id", F.when(F.col("s") > 0, excerpt(F.col("x.line"), q.terms)).otherwise(F.lit("")).alias("snippet"))
+    cut = excerpts(best.select("id", "s", F.col("x.line").alias("line")), q.terms)
+    return cut.select("id", F.when(F.col("s") > 0, F.col("excerpt")).otherwise(F.lit("")).alias("snippet"))
 
 
 def title_hits(notes: DataFrame, query: str) -> DataFrame:

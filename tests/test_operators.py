@@ -140,4 +140,18 @@ def test_bootstrap(spark):
     runs = spark.createDataFrame([(q, v, 10.0 + q * (v == "b")) for q in range(1, 9) for v in ("a", "b")], "question bigint, variant string, value double")
     r = B.relative_difference(runs, "b", "a").first()
     assert r.n == 8 and abs(r.change - 0.45) < 1e-9 and r.low < r.change < r.high
-    assert B.mulberry32(7, 3) == B.mulberry32(7, 3) and all(0 <= x < 1 for x in B.mulberry32(1, 100))
+    import numpy as np
+
+    def step(a):  # the same in wrapping 32-bit arithmetic
+        with np.errstate(over="ignore"):
+            a = np.uint32(a) + np.uint32(0x6D2B79F5)
+            t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
+            t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
+            return a, float(t ^ (t >> np.uint32(14))) / 2**32
+
+    for seed in (0, 7, 2**32 - 1):
+        a, want = seed, []
+        for _ in range(5):
+            a, x = step(a)
+            want.append(x)
+        assert B.mulberry32(seed, 5) == want
