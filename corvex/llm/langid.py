@@ -8,8 +8,8 @@ the field learns to switch. Forward-backward then labels every word of every who
 
 The field is fitted on at most SAMPLE labelled training documents of a language, those of the smallest hashes,
 and of each on at most SAMPLE_CHARS characters, from a place that its hash tells; every language that training
-documents have is learned. All documents are labelled, every word of them: texts are taken together up to WORDS
-words, and a longer text goes through forward-backward in blocks of so many, which pass their messages on.
+documents have is learned. All documents are labelled, every word of them: texts are taken together up to CELLS
+words by languages, and a longer text goes through forward-backward in blocks of so many, which pass their messages on.
 
 Defined results: a word is a letter with the letters and marks that follow; a null text or one without letters is
 `und` with score 0; documents with a null language are not learned from; without any training document all are
@@ -39,7 +39,7 @@ PIECE = 24  # words in a training sequence
 THINNED = 4
 EPOCHS, BATCH, RATE, DECAY = 4, 256, 0.3, 1e-4
 LEXICON_COUNT, LEXICON_SHARE, LEXICON_WORDS = 3, 0.9, 5000
-ROWS, WORDS = 2048, 1 << 16  # texts and words labelled at once, at most
+ROWS, CELLS = 2048, 1 << 22  # texts, and words by languages, labelled at once, at most
 WORD, MARK = regex.compile(r"\p{L}[\p{L}\p{M}]*+"), regex.compile(r"\p{M}")
 PLAIN = re.compile(r"[^\W\d_]+")  # the same where there are no marks and no numbers but digits
 UND = "und"
@@ -122,7 +122,7 @@ class Field:
             out[i] = fwd[slots[k]]
         return out
 
-    def blocks(self, ids: np.ndarray, emissions: np.ndarray, size: int = WORDS) -> Iterator[np.ndarray]:
+    def blocks(self, ids: np.ndarray, emissions: np.ndarray, size: int) -> Iterator[np.ndarray]:
         """The same for one long sequence of words, in blocks from the last to the first: a first pass keeps the
         forward message at each block's start, a second goes back and needs one block's at a time."""
         move, first = np.exp(self.moves), np.exp(self.first)
@@ -274,6 +274,7 @@ def identify(docs: DataFrame, field: Field, text_col: str = "text", carry: list[
 
     def make():
         f = shared.value
+        room = max(1, CELLS // max(1, len(f.labels)))
 
         def some(texts):
             ids: dict[str, int] = {}
@@ -284,9 +285,9 @@ def identify(docs: DataFrame, field: Field, text_col: str = "text", carry: list[
                 return [(UND, 0.0, ()) for _ in texts]
             e = f.emissions(list(ids))
             out = [(UND, 0.0, ()) for _ in texts]
-            if len(seqs) == 1 and len(seqs[0]) > WORDS:
+            if len(seqs) == 1 and len(seqs[0]) > room:
                 total, best = np.zeros(len(f.labels)), []
-                for p in f.blocks(seqs[0], e):
+                for p in f.blocks(seqs[0], e, room):
                     total += p.sum(axis=0)
                     best.append(p.argmax(axis=1).astype(np.int16 if len(f.labels) < 1 << 15 else np.int32))
                 found = [(0, total / len(seqs[0]), np.concatenate(best[::-1]))]
@@ -302,7 +303,7 @@ def identify(docs: DataFrame, field: Field, text_col: str = "text", carry: list[
             out, batch, size = [], [], 0
             for t in texts:
                 w = words(t)
-                if batch and size + len(w) > WORDS:
+                if batch and size + len(w) > room:
                     out += some(batch)
                     batch, size = [], 0
                 batch.append(w)

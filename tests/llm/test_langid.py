@@ -69,7 +69,7 @@ def test_batches_and_blocks_change_nothing(spark, docs_of, monkeypatch):
     some = docs_of([(i, t) for i, t, _ in rows(40)] + [(90, "the eau " * 900)])
     want = [(r.doc_id, r.lang_pred, round(r.score, 9)) for r in L.identify(some, f, carry=["doc_id"]).orderBy("doc_id").collect()]
     texts = [r.text for r in some.collect()]
-    monkeypatch.setattr(L, "WORDS", 50)
+    monkeypatch.setattr(L, "CELLS", 150)
     got = [(r.doc_id, r.lang_pred, round(r.score, 9)) for r in L.identify(some, f, carry=["doc_id"]).orderBy("doc_id").collect()]
     assert got == want and len(texts) == 41
 
