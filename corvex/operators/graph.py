@@ -194,14 +194,18 @@ def hubs(edges: DataFrame, notes: DataFrame, declared: DataFrame, index: str | N
         pairs = pairs.where((F.col("hub") != index) & (F.col("part") != index))
     wide = pairs.groupBy("hub").count().where("count >= 2").select("hub")
     pairs = pairs.join(wide, "hub", "left_semi").select("hub", "part")
-    found = pairs.orderBy("hub", "part").limit(MOST_CLAIMS + 1).collect()
-    if len(found) > MOST_CLAIMS:
-        raise ValueError(f"more than {MOST_CLAIMS} mutual links; claims in order do not fit the driver")
+    def bounded(df: DataFrame, what: str) -> list:
+        rows = df.limit(MOST_CLAIMS + 1).collect()
+        if len(rows) > MOST_CLAIMS:
+            raise ValueError(f"more than {MOST_CLAIMS} {what}; claims in order do not fit the driver")
+        return rows
+
+    found = bounded(pairs.orderBy("hub", "part"), "mutual links")
     parts = pairs.select(F.col("part").alias("dst")).distinct()
     inc: dict = {}
-    for r in edges.where("src <> dst").join(F.broadcast(parts), "dst", "left_semi").groupBy("dst").agg(F.collect_set("src").alias("s")).collect():
-        inc[r.dst] = set(r.s)
-    claimed = {r.part: r.hub for r in declared.collect()}
+    for r in bounded(edges.where("src <> dst").join(parts, "dst", "left_semi").select("src", "dst").distinct(), "links to candidates"):
+        inc.setdefault(r.dst, set()).add(r.src)
+    claimed = {r.part: r.hub for r in bounded(declared.select("part", "hub"), "declared parts")}
     by_hub: dict = {}
     for r in found:
         by_hub.setdefault(r.hub, []).append(r.part)
