@@ -110,3 +110,9 @@ def under(rel: Column, folders: list[str]) -> Column:
     for f in folders:
         out = out | (rel == f) | rel.startswith(f.rstrip("/") + "/")
     return out
+
+
+def in_scope(rel: Column, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:
+    """Whether a path is below one of the folders to include (all, if none is named) and of none to exclude."""
+    inside = under(rel, include) if include else F.lit(True)
+    return inside & ~under(rel, exclude or [])

@@ -191,6 +191,17 @@ def directories(paths: DataFrame, depth: int) -> DataFrame:
     return has.groupBy("directory").agg(F.max("mtime_ms").alias("newest"), F.count("*").alias("files"))
 
 
+#: Orders of a listing: by name without regard to case, then by name; or by time, then by name.
+LISTING = {"name": (True, False), "name_desc": (True, True), "oldest": (False, False), "newest": (False, True)}
+
+
+def listed(rows: DataFrame, mode: str, most: int, name: str = "path", time: str = "mtime_ms") -> DataFrame:
+    """The first `most` rows in an order of LISTING."""
+    by_name, down = LISTING[mode]
+    first = F.lower(name) if by_name else F.col(time)
+    return rows.orderBy(first.desc() if down else first, F.desc(name) if by_name and down else F.col(name)).limit(most)
+
+
 def first_of_groups(rows: DataFrame, group: str, order: list[str], most: int = 3) -> DataFrame:
     """The first `most` rows of each group with the group's size."""
     w = W.partitionBy(group).orderBy(*order)

@@ -158,6 +158,12 @@ def changes_only(log: DataFrame, key: str, value: str, order: list[str]) -> Data
     return log.withColumn("_before", before).where(~F.col(value).eqNullSafe(F.col("_before")) | F.col("_before").isNull()).drop("_before")
 
 
+def change_counts(log: DataFrame, key: str, now: int, order: list[str], spans: tuple[int, ...] = (7, 30)) -> DataFrame:
+    """By key, how many changes the last days saw, for each span; the first row of a key is no change."""
+    seen = log.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_k > 1")
+    return seen.groupBy(key).agg(*[F.count_if(F.col("t") >= now - d * 86_400_000).alias(f"days{d}") for d in spans])
+
+
 def newest(rows: DataFrame, by: str, tie: list[str], most: int) -> DataFrame:
     """The `most` newest rows, as a bounded log or cache keeps."""
     return rows.orderBy(F.desc(by), *tie).limit(most)

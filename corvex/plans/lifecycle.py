@@ -86,6 +86,29 @@ def listing_sorted(spark, d):
     return top.select("url", F.row_number().over(W.orderBy(F.lower("url"), "url")).cast("bigint").alias("rank"))
 
 
+PATHS = "p AS (SELECT theme || '/' || CASE WHEN id % 2 = 0 THEN 'N' ELSE 'n' END || (id // 2) AS path, mtime_ms // 600000 AS mtime_ms FROM notes)"
+
+
+@query("listing_modes", f"""{N}, {PATHS} SELECT * FROM (SELECT 'name' AS mode, path FROM p ORDER BY lower(path), path LIMIT 20) UNION ALL SELECT * FROM (SELECT 'name_desc', path FROM p ORDER BY lower(path) DESC, path DESC LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'oldest', path FROM p ORDER BY mtime_ms, path LIMIT 20) UNION ALL SELECT * FROM (SELECT 'newest', path FROM p ORDER BY mtime_ms DESC, path LIMIT 20)""")
+def listing_modes(spark, d):
+    n = notes(spark, d)
+    p = n.select(F.concat("theme", F.lit("/"), F.when(F.col("id") % 2 == 0, "N").otherwise("n"), F.floor(F.col("id") / 2)).alias("path"), F.floor(F.col("mtime_ms") / 600_000).alias("mtime_ms"))
+    out = None
+    for mode in L.LISTING:
+        one = L.listed(p, mode, 20).select(F.lit(mode).alias("mode"), "path")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("filter_scope", f"{N} SELECT id FROM notes WHERE (theme = 'src1' OR theme = 'src2' AND subtheme = 'fr') AND NOT (theme = 'src1' AND subtheme = 'de')")
+def scope(spark, d):
+    from corvex.operators import filters as P
+
+    n = notes(spark, d).withColumn("path", F.concat_ws("/", "theme", "subtheme", F.concat(F.lit("n"), "id")))
+    return n.where(P.in_scope(F.col("path"), ["src1/", "src2/fr"], ["src1/de"])).select("id")
+
+
 @query("listing_recent", f"{N} SELECT id, mtime_ms FROM notes WHERE mtime_ms >= 1704067200000 + 60000 * 500 ORDER BY mtime_ms DESC, id LIMIT 50")
 def recent(spark, d):
     return notes(spark, d).where(F.col("mtime_ms") >= 1_704_067_200_000 + 60_000 * 500).select("id", "mtime_ms").orderBy(F.desc("mtime_ms"), "id").limit(50)

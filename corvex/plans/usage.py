@@ -145,6 +145,12 @@ def prefix_changes(spark, d):
     return U.changes_only(activity(spark, d), "actor", "type", ["t", "call_id"]).select("actor", "call_id", "type")
 
 
+@query("usage_change_counts", A + f"SELECT actor, count(*) FILTER (t >= {NOW} - 7 * 86400000) AS days7, count(*) FILTER (t >= {NOW} - 30 * 86400000::BIGINT) AS days30 FROM (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY t, call_id) AS k FROM (SELECT *, lag(type) OVER (PARTITION BY actor ORDER BY t, call_id) AS before FROM activity) WHERE type IS DISTINCT FROM before) WHERE k > 1 GROUP BY actor")
+def change_counts(spark, d):
+    log = U.changes_only(activity(spark, d), "actor", "type", ["t", "call_id"])
+    return U.change_counts(log, "actor", NOW, ["t", "call_id"])
+
+
 @query("usage_retention_newest", A + "SELECT id, type, last FROM (SELECT id, type, max(t) AS last FROM activity GROUP BY id, type) ORDER BY last DESC, id, type LIMIT 200")
 def retention_newest(spark, d):
     last = activity(spark, d).groupBy("id", "type").agg(F.max("t").alias("last"))

@@ -50,7 +50,7 @@ def test_parse():
 
     assert said('a1 AND b2 OR c3 NOT d4 -e5 +f6') == ([("must", ("a1",), False, False, False), ("must", ("b2",), False, False, False), ("should", ("c3",), False, False, False), ("not", ("d4",), False, False, False), ("not", ("e5",), False, False, False), ("must", ("f6",), False, False, False)], [])
     assert said('"big cat" NOT "small dog" pre* tag:x,y (z9)') == ([("must", ("big", "cat"), False, True, True), ("not", ("small", "dog"), False, True, True), ("should", ("pre",), True, False, False), ("should", ("z9",), False, False, False)], ["x", "y"])
-    assert said("the")[0] == [("should", ("the",), False, False, False)] and said('un"closed quote')[0][0][1] == ("un",)
+    assert said("the")[0] == [("should", ("the",), False, False, False)] and said('un"closed quote')[0][0][1] == ("closed",)
 
 
 def test_excerpts(spark):

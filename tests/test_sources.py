@@ -118,3 +118,15 @@ def test_events(spark, tmp_path):
     assert sorted((r.type, r.t) for r in got.collect()) == [("read", 5), ("search", 9)]
     assert [r.t for r in E.retain(got, 2, 10).collect()] == [9]
     assert [r.type for r in E.read_wrapped(spark, str(tmp_path / "w.json"), "calls").collect()] == ["write"]
+
+
+def test_state_files_and_foreign_events(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"days": {"2024-01-02": {"notes": {"a": {"read": 2}, "b": {"search": 1, "write": 3}}}}}))
+    (tmp_path / "a.json").write_text(json.dumps({"entries": [{"word": "w", "note": "a", "count": 2, "last": 5}]}))
+    (tmp_path / "l.jsonl").write_text('{"t": 1, "kind": "split", "detail": "2 parts"}\nbroken\n')
+    assert sorted((r.id, r.read, r.search, r.write) for r in E.read_counters(spark, str(tmp_path / "c.json")).collect()) == [("a", 2, 0, 0), ("b", 0, 1, 3)]
+    assert [tuple(r) for r in E.read_aliases(spark, str(tmp_path / "a.json")).collect()] == [("w", "a", 2, 5)]
+    assert [r.kind for r in E.read_log(spark, str(tmp_path / "l.jsonl")).collect()] == ["split"]
+    ev = spark.createDataFrame([("read", ["a", "b"], "x", 0), ("search", [], "x", 1_800_000), ("read", ["c"], "x", 3_600_001), ("other", ["d"], "x", 9), ("read", ["a"], "y", 5)], "type string, ids array<string>, source string, t bigint")
+    assert sorted((r.session, r.type, r.id or "") for r in E.calls_of(ev).collect())[:2] == [("x-1", "read", "a"), ("x-1", "read", "b")]
+    assert {r.session for r in E.calls_of(ev).collect()} == {"x-1", "x-2", "y-1"}
