@@ -117,7 +117,8 @@ class Estimate:
 
 
 def sample(docs: DataFrame, text_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The first texts of each partition, about `rows` in all: from all files, without reading them all."""
+    """The first texts of each partition, about `rows` in all: from all files, of which the first Arrow batch of each
+    partition is read."""
     text = docs.select(F.col(f"`{text_col}`").alias("text"))
     each = -(-rows // max(1, text.rdd.getNumPartitions()))
 
