@@ -1,4 +1,4 @@
-"""Shared helpers: reading tables, sizing, checkpoints, row-wise Arrow maps."""
+"""Shared helpers: reading tables, sizing, checkpoints, Arrow maps by rows and by columns."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import ctypes
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,3 +101,40 @@ def map_column(
                 yield pa.RecordBatch.from_arrays([*old, *new], schema=target)
 
     return src.mapInArrow(run, out)
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] numbers, then those of start[1], and so on."""
+    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batch with about `most` bytes in the column, one row at least."""
+    x = batch.column(column)
+    size = pc.list_value_length(x) if pa.types.is_list(x.type) else pc.binary_length(x)
+    part = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+    at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, z in zip(at, at[1:]):
+        if z > a:
+            yield batch.slice(a, z - a)
+
+
+def map_arrow(
+    df: DataFrame, source: Column, carry: Iterable[str], fields: list[tuple[str, str]], make: Callable[[], Callable[[pa.Array], list[pa.Array]]], most: int
+) -> DataFrame:
+    """Arrow map over the column `source` in parts of about `most` bytes (elements, of an array) that leaves `carry` as
+    it is and adds `fields` (name, DDL type); those that have the name of a carried column replace it."""
+    names = {n for n, _ in fields}
+    kept = [c for c in carry if c not in names]
+    src = df.select(*[F.col(f"`{c}`") for c in kept], source.alias("_cx_in"))
+    out = T.StructType([*src.schema.fields[:-1], *[T.StructField(n, T.DataType.fromDDL(t)) for n, t in fields]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn, target = make(), arrow_schema(out)
+        for whole in batches:
+            for b in by_bytes(whole, len(kept), most):
+                new = fn(b.column(len(kept)))
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([*b.columns[:-1], *new], target)], schema=target)
+        release()
+
+    return src.mapInArrow(run, out)

@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_extract, langid, licenses, lm, quality, simhash, suffix_dedup, token_counts
+from . import bpe, decontam, html_extract, langid, licenses, lm, periodic_runs, piece_bpe, quality, simhash, suffix_dedup, token_counts, whitening
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,41 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == langid.HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    white = whitening.transform(vectors, model, carry=["vec_id"])
+    share = F.array(*[F.lit(float(x)) for x in (model.share if model else ())]).cast("array<double>")
+    rows = white.select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("k") + 1).cast("int").alias("component"), F.lit(model.n if model else None).cast("bigint").alias("n"), "deviation", "whitened",
+        F.get(share, F.col("k")).alias("explained"), F.lit(whitening.identity_error(vectors, model)).cast("double").alias("identity_error"),
+    )
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(PIECES)
+    back = piece_bpe.decode(piece_bpe.encode(table(spark, sf_dir, "documents"), path, carry=["doc_id"]), path)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))
+    found = periodic_runs.find_runs(docs, carry=["doc_id"])
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = F.col("best")
+    return found.withColumn("best", periodic_runs.longest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def _op1_sql() -> str:
     """Of each document and template, the most distinct shingles in a window that starts at one of its hits."""
     rows = [(k, x) for k, t in licenses.TEMPLATES.items() for x in licenses._shingles_of(t)]
@@ -137,11 +173,35 @@ k AS (SELECT doc_id, string_agg(hex(array_slice(b, c.a, coalesce(c.z, n + 1) - 1
 SELECT doc_id, n::BIGINT AS n_bytes, coalesce(x.removed, 0)::BIGINT AS n_removed, coalesce(x.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
 FROM d LEFT JOIN (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM r GROUP BY doc_id) x USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
+# Six words at equal distance twice or more make every run of twelve words, so that pairs of equal six-word windows
+# hold all of them; windows next to each other are one stretch, and of stretches over the same words that of the
+# smallest period counts. crc32 runs bit by bit over the digits of the id.
+OP13_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+  list_reduce(list_prepend(4294967295::UBIGINT, flatten([[(ascii(c) >> b)::UBIGINT & 1 for b in range(8)] for c in string_split(doc_id::VARCHAR, '')])),
+    lambda r, x: xor(r >> 1, 3988292384::UBIGINT * (xor(r, x) & 1))) AS r FROM documents),
+h AS (SELECT doc_id, w, len(w) AS n, xor(r, 4294967295::UBIGINT)::BIGINT AS h FROM d),
+a AS (SELECT doc_id, w, n, h % 10 = 0 AND n > 0 AS planted, CASE WHEN n > 0 THEN (h // 10) % n END AS a, 3 + (h // 10) % 8 AS g FROM h),
+t AS (SELECT doc_id, n, CASE WHEN planted THEN w[1:a] || [w[1 + a + i % (1 + (n - a) // g)] for i in range(n - a)] ELSE w END AS w FROM a),
+k AS (SELECT doc_id, i, w[i + 1] || chr(10) || w[i + 2] || chr(10) || w[i + 3] || chr(10) || w[i + 4] || chr(10) || w[i + 5] || chr(10) || w[i + 6] AS k
+  FROM (SELECT doc_id, w, unnest(range(n - 5)) AS i FROM t WHERE n >= 12)),
+m AS (SELECT doc_id, k FROM k GROUP BY doc_id, k HAVING count(*) > 1),
+p AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM (SELECT * FROM k SEMI JOIN m USING (doc_id, k)) x JOIN k y ON x.doc_id = y.doc_id AND x.k = y.k AND y.i > x.i),
+s AS (SELECT doc_id, q, min(i) AS a, max(i) - min(i) + 6 + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS z FROM p) GROUP BY doc_id, q, z),
+r AS (SELECT doc_id, a, len, min(q) AS q FROM s WHERE len >= greatest(12, 2 * q) GROUP BY doc_id, a, len),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(a || ',' || len || ',' || q || chr(10), '' ORDER BY a, q) AS lines, max({'len': len, 'a': -a, 'q': -q}) AS best FROM r GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(range(a + q, a + len)) AS i FROM r),
+c AS (SELECT t.doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(w) AS x, unnest(range(n)) AS i FROM t) t ANTI JOIN g ON t.doc_id = g.doc_id AND t.i = g.i GROUP BY t.doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, (-best.a)::BIGINT AS start, best.len::BIGINT AS length, (-best.q)::BIGINT AS period,
+  (1000 * best.len // -best.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_quality_rules, op3_html_extraction, op4_byte_bpe, op5_decontamination,
         op6_suffix_dedup, op7_lm_scoring, op8_simhash, op9_token_counts, op10_language_id,
+        op11_whitening, op12_piece_bpe, op13_periodic_runs,
     )
 }
-SQL = {"op1_license_scan": _op1_sql(), "op2_quality_rules": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_suffix_dedup": OP6_SQL}
+SQL = {"op1_license_scan": _op1_sql(), "op2_quality_rules": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_suffix_dedup": OP6_SQL, "op13_periodic_runs": OP13_SQL}
