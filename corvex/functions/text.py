@@ -169,16 +169,87 @@ def slugify(x, keep_slashes: bool = True) -> Column:
     return F.array_join(F.filter(F.transform(F.split(path, "/"), segment), lambda s: s != ""), "/")
 
 
+#: Letters and signs as ASCII, lower case; capitals follow.
+TRANSLITERATED = {
+    "œ": "oe", "æ": "ae", "ß": "ss", "ø": "o", "đ": "d", "ł": "l", "þ": "th", "ð": "d", "ı": "i", "ĸ": "q", "ŉ": "'n", "ŋ": "ng", "ħ": "h", "ŧ": "t",
+    "‘": "'", "’": "'", "‚": ",", "‛": "'", "“": '"', "”": '"', "„": ",,", "«": "<<", "»": ">>", "‹": "<", "›": ">", "–": "-", "—": "--", "―": "--",
+    "‐": "-", "‑": "-", "…": "...", "•": "*", "·": "*", "€": "EUR", "£": "PS", "¥": "Y=", "¢": "C/", "°": "deg", "©": "(c)", "®": "(r)", "™": "(tm)",
+    "×": "x", "÷": "/", "½": " 1/2", "¼": " 1/4", "¾": " 3/4", "¹": "1", "²": "2", "³": "3", "º": "o", "ª": "a", "§": "SS", "¶": "P", "¿": "?", "¡": "!",
+}
+CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюяєіїґў", "a b v g d e e zh z i i k l m n o p r s t u f kh ts ch sh shch ' y ' e iu ia ie i yi g u".split()))
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split())) | {"ξ": "ks"}
+CJK = "\u4e00-\u9fff\u3000-\u303f\u3400-\u4dbf"
+_ASCII = TRANSLITERATED | CYRILLIC | GREEK
+_ASCII |= {k.upper(): v.upper() if k in "œæß" else v.capitalize() for k, v in _ASCII.items() if k.isalpha() and len(k.upper()) == 1 and k.upper() != k}
+
+
+def ascii_char(c: str) -> str:
+    """A character as ASCII: by the tables, without its marks, by its compatible form, or dropped."""
+    if c < "\x80":
+        return c
+    if c in _ASCII:
+        return _ASCII[c]
+    for form in ("NFD", "NFKD"):
+        bare = "".join(x for x in unicodedata.normalize(form, c) if not unicodedata.category(x).startswith("M"))
+        if bare and bare.isascii():
+            return bare
+        if bare in _ASCII:
+            return _ASCII[bare]
+    return " " if c.isspace() else ""
+
+
+@F.pandas_udf(T.StringType())
+def to_ascii(x: pd.Series) -> pd.Series:
+    """Text as ASCII; Chinese and Japanese characters stay."""
+    keep = re.compile(f"[{CJK}]").match
+    return x.map(lambda t: None if t is None else "".join(c if c < "\x80" or keep(c) else ascii_char(c) for c in t))
+
+
+def _bare_form(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f")
+
+
+#: Every letter or sign whose compatible form without marks is one ASCII sign, and that sign.
+BARE = {c: _bare_form(c) for c in map(chr, range(0x80, 0x10000)) if len(_bare_form(c)) == 1 and _bare_form(c).isascii()}
+
+
+def without_marks(x) -> Column:
+    """Letters without their marks, full-width and other forms of ASCII signs as these; what has no such form stays."""
+    return F.translate(F.regexp_replace(_col(x), "[\u0300-\u036f]", ""), "".join(BARE), "".join(BARE.values()))
+
+
+def permalink(path) -> Column:
+    """A note's path as its permalink: without its ending, in ASCII, camel-case words parted, lower case, hyphens
+    between words, none at the ends of a segment."""
+    p = F.regexp_replace(F.translate(_col(path), "\\", "/"), r"(?i)\.(md|markdown|txt)$", "")
+    a = to_ascii(F.regexp_replace(p, "[\uff00-\uffef]", ""))  # full-width forms go
+    a = F.regexp_replace(F.regexp_replace(a, f"([{CJK}])([a-zA-Z0-9])", "$1-$2"), f"([a-zA-Z0-9])([{CJK}])", "$1-$2")
+    a = F.lower(F.regexp_replace(a, "([a-z0-9])([A-Z])", "$1-$2"))
+    a = F.regexp_replace(F.regexp_replace(F.replace(F.translate(a, "_", "-"), F.lit("'"), F.lit("")), f"[^a-z0-9{CJK}/.-]", "-"), "-+", "-")
+    return F.array_join(F.transform(F.split(a, "/"), lambda s: F.regexp_replace(s, "^-+|-+$", "")), "/")
+
+
 def one_line(x, most: int = 200) -> Column:
     """White space collapsed; beyond `most` characters the last one becomes an ellipsis."""
     c = F.trim(F.regexp_replace(_col(x), r"\s+", " "))
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 1), F.lit("…"))).otherwise(c)
 
 
-def human_label(x) -> Column:
-    """A file-like name as words with a capital first letter."""
-    c = F.trim(F.regexp_replace(F.regexp_replace(_col(x), r"\.md$", ""), r"[-_/]+", " "))
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 20))
+#: Kinds of notes that a slug begins with and a label leaves out, and what a slug looks like.
+LABEL_KINDS = ("user", "feedback", "reference", "project", "doc", "note")
+SLUG_FORM = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,150}$"
+
+
+def human_label(slug, title=None) -> Column:
+    """The title, unless it is the slug or looks like one; else the slug's words with a capital first letter, without the
+    kind that it begins with."""
+    s = _col(slug)
+    c = F.trim(F.regexp_replace(F.regexp_replace(s, f"^({'|'.join(LABEL_KINDS)})[-_]", ""), r"[-_]+", " "))
+    words = F.when(c == "", s).otherwise(F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 20)))
+    if title is None:
+        return words
+    t = _col(title)
+    return F.when((t != "") & (t != s) & ~t.rlike(SLUG_FORM), t).otherwise(words)
 
 
 def wildcard(pattern: str, within_segment: bool = False) -> str:
@@ -243,14 +314,19 @@ def meta_text(front_matter: pd.Series) -> pd.Series:
     return front_matter.map(one)
 
 
+#: Words by which a tool's name tells what it does, anywhere in it, looked for in this order.
+TOOL_WORDS = {
+    "write": "write edit create update move rename delete remove append prepend replace patch insert save".split(),
+    "search": "search find query grep glob recent".split(),
+    "read": "read view fetch open show context load".split(),
+}
+
+
 def tool_kind(name) -> Column:
-    """write, search or read by a tool's name, in that order; null for others."""
-    n = F.lower(_col(name))
-    return (
-        F.when(n.rlike(r"(^|_)(write|edit|update|create|delete|move|append|insert)"), "write")
-        .when(n.rlike(r"(^|_)(search|find|query|list|recent|context)"), "search")
-        .when(n.rlike(r"(^|_)(read|view|get|fetch|open)"), "read")
-    )
+    """write, search or read by a tool's name; names that begin with get_ read; null for others, such as listings."""
+    n = F.lower(F.coalesce(_col(name), F.lit("")))
+    has = {k: sum((n.contains(w).cast("int") for w in words), F.lit(0)) > 0 for k, words in TOOL_WORDS.items()}
+    return F.when(has["write"], "write").when(has["search"], "search").when(has["read"] | n.startswith("get_"), "read")
 
 
 def register(spark) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corvex.functions import text as X
 
 LARGE, HINT_PARTS, HINT_NOTES, TOP_READ = 5000, 4, 2, 3
-DUP_SHARED, DUP_COVERAGE = 6, 0.7
+DUP_SHARED, DUP_COVERAGE = 2, 0.6
 
 
 # ---- reading ----
@@ -70,23 +70,46 @@ def hub_hints(writes: DataFrame, parts: DataFrame, notes: DataFrame, most: int =
     """write, hub, shown, more: for a write to a hub the parts to write to instead, those first that share most words
     with what was added. `writes`: write, hub, added; `notes`: id, description, label."""
     topic = F.coalesce(F.nullif("hook", F.lit("")), F.nullif("description", F.lit("")), "label", F.lit(""))
-    met = writes.join(parts, "hub").join(notes.select(F.col("id").alias("part"), "description", "label"), "part", "left")
-    shared = F.size(F.array_intersect(X.significant_words(topic), X.significant_words(F.col("added"))))
+    known = parts.join(notes.select(F.col("id").alias("part"), "description", "label"), "part", "left").select("hub", "part", X.significant_words(topic).alias("own"))
+    met = writes.select("write", "hub", X.significant_words(F.col("added")).alias("new")).join(known, "hub")
+    shared = F.size(F.array_intersect("own", "new"))
     each = met.select("write", "hub", F.struct((-shared).alias("s"), F.col("part").cast("string").alias("part")).alias("x"))
     g = each.groupBy("write", "hub").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     return g.select("write", "hub", F.transform(F.slice("xs", 1, most), lambda x: x["part"]).alias("shown"), (F.size("xs") > most).alias("more"))
 
 
 def duplicate_hints(writes: DataFrame, notes: DataFrame, most: int = HINT_NOTES, shared: int = DUP_SHARED, coverage: float = DUP_COVERAGE) -> DataFrame:
-    """write, id, shared, score: for a note being written those that it may repeat: `shared` words in common that
-    cover the smaller side. `writes`: write, words; `notes`: id, words (arrays of distinct words)."""
-    a = writes.select("write", F.size("words").alias("na"), F.explode("words").alias("word"))
-    b = notes.select("id", F.size("words").alias("nb"), F.explode("words").alias("word"))
-    met = a.join(b, "word").groupBy("write", "id").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    score = F.round(F.col("shared") / F.least("na", "nb"), 2)
-    good = met.where((F.col("shared") >= shared) & (F.col("shared") >= coverage * F.least("na", "nb"))).withColumn("score", score)
-    w = W.partitionBy("write").orderBy(F.desc("score"), F.desc("shared"), "id")
-    return good.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("write", "id", "shared", "score")
+    """write, id, shared: for a note being written those that it may repeat, `shared` words in common that cover so much
+    of its title; most words first, then the larger note. `writes`: write, words (of the title); `notes`: id, words (of
+    id, label and description), tokens. A title of n words whose notes must have k of them meets notes by its n - k + 1
+    rarest words only, so that frequent words are not joined alone."""
+    need = F.greatest(F.lit(shared), F.ceil(F.size("words") * F.lit(coverage)).cast("int"))
+    asked = writes.select("write", F.array_distinct("words").alias("words")).where(F.size("words") >= shared)
+    b = notes.select("id", "tokens", F.array_distinct("words").alias("words"))
+    each = b.select("id", "tokens", "words", F.explode("words").alias("word"))
+    df = each.groupBy("word").agg(F.count("*").alias("df"))
+    ranked = asked.select("write", F.explode("words").alias("word")).join(df, "word", "left").groupBy("write").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))), lambda x: x["word"]).alias("words"))
+    a = ranked.select("write", "words", need.alias("need"), F.explode(F.slice("words", F.lit(1), F.size("words") - need + 1)).alias("word")).withColumnRenamed("words", "title")
+    met = a.join(each, "word").dropDuplicates(["write", "id"]).withColumn("shared", F.size(F.array_intersect("title", "words"))).where(F.col("shared") >= F.col("need"))
+    w = W.partitionBy("write").orderBy(F.desc("shared"), F.desc("tokens"), "id")
+    return met.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("write", "id", "shared")
+
+
+#: What a title has to look like, and folders that are the notes' root.
+KEBAB_FORM, ROOTS = r"^[a-z0-9]+(?:-[a-z0-9]+)*$", ("", ".", "memory")
+
+
+def slug_hints(writes: DataFrame, root: str = "memory") -> DataFrame:
+    """write, title, slug, at_root for written notes whose title is no kebab slug, with the slug to take, or that stand
+    in the notes' root folder (slug is null then). `writes`: write, title, directory."""
+    folder = F.regexp_replace(F.trim(F.translate(F.coalesce("directory", F.lit("")), "\\", "/")), r"^(?:\./)+", "")
+    folder = F.lower(F.regexp_replace(folder, "^/+|/+$", ""))
+    title = F.trim("title")
+    out = writes.where(title != "").select("write", title.alias("title"), folder.isin(*ROOTS, root.lower()).alias("at_root"))
+    slug = F.regexp_replace(F.regexp_replace(X.permalink("title"), r"[./-]+", "-"), "^-+|-+$", "")
+    bad = ~F.col("title").rlike(KEBAB_FORM)
+    return out.where(bad | F.col("at_root")).select("write", "title", F.when(bad, F.coalesce(F.nullif(slug, F.lit("")), F.lit("a-kebab-slug"))).alias("slug"), "at_root")
 
 
 def orphan_hints(writes: DataFrame, *reached: DataFrame) -> DataFrame:
@@ -102,7 +125,7 @@ def orphan_hints(writes: DataFrame, *reached: DataFrame) -> DataFrame:
 
 def kebab(x: Column) -> Column:
     """Lower-case words of ASCII letters and digits joined by hyphens; part if there is none."""
-    c = F.regexp_replace(F.regexp_replace(F.translate(F.lower(F.trim(x)), X.ACCENTED, X.PLAIN), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    c = F.regexp_replace(F.regexp_replace(X.without_marks(F.lower(F.trim(x))), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
     return F.coalesce(F.nullif(c, F.lit("")), F.lit("part"))
 
 

@@ -31,31 +31,61 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _bare(c) -> Column:
-    return F.lower(F.regexp_replace(c, r"\.md$", ""))
-
-
-#: Names by which a note is found, in the order in which they count: of the note, and of what is asked.
-LINK_TIERS = (
-    (lambda: F.col("title"), lambda t: t), (lambda: F.lower("permalink"), F.lower), (lambda: F.col("slug"), F.lower),
-    (lambda: _bare("path"), _bare), (lambda: X.slugify("title"), X.slugify), (lambda: X.fold("title"), X.fold),
-)
-READ_TIERS = (  # an identifier that ends in .md is a path before all else
-    (lambda: F.lower("path"), lambda t: F.when(F.lower(t).endswith(".md"), F.lower(t))), (lambda: F.lower("permalink"), F.lower), (lambda: _bare("path"), _bare),
-    (lambda: F.col("title"), lambda t: t), (lambda: F.col("slug"), F.lower), (lambda: F.col("slug"), lambda t: X.slugify(t, False)),
-)
-
-
-def resolve_links(links: DataFrame, notes: DataFrame, tiers=LINK_TIERS) -> DataFrame:
-    """`links` (target, …) plus to: the note by title, permalink, slug, path, slugified or folded title (or by other
-    `tiers`), the first of these that any note has; of several notes the first by permalink and path."""
-    keys = notes.select("id", "permalink", "path", F.posexplode(F.array(*[own() for own, _ in tiers])).alias("tier", "key")).where("key IS NOT NULL AND key <> ''")
-    best = keys.groupBy("tier", "key").agg(F.min(F.struct("permalink", "path", "id"))["id"].alias("to"))
-    asked = links.select("target").distinct().select("target", F.posexplode(F.array(*[of(F.col("target")) for _, of in tiers])).alias("tier", "key"))
-    found = asked.join(best, ["tier", "key"]).groupBy("target").agg(F.min_by("to", "tier").alias("to"))
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(c, r"\.md$", "")
+
+
+def _key(c) -> Column:
+    return F.lower(F.trim(c))
+
+
+def _names(notes: DataFrame, project: str) -> DataFrame:
+    """kind, key, rank, note: every name that a note goes by. A permalink counts with and without the project before it,
+    and the path made a slug counts as a permalink after all declared ones."""
+    have = set(notes.columns)
+    permalink, path = _key(F.coalesce("permalink", F.lit(""))), _key(F.coalesce("path", F.lit("")))
+    made = X.slugify("path")
+
+    def both(c: Column) -> list[Column]:
+        other = F.when(c.startswith(f"{project}/"), F.substring(c, len(project) + 2, 1 << 20)).otherwise(F.concat(F.lit(f"{project}/"), c))
+        return [c, other]
+
+    row = lambda kind, key, rank=0: F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.lit(rank).alias("rank"))
+    names = [row("permalink", k, r) for r, k in enumerate(both(permalink))]
+    names += [row("permalink", F.when(made != "", k), 2) for k in both(made)]
+    names += [row("path", path), row("path", _bare(path)), row("title", _key("title")), row("title", F.trim(X.fold("title")))]
+    names += [row("slug", F.element_at(F.split(_bare(path), "/"), -1)), *([row("slug", F.col("slug"))] if "slug" in have else [])]
+    return notes.select(F.explode(F.array(*names)).alias("n"), F.struct("permalink", "path", "id").alias("note")).select("n.*", "note").where("key IS NOT NULL AND key <> ''")
+
+
+def _link_asks(target: Column) -> list[tuple[str, Column]]:
+    k = _bare(_key(target))
+    return [("title", k), ("permalink", k), ("slug", k), ("path", k), ("slug", X.slugify(target, False)), ("title", F.trim(X.fold(target)))]
+
+
+def _read_asks(target: Column) -> list[tuple[str, Column]]:
+    bare = F.regexp_replace(F.regexp_replace(F.trim(target), "(?i)^memory://", ""), "^/+|/+$", "")
+    decoded = F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
+    s = F.when(bare.rlike("(?i)%[0-9a-f]{2}"), decoded).otherwise(bare)
+    k, k2 = _key(s), _bare(_key(s))
+    file = F.when(k != k2, k)  # a name that ends in .md is a path before all else
+    return [("path", file), ("permalink", k2), ("path", k), ("path", k2), ("title", k), ("title", F.trim(X.fold(s))), ("slug", k2), ("slug", X.slugify(k2, False)), ("permalink", X.slugify(k2))]
+
+
+def _resolve(links: DataFrame, notes: DataFrame, asks: list[tuple[str, Column]], project: str) -> DataFrame:
+    best = _names(notes, project).groupBy("kind", "key").agg(F.min(F.struct("rank", "note"))["note"]["id"].alias("to"))
+    asked = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in asks])
+    each = links.select("target").distinct().select("target", F.posexplode(asked).alias("tier", "a")).select("target", "tier", "a.*").where("key <> ''")
+    found = each.join(best, ["kind", "key"]).groupBy("target").agg(F.min_by("to", "tier").alias("to"))
     return links.join(found, "target", "left")
 
 
+def resolve_links(links: DataFrame, notes: DataFrame, project: str = "main") -> DataFrame:
+    """`links` (target, …) plus to: the note by title, permalink, slug or file name, path, the target made a slug among
+    slugs, or folded title, the first of these that any note has; of several notes the first by permalink and path."""
+    return _resolve(links, notes, _link_asks(F.col("target")), project)
+
+
 def ambiguous(notes: DataFrame, key: str) -> DataFrame:
     """Keys that several notes have, with their ids in order."""
     g = notes.groupBy(F.lower(key).alias(key)).agg(F.array_sort(F.collect_list("id")).alias("ids"))
@@ -84,9 +114,10 @@ def neighbours(edges: DataFrame, start: DataFrame, depth: int = 1, allowed: Data
     return seen
 
 
-def read_notes(asked: DataFrame, notes: DataFrame) -> DataFrame:
-    """`asked` (target) with to: notes by identifier, as a reader names them."""
-    return resolve_links(asked, notes, READ_TIERS)
+def read_notes(asked: DataFrame, notes: DataFrame, project: str = "main") -> DataFrame:
+    """`asked` (target) with to: notes by identifier, as a reader names them: a file name, memory:// and what follows,
+    with escapes such as %20 or without; then permalink, path, title, folded title, slug and what is made a slug."""
+    return _resolve(asked, notes, _read_asks(F.col("target")), project)
 
 
 def capped_neighbours(edges: DataFrame, start: DataFrame, depth: int, most: int, allowed: DataFrame | None = None) -> DataFrame:

@@ -31,8 +31,8 @@ def _inside_link(text: Column) -> Column:
 
 
 def declared_hub(front_matter: Column, body: Column) -> Column:
-    """The hub in front matter (part_of, then parent), else in one of the first non-empty lines: a link after
-    "Split on … from", "Part of …", "Summary:" or "Up:"."""
+    """The hub in front matter (part_of, then parent), else in the first of the first non-empty lines that has a link
+    after "Split on … from", "Part of …", "Summary:" or "Up:"."""
     raw = F.trim(F.coalesce(F.get_json_object(front_matter, "$.part_of"), F.get_json_object(front_matter, "$.parent")))
     named = F.when(raw.startswith("[["), _inside_link(raw)).otherwise(raw)
     lines = F.slice(F.filter(F.split(body, r"\r?\n"), lambda x: F.trim(x) != ""), 1, HEADER_LINES)
@@ -49,8 +49,9 @@ def declared_hub(front_matter: Column, body: Column) -> Column:
 
         return test
 
-    found = [F.get(F.filter(F.transform(lines, read), says(*lead)), F.lit(0))["to"] for lead in HUB_LEADS]
-    return F.coalesce(F.nullif(named, F.lit("")), *found)
+    marked = [says(*lead) for lead in HUB_LEADS]
+    first = F.get(F.filter(F.transform(lines, read), lambda x: marked[0](x) | marked[1](x) | marked[2](x) | marked[3](x)), F.lit(0))["to"]
+    return F.coalesce(F.nullif(named, F.lit("")), first)
 
 
 def pure_sibling_line(line: Column) -> Column:
@@ -148,9 +149,14 @@ def tolerant_json(text: Column, schema: str) -> Column:
 
 
 def stable_share(a: Column, b: Column) -> Column:
-    """The share of `b` that its common prefix with `a` makes up."""
+    """The share of `b` that its common prefix with `a` makes up: the prefix by halving, 31 comparisons of prefixes."""
     n = F.least(F.length(a), F.length(b))
-    same = F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0), lambda acc, i: F.when((acc == i) & (i < n) & (F.substring(a, i + 1, F.lit(1)) == F.substring(b, i + 1, F.lit(1))), acc + 1).otherwise(acc))
+
+    def step(at: Column, bit: Column) -> Column:
+        longer = at + bit
+        return F.when((longer <= n) & (F.substring(a, 1, longer) == F.substring(b, 1, longer)), longer).otherwise(at)
+
+    same = F.aggregate(F.array(*[F.lit(1 << k).cast("long") for k in range(30, -1, -1)]), F.lit(0).cast("long"), step)
     return F.when(F.length(b) > 0, same / F.length(b)).otherwise(F.lit(1.0))
 
 

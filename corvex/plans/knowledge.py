@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -29,38 +30,67 @@ def _named(spark, d):
     return n.select("id", "title", place.alias("permalink"), F.concat(place, F.lit(".md")).alias("path"), F.concat(F.lit("n"), "id").alias("slug"), "tokens", "theme", "subtheme", "body")
 
 
-def _asked(n):
-    kind, far = F.pmod("id", F.lit(5)), F.pmod(F.col("id") * 7 + 3, F.lit(1000))
-    target = F.when(kind == 0, F.concat(F.lit("N"), far)).when(kind == 1, F.upper("permalink")).when(kind == 2, F.col("path")).when(kind == 3, F.col("title")).otherwise(F.concat(F.lit("nowhere "), "id"))
-    return n.select("id", target.alias("target"))
+ASKED = (  # how the note k is asked for, by the asking note's id modulo 12
+    "upper(slug)", "upper(permalink)", "path", "title", "'nowhere ' || id", "upper(title)", "'memory://' || permalink || '/'", "replace(permalink, '/', '%2F')", "replace(slug, 'n', 'N ')",
+    "'main/' || permalink", "upper(path)", "'  ' || title || ' '",
+)
+ASKED_SQL = "k AS (SELECT id, title, theme || '/' || subtheme || '/n' || id AS permalink, 'n' || id AS slug, theme || '/' || subtheme || '/n' || id || '.md' AS path FROM notes), c AS (SELECT count(*) AS c FROM k), q AS (SELECT x.id, CASE x.id % 12 " + " ".join(
+    f"WHEN {i} THEN {e}" for i, e in enumerate(re.sub(r"\b(slug|permalink|path|title|id)\b", r"y.\1", a) for a in ASKED)) + " END AS target FROM k x, c JOIN k y ON y.id = (x.id * 7 + 3) % c)"
 
 
-RESOLVED = """n AS (SELECT id, title, theme || '/' || subtheme || '/n' || id AS permalink FROM notes), k AS (SELECT title, arg_min(id, permalink || '.md') AS first FROM n WHERE title <> '' GROUP BY title),
-a AS (SELECT id, title, permalink, CASE id % 5 WHEN 0 THEN (SELECT id FROM n y WHERE y.id = (x.id * 7 + 3) % 1000) WHEN 1 THEN id WHEN 2 THEN id WHEN 3 THEN (SELECT first FROM k WHERE k.title = x.title) END AS "to" FROM n x)"""
+def _asked(n, count):
+    far = n.select(F.col("id").alias("far"), *[F.expr(e).alias(f"e{i}") for i, e in enumerate(ASKED)])
+    asks = n.select("id", F.pmod(F.col("id") * 7 + 3, F.lit(count)).alias("far")).join(far, "far")
+    return asks.select("id", F.get(F.array(*[f"e{i}" for i in range(len(ASKED))]), F.pmod("id", F.lit(len(ASKED))).cast("int")).alias("target"))
 
 
-@query("notes_resolve_links", f'{N}, {RESOLVED} SELECT id, "to" FROM a')
+# The rules as key tables: what a note is called, and by which of these it is asked for, in order.
+KEYS_SQL = f"""names AS (SELECT 'title' AS kind, lower(trim(title)) AS key, id, permalink FROM k UNION ALL SELECT 'title', trim({Q.fold('title')}), id, permalink FROM k
+  UNION ALL SELECT 'permalink', permalink, id, permalink FROM k UNION ALL SELECT 'permalink', 'main/' || permalink, id, permalink FROM k
+  UNION ALL SELECT 'path', path, id, permalink FROM k UNION ALL SELECT 'path', permalink, id, permalink FROM k UNION ALL SELECT 'slug', slug, id, permalink FROM k),
+f AS (SELECT kind, key, arg_min(id, permalink) AS "to" FROM names WHERE key <> '' GROUP BY kind, key)"""
+SLUGGED = "trim(regexp_replace(regexp_replace(lower(trim({x})), '[^a-z0-9.-]+', '-', 'g'), '-+', '-', 'g'), '-')"
+
+
+def _resolved_sql(prepare: str, asks: list[tuple[str, str]]) -> str:
+    each = " UNION ALL ".join(f"SELECT id, {i} AS tier, '{kind}' AS kind, {key} AS key FROM s" for i, (kind, key) in enumerate(asks))
+    return f'{N}, {ASKED_SQL}, {KEYS_SQL}, s AS (SELECT id, {prepare} AS t FROM q), e AS ({each}) SELECT q.id, arg_min("to", tier) AS "to" FROM q LEFT JOIN (SELECT * FROM e JOIN f USING (kind, key)) USING (id) GROUP BY q.id'
+
+
+LOW, BARE = "lower(trim(t))", "regexp_replace(lower(trim(t)), '[.]md$', '')"
+LINKS_SQL = _resolved_sql("target", [("title", BARE), ("permalink", BARE), ("slug", BARE), ("path", BARE), ("slug", SLUGGED.format(x=BARE)), ("title", f"trim({Q.fold('t')})")])
+READS_SQL = _resolved_sql("replace(trim(regexp_replace(trim(target), '^memory://', ''), '/'), '%2F', '/')", [
+    ("path", f"CASE WHEN {LOW} LIKE '%.md' THEN {LOW} END"), ("permalink", BARE), ("path", LOW), ("title", LOW), ("title", f"trim({Q.fold('t')})"), ("slug", BARE), ("slug", SLUGGED.format(x=BARE)), ("permalink", SLUGGED.format(x=BARE))])
+
+
+@query("notes_resolve_links", LINKS_SQL)
 def resolve_links(spark, d):
     n = _named(spark, d)
-    return G.resolve_links(_asked(n), n).select("id", "to")
+    return G.resolve_links(_asked(n, n.count()), n).select("id", "to")
 
 
-@query("notes_by_identifier", f'{N}, {RESOLVED} SELECT id, "to" FROM a')
+@query("notes_by_identifier", READS_SQL)
 def by_identifier(spark, d):
     n = _named(spark, d)
-    return G.read_notes(_asked(n), n).select("id", "to")
+    return G.read_notes(_asked(n, n.count()), n).select("id", "to")
 
 
 @query("text_labels", f"""{N} SELECT id, strftime(make_timestamp_ms(mtime_ms), '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, substr(sha256(coalesce(title, '') || chr(0) || theme), 1, 16) AS prefix,
   coalesce(nullif(regexp_replace(regexp_replace(translate(lower(trim(coalesce(title, ''))), '{X.ACCENTED}', '{X.PLAIN}'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'part') AS kebab,
-  CASE id % 4 WHEN 0 THEN 'write' WHEN 1 THEN 'search' WHEN 2 THEN 'read' END AS kind, CASE WHEN id % 3 = 0 THEN '2024-03-0' || (id % 9 + 1) END AS latest, 'Note of ' || theme AS label FROM notes""")
+  [NULL, 'write', 'write', 'read', 'write', 'search', 'read', NULL, 'search', 'read', NULL, 'write'][id % 12 + 1] AS kind, CASE WHEN id % 3 = 0 THEN '2024-03-0' || (id % 9 + 1) END AS latest,
+  CASE id % 3 WHEN 0 THEN upper(left(theme, 1)) || substr(theme, 2) || ' ' || subtheme WHEN 1 THEN CASE WHEN title <> '' AND NOT regexp_matches(title, '^[A-Za-z0-9][A-Za-z0-9._-]{{0,150}}$') THEN title ELSE upper(left(theme, 1)) || substr(theme, 2) END ELSE upper(left(subtheme, 1)) || substr(subtheme, 2) || '/a.md' END AS label FROM notes""")
 def text_labels(spark, d):
+    """Titles that contain no slug, slugs that begin with a kind, and tools whose names hold several words."""
     from corvex.functions import dates as D
 
-    n = notes(spark, d).withColumn("k", F.pmod("id", F.lit(4)))
-    tool = F.when(F.col("k") == 0, "kb_write_note").when(F.col("k") == 1, "Search_notes").when(F.col("k") == 2, "view_note").otherwise("ping")
+    n = notes(spark, d).withColumn("k", F.pmod("id", F.lit(12)).cast("int"))
+    tools = "ping kb_write_note renameFile Load_Note removeNote grep_all build_context list_directory recent_searches get_info status findAndReplace".split()
+    tool = F.get(F.array(*map(F.lit, tools)), F.col("k"))
     dated = F.when(F.pmod("id", F.lit(3)) == 0, F.concat(F.lit("from 2023-12-31 to 2024-03-0"), F.pmod("id", F.lit(9)) + 1)).otherwise("no date")
-    return n.select("id", X.iso("mtime_ms").alias("iso"), X.prefix_hash(F.col("title"), F.col("theme")).alias("prefix"), A.kebab(F.coalesce("title", F.lit(""))).alias("kebab"), X.tool_kind(tool).alias("kind"), D.latest_iso_date(dated).alias("latest"), X.human_label(F.concat(F.lit("note-of_"), "theme")).alias("label"))
+    third = F.pmod("id", F.lit(3))
+    slug = F.when(third == 0, F.concat(F.lit("note-"), "theme", F.lit("_-"), "subtheme")).when(third == 1, F.concat(F.lit("user_"), "theme")).otherwise(F.concat("subtheme", F.lit("/a.md")))
+    label = X.human_label(slug, F.when(third == 1, F.col("title")).when(third == 2, slug))
+    return n.select("id", X.iso("mtime_ms").alias("iso"), X.prefix_hash(F.col("title"), F.col("theme")).alias("prefix"), A.kebab(F.coalesce("title", F.lit(""))).alias("kebab"), X.tool_kind(tool).alias("kind"), D.latest_iso_date(dated).alias("latest"), label.alias("label"))
 
 
 @query("text_meta_fields", f"{N} SELECT id, theme || ' ' || tokens || ' true a ' || subtheme AS meta FROM notes")
@@ -143,13 +173,21 @@ def size_warnings(spark, d):
     return A.size_warnings(reads, notes(spark, d), 500)
 
 
-@query("advice_duplicate_hints", f"""{N}, w AS (SELECT id, {Q.significant('title')} AS words FROM (SELECT id, CASE WHEN {Q.secret('title')} THEN '{Q.MASK}' ELSE title END AS title FROM notes)), k AS (SELECT id, words FROM w WHERE len(words) > 0),
-s AS (SELECT a.id AS write, b.id, len(list_intersect(a.words, b.words)) AS shared, least(len(a.words), len(b.words)) AS m FROM k a JOIN k b ON a.id % 100 = 0 AND b.id % 100 <> 0)
-SELECT write, id, shared, round(shared / m, 2) AS score FROM s WHERE shared >= 3 AND shared >= 0.5 * m QUALIFY row_number() OVER (PARTITION BY write ORDER BY round(shared / m, 2) DESC, shared DESC, id) <= 2""")
+@query("advice_duplicate_hints", f"""{N}, w AS (SELECT id, tokens, {Q.significant('title')} AS words FROM (SELECT id, tokens, CASE WHEN {Q.secret('title')} THEN '{Q.MASK}' ELSE title END AS title FROM notes)), k AS (SELECT * FROM w WHERE len(words) > 0),
+s AS (SELECT a.id AS write, b.id, b.tokens, len(list_intersect(a.words, b.words)) AS shared, len(a.words) AS m FROM k a JOIN k b ON a.id % 100 = 0 AND b.id % 100 <> 0)
+SELECT write, id, shared FROM s WHERE shared >= 2 AND shared >= ceil(0.6 * m) QUALIFY row_number() OVER (PARTITION BY write ORDER BY shared DESC, tokens DESC, id) <= 2""")
 def duplicate_hints(spark, d):
     """Every hundredth note as one being written, against all others."""
-    n = notes(spark, d).select("id", X.significant_words(F.col("title")).alias("words"))
-    return A.duplicate_hints(n.where("id % 100 = 0").withColumnRenamed("id", "write"), n.where("id % 100 <> 0"), shared=3, coverage=0.5)
+    n = notes(spark, d).select("id", "tokens", X.significant_words(F.col("title")).alias("words"))
+    return A.duplicate_hints(n.where("id % 100 = 0").withColumnRenamed("id", "write"), n.where("id % 100 <> 0"))
+
+
+@query("advice_slug_hints", """SELECT doc_id AS write, source || ' Note ' || lang AS title, source || '-note-' || lang AS slug, doc_id % 5 = 0 AS at_root FROM documents WHERE doc_id % 3 <> 0
+UNION ALL SELECT doc_id, source || '-' || lang, NULL, true FROM documents WHERE doc_id % 15 = 0""")
+def slug_hints(spark, d):
+    n = notes(spark, d)
+    title = F.when(F.pmod("id", F.lit(3)) == 0, F.concat("theme", F.lit("-"), "subtheme")).otherwise(F.concat(F.lit(" "), "theme", F.lit(" Note "), "subtheme"))
+    return A.slug_hints(n.select(F.col("id").alias("write"), title.alias("title"), F.when(F.pmod("id", F.lit(5)) == 0, "./Memory/").otherwise("memory\\deep").alias("directory")))
 
 
 @query("advice_hub_hints", f"""{N}, m AS (SELECT id, theme, CASE WHEN {Q.secret('title')} THEN '{Q.MASK}' ELSE title END AS title FROM notes), w AS (SELECT id, {Q.significant('title')} AS words FROM m),
@@ -237,9 +275,10 @@ def stream_counters(spark, d):
     return _run(spark, T.daily_counters(_stream(spark, d)))
 
 
-@query("stream_learned_aliases", BOTH + " SELECT word, ni AS note, tt AS t FROM b WHERE type = 'search' AND nt = 'read' AND tt - t <= 3600000")
+@query("stream_learned_aliases", f"""WITH {ACTIVITY_SQL}, b AS (SELECT *, last_value(CASE WHEN type = 'search' THEN t END IGNORE NULLS) OVER w AS since, last_value(CASE WHEN type = 'search' THEN 'k' || id END IGNORE NULLS) OVER w AS word
+  FROM activity WHERE type IN ('search', 'read') WINDOW w AS (PARTITION BY actor ORDER BY t, call_id ROWS UNBOUNDED PRECEDING)) SELECT word, id AS note, t FROM b WHERE type = 'read' AND t - since <= 86400000""")
 def stream_aliases(spark, d):
-    return _run(spark, T.learned_aliases(_stream(spark, d), 3_600_000))
+    return _run(spark, T.learned_aliases(_stream(spark, d), 86_400_000))
 
 
 @query("stream_futile_searches", BOTH + " SELECT actor, word, t FROM b WHERE type = 'search' AND nt = 'search'")

@@ -101,17 +101,15 @@ def _ids(x) -> list[int]:
 
 
 def learned_aliases(events: DataFrame, within: int = LEARN_MS) -> DataFrame:
-    """word, note, t: a search whose next event of the actor is a read `within` so many ms teaches its word that note,
-    unless the note was among the search's own `results` (array, if the events have it)."""
+    """word, note, t: each read of the actor `within` so many ms of its latest search teaches the search's word that
+    note, unless the note was among the search's own `results` (array, if the events have it)."""
     def learn(key, rows, word, at, shown):
         out = []
         for r in rows:
             if r.type == "search":
                 word, at, shown = r.word, int(r.t), _ids(getattr(r, "results", None))
-            elif r.type == "read" and word is not None:
-                if r.t - at <= within and r.id not in shown:
-                    out.append((word, r.id, int(r.t)))
-                word = None
+            elif r.type == "read" and word is not None and 0 <= r.t - at <= within and r.id not in shown:
+                out.append((word, r.id, int(r.t)))
         return out, (word, at, list(shown))
 
     return _stateful(events, ["actor"], learn, "word string, note bigint, t bigint", "word string, at bigint, shown array<bigint>", (None, 0, []))

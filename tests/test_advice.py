@@ -92,9 +92,50 @@ def test_feed(spark, tmp_path):
 
 
 def test_reading_by_identifier(spark):
-    notes = spark.createDataFrame([(1, "My Note", "main/dir/my-note", "dir/My Note.md", "my-note"), (2, "dir/my note.md", "main/x", "x.md", "x")], "id int, title string, permalink string, path string, slug string")
-    asked = spark.createDataFrame([("dir/My Note.md",), ("MAIN/X",), ("My Note",), ("my note",), ("none",)], "target string")
-    assert {r.target: r.to for r in G.read_notes(asked, notes).collect()} == {"dir/My Note.md": 1, "MAIN/X": 2, "My Note": 1, "my note": 1, "none": None}
+    notes = spark.createDataFrame(
+        [(1, "Été à Rome", "main/dir/my-note", "dir/My Note.md", "my-note"), (2, "dir/my note.md", "main/x", "x.md", "x"), (3, "Other title", "main/a/b", "A B/c.md", "c")],
+        "id int, title string, permalink string, path string, slug string")
+    want = {
+        "dir/My Note.md": 1, "MAIN/X": 2, "My Note": 1, "my%2Dnote": 1, "memory://main/dir/my-note/": 1, "dir/my-note": 1, "ete a rome": 1, "Été à Rome": 1, "other title": 3,
+        "/a/b/": 3, "a-b/c": 3, "main/a-b/c": 3, "a b/C": 3, "100%zz": None, "none": None, " ": None,
+    }
+    asked = spark.createDataFrame([(t,) for t in want], "target string")
+    assert {r.target: r.to for r in G.read_notes(asked, notes).collect()} == want
+    links = {"My Note": 1, "my note.md": 1, "OTHER TITLE": 3, "ete a Rome": 1, "x": 2, "a/b": 3, "dir/my note": 1, "memory://x": None}
+    asked = spark.createDataFrame([(t,) for t in links], "target string")
+    assert {r.target: r.to for r in G.resolve_links(asked, notes).collect()} == links
+
+
+def test_permalinks_of_three_scripts(spark):
+    want = {
+        "memory/People/Jean-Éric O'Neil.md": "memory/people/jean-eric-oneil", "Заметка о Щуке.md": "zametka-o-shchuke", "Ψυχή/Θέμα.md": "psukhe/thema", "myCamelCase_note.TXT": "my-camel-case-note",
+        "ő Ünnep": "o-unnep", "会议notes2024.md": "会议-notes2024", "ＡＢ会": "会", "a//b--c-/": "a//b-c/", "straße": "strasse", "v1.2 – final…": "v1.2-final...",
+    }
+    df = spark.createDataFrame([(k,) for k in want], "p string")
+    assert {r.p: r.x for r in df.select("p", X.permalink("p").alias("x")).collect()} == want
+    assert spark.range(1).select(A.kebab(F.lit(" Őszi Ｕ\u0308bung ² "))).first()[0] == "oszi-ubung-2"
+
+
+def test_labels_tools_and_hints(spark):
+    df = spark.createDataFrame([("note-of_x", None), ("a/b-c", "A Title"), ("x", "some-slug"), ("doc_", None), ("user_Jo-an", "user_Jo-an")], "slug string, title string")
+    assert [r[0] for r in df.select(X.human_label("slug", "title")).collect()] == ["Of x", "A Title", "X", "doc_", "Jo an"]
+    assert [r[0] for r in df.select(X.human_label("slug")).limit(2).collect()] == ["Of x", "A/b c"]
+    tools = {"save_note": "write", "rename_file": "write", "load_note": "read", "removeNote": "write", "grep": "search", "build_context": "read", "list_directory": None, "getter": None, "get_x": "read", None: None}
+    t = spark.createDataFrame([(k,) for k in tools], "t string")
+    assert {r.t: r.k for r in t.select("t", X.tool_kind("t").alias("k")).collect()} == tools
+    writes = spark.createDataFrame([("w", ["red", "blue", "green", "old", "new"]), ("one", ["red"])], "write string, words array<string>")
+    notes = spark.createDataFrame([("a", ["red", "blue", "green"], 5), ("b", ["old", "new", "red", "x"], 9), ("c", ["red", "blue"], 99), ("d", ["blue", "green", "old", "new"], 1)], "id string, words array<string>, tokens int")
+    assert [(r.write, r.id, r.shared) for r in A.duplicate_hints(writes, notes).orderBy(F.desc("shared")).collect()] == [("w", "d", 4), ("w", "b", 3)]
+    w = spark.createDataFrame([(1, "Café Notes", "x"), (2, "good-slug", "./memory/"), (3, "good-slug", "deep/er"), (4, "???", "notes"), (5, " ", "")], "write int, title string, directory string")
+    assert [tuple(r) for r in A.slug_hints(w, "notes").orderBy("write").collect()] == [(1, "Café Notes", "cafe-notes", False), (2, "good-slug", None, True), (4, "???", "a-kebab-slug", True)]
+
+
+def test_stable_share(spark):
+    rows = [("abcdef", "abcxef", 0.5), ("", "a", 0.0), ("x", "", 1.0), ("same", "same", 1.0), ("a" * 90_000 + "b", "a" * 90_000 + "c" * 10_000, 0.9)]
+    df = spark.createDataFrame([(a, b) for a, b, _ in rows], "a string, b string")
+    from corvex.operators import memory
+
+    assert [r[0] for r in df.select(memory.stable_share(F.col("a"), F.col("b"))).collect()] == [w for *_, w in rows]
 
 
 def test_registered_functions(spark):

@@ -7,9 +7,9 @@ from corvex.sources.markdown import front_matter
 
 
 def test_declared_hub(spark):
-    rows = [('{"part_of": "[[Hub]]"}', ""), ('{"parent": "plain"}', ""), ("{}", "\n> Part of the big [[Plan|x]]\n"), (None, "- **Up:** no\nUp: [[Top]]"), ("{}", "one\ntwo\nthree\nfour\nfive\nUp: [[Late]]"), ("{}", "we are up to [[X]]")]
+    rows = [('{"part_of": "[[Hub]]"}', ""), ('{"parent": "plain"}', ""), ("{}", "\n> Part of the big [[Plan|x]]\n"), (None, "- **Up:** no\nUp: [[Top]]"), ("{}", "one\ntwo\nthree\nfour\nfive\nUp: [[Late]]"), ("{}", "we are up to [[X]]"), ("{}", "Up: [[Alpha]]\nPart of all [[Beta]]")]
     df = spark.createDataFrame(rows, "fm string, body string")
-    assert [r[0] for r in df.select(M.declared_hub(F.col("fm"), F.col("body"))).collect()] == ["Hub", "plain", "Plan", "Top", None, None]
+    assert [r[0] for r in df.select(M.declared_hub(F.col("fm"), F.col("body"))).collect()] == ["Hub", "plain", "Plan", "Top", None, None, "Alpha"]
 
 
 def test_pure_sibling_line(spark):

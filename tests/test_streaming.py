@@ -109,8 +109,8 @@ def test_queue_and_verdicts(spark):
 
 
 def test_aliases_and_futile_searches(run):
-    rows = [ev("search", 1, 0, 0, word="foo"), ev("read", 1, 5, 120_000), ev("search", 2, 0, 0, word="bar"), ev("read", 2, 6, 120_001), ev("search", 3, 0, 0, word="a"), ev("search", 3, 0, 9, word="b")]
-    assert run(rows, A.learned_aliases) == [("foo", 5, 120_000)]
+    rows = [ev("search", 1, 0, 0, word="foo"), ev("read", 1, 7, 9), ev("read", 1, 5, 120_000), ev("search", 2, 0, 0, word="bar"), ev("read", 2, 6, 120_001), ev("search", 3, 0, 0, word="a"), ev("search", 3, 0, 9, word="b")]
+    assert sorted(run(rows, A.learned_aliases)) == [("foo", 5, 120_000), ("foo", 7, 9)]  # every read in time teaches
     assert run(rows, A.futile_searches) == [(3, "a", 0, None)]
 
 
