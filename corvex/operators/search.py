@@ -365,7 +365,7 @@ def hits_of(index: Index, q: Query, keep: Column | None = None, page: int = 1, p
     notes = index.notes
     if q.tags:
         want = F.array(*[F.lit(X.fold_text(t)) for t in q.tags])
-        tagged = F.size(F.array_except(want, F.transform("tags", X.fold))) == 0
+        tagged = F.size(F.array_except(want, F.transform("tags", lambda t: X.fold(t)))) == 0
         keep = tagged if keep is None else keep & tagged
     allowed = notes.where(keep) if keep is not None else None
     if not q.clauses:  # filters alone: newest first

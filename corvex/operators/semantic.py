@@ -58,7 +58,7 @@ def split_paragraphs(body: Column, most: int = CHUNK_CHARS) -> Column:
         return F.concat(done, F.transform(cuts, lambda k: F.substring(rest, k * most + 1, F.lit(most))))
 
     packed = F.aggregate(F.split(body, r"\n{2,}"), F.array(F.lit("")), pack)
-    trimmed = F.filter(F.transform(packed, F.trim), lambda p: p != "")
+    trimmed = F.filter(F.transform(packed, lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.length(body) <= most, F.filter(F.array(F.trim(body)), lambda p: p != "")).otherwise(trimmed)
 
 

@@ -1,3 +1,3 @@
 """Registered queries, by family."""
 
-from . import graph, knowledge, lifecycle, search, usage  # noqa: F401
+from . import graph, knowledge, lifecycle, search, structure, usage  # noqa: F401
