@@ -7,10 +7,12 @@ best ancestor on the same page. Pass 2 parses each page again and ranks the page
 their paths; below the best, a path that leads its ancestors over all pages of the host that have it goes before
 them, so a path which all templates share is not taken where a template has one of its own.
 
-Inside the chosen containers all text stays but that of page parts: elements whose tag says so, and elements of
-which a class, id or role is the name of a part (`comments`, `share-box`; not `form-factor`, in which only a word
-is), unless they hold most of the page's text. Parsing takes time and memory in proportion to the page, however
-deep it is nested.
+Inside the chosen containers all text stays but that of page parts, however much of the page they hold: elements whose
+tag says so, and elements of which a class, id or role is the name of a part (`comments`, `share-box`; not
+`form-factor`, in which only a word is). A name of SOFT alone, such as `sidebar`, may be given to the article's own box:
+pages vote on such a path, for it where no other block holds SENTENCE words, against it where one does, and the sum
+over the host decides (a page that is alone with its path decides itself). Comments, notices, adverts and menus never
+are the article. Parsing takes time and memory in proportion to the page, however deep it is nested.
 
 Votes are summed per host and path before they meet, so a hot host costs no more than a cold one. Paths of one
 page alone need not be sent back, as that page knows its own scores; all others are. They go to the pages by
@@ -69,16 +71,21 @@ PARTS = frozenset(
 BESIDE = frozenset(
     "box wrapper wrap container block section area list item items bar inner outer left right top bottom primary secondary main page site global post posts entry article articles content story stories blog links link buttons button social form widget widgets reader readers user users google site header sticky fixed mobile desktop js row col column group panel thread feed body text title heading".split()
 )
+SOFT = frozenset("sidebar aside banner masthead topbar toolbar promo promotion related recommended".split())
+SENTENCE = 8
+BOX = 0x5EED_B0C5  # tells votes on boxes from those on containers
 MAIN = frozenset("article content main post entry story text body page".split())
 
 
 class Node:
-    """A generalised path: its hash, and on this page the best score of its containers and of its ancestors'."""
+    """A generalised path: its hash, and on this page the best score of its containers and of its ancestors', and the
+    best share of the page's prose that one of them holds."""
 
-    __slots__ = ("key", "parent", "depth", "kids", "score", "up", "enter", "leave")
+    __slots__ = ("key", "parent", "depth", "kids", "score", "share", "up", "enter", "leave")
 
     def __init__(self, key: int, parent: Node | None):
         self.key, self.parent, self.depth, self.kids, self.score, self.up = key, parent, parent.depth + 1 if parent else 0, {}, 0, 0
+        self.share = 0.0
 
     def kid(self, shown: str) -> Node:
         found = self.kids.get(shown)
@@ -99,15 +106,23 @@ def path_key(path: str) -> int:
 class Element:
     __slots__ = ("tag", "node", "parent", "named", "tagged", "main", "good", "all", "parts", "headers", "headings", "top")
 
-    def __init__(self, tag, node, parent, named=False, tagged=False, main=False):
+    def __init__(self, tag, node, parent, named=0, tagged=False, main=False):
         self.tag, self.node, self.parent, self.named, self.tagged, self.main = tag, node, parent, named, tagged, main
         self.good = self.all = self.parts = self.headers = self.headings = 0
         self.top = None
 
 
-def is_part(name: str) -> bool:
+def part_kind(name: str) -> int:
+    """0 no page part, 1 one whose name is of SOFT alone, 2 any other."""
     words = [w.lower() for w in NAME.findall(name) if not w.isdigit()]
-    return any(w in PARTS for w in words) and all(w in PARTS or w in BESIDE for w in words)
+    named = [w for w in words if w in PARTS]
+    if not named or not all(w in PARTS or w in BESIDE for w in words):
+        return 0
+    return 1 if all(w in SOFT for w in named) else 2
+
+
+def is_part(name: str) -> bool:
+    return part_kind(name) > 0
 
 
 def _names(attrs: str) -> tuple[str, list[str], bool]:
@@ -196,7 +211,7 @@ class _Parser:
                 self.pop_to(min(ended))
         classes, names, hidden = _names(attrs) if attrs and attrs != "/" else ("", [], False)
         parent = self.stack[-1]
-        named = (hidden or any(map(is_part, names))) and tag not in ("html", "body")
+        named = 0 if tag in ("html", "body") else 2 if hidden else max(map(part_kind, names), default=0)
         if named and not self.in_link:
             self.flush()
         tagged = tag in DROPPED
@@ -241,20 +256,18 @@ class _Parser:
 class Page:
     """A parsed page: which blocks are page parts, and the containers' scores."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, sums: dict[int, tuple[int, int]] | None = None):
+        """`sums`: the host's, for its say on softly named boxes."""
         p = _Parser(html)
         self.elements, self.blocks, self.root = p.elements, p.blocks, p.root
-        total = 0
         for owner, text, _ in self.blocks:
             owner.all += len(text)
-            total += len(text)
         for e in reversed(self.elements[1:]):
             e.parent.all += e.all
-        for e in self.elements[1:]:
-            up = e.parent
-            e.parts = up.parts + (e.tagged or e.named and 2 * e.all <= total)
-            e.headers = up.headers + (e.tag == "header")
-            e.headings = up.headings + (e.tag in ("h1", "h2", "h3"))
+        self._mark(frozenset())
+        self.boxes = self._boxes(sums or {})
+        if self.boxes and (free := frozenset(k for k, (_, is_article) in self.boxes.items() if is_article)):
+            self._mark(free)
         prose = 0
         for owner, text, links in self.blocks:
             if not self.outside(owner, self.root) and 2 * links <= len(text):
@@ -267,12 +280,30 @@ class Page:
             self.nodes.extend(node.kids.values())
         for e in self.elements:
             if e.good and e.tag in CONTAINER:
-                score = (e.good / prose) ** 2 * (e.good / e.all) * (1.0 if e.main else 0.75)
-                e.node.score = max(e.node.score, round(SCALE * score))
+                share = (e.good / prose) ** 2 * (1.0 if e.main else 0.75)
+                e.node.score = max(e.node.score, round(SCALE * share * (e.good / e.all)))
+                e.node.share = max(e.node.share, share)
         for node in self.nodes[1:]:
             node.up = max(node.parent.up, node.parent.score)
         self.found = sorted((n for n in self.nodes if n.score), key=lambda n: (-n.score, -n.depth, n.key))
 
+    def _mark(self, free: frozenset[int]) -> None:
+        """Count the page parts on the way to each element; softly named boxes of the paths in `free` are none."""
+        for e in self.elements[1:]:
+            up = e.parent
+            e.parts = up.parts + (e.tagged or e.named == 2 or e.named == 1 and e.node.key not in free)
+            e.headers = up.headers + (e.tag == "header")
+            e.headings = up.headings + (e.tag in ("h1", "h2", "h3"))
+
+    def _boxes(self, sums: dict[int, tuple[int, int]]) -> dict[int, tuple[int, bool]]:
+        """This page's vote on each path of softly named boxes that hold a sentence, and whether it is the article's."""
+        soft = [e for e in self.elements[1:] if e.named == 1 and not e.tagged and e.parent.parts == 0]
+        if not soft:
+            return {}
+        bare = not any(2 * links <= len(text) and len(text.split()) >= SENTENCE for owner, text, links in self.blocks if not self.outside(owner, self.root))
+        vote = 1 if bare else -1
+        return {e.node.key: (vote, sums.get(e.node.key ^ BOX, (vote, 0))[0] > 0) for e in soft if e.all >= 2 * SENTENCE}
+
     @staticmethod
     def outside(e: Element, top: Element) -> bool:
         """Whether a page part that is not the article lies on the way from `e` up to below `top`; of a header
@@ -280,15 +311,15 @@ class Page:
         return e.parts > top.parts or e.headers > top.headers and e.headings == top.headings
 
     def votes(self) -> list[tuple[int, int, int]]:
-        """Path, score and lead over the best of its ancestors of each container path with prose."""
-        return [(n.key, n.score, n.score - n.up) for n in self.found]
+        """Path, score and lead over the best of its ancestors of each container path with prose; votes on boxes."""
+        return [(n.key, n.score, n.score - n.up) for n in self.found] + [(k ^ BOX, vote, 0) for k, (vote, _) in self.boxes.items()]
 
     def choose(self, sums: dict[int, tuple[int, int]]) -> Node | None:
         """The path to take, by the host's sums; paths without any have this page's own."""
         if not self.found:
             return None
         # a voted path that holds next to nothing of this page is none of its paths
-        left = [(*sums.get(n.key, (n.score, n.score - n.up)), n) for n in self.found if 4 * n.score >= self.found[0].score]
+        left = [(*sums.get(n.key, (n.score, n.score - n.up)), n) for n in self.found if 4 * n.share >= self.found[0].share]
         left.sort(key=lambda x: (-x[0], -x[2].depth, x[2].key))
         clock, walk = 0, [(self.root.node, False)]
         while walk:
@@ -322,7 +353,7 @@ def extract(html: str | None, ranked: list[str] | dict[int, tuple[int, int]]) ->
         return ""
     if not isinstance(ranked, dict):
         ranked = {path_key(p): (1000 * SCALE * (len(ranked) - k), -1) for k, p in enumerate(ranked)}
-    return Page(html).text(ranked)
+    return Page(html, ranked).text(ranked)
 
 
 def host(url):

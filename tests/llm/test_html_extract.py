@@ -1,3 +1,5 @@
+import pytest
+
 from corvex.llm import html_extract as H
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><nav><a href=/>Home</a></nav></header>
@@ -71,7 +73,46 @@ def test_text_inside_the_article_stays():
     assert got.split("\n\n")[1:] == ["Form.", "More.", "Related.", "Let x be.", "End."]
 
 
-def test_a_part_that_holds_most_text_is_none():
+def _host_page(i, part, words, name="story"):
+    article = f"Article {i} tells of the day in just a few plain words."
+    rest = " ".join(["Someone said this or that about it."] * words)
+    return f"<html><body><nav>Menu</nav><div class='{name}'><p>{article}</p></div><div class='{part}'><p>{rest}</p></div></body></html>", article
+
+
+@pytest.mark.parametrize("part", ["comments", "cookie-notice", "sidebar", "related-posts", "reader-comments", "ad-box"])
+def test_parts_stay_out_at_any_length(spark, part):
+    """Shares of the page from a tenth to over nine tenths, alone and among pages of the host."""
+    rows = [(10 * k + i, f"http://h{k}.example/{i}", *_host_page(i, part, w)) for k, ws in enumerate(((1, 2, 4, 9, 30, 60), (60, 60, 60), (40,), (0, 0, 30))) for i, w in enumerate(ws)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, want string")
+    assert [(r.page_id, r.text) for r in H.main_text(df).collect() if r.text != r.want] == []
+    assert all(H.extract(html, []) == want for _, _, html, want in rows)
+
+
+def test_comments_inside_the_article_and_the_hosts_own_path(spark):
+    """Remarks that outweigh the article in its own container: the path that the host votes for is still taken."""
+    def page(i, n):
+        art = f"Story {i} goes on for a while and says what happened. " * 4
+        talk = "<div class='comments'>" + "<p>A remark of some length by a reader of the page.</p>" * n + "</div>"
+        return f"<body><div class='wrap'><div class='post'><p>{art}</p>{talk if i % 2 else ''}</div>{'' if i % 2 else talk}</div></body>", art.strip()
+
+    rows = [(i, "http://h.example/", *page(i, n)) for i, n in enumerate((0, 1, 3, 20, 40, 80))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, want string")
+    assert [(r.page_id, r.text) for r in H.main_text(df).collect() if r.text != r.want] == []
+
+
+def test_an_article_in_a_badly_named_box_survives_by_the_hosts_votes(spark):
+    def page(i, extra):
+        art = f"Article {i} stands in a box that some template named badly."
+        return f"<body><p>Home</p><div class='promo'><h1>T{i}</h1><p>{art}</p></div><p>{extra}</p></body>", f"T{i}\n\n{art}"
+
+    rows = [(i, "http://h.example/", *page(i, "An extra line of eight words or more stands here." if i == 3 else "Bye")) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, want string")
+    got = {r.page_id: r.text for r in H.main_text(df).collect()}
+    assert all(want in got[i] for i, _, _, want in rows)
+    assert rows[3][3] not in H.extract(rows[3][2], [])  # alone, the page would take the extra line
+
+
+def test_an_article_in_a_box_of_a_bad_name():
     page = "<body><div id='sidebar'><p>" + "The article, in a box of a bad name. " * 9 + "</p></div><p>Other.</p></body>"
     assert "The article" in H.extract(page, [])
 
