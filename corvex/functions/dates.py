@@ -112,30 +112,57 @@ def parse_timeframe(value, now_ms: int) -> int | None:
 
 # ---- dates in headings ----
 
-_NAMES = "|".join(sorted(MONTHS, key=len, reverse=True))
-#: Forms in the order in which they are tried, and what their groups hold: year, month, day or the month's name.
-FORMS = (
-    (r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", "YMD"),
-    (r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", "DMY"),
-    (r"\b(\d{1,2})/(\d{1,2})\b", "DM"),
-    (rf"(?iU)\b(\d{{1,2}})\s+({_NAMES})\.?\s*(\d{{4}})?\b", "DNY"),
-    (rf"(?iU)\b({_NAMES})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s*(\d{{4}})?\b", "NDY"),
+#: What a heading's words and signs are, a letter each: Y a year, D a day or month in figures, O a day such as 5th, N a
+#: month's name, _ space; `-`, `/`, `.` and `,` themselves; x anything else.
+SHAPES = (  # families in the order in which they count; in one, the first place counts, then the longest shape
+    ("Y-D-D",), ("D/D/Y",), ("D/D",), ("D_N", "D_N.", "D_N_Y", "D_N._Y", "D_N.Y"),
+    tuple(f"N{dot}_{day}{comma}{year}" for dot in ("", ".") for day in "DO" for comma in ("", ",") for year in ("", "_Y")),
 )
+#: Which of a shape's figures is what; numeric dates are read day first.
+READ = {"Y-D-D": "YMD", "D/D/Y": "DMY", "D/D": "DM"}
+
+
+def _kind(word: Column, months: Column) -> Column:
+    digits = word.rlike("^[0-9]+$")
+    return (
+        F.when(word.rlike(r"^\s+$"), "_").when(word.isin("-", "/", ".", ","), word).when(digits & (F.length(word) == 4), "Y").when(digits & (F.length(word) <= 2), "D")
+        .when(word.rlike("^[0-9]{1,2}(st|nd|rd|th)$"), "O").when(F.map_contains_key(months, word), "N").otherwise("x")
+    )
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _read(words: Column, shape: Column, family: tuple[str, ...], months: Column) -> Column:
+    """The date of the family's first shape in a heading, null if there is none or if it is no date."""
+    fields = {f: READ.get(f) or "".join({"D": "D", "O": "D", "N": "M", "Y": "Y"}.get(c, "") for c in f) for f in family}
+    places = {f: [i for i, c in enumerate(f) if c in "YDON"] for f in family}
+    offsets = {c: F.array(*[F.lit(places[f][fields[f].index(c)] if c in fields[f] else None).cast("int") for f in family]) for c in "YMD"}
+    seen = F.array(*[F.struct(F.instr(shape, f).alias("at"), F.lit(-len(f)).alias("longest"), F.lit(k).alias("k")) for k, f in enumerate(family)])
+
+    def told(hit: Column) -> Column:
+        word = {c: F.get(words, hit["at"] - 1 + F.get(offsets[c], hit["k"])) for c in "YMD"}
+        year, day = (F.regexp_extract(word[c], "^[0-9]+", 0).try_cast("int") for c in "YD")
+        month = F.coalesce(F.try_element_at(months, word["M"]), word["M"].try_cast("int"))
+        real = month.between(1, 12) & day.between(1, 31) & F.coalesce(year.between(1900, 2999), F.lit(True))
+        return F.when(real, F.struct(year.alias("year"), month.alias("month"), day.alias("day")))
+
+    return _bound(F.array_min(F.filter(seen, lambda p: p["at"] > 0)), told)
 
 
 def heading_date(title: Column) -> Column:
-    """struct(year, month, day) of the first known form in a heading, else null; the year may be null.
-    Numeric dates are read day first."""
-    by_name = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    found = []
-    for pattern, holds in FORMS:
-        text = {k: F.regexp_extract(title, pattern, i) for i, k in enumerate(holds, 1)}
-        value = {k: c.try_cast("int") for k, c in text.items() if k != "N"}
-        month = value["M"] if "M" in value else by_name[F.lower(text["N"])]
-        year = value.get("Y", F.lit(None).cast("int"))
-        real = month.between(1, 12) & value["D"].between(1, 31) & F.coalesce(year.between(1900, 2999), F.lit(True))
-        found.append(F.when(real, F.struct(year.alias("year"), month.alias("month"), value["D"].alias("day"))))
-    return F.coalesce(*found)
+    """struct(year, month, day) of the first known form in a heading, else null; the year may be null. The heading is
+    read word by word; forms are shapes of neighbouring words."""
+    months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    words = F.regexp_extract_all(F.lower(title), F.lit(r"([\p{L}\p{N}_]+|\s+|.)"), 1)
+
+    def read(words: Column) -> Column:
+        shape = F.array_join(F.transform(words, lambda w: _kind(w, months)), "")
+        return _bound(shape, lambda s: F.coalesce(*[_read(words, s, family, months) for family in SHAPES]))
+
+    return _bound(words, read)
 
 
 def _midnight(year: Column, month: Column, day: Column) -> Column:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+from .graph import cut
+
 RESAMPLES, SEED, LOW, HIGH = 2000, 7, 50, 1949
 CALL_TOKENS = 5000
-MOST_QUESTIONS = 5000
+MASK = 0xFFFFFFFF
 
 
 def retrieval(ranks: DataFrame) -> DataFrame:
@@ -32,22 +33,35 @@ def mulberry32(seed: int, n: int) -> list[float]:
     return out
 
 
+def _times(x: Column, y: Column) -> Column:
+    """The low 32 bits of the product of two numbers of 32 bits."""
+    high = F.shiftrightunsigned(y, 16)
+    return (x * y.bitwiseAND(F.lit(0xFFFF)) + F.shiftleft((x * high).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(MASK))
+
+
+def draw(i: Column, seed: int) -> Column:
+    """Number i, from 0, of `mulberry32(seed)`: its state is a counter, so no draw needs those before it."""
+    a = (F.lit(seed & MASK) + _times(F.lit(0x6D2B79F5).cast("bigint"), (i + 1).cast("bigint").bitwiseAND(F.lit(MASK)))).bitwiseAND(F.lit(MASK))
+    t = _times(a.bitwiseXOR(F.shiftrightunsigned(a, 15)), a.bitwiseOR(F.lit(1)))
+    t = t.bitwiseXOR((t + _times(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)))
+    return t.bitwiseXOR(F.shiftrightunsigned(t, 14)) / F.lit(4294967296.0)
+
+
 def relative_difference(runs: DataFrame, variant: str, base: str) -> DataFrame:
     """One row: the relative change of the mean over questions that both variants answered, and its
-    bootstrap interval from order statistics LOW and HIGH of RESAMPLES. `runs`: question, variant, value."""
+    bootstrap interval from order statistics LOW and HIGH of RESAMPLES. `runs`: question, variant, value.
+    Resample r draws numbers r n to r n + n - 1 of the generator, each a row, so any number of questions is dealt over
+    all tasks; draws are counted before they are joined. Without such questions there is no row."""
     means = runs.where(F.col("variant").isin(variant, base)).groupBy("question").pivot("variant", [base, variant]).agg(F.avg("value"))
     paired = means.where(F.col(base).isNotNull() & F.col(variant).isNotNull()).select("question", F.col(base).alias("b"), F.col(variant).alias("v"))
-
-    def boot(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("question")
-        b, v, n = p["b"].to_numpy(), p["v"].to_numpy(), len(p)
-        draw = (np.array(mulberry32(SEED, RESAMPLES * n)) * n).astype(int).reshape(RESAMPLES, n)
-        d = np.sort(v[draw].sum(axis=1) / b[draw].sum(axis=1) - 1)
-        return pd.DataFrame([{"n": n, "change": v.sum() / b.sum() - 1, "low": d[LOW], "high": d[HIGH]}])
-
-    if paired.limit(MOST_QUESTIONS + 1).count() > MOST_QUESTIONS:  # they are drawn from in one task
-        raise ValueError(f"more than {MOST_QUESTIONS} questions")
-    return paired.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(boot, "n bigint, change double, low double, high double")
+    paired = cut(scan.numbered(paired, "question", []))
+    n = paired.count()
+    draws = runs.sparkSession.range(RESAMPLES * n).select(F.floor(F.col("id") / max(n, 1)).alias("r"), F.floor(draw(F.col("id"), SEED) * n).alias("pos"))
+    often = draws.groupBy("r", "pos").count()
+    sums = often.join(paired.select("pos", "b", "v"), "pos").groupBy("r").agg((F.sum(F.col("v") * F.col("count")) / F.sum(F.col("b") * F.col("count")) - 1).alias("d"))
+    order = sums.agg(F.array_sort(F.collect_list("d")).alias("d"))  # RESAMPLES numbers
+    whole = paired.agg(F.count("*").alias("n"), (F.sum("v") / F.sum("b") - 1).alias("change")).where("n > 0")
+    return whole.crossJoin(F.broadcast(order)).select("n", "change", F.get("d", F.lit(LOW)).alias("low"), F.get("d", F.lit(HIGH)).alias("high"))  # one row each
 
 
 def accuracy(runs: DataFrame) -> DataFrame:

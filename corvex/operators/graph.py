@@ -215,45 +215,44 @@ def mutual(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").join(back, ["src", "dst"], "left_semi").select(F.col("src").alias("hub"), F.col("dst").alias("part")).distinct()
 
 
+def _closed(group: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Of hubs' groups (hub, part) what is left when parts that anything outside the hub and its group links to go, again
+    and again, and then groups of one."""
+    while True:
+        inside = group.select("hub", F.col("part").alias("src"))
+        outside = group.join(incoming, "part").where("src <> hub").join(inside, ["hub", "src"], "left_anti")
+        gone = cut(outside.select("hub", "part").distinct())
+        if gone.isEmpty():
+            break
+        group = cut(group.join(gone, ["hub", "part"], "left_anti"))
+    two = group.groupBy("hub").count().where("count >= 2").select("hub")
+    return cut(group.join(two, "hub", "left_semi"))
+
+
 def hubs(edges: DataFrame, notes: DataFrame, declared: DataFrame, index: str | None = None) -> DataFrame:
-    """part, hub: declared ones (part, hub), then structural ones. Hubs claim in the order of their ids, each
-    claim taking parts from later ones, so the small graph of mutual links in one folder, with the sources of
-    its candidates, is walked on the driver; it is checked to be small."""
+    """part, hub: declared ones (part, hub), then structural ones: two or more notes of one folder that link to a hub and
+    back and to which nothing else links but the index and each other. Hubs claim in the order of their ids. In a round
+    every hub claims that shares no part with a smaller one still waiting, which is what the order asks for; groups
+    closed before any claim only shrink, so few hubs wait."""
     folder = notes.select("id", "folder")
-    pairs = mutual(edges).join(folder.select(F.col("id").alias("hub"), F.col("folder").alias("f")), "hub").join(folder.select(F.col("id").alias("part"), F.col("folder").alias("g")), "part").where("f <=> g")
+    pairs = mutual(edges).join(folder.select(F.col("id").alias("hub"), F.col("folder").alias("f")), "hub").join(folder.select(F.col("id").alias("part"), F.col("folder").alias("g")), "part").where("coalesce(f, '') = coalesce(g, '')")
     if index is not None:
         pairs = pairs.where((F.col("hub") != index) & (F.col("part") != index))
+    claimed = cut(declared.select("part", "hub"))
+    pairs = pairs.select("hub", "part").join(claimed.select("part", F.col("hub").alias("own")), "part", "left").where("own IS NULL OR own = hub").select("hub", "part")
     wide = pairs.groupBy("hub").count().where("count >= 2").select("hub")
-    pairs = pairs.join(wide, "hub", "left_semi").select("hub", "part")
-    def bounded(df: DataFrame, what: str) -> list:
-        rows = df.limit(MOST_CLAIMS + 1).collect()
-        if len(rows) > MOST_CLAIMS:
-            raise ValueError(f"more than {MOST_CLAIMS} {what}; claims in order do not fit the driver")
-        return rows
-
-    found = bounded(pairs.orderBy("hub", "part"), "mutual links")
-    parts = pairs.select(F.col("part").alias("dst")).distinct()
-    inc: dict = {}
-    for r in bounded(edges.where("src <> dst").join(parts, "dst", "left_semi").select("src", "dst").distinct(), "links to candidates"):
-        inc.setdefault(r.dst, set()).add(r.src)
-    claimed = {r.part: r.hub for r in bounded(declared.select("part", "hub"), "declared parts")}
-    by_hub: dict = {}
-    for r in found:
-        by_hub.setdefault(r.hub, []).append(r.part)
-    for hub in sorted(by_hub):
-        group = {p for p in by_hub[hub] if claimed.get(p, hub) == hub}
-        while True:
-            kept = {p for p in group if inc.get(p, set()) - {index} <= group | {hub}}
-            if kept == group:
-                break
-            group = kept
-        if len(group) >= 2:
-            for p in group:
-                claimed.setdefault(p, hub)
-    return edges.sparkSession.createDataFrame(sorted(claimed.items()), "part string, hub string")
-
-
-MOST_CLAIMS = 200_000
+    group = cut(pairs.join(wide, "hub", "left_semi"))
+    incoming = edges.where("src <> dst").select("src", F.col("dst").alias("part")).join(group.select("part").distinct(), "part", "left_semi").distinct()
+    incoming = cut(incoming if index is None else incoming.where(F.col("src") != index))
+    while True:
+        group = _closed(group, incoming)
+        if group.isEmpty():
+            return claimed
+        first = group.groupBy("part").agg(F.min("hub").alias("first"))
+        waits = group.join(first, "part").where("hub <> first").select("hub").distinct()
+        won = cut(group.join(waits, "hub", "left_anti"))
+        claimed = cut(claimed.unionByName(won.select("part", "hub").join(claimed.select("part"), "part", "left_anti")))
+        group = cut(group.join(won.select("hub").distinct(), "hub", "left_anti").join(won.select("part"), "part", "left_anti"))
 
 
 def audit(notes: DataFrame, edges: DataFrame, declared: DataFrame, listed: DataFrame, index: str, valid_themes: list[str], archive: str = "archive") -> DataFrame:

@@ -469,28 +469,19 @@ def _begins(t: str):
 
 
 def excerpts(lines: DataFrame, terms: list[str], most: int = 200) -> DataFrame:
-    """`lines` (line, …) plus excerpt: of a line about `most` characters around the first query term it holds, cut
-    between words, with an ellipsis for what is left out."""
-    space = lambda c: F.instr(c, " ")
-    found = F.array_min(F.filter(F.array(*[F.instr(F.col("_fold"), t) for t in terms] or [F.lit(0)]), lambda i: i > 0))
-    steps = {  # each from those before it; places count from 0
-        "_text": F.trim(F.regexp_replace("line", r"\s+", " ")),
-        "_n": F.length("_text"),
-        "_fold": X.fold("_text"),
-        "_at": F.coalesce(found - 1, F.lit(-1)),
-        "_from": F.greatest(F.lit(0), F.least(F.col("_at") - round(most * 0.3), F.col("_n") - most)),
-        "_gap": F.col("_from") + space(F.substring("_text", F.col("_from") + 1, F.col("_n"))) - 1,
-        "_start": F.when((F.col("_from") > 0) & (F.col("_gap") >= F.col("_from")) & (F.col("_gap") < F.col("_from") + 30) & ((F.col("_at") < 0) | (F.col("_gap") < F.col("_at"))), F.col("_gap") + 1).otherwise(F.col("_from")),
-        "_to": F.least(F.col("_n"), F.col("_start") + most - 2),
-        "_head": F.substring("_text", F.lit(1), F.col("_to") + 1),
-        "_last": F.when(space("_head") > 0, F.length("_head") - space(F.reverse("_head"))).otherwise(-1),
-        "_end": F.when((F.col("_to") < F.col("_n")) & (F.col("_last") > F.col("_start") + round(most * 0.75)), F.col("_last")).otherwise(F.col("_to")),
-    }
-    out = lines
-    for name, c in steps.items():
-        out = out.withColumn(name, c)
-    cut = F.concat(F.when(F.col("_start") > 0, "…").otherwise(""), F.trim(F.substring("_text", F.col("_start") + 1, F.col("_end") - F.col("_start"))), F.when(F.col("_end") < F.col("_n"), "…").otherwise(""))
-    return out.withColumn("excerpt", F.when(F.col("_n") <= most, F.col("_text")).otherwise(cut)).drop(*steps)
+    """`lines` (line, …) plus excerpt: the line, or of a longer one the longest run of whole words of `most` characters
+    that begins at most a third of them before the first query term (earlier, where all that follows fits), with an
+    ellipsis at each end that is cut. A word longer than that is cut itself."""
+    room, c = most - 2, F.col
+    first = F.array_min(F.filter(F.array(*[F.instr(X.fold("_text"), t) for t in terms] or [F.lit(0)]), lambda i: i > 0))
+    part = lambda text, *pattern: F.call_function("regexp_extract", text, F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in pattern]), F.lit(0))
+    out = lines.withColumn("_text", F.trim(F.regexp_replace("line", r"\s+", " "))).withColumn("_at", F.coalesce(first - 1, F.lit(0)))
+    out = out.withColumn("_after", F.substring("_text", c("_at") + 1, F.length("_text")))
+    out = out.withColumn("_left", part(F.substring("_text", F.lit(1), c("_at")), "(?:^|(?<= )).{0,", F.greatest(F.lit(room // 3), room - F.length("_after")), "}$"))
+    right = F.greatest(room - F.length("_left"), F.lit(0))
+    out = out.withColumn("_right", F.coalesce(F.nullif(part(c("_after"), "^.{0,", right, "}(?= |$)"), F.lit("")), F.substring("_after", F.lit(1), right)))
+    cut = F.concat(F.when(F.length("_left") < c("_at"), "…").otherwise(""), "_left", "_right", F.when(F.length("_right") < F.length("_after"), "…").otherwise(""))
+    return out.withColumn("excerpt", F.when(F.length("_text") <= most, c("_text")).otherwise(cut)).drop("_text", "_at", "_after", "_left", "_right")
 
 
 def snippets(hits: DataFrame, notes: DataFrame, q: Query) -> DataFrame:

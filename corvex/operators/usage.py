@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
+
 TYPES = ("search", "read", "write")
 LOOK_AHEAD_MS = 120_000
 SHARE = 0.8
@@ -208,6 +210,14 @@ def bursts(calls: DataFrame, gap_ms: int = 120_000, most: int = 4) -> DataFrame:
     return cut.groupBy("session", "run", "part").agg(F.count("*").alias("n"), F.min("t").alias("first_t")).where("n > 1")
 
 
+def bursts_in_order(calls: DataFrame, gap_ms: int = 120_000, most: int = 4, parts: int | None = None) -> DataFrame:
+    """Searches of one session one right after the other in the order of all calls, no more than `gap_ms` apart, in runs
+    of up to `most`: rows session, first_call, n, first_t. A call of any other session, too, ends a run."""
+    s = scan.runs(calls.withColumn("_search", F.col("type") == "search"), "t", ["call_id"], ["session"], gap_ms, "_search", parts)
+    cut = s.where("run IS NOT NULL").groupBy("session", "run", F.floor(F.col("run_pos") / most).alias("k"))
+    return cut.agg(F.min_by("call_id", F.struct("t", "call_id")).alias("first_call"), F.count("*").alias("n"), F.min("t").alias("first_t")).where("n > 1").select("session", "first_call", "n", "first_t")
+
+
 def sessions(calls: DataFrame, gap_ms: int = 1_800_000) -> DataFrame:
     """A session number within each actor: a new one after a gap, or when the source changes."""
     w = W.partitionBy("actor").orderBy("t", "call_id")

@@ -281,9 +281,11 @@ def stream_aliases(spark, d):
     return _run(spark, T.learned_aliases(_stream(spark, d), 86_400_000))
 
 
-@query("stream_futile_searches", BOTH + " SELECT actor, word, t FROM b WHERE type = 'search' AND nt = 'search'")
+@query("stream_futile_searches", BOTH + """, e AS (SELECT actor, max(t) AS last_t FROM activity GROUP BY actor), m AS (SELECT max(t) AS m FROM activity)
+SELECT actor, word, b.t FROM b JOIN e USING (actor), m WHERE type = 'search' AND (nt = 'search' OR nt = 'read' AND tt - b.t > 86400000 OR nt IS NULL AND last_t + 86400000 < m + 1 - 86400000)""")
 def stream_futile(spark, d):
-    return _run(spark, T.futile_searches(_stream(spark, d))).select("actor", "word", "t")
+    """Settled by the actor's next call, or when the watermark leaves the actor's last one behind by a day."""
+    return _run(spark, T.futile_searches(_stream(spark, d), 86_400_000)).select("actor", "word", "t")
 
 
 @query("stream_repeat_stubs", f"WITH {ACTIVITY_SQL} SELECT actor AS session, id, t, row_number() OVER (PARTITION BY actor, id ORDER BY t, call_id) % 2 = 0 AS stub FROM activity WHERE type = 'read'")

@@ -150,9 +150,18 @@ def spread(spark, d):
     return B.spread(_runs(spark, d), "variant", "value")
 
 
-@query("eval_bootstrap")
+def _imul(x: str, y: str) -> str:
+    return f"((({x})::HUGEINT * ({y})) % 4294967296)::BIGINT"
+
+
+@query("eval_bootstrap", f"""WITH {RUNS}, m AS (SELECT question, avg(value) FILTER (variant = 'click') AS b, avg(value) FILTER (variant = 'view') AS v FROM u GROUP BY question),
+p AS (SELECT b, v, row_number() OVER (ORDER BY question) - 1 AS pos, count(*) OVER () AS n FROM m WHERE b IS NOT NULL AND v IS NOT NULL),
+i AS (SELECT n, unnest(range(2000 * n)) AS i FROM (SELECT DISTINCT n FROM p)), a AS (SELECT n, i, (7 + {_imul('1831565813', 'i + 1')}) % 4294967296 AS a FROM i),
+t AS (SELECT n, i, {_imul('xor(a, a >> 15)', 'a | 1')} AS t FROM a), w AS (SELECT n, i, xor(t, (t + {_imul('xor(t, t >> 7)', 't | 61')}) % 4294967296) AS t FROM t),
+d AS (SELECT i // n AS r, floor(xor(t, t >> 14) / 4294967296.0::DOUBLE * n)::BIGINT AS pos FROM w), s AS (SELECT r, sum(v) / sum(b) - 1 AS d FROM d JOIN p USING (pos) GROUP BY r), o AS (SELECT list(d ORDER BY d) AS d FROM s)
+SELECT (SELECT count(*) FROM p) AS n, round((SELECT sum(v) / sum(b) - 1 FROM p), 6) AS change, round(d[51], 6) AS low, round(d[1950], 6) AS high FROM o""")
 def bootstrap(spark, d):
-    return B.relative_difference(_runs(spark, d), "view", "click")
+    return B.relative_difference(_runs(spark, d), "view", "click").select("n", *[F.round(c, 6).alias(c) for c in ("change", "low", "high")])
 
 
 @query("eval_paired_change", f"WITH {RUNS}, m AS (SELECT question, avg(value) FILTER (variant = 'click') AS b, avg(value) FILTER (variant = 'view') AS v FROM u GROUP BY question) SELECT count(*) AS n, round(sum(v) / sum(b) - 1, 6) AS change FROM m WHERE b IS NOT NULL AND v IS NOT NULL")

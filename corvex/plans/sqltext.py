@@ -34,12 +34,16 @@ def significant(x: str) -> str:
     return f"list_distinct([w for w in regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+') if length(w) >= 3 AND w NOT IN ({STOPS})])"
 
 
+#: Formats of known tokens, words that name a secret, and what a secret looks like beside them.
+TOKENS = "(sk-[A-Za-z0-9_-]{12,}|ghp_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16}|\\b[0-9]{8,10}:[A-Za-z0-9_-]{30,})"
+NAMED = "(token|password|passwd|secret|api[ _-]?key|bearer|credential|private[ _-]?key)"
+VALUE = "([:=]\\s*`?[^\\s`]{6,}`?|[A-Za-z0-9_+/=-]{24,})"
+
+
 def secret(x: str) -> str:
-    """Whether a line looks like a secret, in words of its own."""
-    tokens = "(sk-[A-Za-z0-9_-]{12,}|ghp_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16}|\\b[0-9]{8,10}:[A-Za-z0-9_-]{30,})"
-    named = "(token|password|passwd|secret|api[ _-]?key|bearer|credential|private[ _-]?key)"
-    value = "([:=]\\s*`?[^\\s`]{6,}`?|[A-Za-z0-9_+/=-]{24,})"
-    return f"(regexp_matches({x}, '{tokens}') OR regexp_matches({x}, '{named}', 'i') AND regexp_matches({x}, '{value}'))"
+    """Whether a line looks like a secret."""
+    return f"(regexp_matches({x}, '{TOKENS}') OR regexp_matches({x}, '{NAMED}', 'i') AND regexp_matches({x}, '{VALUE}'))"
 
 
+#: Fixed value.
 MASK = "[line hidden: looks like a secret]"

@@ -197,6 +197,14 @@ def bursts(spark, d):
     return U.bursts(activity(spark, d).withColumnRenamed("actor", "session"), HALF_DAY_MS)
 
 
+@query("usage_bursts_in_order", A + f""", r AS (SELECT *, CASE WHEN type <> 'search' OR lag(type) OVER w IS DISTINCT FROM 'search' OR actor // 50 <> lag(actor // 50) OVER w OR t - lag(t) OVER w > {HALF_DAY_MS} THEN 1 ELSE 0 END AS new FROM activity WINDOW w AS (ORDER BY t, call_id)),
+g AS (SELECT *, sum(new) OVER (ORDER BY t, call_id) AS run FROM r), s AS (SELECT *, (row_number() OVER (PARTITION BY run ORDER BY t, call_id) - 1) // 4 AS part FROM g WHERE type = 'search')
+SELECT actor // 50 AS session, arg_min(call_id, (t, call_id)) AS first_call, count(*) AS n, min(t) AS first_t FROM s GROUP BY actor // 50, run, part HAVING count(*) > 1""")
+def bursts_in_order(spark, d):
+    """Fifty users as one session, so that runs are found in the order of all calls."""
+    return U.bursts_in_order(activity(spark, d).withColumn("session", F.floor(F.col("actor") / 50)), HALF_DAY_MS, parts=16)
+
+
 @query("usage_sessions", A + f""", r AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > {HALF_DAY_MS} OR source <> lag(source) OVER w THEN 1 ELSE 0 END AS new FROM activity WINDOW w AS (PARTITION BY actor ORDER BY t, call_id)),
 s AS (SELECT actor, sum(new) OVER (PARTITION BY actor ORDER BY t, call_id) AS session FROM r) SELECT actor, session::BIGINT AS session, count(*) AS calls FROM s GROUP BY actor, session""")
 def sessions(spark, d):

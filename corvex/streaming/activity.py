@@ -22,9 +22,9 @@ KEEP_MS, LATE = 86_400_000, "1 day"
 
 
 def valid(events: DataFrame) -> DataFrame:
-    """Events of a known type with a time and, where they name notes, no more than MOST_IDS of them."""
-    good = F.col("type").isin(*TYPES) & F.col("t").isNotNull() & (F.col("t") >= 0)
-    return events.where(good & (F.size("ids") <= MOST_IDS) if "ids" in events.columns else good)
+    """Events of a known type with a time; of the notes that they name, the first MOST_IDS."""
+    good = events.where(F.col("type").isin(*TYPES) & F.col("t").isNotNull() & (F.col("t") >= 0))
+    return good.withColumn("ids", F.slice("ids", 1, MOST_IDS)) if "ids" in events.columns else good
 
 
 def daily_counters(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -39,13 +39,16 @@ def once_per_session(events: DataFrame, keys: list[str], late: str = "1 hour") -
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def _stateful(events: DataFrame, keys: list[str], step: Callable, out: str, state: str, start: tuple) -> DataFrame:
+def _stateful(events: DataFrame, keys: list[str], step: Callable, out: str, state: str, start: tuple, last: Callable | None = None) -> DataFrame:
     """`step(key, rows, state values)` takes a key's rows of a batch in order of time and gives output rows and the
-    new state values; the state goes when the watermark is KEEP_MS past the last row."""
+    new state values; the state goes when the watermark is KEEP_MS past the last row, and `last(key, state values)`
+    gives the rows that settle what it still held."""
     names = [c.strip().split(" ")[0] for c in out.split(",")]
 
     def run(key, frames: Iterator[pd.DataFrame], held: GroupState):
         if held.hasTimedOut:
+            if last is not None:
+                yield pd.DataFrame(last(key, *held.get), columns=names)
             held.remove()
             return
         rows = pd.concat(list(frames), ignore_index=True).sort_values("t", kind="stable")
@@ -151,22 +154,25 @@ def outlines_first(reads: DataFrame, least: int) -> DataFrame:
     return _stateful(reads.withColumn("least", F.lit(least)), ["session", "id"], _outline, "session bigint, id bigint, t bigint, shown string", "shortened boolean", (False,))
 
 
-def _futile(key, rows, pending, at, mark):
-    out = []
-    for r in rows:
-        if r.type == "search":
-            if pending is not None:
+def futile_searches(events: DataFrame, within: int = LEARN_MS) -> DataFrame:
+    """actor, word, t, fingerprint: searches that led to no read `within` so many ms, with the state of the notes then
+    (`fingerprint`, if the events have it). A search is settled by the actor's next search or read, or when the session
+    is forgotten, so that the last one of a session comes out too."""
+    def settle(key, rows, pending, at, mark):
+        out = []
+        for r in rows:
+            if r.type not in ("search", "read"):
+                continue
+            redeemed = r.type == "read" and pending is not None and 0 <= r.t - at <= within
+            if pending is not None and not redeemed:
                 out.append((key[0], pending, at, mark))
-            pending, at, mark = r.word, int(r.t), getattr(r, "fingerprint", None)
-        elif r.type == "read":
-            pending = None
-    return out, (pending, at, mark)
+            pending, at, mark = (r.word, int(r.t), getattr(r, "fingerprint", None)) if r.type == "search" else (None, 0, None)
+        return out, (pending, at, mark)
 
+    def last(key, pending, at, mark):
+        return [] if pending is None else [(key[0], pending, at, mark)]
 
-def futile_searches(events: DataFrame) -> DataFrame:
-    """actor, word, t, fingerprint: searches that no read follows before the actor's next search, with the state of
-    the notes then (`fingerprint`, if the events have it)."""
-    return _stateful(events, ["actor"], _futile, "actor bigint, word string, t bigint, fingerprint string", "word string, at bigint, mark string", (None, 0, None))
+    return _stateful(events, ["actor"], settle, "actor bigint, word string, t bigint, fingerprint string", "word string, at bigint, mark string", (None, 0, None), last)
 
 
 def known_futile(searches: DataFrame, futile: DataFrame, fingerprint: str) -> DataFrame:

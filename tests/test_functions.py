@@ -80,6 +80,11 @@ def test_parse_timeframe_forms():
 
 def test_heading_dates(spark):
     titles = ["2026-10-12 review", "5/11/2026", "Notes 5/10 soir", "12 oct.", "Oct 12, 2026", "3 février", "Chapter 13/45", "plain"]
+    more = {
+        "12 oct - 5 nov 2026": (None, 10, 12), "Sept. 5th, 2025 plan": (2025, 9, 5), "as of 1 AOÛT 2024": (2024, 8, 1), "5 mars.": (None, 3, 5), "v12/10x": None, "1234-5-6": None, "2026-10-12 and 1/2": (2026, 10, 12),
+        "may 32": None, "10/2026": None, "état au 31/12 à 10h": (None, 12, 31), "12  oct 2026": (2026, 10, 12), "x_12 oct": None, "12 oct. 2026": (2026, 10, 12), "40 mai 5": (None, 5, 5), "": None,
+    }
+    assert [tuple(g) if g else None for g in one(spark, list(more), D.heading_date(F.col("x")))] == list(more.values())
     got = one(spark, titles, D.heading_date(F.col("x")))
     assert [tuple(g) if g else None for g in got] == [(2026, 10, 12), (2026, 11, 5), (None, 10, 5), (None, 10, 12), (2026, 10, 12), (None, 2, 3), None, None]
 

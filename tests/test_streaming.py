@@ -111,7 +111,27 @@ def test_queue_and_verdicts(spark):
 def test_aliases_and_futile_searches(run):
     rows = [ev("search", 1, 0, 0, word="foo"), ev("read", 1, 7, 9), ev("read", 1, 5, 120_000), ev("search", 2, 0, 0, word="bar"), ev("read", 2, 6, 120_001), ev("search", 3, 0, 0, word="a"), ev("search", 3, 0, 9, word="b")]
     assert sorted(run(rows, A.learned_aliases)) == [("foo", 5, 120_000), ("foo", 7, 9)]  # every read in time teaches
-    assert run(rows, A.futile_searches) == [(3, "a", 0, None)]
+    assert sorted(run(rows, A.futile_searches)) == [(2, "bar", 0, None), (3, "a", 0, None)]  # a read too late redeems nothing
+
+
+def test_the_last_search_of_a_session_is_settled(spark, tmp_path):
+    """Nobody comes back to the session: its search is told when the watermark has left it behind, once."""
+    day = 86_400_000
+
+    def at(rows):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        A.futile_searches(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.actor, r.word, r.t) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert at([ev("search", 1, 0, day, word="lost"), ev("search", 2, 0, day, word="found"), ev("read", 2, 5, day + 9)]) == []
+    assert at([ev("search", 3, 0, 5 * day, word="new")]) == [(1, "lost", day)]
+    assert at([ev("read", 9, 1, 6 * day)]) == [(1, "lost", day)]
+
+
+def test_ids_are_cut_not_dropped(spark):
+    rows = spark.createDataFrame([("read", 1, list(range(60))), ("read", 2, [1]), ("odd", 3, [1]), ("read", -1, [1])], "type string, t bigint, ids array<int>")
+    assert sorted((r.t, len(r.ids)) for r in A.valid(rows).collect()) == [(1, 50), (2, 1)]
 
 
 def test_repeat_stubs(run):
