@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvex.functions import text as X
+from corvex.operators import reshape as R
 from corvex.operators import structure as S
 
 from . import sqltext as Q
 from .registry import query
-from .tables import NOTES_SQL, notes
+from .tables import NOTES_SQL, notes, read
 
 INDEX = "index"
 
@@ -117,3 +118,42 @@ def after_fixes(spark, d):
     again = S.audit(S.Structure(S.fixed_notes(base, changes), INDEX, themes=(), structural=False))
     lost = S.lost_lines(changes).agg(F.count("*").alias("lost"))
     return again.groupBy("rule").agg(F.count("*").alias("n"), F.count_if(F.col("fix").isNotNull()).alias("fixable")).crossJoin(F.broadcast(lost))  # one row
+
+
+def _talk_notes(spark, d):
+    c = read(spark, d, "conversations")
+    line = F.concat(F.lit("## "), "role", F.lit(" "), "turn", F.lit("\n"), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 50), F.lit("\nend "), F.col("turn"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n")
+    return c.groupBy(F.concat(F.lit("c"), "conv_id").alias("id")).agg(body.alias("body"))
+
+
+TALKS = """l AS (SELECT 'c' || conv_id AS note, turn, '## ' || role || ' ' || turn AS head, left(regexp_replace(text, '\\s+', ' ', 'g'), 50) AS t FROM conversations),
+g AS (SELECT note, max(CASE WHEN turn = 1 THEN head END) AS one, max(CASE WHEN turn = 2 THEN head END) AS two FROM l GROUP BY note),
+ok AS (SELECT note FROM g WHERE one IS NOT NULL AND two IS NOT NULL AND substr(note, 2)::BIGINT % 5 <> 0)"""
+
+
+def _split(spark, d):
+    n, c = _talk_notes(spark, d), read(spark, d, "conversations")
+    head = lambda t: F.max(F.when(F.col("turn") == t, F.concat("role", F.lit(" "), "turn")))
+    heads = c.groupBy(F.concat(F.lit("c"), "conv_id").alias("note")).agg(head(1).alias("one"), head(2).alias("two"), F.min("conv_id").alias("k"))
+    none = F.array().cast("array<string>")
+    first = heads.select("note", F.lit(0).alias("pos"), F.lit("The First").alias("slug"), F.lit("one \"turn\"").alias("description"), F.lit("first").alias("hook"), F.array(F.coalesce("one", F.lit("none"))).alias("sections"), none.alias("lines"))
+    second = heads.select("note", F.lit(1).alias("pos"), F.concat("note", F.lit(" the first")).alias("slug"), F.lit("more").alias("description"), F.lit("").alias("hook"), F.array(F.when(F.col("k") % 5 == 0, F.coalesce("one", F.lit("none"))).otherwise(F.coalesce("two", F.lit("none")))).alias("sections"), F.array(F.lit("end 0")).alias("lines"))
+    return R.split(n, first.unionByName(second))
+
+
+@query("split_plans", f"""WITH {TALKS}, w AS (SELECT l.* FROM l JOIN ok USING (note)), k AS (SELECT note, regexp_replace(string_agg(CASE WHEN turn = 0 THEN head || chr(10) || t ELSE head || chr(10) || t || chr(10) || 'end ' || turn END, chr(10) ORDER BY turn), '\\s+$', '') AS t FROM w WHERE turn NOT IN (1, 2) GROUP BY note)
+SELECT note, note AS id, 'hub' AS role, t || chr(10) || chr(10) || '## Parts' || chr(10) || '- [[' || note || '-the-first]] — first' || chr(10) || '- [[' || note || '-the-first-2]] — more' || chr(10) AS text FROM k
+UNION ALL SELECT note, note || '-the-first', 'part', '---' || chr(10) || 'description: "one \\"turn\\""' || chr(10) || 'part_of: ' || note || chr(10) || '---' || chr(10) || chr(10) || head || chr(10) || t || chr(10) || 'end 1' || chr(10) FROM w WHERE turn = 1
+UNION ALL SELECT note, note || '-the-first-2', 'part', '---' || chr(10) || 'description: "more"' || chr(10) || 'part_of: ' || note || chr(10) || '---' || chr(10) || chr(10) || 'end 0' || chr(10) || head || chr(10) || t || chr(10) || 'end 2' || chr(10) FROM w WHERE turn = 2""")
+def split_plans(spark, d):
+    """Each talk split into two parts and a hub; plans with an error change nothing."""
+    return _split(spark, d).files
+
+
+@query("split_errors", f"""WITH {TALKS}, p AS (SELECT note, note || '-the-first' AS a, note || '-the-first-2' AS b, coalesce(substr(one, 4), 'none') AS one, CASE WHEN substr(note, 2)::BIGINT % 5 = 0 THEN coalesce(substr(one, 4), 'none') ELSE coalesce(substr(two, 4), 'none') END AS two FROM g),
+w AS (SELECT note, a AS part, one AS h FROM p UNION ALL SELECT note, b, two FROM p), f AS (SELECT w.*, (SELECT count(*) FROM l WHERE l.note = w.note AND substr(l.head, 4) = w.h) AS k FROM w)
+SELECT note, part, 'heading ' || h || ' found ' || k || ' times' AS error FROM f WHERE k <> 1 UNION ALL SELECT f.note, part, 'heading ' || h || ' overlaps another part''s' FROM f JOIN p USING (note) WHERE k = 1 AND one = two
+UNION ALL SELECT note, part, 'would be empty' FROM f JOIN p USING (note) WHERE k <> 1 AND part = a""")
+def split_errors(spark, d):
+    return _split(spark, d).errors
