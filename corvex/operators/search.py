@@ -35,7 +35,8 @@ K1, B = 1.2, 0.75
 PREFIX, FUZZY, FALLBACK, ARCHIVED = 0.6, 0.45, 0.3, 0.6
 PREFIX_LENGTH, FUZZY_LENGTH, EXPANSIONS = 5, 6, 60
 QUERY_CHARS, QUERY_WORDS, MOST_PAGE = 2000, 64, 1000
-INDEX_PARTS = 16  # least number of posting files
+INDEX_PARTS, MOST_PARTS = 16, 50_000  # posting files
+PART_BYTES = 32 << 20  # of what is read, to a posting file
 
 # ---- queries ----
 
@@ -201,8 +202,19 @@ def build(notes: DataFrame) -> Index:
     return _index(notes, postings, docs, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
 
 
-def save(notes: DataFrame, path: str, parts: int = INDEX_PARTS) -> None:
-    """Write the index: postings in `parts` files by ranges of (term, id), so a frequent term may fill several."""
+def index_parts(*tables: DataFrame) -> int:
+    """Posting files for tables, by the size of what they read, so that a file's task does not grow with the input."""
+    total = 0
+    for df in tables:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total += sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return min(MOST_PARTS, max(INDEX_PARTS, total // PART_BYTES))
+
+
+def save(notes: DataFrame, path: str, parts: int | None = None) -> None:
+    """Write the index: postings in `parts` files (by default as many as the input's size asks for) by ranges of
+    (term, id), so a frequent term may fill several."""
+    parts = parts or index_parts(notes)
     cores = notes.sparkSession.sparkContext.defaultParallelism
     # by note, once: all sums by note and term, and their lengths, are then local; and all cores split words
     notes = notes.repartition(max(2 * cores, notes.rdd.getNumPartitions()), "id")
@@ -224,7 +236,7 @@ def load(spark: SparkSession, path: str, notes: DataFrame) -> Index:
     return _index(notes, read("postings"), read("docs"), read("vocabulary"), read("stats"))
 
 
-def update(spark: SparkSession, old: str, new: str, changed: DataFrame, removed: DataFrame, parts: int = INDEX_PARTS) -> None:
+def update(spark: SparkSession, old: str, new: str, changed: DataFrame, removed: DataFrame, parts: int | None = None) -> None:
     """The next version of a stored index: `changed` notes take the place of those of their ids or are added, notes
     of `removed` ids go. Only they are tokenised; document frequencies change by what left and came."""
     read = lambda t: spark.read.parquet(f"{old}/{t}")
@@ -234,6 +246,7 @@ def update(spark: SparkSession, old: str, new: str, changed: DataFrame, removed:
     delta = left.select("term", F.lit(-1).alias("d")).unionByName(came.select("term", F.lit(1).alias("d"))).groupBy("term").agg(F.sum("d").alias("d"))
     vocabulary = read("vocabulary").join(delta, "term", "full").select("term", (F.coalesce("df", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("df")).where("df > 0")
     stay = read("docs").join(gone, "id", "left_anti")
+    parts = parts or index_parts(read("postings"), changed)
     _write(new, merge_postings(read("postings"), gone, came), lambda _: stay.unionByName(documents_of(changed, came)), parts, vocabulary)
 
 
@@ -245,7 +258,7 @@ def merge_postings(old: DataFrame, changed_ids: DataFrame, came: DataFrame) -> D
 _STORED: dict[tuple, str] = {}
 
 
-def stored(notes: DataFrame, key: str, parts: int = INDEX_PARTS) -> Index:
+def stored(notes: DataFrame, key: str, parts: int | None = None) -> Index:
     """The index of the notes that `key` names, written once per application in the folder that executors share."""
     spark = notes.sparkSession
     named = (spark.sparkContext.applicationId, key)
