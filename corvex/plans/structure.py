@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corvex.functions import text as X
 from corvex.operators import reshape as R
 from corvex.operators import structure as S
+from corvex.sources import front_matter as Y
 
 from . import sqltext as Q
 from .registry import query
@@ -157,3 +158,20 @@ SELECT note, part, 'heading ' || h || ' found ' || k || ' times' AS error FROM f
 UNION ALL SELECT note, part, 'would be empty' FROM f JOIN p USING (note) WHERE k <> 1 AND part = a""")
 def split_errors(spark, d):
     return _split(spark, d).errors
+
+
+FRONT = "'---' || chr(10) || 'theme: ' || theme || chr(10) || '# keep' || chr(10) || 'list:' || chr(10) || '- a' || chr(10) || chr(10) || 'lang:   ' || subtheme || chr(10) || '---' || chr(10) || coalesce(title, '')"
+
+
+@query("notes_front_matter_merge", f"""WITH {NOTES_SQL}, n AS (SELECT id, theme, subtheme, title, {FRONT} AS t FROM notes) SELECT id AS path, CASE id % 4
+  WHEN 0 THEN replace(replace(t, 'theme: ' || theme, 'theme: ''new: one'''), chr(10) || '---' || chr(10), chr(10) || 'added:' || chr(10) || '- x' || chr(10) || '- 1' || chr(10) || '---' || chr(10))
+  WHEN 1 THEN replace(t, 'list:' || chr(10) || '- a' || chr(10), '') WHEN 2 THEN replace(replace(t, 'lang:   ' || subtheme, 'lang: ''yes'''), chr(10) || '---' || chr(10), chr(10) || 'n: ' || id || chr(10) || '---' || chr(10)) ELSE t END AS text,
+  NULL::VARCHAR AS error FROM n""")
+def front_matter_merge(spark, d):
+    """Keys set, added and removed; every other line, comments, blanks and spacing included, as it was."""
+    n = notes(spark, d)
+    nl = F.lit("\n")
+    text = F.concat(F.lit("---\ntheme: "), "theme", F.lit("\n# keep\nlist:\n- a\n\nlang:   "), "subtheme", F.lit("\n---"), nl, F.coalesce("title", F.lit("")))
+    k = F.pmod("id", F.lit(4))
+    ups = F.when(k == 0, F.lit('{"theme": "new: one", "added": ["x", 1]}')).when(k == 1, F.lit('{"list": null}')).when(k == 2, F.concat(F.lit('{"lang": "yes", "n": '), "id", F.lit("}")))
+    return Y.merge_all(n.select(F.col("id").alias("path"), text.alias("text")), n.where(k < 3).select(F.col("id").alias("path"), ups.alias("updates")))
