@@ -16,6 +16,7 @@ from corvex.streaming import activity as T
 
 from . import sqltext as Q
 from .registry import query
+from .search import _bm25_sql
 from .tables import ACTIVITY_SQL, NOTES_SQL, activity, notes, read
 
 N = f"WITH {NOTES_SQL}"
@@ -139,6 +140,21 @@ def all_kinds(spark, d):
     return found.select("kind", "permalink", "pos", "match", F.round("score", 6).alias("score"), "rank", "total", "has_more")
 
 
+EVERYTHING = f"""{CONV}, ent AS (WITH notes AS (SELECT id, title, last AS body FROM c), {_bm25_sql(['thnt', 'threa', 'attion'])} SELECT id, score FROM r),
+u AS (SELECT 'entity' AS kind, c.id, c.permalink, NULL::BIGINT AS pos, NULL AS match, c.title, score, c.permalink AS key FROM ent JOIN c USING (id)
+  UNION ALL SELECT 'observation', id, permalink, pos, match, e.o.category || ': ' || CASE WHEN length(match) > 80 THEN left(match, 79) || '…' ELSE match END, score, permalink || '#' || lpad(pos::VARCHAR, 5, '0') FROM ob JOIN (SELECT id, pos, o FROM e) e USING (id, pos) WHERE score > 0
+  UNION ALL SELECT 'relation', id, permalink, pos, match, 'follows_on: ' || last, score, permalink || '@' || lpad(pos::VARCHAR, 5, '0') FROM re JOIN (SELECT id, last FROM c) c USING (id) WHERE score > 0),
+w AS (SELECT *, row_number() OVER (ORDER BY score DESC, key) AS rank, count(*) OVER () AS total FROM u)"""
+
+
+@query("search_everything", f"WITH {EVERYTHING} SELECT kind, permalink, pos::INTEGER AS pos, title, match, round(score, 6) AS score, rank::INTEGER AS rank, total, total > 60 AS has_more FROM w WHERE rank <= 60")
+def everything(spark, d):
+    """Notes, observations and relations on one page, by score."""
+    talks = _talks(spark, d)
+    found = S.find(S.build(talks), "thnt threa attion", kinds=("entity", "observation", "relation"), page_size=60)
+    return found.select("kind", "permalink", "pos", "title", "match", F.round("score", 6).alias("score"), "rank", "total", "has_more")
+
+
 @query("search_result_fields", f"""WITH {CONV} SELECT split_part(match, ' ', 1) AS word, kind AS type, permalink AS entity, CASE kind WHEN 'observation' THEN match ELSE match END AS content, '1970-01-01T00:00:00.000Z' AS updated_at FROM r WHERE rank <= 10""")
 def result_fields(spark, d):
     talks = _talks(spark, d).withColumn("path", F.concat("permalink", F.lit(".md"))).withColumn("type", F.lit("talk")).withColumn("external_id", X.stable_id("permalink"))

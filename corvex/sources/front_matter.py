@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .markdown import front_matter, scalar
 
 # Words that YAML reads as something else than text, and signs that begin something else than plain text.
-WORDS = "yes no true false on off null y n ~ = <<".split()
+WORDS = "yes no true false on off null ~ = <<".split()
 SIGNS = "#,[]{}&*!|>'\"%@`?:-"
 _NUMBER_LIKE = re.compile(r"[-+.]?[0-9][0-9a-fA-FxXoObB_:.,+-]*|[-+]?\.(?:inf|nan)|\d{4}-\d\d?-\d\d?.*", re.I)
 _KEY = re.compile(r"(\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|[^\s#'\"\-\[\]{},&*!|>%@`][^:]*?|-[^\s:][^:]*?)[ \t]*:(?:[ \t]|$)")
