@@ -22,7 +22,7 @@ import codecs
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain, groupby
 
 import ahocorasick
@@ -36,10 +36,10 @@ from .common import map_arrow, ranges
 
 MARK = "\u2581"
 SHORT = 48  # characters; longer words are not remembered
-CACHE_BYTES = 64 << 20  # of words
+CACHE_BYTES = 48 << 20  # of words
 SLOT_BITS = 21  # of tests of pairs that a worker remembers; a new one takes the place of an old
 PAIRS = 100_000  # those of long words
-TEXT_BYTES = 4 << 20  # of texts encoded side by side; a longer text is alone
+TEXT_BYTES = 2 << 20  # of texts encoded side by side; a longer text is alone
 SEPARATORS = [chr(c) for c in range(0xFDD0, 0xFDF0)]  # no characters; one that the texts lack parts their words
 _WORDS = re.compile(f"{chr(0x2581)}+[^{chr(0x2581)}]*|[^{chr(0x2581)}]+").findall
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
@@ -112,17 +112,10 @@ class Codec:
         for i, (p, k) in enumerate(zip(m.pieces, m.kinds)):
             if k == BYTE:
                 self.byte[int(p[1:-1], 16)] = i
-        self.folds = {p: f for p in self.rank if (f := self._fold(p))}  # pieces that come back as themselves
-        self.ends = ahocorasick.Automaton()
-        for p in self.folds:
-            self.ends.add_word(p, self.id[p] << 8 | len(p))
-        if self.folds:
-            self.ends.make_automaton()
         self.across = any(MARK in p.lstrip(MARK) for p in self.id)
         self.known: dict[str, bytes] = {}
         self.room = CACHE_BYTES
         self.tested: dict[tuple[str, str], bool] = {}
-        self.pair, self.pair_fits = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool)
         text = {NORMAL: lambda p: p.replace(MARK, " ").encode(), BYTE: lambda p: bytes([int(p[1:-1], 16)]), UNKNOWN: lambda p: m.unknown_text.encode(), CONTROL: lambda p: b""}
         self.surface = [text[k](p) for p, k in zip(m.pieces, m.kinds)]
         self.blob = np.frombuffer(b"".join(self.surface), np.uint8)
@@ -131,6 +124,31 @@ class Codec:
         self.strange = np.array([k in (UNKNOWN, CONTROL) for k in m.kinds])
         self.marked = np.array([k == NORMAL and p.startswith(MARK) for p, k in zip(m.pieces, m.kinds)])
 
+    # what encoding alone needs is made when it is asked for, as other workers decode
+
+    @cached_property
+    def folds(self) -> dict[str, tuple[list[float], list[str], list[str]]]:
+        """How the pieces come about that come back as themselves."""
+        return {p: f for p in self.rank if (f := self._fold(p))}
+
+    @cached_property
+    def ends(self):
+        """The automaton of these pieces; a match tells id and length."""
+        found = ahocorasick.Automaton()
+        for p in self.folds:
+            found.add_word(p, self.id[p] << 8 | len(p))
+        if self.folds:
+            found.make_automaton()
+        return found
+
+    @cached_property
+    def pair(self) -> np.ndarray:
+        return np.full(1 << SLOT_BITS, -1, np.int64)
+
+    @cached_property
+    def pair_fits(self) -> np.ndarray:
+        return np.zeros(1 << SLOT_BITS, bool)
+
     def _fold(self, piece: str) -> tuple[list[float], list[str], list[str]] | None:
         """Ranks of the merges that make the piece, in order, and its first and its last part before each and at the
         end; None if merging does not end with the piece."""
