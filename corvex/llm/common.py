@@ -135,6 +135,7 @@ def map_arrow(
             for b in by_bytes(whole, len(kept), most):
                 new = fn(b.column(len(kept)))
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([*b.columns[:-1], *new], target)], schema=target)
-        release()
+                new = None
+                release()
 
     return src.mapInArrow(run, out)

@@ -39,7 +39,7 @@ SHORT = 48  # characters; longer words are not remembered
 CACHE_BYTES = 48 << 20  # of words
 SLOT_BITS = 21  # of tests of pairs that a worker remembers; a new one takes the place of an old
 PAIRS = 100_000  # those of long words
-TEXT_BYTES = 2 << 20  # of texts encoded side by side; a longer text is alone
+TEXT_BYTES = 1 << 20  # of texts encoded side by side; a longer text is alone
 SEPARATORS = [chr(c) for c in range(0xFDD0, 0xFDF0)]  # no characters; one that the texts lack parts their words
 _WORDS = re.compile(f"{chr(0x2581)}+[^{chr(0x2581)}]*|[^{chr(0x2581)}]+").findall
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
