@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvex.functions import text as X
+from corvex.operators import archive as A
 from corvex.operators import reshape as R
 from corvex.operators import structure as S
 from corvex.sources import front_matter as Y
@@ -175,3 +176,41 @@ def front_matter_merge(spark, d):
     k = F.pmod("id", F.lit(4))
     ups = F.when(k == 0, F.lit('{"theme": "new: one", "added": ["x", 1]}')).when(k == 1, F.lit('{"list": null}')).when(k == 2, F.concat(F.lit('{"lang": "yes", "n": '), "id", F.lit("}")))
     return Y.merge_all(n.select(F.col("id").alias("path"), text.alias("text")), n.where(k < 3).select(F.col("id").alias("path"), ups.alias("updates")))
+
+
+# ---- archive: talks in groups of forty by number, each a theme; every third turn goes, and every second theme has an archive ----
+
+
+def _archived(spark, d):
+    c, lit = F.col, F.lit
+    t = read(spark, d, "conversations")
+    k = F.floor(c("conv_id") / 40)
+    line = F.concat(lit("## "), "role", lit(" "), "turn", lit(" of c"), "conv_id", lit("\n"), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 50), lit(".\n"))
+    made = t.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "").alias("body"))
+    notes = made.select(F.concat(lit("c"), "conv_id").alias("id"), F.concat(lit("---\ntheme: t"), k, lit("\n---\n"), "body").alias("text"), F.concat(lit("t"), k).alias("theme"), F.concat(lit("talks/c"), "conv_id", lit(".md")).alias("path"))
+    old = t.where(k % 2 == 0).groupBy(k.alias("k")).agg(F.min("conv_id").alias("first"))
+    kept = F.concat(lit("---\ntheme: t"), "k", lit("\ncorvex_archive: true\n---\n\n<!-- corvex:archived from=\"c"), "first", lit("\" date=\"2023-12-31\" -->\n## Old [of] t"), "k", lit("\nx\n"))
+    have = old.select(F.concat(lit("t"), "k", lit("-archive")).alias("id"), kept.alias("text"), F.concat(lit("t"), "k").alias("theme"), F.concat(lit("archive/t"), "k", lit("-archive.md")).alias("path"))
+    picks = A.units(notes).where(F.regexp_extract("line", r" (\d+) of c\d+$", 1).cast("int") % 3 == 1).select("note", "key")
+    return A.archive(notes.unionByName(have), picks, "2024-02-01")
+
+
+MOVED = """l AS (SELECT conv_id, conv_id // 40 AS k, turn, turn % 3 = 1 AS goes, role || ' ' || turn || ' of c' || conv_id AS h, left(regexp_replace(text, '\\s+', ' ', 'g'), 50) || '.' AS t FROM conversations),
+m AS (SELECT *, '## ' || h || chr(10) || t || chr(10) AS unit FROM l), o AS (SELECT conv_id FROM l WHERE goes GROUP BY conv_id), a AS (SELECT k, min(conv_id) AS first FROM l GROUP BY k HAVING bool_or(goes))"""
+
+
+@query("archive_plan", f"""WITH {MOVED} SELECT 'c' || conv_id AS id, 'talks/c' || conv_id || '.md' AS path, 'origin' AS role, '---' || chr(10) || 'theme: t' || min(k) || chr(10) || '---' || chr(10) ||
+  string_agg(CASE WHEN goes THEN 'Archived: ' || h || ' → [[t' || k || '-archive#' || h || ']] (2024-02-01)' || chr(10) ELSE unit END, '' ORDER BY turn) AS text FROM m JOIN o USING (conv_id) GROUP BY conv_id
+UNION ALL SELECT 't' || k || '-archive', 'archive/t' || k || '-archive.md', 'archive', CASE WHEN k % 2 = 0 THEN '---' || chr(10) || 'theme: t' || k || chr(10) || 'corvex_archive: true' || chr(10) || '---' || chr(10) || chr(10) || '<!-- corvex:archived from="c' || any_value(first) || '" date="2023-12-31" -->' || chr(10) || '## Old [of] t' || k || chr(10) || 'x' || chr(10)
+  ELSE '---' || chr(10) || 'title: "t' || k || ' — archive"' || chr(10) || 'theme: t' || k || chr(10) || 'subtheme: archive' || chr(10) || 'corvex_archive: true' || chr(10) || 'description: "Sections moved out of the notes of t' || k || ', word for word."' || chr(10) || '---' || chr(10) || chr(10) || 'Each section follows a marker that names its note, which keeps a link to it. One line each in [[archive-summary]].' || chr(10) END
+  || string_agg(chr(10) || '<!-- corvex:archived from="c' || conv_id || '" date="2024-02-01" -->' || chr(10) || unit, '' ORDER BY 'c' || conv_id, turn) FROM m JOIN a USING (k) WHERE goes GROUP BY k""")
+def archive_plan(spark, d):
+    """Every note and archive that the plan changes, whole."""
+    return _archived(spark, d).files
+
+
+@query("archive_summary", f"""WITH {MOVED}, e AS (SELECT '2024-02-01' AS date, k, row_number() OVER (PARTITION BY k ORDER BY 'c' || conv_id, turn) - CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END AS pos, h AS title, conv_id AS n, '#' || h AS anchor, ceil(octet_length(encode(unit)) / 4.0)::BIGINT AS tokens FROM m WHERE goes
+  UNION ALL SELECT '2023-12-31', k, 0, 'Old [of] t' || k, min(conv_id), '', ceil((length('## Old [of] t' || k) + 3) / 4.0)::BIGINT FROM m WHERE k % 2 = 0 GROUP BY k)
+SELECT date, 't' || k || '-archive' AS archive, pos::INT AS pos, '- ' || date || ' · ' || title || ' · from [[c' || n || ']] → [[t' || k || '-archive' || anchor || ']] · ≈ ' || format('{{:,}}', tokens) || ' tokens' AS line FROM e""")
+def archive_summary(spark, d):
+    return _archived(spark, d).summary
