@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvex.functions import text as X
+from corvex.operators import context as C
 from corvex.operators import graph as G
 from corvex.operators import usage as U
 
@@ -139,3 +140,46 @@ def audit_rules(spark, d):
     listed = n.where("k % 9 = 2").select(s(F.col("k") % 20).alias("hub"), F.col("id").alias("part"))
     issues = G.audit(n, e, declared, listed, "0", ["src0", "src1", "src2", "src3"])
     return G.by_rule(issues, F.col("rule").isin("R2", "R3"))
+
+
+# ---- contexts: notes in folders by source and language; each links two notes by rule, one of them twice, and has a hub ----
+
+CONTEXT = """n AS (SELECT doc_id AS k, 'n' || doc_id AS id, coalesce(source, 'none') AS s, coalesce(lang, 'none') AS l, doc_id * 7919 % 1000 AS m FROM documents), p AS (SELECT *, s || '/' || l || '/' || id AS p FROM n),
+asked AS (SELECT DISTINCT 'memory://' || s || '/' || l AS url, s, l, NULL AS k FROM p UNION SELECT s || '/*', s, NULL, NULL FROM p UNION SELECT p, NULL, NULL, k FROM p WHERE k % 100 = 0),
+named AS (SELECT url, p.id, m, p FROM asked JOIN p ON asked.k = p.k UNION ALL SELECT url, id, m, p FROM asked JOIN p ON asked.s = p.s AND asked.l = p.l UNION ALL SELECT url, id, m, p FROM asked JOIN p ON asked.s = p.s WHERE asked.l IS NULL),
+top AS (SELECT url, id, row_number() OVER (PARTITION BY url ORDER BY m DESC, p, id) AS rank FROM named QUALIFY rank <= 10)"""
+
+
+def _context(spark, d):
+    c, lit = F.col, F.lit
+    docs = read(spark, d, "documents")
+    where = F.concat(F.coalesce("source", lit("none")), lit("/"), F.coalesce("lang", lit("none")))
+    name = lambda x: F.concat(lit("n"), x.cast("bigint"))
+    notes = docs.select(c("doc_id").alias("k"), where.alias("folder"), name(c("doc_id")).alias("id"), F.concat(where, lit("/"), name(c("doc_id"))).alias("permalink"), (c("doc_id") * 7919 % 1000).alias("mtime_ms"))
+    notes = notes.withColumn("path", F.concat("permalink", lit(".md"))).withColumn("title", c("id"))
+    link = lambda pos, kind, to: F.struct(lit(pos).alias("pos"), lit(kind).alias("type"), to.alias("target"))
+    links = F.array(link(0, "see", name((c("k") * 7 + 3) % 5000)), link(1, "part_of", name(F.floor(c("k") / 10))), link(2, "like", name((c("k") * 3 + 1) % 777)), link(3, "see", F.upper(name((c("k") * 7 + 3) % 5000))))
+    e = notes.select(c("id").alias("src"), F.explode(links).alias("e")).select("src", "e.*")
+    e = e.join(notes.select(F.lower("id").alias("low"), c("id").alias("dst")), F.lower("target") == c("low"), "left").drop("low")
+    asked = notes.select(F.concat(lit("memory://"), "folder").alias("url")).union(notes.select(F.concat(F.split_part("folder", lit("/"), lit(1)), lit("/*")))).union(notes.where("k % 100 = 0").select("permalink")).distinct()
+    return C.context(asked, notes, e, 300, depth=2)
+
+
+@query("graph_context_primaries", f"WITH {CONTEXT} SELECT url, rank::INT AS rank, id FROM top")
+def context_primaries(spark, d):
+    """The first page of what each folder, pattern and name designates."""
+    return _context(spark, d).primaries
+
+
+@query("graph_context_related", f"""WITH {CONTEXT}, e0 AS (SELECT id AS src, unnest([{{'pos': 0, 'type': 'see', 'target': 'n' || (k * 7 + 3) % 5000}}, {{'pos': 1, 'type': 'part_of', 'target': 'n' || k // 10}}, {{'pos': 2, 'type': 'like', 'target': 'n' || (k * 3 + 1) % 777}}], recursive := true) FROM n),
+e AS (SELECT e0.*, n.id AS dst FROM e0 LEFT JOIN n ON n.id = e0.target), a AS (SELECT src AS x, dst AS y, 0 AS way, '' AS o, * FROM e UNION ALL SELECT dst, src, 1, src, * FROM e WHERE dst IS NOT NULL AND src <> dst),
+adj AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY way, o, pos, type) AS r FROM a), ok AS (SELECT id FROM n WHERE m >= 300), h1 AS (SELECT url, id, [r] AS o, y, src, type, target, dst FROM top JOIN adj ON x = id),
+k1 AS (SELECT *, row_number() OVER (PARTITION BY url, id ORDER BY o, kind) AS r FROM (SELECT url, id, min(o) AS o, 0 AS kind, NULL AS node, src, type, target, dst FROM h1 GROUP BY ALL UNION ALL
+  SELECT url, id, min(o), 1, y, NULL, NULL, NULL, NULL FROM h1 WHERE y <> id AND (url, y) NOT IN (SELECT (url, id) FROM top) AND y IN (SELECT id FROM ok) GROUP BY url, id, y) QUALIFY r <= 10),
+h2 AS (SELECT k1.url, k1.id, list_append(k1.o, adj.r) AS o, y, adj.src, adj.type, adj.target, adj.dst FROM k1 JOIN adj ON x = node WHERE kind = 1),
+k2 AS (SELECT url, id, min(o) AS o, 0 AS kind, NULL AS node, src, type, target, dst FROM h2 ANTI JOIN k1 USING (url, id, src, type, target) GROUP BY ALL UNION ALL
+  SELECT h2.url, h2.id, min(h2.o), 1, y, NULL, NULL, NULL, NULL FROM h2 ANTI JOIN k1 ON h2.url = k1.url AND h2.id = k1.id AND h2.y = k1.node WHERE y <> h2.id AND (h2.url, y) NOT IN (SELECT (url, id) FROM top) AND y IN (SELECT id FROM ok) GROUP BY h2.url, h2.id, y),
+u AS (SELECT 1 AS hop, * EXCLUDE (r) FROM k1 UNION ALL SELECT 2, * FROM k2) SELECT url, id, row_number() OVER (PARTITION BY url, id ORDER BY hop, o, kind)::INT AS pos, CASE kind WHEN 0 THEN 'relation' ELSE 'entity' END AS kind, node, src, type, target, dst FROM u QUALIFY pos <= 10""")
+def context_related(spark, d):
+    """Two hops around each, in the order of their edges."""
+    return _context(spark, d).related
