@@ -13,6 +13,7 @@ from corvex.operators import graph as G
 from corvex.operators import search as S
 from corvex.operators.graph import shared_folder
 from corvex.streaming import activity as T
+from corvex.streaming import vectors as VS
 
 from . import sqltext as Q
 from .registry import query
@@ -325,3 +326,23 @@ def stream_dedup(spark, d):
     """Writes of one source as reports, of the others as changes on disk."""
     s = _stream(spark, d).withColumn("source", F.when(F.col("source") == "s0", "reported").otherwise("disk"))
     return _run(spark, T.dedup_writes(s))
+
+
+def _measure(texts):
+    return [[float(len(t)), 1.0] for t in texts]
+
+
+@query("stream_vectors", """WITH p AS (SELECT 'c' || conv_id || '/' || turn AS permalink, text, unnest(range(0, greatest(ceil(length(text) / 1600.0)::BIGINT, 1))) AS k FROM conversations WHERE trim(coalesce(text, '')) <> ''),
+e AS (SELECT permalink, k, 'T' || chr(10) || chr(10) || trim(substr(text, k * 1600 + 1, 1600)) AS i FROM p)
+SELECT permalink || '#0.' || k AS key, permalink, '' AS heading, sha1(i) AS hash, length(i) / sqrt(length(i)::DOUBLE * length(i) + 1) AS x FROM e""")
+def stream_vectors(spark, d):
+    """Every turn a note, embedded by its length, as the stream of turns brings it."""
+    turns = spark.readStream.schema(read(spark, d, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    name = F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn")
+    none = F.lit(None).cast("string")
+    notes = turns.select(name.alias("permalink"), F.lit("T").alias("title"), none.alias("description"), "text", F.lit(False).alias("removed"), F.col("turn").cast("bigint").alias("t"))
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    q = VS.follow(notes, f"{path}/vectors", f"{path}/checkpoint", _measure)
+    q.awaitTermination()
+    done = q.lastProgress
+    return VS.stored(spark, f"{path}/vectors", done["batchId"] if done else -1).select("key", "permalink", "heading", "hash", F.get("vector", F.lit(0)).alias("x"))
