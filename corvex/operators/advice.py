@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corvex.functions import text as X
 
 LARGE, HINT_PARTS, HINT_NOTES, TOP_READ = 5000, 4, 2, 3
+INDEX_LARGE = 2000
 DUP_SHARED, DUP_COVERAGE = 2, 0.6
 
 
@@ -25,6 +26,15 @@ def size_warnings(reads: DataFrame, notes: DataFrame, large: int = LARGE) -> Dat
     return first.join(notes.where(F.col("tokens") > large).select("id", "tokens"), "id").select("session", "id", "t", "tokens")
 
 
+def index_warnings(reads: DataFrame, notes: DataFrame, index_large: int = INDEX_LARGE, large: int = LARGE) -> DataFrame:
+    """session, id, t, tokens, kind: the first read in a session of each note (id, theme, tokens) that is too large. An
+    index, loaded at every session, is so (kind index) above a bound of its own, and below that as other notes are (size)."""
+    kind = F.when((F.col("theme") == "index") & (F.col("tokens") > index_large), "index").when(F.col("tokens") > large, "size")
+    over = notes.select("id", "tokens", kind.alias("kind")).where("kind IS NOT NULL")
+    first = reads.where(F.col("session").isNotNull()).groupBy("session", "id").agg(F.min("t").alias("t"))
+    return first.join(over, "id").select("session", "id", "t", "tokens", "kind")
+
+
 def outlines(sections: DataFrame) -> DataFrame:
     """id, outline: of each note a line for each heading, indented by its level, with the section's tokens."""
     line = F.concat(F.repeat(F.lit("  "), F.greatest(F.col("level") - 2, F.lit(0))), F.lit("- "), "title", F.lit(" ("), F.col("tokens").cast("string"), F.lit(" tokens)"))

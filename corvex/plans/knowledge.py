@@ -190,6 +190,13 @@ def size_warnings(spark, d):
     return A.size_warnings(reads, notes(spark, d), 500)
 
 
+@query("advice_index_warnings", f"WITH {ACTIVITY_SQL}, {NOTES_SQL}, k AS (SELECT id, tokens, CASE WHEN id % 7 = 0 AND tokens > 100 THEN 'index' WHEN tokens > 500 THEN 'size' END AS kind FROM notes) SELECT actor AS session, id, min(t) AS t, tokens, kind FROM activity JOIN k USING (id) WHERE type = 'read' AND kind IS NOT NULL GROUP BY ALL")
+def index_warnings(spark, d):
+    """Every seventh note an index, with a bound of its own."""
+    reads = activity(spark, d).where("type = 'read'").select(F.col("actor").alias("session"), "id", "t")
+    return A.index_warnings(reads, notes(spark, d).withColumn("theme", F.when(F.col("id") % 7 == 0, "index").otherwise("work")), 100, 500)
+
+
 @query("advice_duplicate_hints", f"""{N}, w AS (SELECT id, tokens, {Q.significant('title')} AS words FROM (SELECT id, tokens, CASE WHEN {Q.secret('title')} THEN '{Q.MASK}' ELSE title END AS title FROM notes)), k AS (SELECT * FROM w WHERE len(words) > 0),
 s AS (SELECT a.id AS write, b.id, b.tokens, len(list_intersect(a.words, b.words)) AS shared, len(a.words) AS m FROM k a JOIN k b ON a.id % 100 = 0 AND b.id % 100 <> 0)
 SELECT write, id, shared FROM s WHERE shared >= 2 AND shared >= ceil(0.6 * m) QUALIFY row_number() OVER (PARTITION BY write ORDER BY shared DESC, tokens DESC, id) <= 2""")

@@ -142,3 +142,11 @@ def test_registered_functions(spark):
     X.register(spark)
     r = spark.sql("SELECT tok('abcde') AS a, fold_text('Été') AS b, meta_text('{\"k\": {\"x\": [1, true]}, \"title\": \"t\"}') AS c, stem_word('queries') AS d, terms('The deploying teams') AS e").first()
     assert tuple(r) == (2, "ete", "1 true", "query", ["deploy", "team"])
+
+
+def test_an_index_has_a_bound_of_its_own(spark):
+    notes = spark.createDataFrame([("i", "index", 2001), ("j", "index", 1900), ("k", "work", 2500), ("l", "work", 900), ("m", None, None)], "id string, theme string, tokens bigint")
+    reads = spark.createDataFrame([("s", "i", 5), ("s", "i", 3), ("s", "j", 4), ("s", "k", 1), ("s", "l", 1), ("r", "i", 9), ("s", "m", 1), (None, "i", 1)], "session string, id string, t bigint")
+    got = sorted(tuple(r) for r in A.index_warnings(reads, notes, 2000, 1800).collect())
+    assert got == [("r", "i", 9, 2001, "index"), ("s", "i", 3, 2001, "index"), ("s", "j", 4, 1900, "size"), ("s", "k", 1, 2500, "size")]
+    assert A.index_warnings(reads.limit(0), notes).count() == 0
