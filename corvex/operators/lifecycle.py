@@ -5,6 +5,8 @@ Folds that depend on order run as `aggregate` over a note's own array of section
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from corvex.functions import text as X
 
 PART_TOKENS, DORMANT_DAYS, LEAST_TOKENS = 2000, 105, 100
 VIEW_TOKENS, VIEW_DATED, VIEW_RECENT, VIEW_SAVED = 1500, 3, 2, 0.3
+#: What ends a clause of a hook.
+CLAUSE_ENDS = (" — ", ": ", "; ", " (", ", ")
 HOOK_CHARS, HOOK_KEPT, WORDS_KEPT, ENTRY_CAP = 90, 20, 0.8, 4
 
 
@@ -104,23 +108,23 @@ def state_view(sections: DataFrame, mtime_ms: Column, recent: int = VIEW_RECENT,
 
 
 def detail_kept(dropped: Column, elsewhere: Column) -> Column:
-    """Whether WORDS_KEPT of the significant words of what was dropped stand elsewhere."""
-    d = X.significant_words(dropped)
+    """Whether WORDS_KEPT of the significant words of what was dropped stand elsewhere; nothing dropped is kept."""
+    d = X.significant_words(F.coalesce(dropped, F.lit("")))
     return (F.size(d) == 0) | (F.size(F.array_intersect(d, X.significant_words(F.coalesce(elsewhere, F.lit(""))))) >= WORDS_KEPT * F.size(d))
 
 
 def shorten_hook(hook: Column, most: int = HOOK_CHARS) -> Column:
     """A hook cut at its last clause end that leaves HOOK_KEPT to `most` characters, else at a word."""
-    head = F.substring(hook, 1, most + 1)
-    clause = F.regexp_extract(head, rf"^(.{{{HOOK_KEPT},{most}}})(?:; | — |\. |, | \()", 1)
+    head = F.substring(hook, 1, most + 3)  # with the whole sign that ends a clause
+    clause = F.regexp_extract(head, rf"^(.{{{HOOK_KEPT},{most}}})(?:{'|'.join(map(re.escape, CLAUSE_ENDS))})", 1)
     word = F.regexp_extract(head, rf"^(.{{1,{most}}})(?: |$)", 1)
     return F.when(F.length(hook) <= most, hook).when(clause != "", clause).when(word != "", word).otherwise(F.substring(hook, 1, most))
 
 
 def index_trim(bullets: DataFrame, notes: DataFrame, most: int = HOOK_CHARS) -> DataFrame:
     """pos, id, hook, short for hooks longer than `most` of which no detail is lost: what is cut stands in the
-    note itself."""
-    long = bullets.where(F.length("hook") > most).join(notes.select("id", "body"), "id")
+    note itself. Hooks with links of their own stay as they are."""
+    long = bullets.where((F.length("hook") > most) & ~F.col("hook").contains("[[")).join(notes.select("id", "body"), "id")
     short = shorten_hook(F.col("hook"), most)
     dropped = F.substring(F.col("hook"), F.length(short) + 1, F.length("hook"))
     return long.where(detail_kept(dropped, F.col("body"))).select("pos", "id", "hook", short.alias("short"))
