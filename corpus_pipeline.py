@@ -37,7 +37,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id, with all its columns; doc_id and text are
     needed. Repeated rows leave one; of rows of one id but different groups, each group keeps its own; rows without an
-    id stay; null and empty texts are one group; an empty table stays empty."""
+    id stay; null and empty texts are one group; long texts are read whole; an empty table stays empty."""
     inner, names = _apart(docs)
     return _back(simhash.keep_one(inner, names["doc_id"], names["text"]), names)
 
@@ -45,7 +45,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that documents with smaller ids have; what is left of a character that was
     cut in two goes as well. doc_id and text are needed; n_chars follows, if it is there; a null text stays null, an
-    empty one empty; rows of one id lose nothing to each other, and rows without an id have the largest."""
+    empty one empty; rows of one id lose nothing to each other, and rows without an id have the largest; long texts are
+    read whole; an empty table stays empty."""
     inner, names = _apart(docs)
     cut = suffix_dedup.remove_repeats(inner, names["doc_id"], names["text"], decoded=True)
     text = F.when(F.col("n_removed") == 0, F.col(names["text"])).otherwise(F.col("kept"))
@@ -58,7 +59,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark, with all their columns; only text is needed. A null or
-    empty text stays; repeated rows are judged one by one; with an empty benchmark all stay."""
+    empty text stays; repeated rows are judged one by one; long texts are read whole; with an empty benchmark all stay; an
+    empty table stays empty."""
     inner, names = _apart(docs)
     found = decontam.decontaminate(inner, table(spark, sf_dir, "benchmark"), text_col=names["text"])
     return _back(found.where("NOT contaminated"), names)
@@ -66,7 +68,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang and source (those that are there), n_tokens, ids (little-endian unsigned 32-bit), ids_sha256, and
-    decoded_sha256 of the bytes that the ids decode to. A null text has no ids; a row comes out for each row."""
+    decoded_sha256 of the bytes that the ids decode to. A null or empty text has no ids; a row comes out for each row, repeated
+    ones too, and none for an empty table; long texts are encoded whole."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     carry = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
     ids = bpe.encode(docs, path, pattern, carry=carry)
