@@ -6,7 +6,8 @@ As it comes from measured times, the order may differ between runs: it changes t
 the verdict.
 
 Defined results: a null or empty text has no words and fails the rule on length; repeated rows are judged
-one by one; an empty table gives an empty table; extra columns are kept or ignored, whatever their names.
+one by one; an empty table gives an empty table; extra columns are kept; of those
+named as a result (such as `kept`) the result takes the place.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import map_column
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-SAMPLE_ROWS = 400  # at most so many rows are timed
+SAMPLE_ROWS = 400  # about so many rows are timed, and one of each partition
 
 
 class TextStats:
