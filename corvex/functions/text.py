@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,7 +76,7 @@ ENDINGS = (("tion", 7, 4, "", ""), ("sion", 7, 4, "", ""), ("ing", 6, 3, "", "")
 def _cut_ending(c: Column, rules) -> Column:
     out, n = c, F.length(c)
     for ending, least, goes, comes, not_after in reversed(rules):
-        has = (n >= least) & c.endswith(ending)
+        has = c.endswith(ending) & (n >= least)
         if not_after:
             has = has & ~F.substring(c, n - len(ending), F.lit(1)).isin(*not_after)
         cut = F.substring(c, F.lit(1), n - goes)
@@ -91,6 +91,16 @@ def stem(w) -> Column:
     return F.when(w.endswith(ies) & (F.length(w) >= least), _cut_ending(w, PLURALS[:1])).otherwise(_cut_ending(_cut_ending(w, PLURALS[1:]), ENDINGS))
 
 
+def with_stem(df: DataFrame, word: str, term: str) -> DataFrame:
+    """`df` with the stem of the column `word` in its place, as `term`: the two rounds one after the other, so that the
+    first isn't computed again wherever the second asks for it."""
+    ies, least, *_ = PLURALS[0]
+    w, first = F.col(word), F.col("_first")
+    of_ies = w.endswith(ies) & (F.length(w) >= least)
+    cut = df.select(*[c for c in df.columns if c != word], of_ies.alias("_ies"), F.when(of_ies, _cut_ending(w, PLURALS[:1])).otherwise(_cut_ending(w, PLURALS[1:])).alias("_first"))
+    return cut.select(*[c for c in df.columns if c != word], F.when(F.col("_ies"), first).otherwise(_cut_ending(first, ENDINGS)).alias(term))
+
+
 def stem_word(w: str) -> str:
     """The same for one string, for the driver's side of a query."""
     for rules in (PLURALS, ENDINGS):

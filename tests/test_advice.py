@@ -150,3 +150,27 @@ def test_an_index_has_a_bound_of_its_own(spark):
     got = sorted(tuple(r) for r in A.index_warnings(reads, notes, 2000, 1800).collect())
     assert got == [("r", "i", 9, 2001, "index"), ("s", "i", 3, 2001, "index"), ("s", "j", 4, 1900, "size"), ("s", "k", 1, 2500, "size")]
     assert A.index_warnings(reads.limit(0), notes).count() == 0
+
+
+def test_index_splits_words_once(spark):
+    notes = spark.createDataFrame([(1, "a title", "body of words")], "id bigint, title string, body string")
+    plan = S.postings_of(notes)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1  # nothing is computed again for the notes' lengths
+    assert "struct(w, 8.0, t, true, x, coalesce" not in plan  # a word's row carries no text
+    stored = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert S.index_parts(stored, least=1, size=1 << 40) == 1 and S.index_parts(stored, least=1, size=1000) > 1
+    assert S.index_parts(notes) < 100  # a table without a size
+
+
+def test_equal_notes_have_equal_scores_and_come_by_id(spark):
+    notes = spark.range(300).select("id", F.lit("").alias("title"), F.lit("alpha beta beta gamma delta epsilon zeta " + "rest " * 7).alias("body"))
+    notes = notes.unionByName(spark.createDataFrame([(1000 + i, "", "beta gamma " * (i % 3) + f"alpha word{i}") for i in range(40)], "id bigint, title string, body string"))
+    got = S.search(S.build(notes.repartition(7)), "zeta alpha epsilon beta delta gamma", page_size=300).orderBy("rank").collect()
+    same = [r for r in got if r.id < 300]
+    assert [r.id for r in same] == list(range(300)) and len({r.score for r in same}) == 1
+
+
+def test_snippets_from_the_beginning(spark):
+    notes = spark.createDataFrame([(1, "filler words here " * 20 + "needle")], "id bigint, body string")
+    row = lambda **k: S.snippets(notes.select("id"), notes, S.parse("needle"), **k).first().snippet
+    assert row(around=False) == ("filler words here " * 20)[:199] + "…" and "needle" in row()
