@@ -18,7 +18,7 @@ from corvex.streaming import vectors as VS
 from . import sqltext as Q
 from .registry import query
 from .search import _bm25_sql
-from .tables import ACTIVITY_SQL, NOTES_SQL, activity, notes, read
+from .tables import ACTIVITY_SQL, NOTES_SQL, activity, notes, read, version
 
 N = f"WITH {NOTES_SQL}"
 
@@ -116,7 +116,7 @@ p AS (SELECT id, term, sum(w) AS wtf FROM f GROUP BY id, term), l AS (SELECT id,
 SELECT id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * len / a)) * 1.5 + CASE WHEN id = 77 THEN 5 ELSE 0 END, 6) AS score FROM p JOIN l USING (id), st, v WHERE term = 'n77'""")
 def base_names(spark, d):
     n = notes(spark, d).select("id", "title", "body", "mtime_ms", F.concat(F.lit("N"), "id").alias("base"))
-    return S.search(S.build(n), "N77").select("id", F.round("score", 6).alias("score"))
+    return S.search(S.stored(n, "based notes:" + version(spark, d, "documents")), "N77").select("id", F.round("score", 6).alias("score"))
 
 
 CONV = f"""c AS (SELECT conv_id AS id, 'c/' || conv_id AS permalink, 'talk ' || conv_id AS title, arg_max(text, turn) AS last, list({{'category': role, 'content': text}} ORDER BY turn) AS o FROM conversations GROUP BY conv_id),
