@@ -18,7 +18,7 @@ from corvex.streaming import vectors as VS
 from . import sqltext as Q
 from .registry import query
 from .search import _bm25_sql
-from .tables import ACTIVITY_SQL, NOTES_SQL, activity, notes, read, version
+from .tables import ACTIVITY_SQL, NOTES_SQL, activity, notes, read, stream, version
 
 N = f"WITH {NOTES_SQL}"
 
@@ -277,7 +277,7 @@ def moves(spark, d):
 
 
 def _stream(spark, d):
-    e = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    e = stream(spark, d, "events")
     kind = F.when(F.col("event_type") == "click", "search").when(F.col("event_type") == "view", "read").when(F.col("event_type") == "purchase", "write")
     k, ts = F.get_json_object("props", "$.k").cast("bigint"), F.col("ts").cast("timestamp")
     return e.select(
@@ -286,8 +286,8 @@ def _stream(spark, d):
     ).where("type IS NOT NULL")
 
 
-def _run(spark, stream):
-    return T.run_available(stream, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+def _run(spark, rows):
+    return T.run_available(rows, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 BOTH = f"""WITH {ACTIVITY_SQL}, b AS (SELECT actor, type, id, t, 'k' || id AS word, lead(type) OVER w AS nt, lead(id) OVER w AS ni, lead(t) OVER w AS tt FROM activity WHERE type IN ('search', 'read') WINDOW w AS (PARTITION BY actor ORDER BY t, call_id))"""
@@ -344,12 +344,12 @@ e AS (SELECT permalink, k, 'T' || chr(10) || chr(10) || trim(substr(text, k * 16
 SELECT permalink || '#0.' || k AS key, permalink, '' AS heading, sha1(i) AS hash, length(i) / sqrt(length(i)::DOUBLE * length(i) + 1) AS x FROM e""")
 def stream_vectors(spark, d):
     """Every turn a note, embedded by its length, as the stream of turns brings it."""
-    turns = spark.readStream.schema(read(spark, d, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    turns = stream(spark, d, "conversations")
     name = F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn")
     none = F.lit(None).cast("string")
     notes = turns.select(name.alias("permalink"), F.lit("T").alias("title"), none.alias("description"), "text", F.lit(False).alias("removed"), F.col("turn").cast("bigint").alias("t"))
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = VS.follow(notes, f"{path}/vectors", f"{path}/checkpoint", _measure)
     q.awaitTermination()
-    done = q.lastProgress
-    return VS.stored(spark, f"{path}/vectors", done["batchId"] if done else -1).select("key", "permalink", "heading", "hash", F.get("vector", F.lit(0)).alias("x"))
+    done = max((p["batchId"] for p in q.recentProgress if p["numInputRows"]), default=-1)  # progress comes without a batch, too
+    return VS.stored(spark, f"{path}/vectors", done).select("key", "permalink", "heading", "hash", F.get("vector", F.lit(0)).alias("x"))

@@ -22,6 +22,15 @@ def version(spark: SparkSession, sf_dir: str, name: str) -> str:
     return f"{status.getPath()}:{status.getModificationTime()}:{status.getLen()}"
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of its files, whether it is one file or a folder of them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    source = spark.readStream.schema(read(spark, sf_dir, name).schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return source.parquet(f"{sf_dir}/{name}.parquet")
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     return d.select(

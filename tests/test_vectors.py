@@ -58,3 +58,13 @@ def test_a_stream_goes_on_after_a_stop(spark, tmp_path):
     run()
     second = {r.key: tuple(r.vector) for r in T.stored(spark, path, 1).collect()}
     assert set(first) == set(second) == {"a#0.0", "b#0.0"} and first["a#0.0"] == second["a#0.0"] and first["b#0.0"] != second["b#0.0"]
+
+
+def test_a_stream_reads_a_table_of_many_files(spark, tmp_path):
+    from corvex.plans.registry import queries
+
+    rows = [(c, t, "user", f"turn {t} of {c}") for c in range(5) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert queries()["stream_vectors"](spark, str(tmp_path)).count() == 15
+    spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "none" / "conversations.parquet"))
+    assert queries()["stream_vectors"](spark, str(tmp_path / "none")).count() == 0
