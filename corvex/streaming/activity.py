@@ -39,8 +39,8 @@ def once_per_session(events: DataFrame, keys: list[str], late: str = "1 hour") -
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def _stateful(events: DataFrame, keys: list[str], step: Callable, out: str, state: str, start: tuple, last: Callable | None = None) -> DataFrame:
-    """`step(key, rows, state values)` takes a key's rows of a batch in order of time and gives output rows and the
+def _stateful(events: DataFrame, keys: list[str], step: Callable, out: str, state: str, start: tuple, last: Callable | None = None, forgets: bool = False) -> DataFrame:
+    """`step(key, rows, state values)`, with the watermark before the state values if it `forgets` by itself, takes a key's rows of a batch in order of time and gives output rows and the
     new state values; the state goes when the watermark is KEEP_MS past the last row, and `last(key, state values)`
     gives the rows that settle what it still held."""
     names = [c.strip().split(" ")[0] for c in out.split(",")]
@@ -52,7 +52,8 @@ def _stateful(events: DataFrame, keys: list[str], step: Callable, out: str, stat
             held.remove()
             return
         rows = pd.concat(list(frames), ignore_index=True).sort_values("t", kind="stable")
-        found, values = step(key, rows.itertuples(), *(held.get if held.exists else start))
+        now = (held.getCurrentWatermarkMs(),) if forgets else ()
+        found, values = step(key, rows.itertuples(), *now, *(held.get if held.exists else start))
         held.update(values)
         held.setTimeoutTimestamp(max(int(rows["t"].max()), held.getCurrentWatermarkMs()) + KEEP_MS)
         yield pd.DataFrame(found, columns=names)
@@ -124,19 +125,23 @@ def inject_aliases(searches: DataFrame, aliases: DataFrame) -> DataFrame:
     return searches.where("type = 'search'").join(best, "word", "left")
 
 
-def _stub(key, rows, last, stubbed):
-    out = []
+def _stub(key, rows, now, ids, lasts, stubs, until):
+    """Of each note the hash and whether it was a stub, until the watermark has left its last read KEEP_MS behind."""
+    out, known = [], {i: x for i, *x in zip(ids, lasts, stubs, until) if x[2] >= now}
     for r in rows:
-        same = r.hash == last and not stubbed
-        out.append((key[0], key[1], r.t, bool(same)))
-        last, stubbed = r.hash, bool(same)
-    return out, (last, stubbed)
+        note = None if pd.isna(r.id) else int(r.id)
+        last, stubbed, _ = known.get(note, ("", False, 0))
+        same = bool(r.hash == last and not stubbed)
+        out.append((key[0], note, int(r.t), same))
+        known[note] = (r.hash, same, max(int(r.t), now) + KEEP_MS)
+    return out, (list(known), *map(list, zip(*known.values())))
 
 
 def repeat_stubs(reads: DataFrame) -> DataFrame:
     """session, id, t, stub for reads with a content hash: a re-read of unchanged content is a stub, the next one
-    is in full again."""
-    return _stateful(reads, ["session", "id"], _stub, "session bigint, id bigint, t bigint, stub boolean", "last string, stubbed boolean", ("", False))
+    is in full again. The state of a session holds its notes, as most of them are read once or twice."""
+    out, state = "session bigint, id bigint, t bigint, stub boolean", "ids array<bigint>, lasts array<string>, stubs array<boolean>, until array<bigint>"
+    return _stateful(reads, ["session"], _stub, out, state, ([], [], [], []), forgets=True)
 
 
 def _outline(key, rows, shortened):

@@ -138,3 +138,15 @@ def test_repeat_stubs(run):
     rows = [ev("read", 1, 5, t, word=h) for t, h in ((1, "x"), (2, "x"), (3, "x"), (4, "y"))]
     got = run(rows, lambda s: A.repeat_stubs(s.select(F.col("actor").alias("session"), "id", "t", F.col("word").alias("hash"))))
     assert [r[3] for r in sorted(got)] == [False, True, False, False]
+
+
+def test_a_session_keeps_its_notes_and_forgets_old_ones():
+    from collections import namedtuple
+
+    R = namedtuple("R", "id hash t")
+    none = float("nan")
+    out, state = A._stub((7,), [R(1, "a", 10), R(2, "a", 11), R(1, "a", 12), R(none, "b", 13), R(1, "a", 14), R(2, "c", 15), R(none, "b", 16)], 0, [], [], [], [])
+    assert out == [(7, 1, 10, False), (7, 2, 11, False), (7, 1, 12, True), (7, None, 13, False), (7, 1, 14, False), (7, 2, 15, False), (7, None, 16, True)]
+    assert state[0] == [1, 2, None] and state[3] == [14 + A.KEEP_MS, 15 + A.KEEP_MS, 16 + A.KEEP_MS]
+    later, left = A._stub((7,), [R(1, "a", 20), R(2, "c", 21)], 15 + A.KEEP_MS, *state)
+    assert [x[3] for x in later] == [False, True] and left[0] == [2, None, 1]
