@@ -154,14 +154,13 @@ def under_hub(raw: Column, hub: Column) -> Column:
 
 def free_slugs(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """plan, pos, slug: names wanted (plan, pos, base) with the first number after them that neither an existing slug
-    nor an earlier part of the plan has."""
+    nor an earlier part of the plan has. Below the j-th number in use lie as many free ones as it is greater than j, so
+    the r-th free number is r and one more for each number in use with fewer than r free ones below."""
     taken = existing.select(F.regexp_replace(F.lower("slug"), r"-\d+$", "").alias("base"), F.regexp_extract(F.lower("slug"), r"-(\d+)$", 1).try_cast("int").alias("k"))
     whole = existing.select(F.lower("slug").alias("base"), F.lit(1).alias("k"))
-    used = taken.where("k >= 2").unionByName(whole).groupBy("base").agg(F.collect_set("k").alias("used"))
+    used = taken.where("k >= 2").unionByName(whole).groupBy("base").agg(F.transform(F.array_sort(F.collect_set("k")), lambda k, j: k - j - 1).alias("below"))
     each = wanted.withColumn("r", F.row_number().over(W.partitionBy("plan", "base").orderBy("pos"))).join(used, "base", "left")
-    used_or = F.coalesce("used", F.array().cast("array<int>"))
-    free = F.filter(F.sequence(F.lit(1), F.col("r") + F.size(used_or)), lambda k: ~F.array_contains(used_or, k))
-    k = F.element_at(free, F.col("r"))
+    k = F.col("r") + F.when(F.col("below").isNull(), 0).otherwise(F.size(F.filter("below", lambda n: n < F.col("r"))))
     return each.select("plan", "pos", F.when(k == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), k.cast("string"))).alias("slug"))
 
 

@@ -174,3 +174,12 @@ def test_snippets_from_the_beginning(spark):
     notes = spark.createDataFrame([(1, "filler words here " * 20 + "needle")], "id bigint, body string")
     row = lambda **k: S.snippets(notes.select("id"), notes, S.parse("needle"), **k).first().snippet
     assert row(around=False) == ("filler words here " * 20)[:199] + "…" and "needle" in row()
+
+
+def test_a_slug_is_numbered_without_a_list_of_all_before_it(spark):
+    wanted = spark.range(3000).select(F.lit(1).alias("plan"), F.col("id").alias("pos"), F.lit("a").alias("base"))
+    existing = spark.createDataFrame([("a",), ("a-2",), ("a-7",), ("a-2999",)], "slug string")
+    got = A.free_slugs(wanted, existing)
+    assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    used = {1, 2, 7, 2999}
+    assert [r.slug for r in got.orderBy("pos").collect()] == [f"a-{k}" for k in range(1, 3005) if k not in used]
