@@ -6,12 +6,15 @@ Loops run over tables with a checkpoint each round; what they collect is a count
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvex.functions import text as X
+from corvex.operators import overlap as O
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -178,35 +181,37 @@ def related(edges: DataFrame, notes: DataFrame, usage: DataFrame, note, most: in
     return evidence.groupBy("id").agg(F.sum("w").alias("score"), F.array_sort(F.collect_set("why")).alias("reasons")).orderBy(F.desc("score"), "id").limit(most)
 
 
+def _themed(words: DataFrame) -> DataFrame:
+    """theme, id, words: each note's as one string; kept, as blocks ask for it several times."""
+    return cut(words.where("theme IS NOT NULL").groupBy("theme", "id").agg(O.joined(F.collect_set("word")).alias("words")))
+
+
 def ties(words: DataFrame, edges: DataFrame, strong: int = 3, most: int = 3) -> DataFrame:
-    """Pairs a < b of one theme with score 2 for a link and up to `most` for shared words, from `strong` = `most` on;
-    `words` has theme, id, word. Two notes without a link need `most` words in common, so they share one among all
-    but their most - 1 most frequent ones: only these rarer words are joined, and frequent ones never alone. Linked
-    pairs come from their links. A word's notes meet by salt, so that a frequent word is dealt over many tasks."""
+    """Pairs a < b of one theme with score 2 for a link and up to `most` for shared words, from `strong` = `most` on, if
+    they share a word; `words` has theme, id, word. A theme's notes meet by blocks, and a pair comes out of the one task
+    that counted its words, with its link."""
     if strong != most:
         raise ValueError("what is joined is told by `strong` words in common")
-    salts = 16
-    w = words.select("theme", "id", "word").distinct()
-    df = w.groupBy("theme", "word").agg(F.count("*").alias("df"))
-    sets = w.join(df, ["theme", "word"]).groupBy("theme", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("words"))
-    rare = sets.select("theme", "id", F.explode(F.slice("words", F.lit(1), F.greatest(F.size("words") - (most - 1), F.lit(0)))).alias("word"))
-    left = rare.select("theme", "word", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("s"))
-    right = rare.select("theme", "word", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("s"))
-    met = left.join(right, ["theme", "word", "s"]).where("a < b").select("a", "b").distinct()
-    linked = undirected(edges).withColumn("l", F.lit(2))
-    pairs = met.join(linked, ["a", "b"], "full").select("a", "b", F.coalesce("l", F.lit(0)).alias("l"))
-    side = lambda k: sets.select(F.col("id").alias(k), F.col("theme").alias(f"theme_{k}"), F.col("words").alias(f"words_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("theme_a = theme_b")
-    shared = F.least(F.size(F.array_intersect("words_a", "words_b")), F.lit(most))
-    return both.select("a", "b", (shared + F.col("l")).alias("score"), shared.alias("w")).where((F.col("score") >= strong) & (F.col("w") > 0)).drop("w")
+    kind = words.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, second, p, q, score in O.pairs_alike(pa.Table.from_batches(batches), most, 2):
+            yield from pa.table({"x": first["id"].take(p), "y": second["id"].take(q), "score": pa.array(score, pa.int32())}).to_batches()
+
+    met = O.alike(_themed(words), undirected(edges), ["theme"], run, f"x {kind}, y {kind}, score int")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+
+
+def _of_size(label: DataFrame, score: DataFrame, notes: DataFrame, least: int) -> DataFrame:
+    size = label.join(notes.select(F.col("id").alias("node"), "subtheme"), "node").groupBy("root").agg(F.count("*").alias("notes"), F.countDistinct("subtheme").alias("subthemes"))
+    return size.join(score, "root").where((F.col("notes") >= least) & (F.col("subthemes") >= 2))
 
 
 def groups(tied: DataFrame, notes: DataFrame, least: int = 3) -> DataFrame:
     """Components of strong ties with `least` notes in two or more subthemes: root, notes, subthemes, score."""
     label = components(tied.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    size = label.join(notes.select(F.col("id").alias("node"), "subtheme"), "node").groupBy("root").agg(F.count("*").alias("notes"), F.countDistinct("subtheme").alias("subthemes"))
     score = tied.join(label.withColumnRenamed("node", "a"), "a").groupBy("root").agg(F.sum("score").alias("score"))
-    return size.join(score, "root").where((F.col("notes") >= least) & (F.col("subthemes") >= 2))
+    return _of_size(label, score, notes, least)
 
 
 def mutual(edges: DataFrame) -> DataFrame:

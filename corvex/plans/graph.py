@@ -85,21 +85,21 @@ l AS (SELECT DISTINCT a, b, 2 AS l FROM e WHERE a <> b), s AS (SELECT x.id AS a,
 t AS (SELECT a, b, coalesce(w, 0) + coalesce(l, 0) AS score FROM s FULL JOIN l USING (a, b) WHERE coalesce(w, 0) + coalesce(l, 0) >= 3)"""
 
 
-def _ties(spark, d):
+def _themed(spark, d):
     n = notes(spark, d)
     words = n.select("theme", "id", F.explode(X.significant_words(F.col("title"))).alias("word"))
-    return G.ties(words, n.select(F.col("id").alias("src"), F.pmod(F.col("id") * 7 + 3, F.lit(100)).alias("dst")))
+    return words, n.select(F.col("id").alias("src"), F.pmod(F.col("id") * 7 + 3, F.lit(100)).alias("dst"))
 
 
 @query("structure_ties", f"WITH {NOTES_SQL}, {TIES} SELECT a, b, score::BIGINT AS score FROM t")
 def ties(spark, d):
-    return _ties(spark, d).select("a", "b", F.col("score").cast("bigint").alias("score"))
+    return G.ties(*_themed(spark, d)).select("a", "b", F.col("score").cast("bigint").alias("score"))
 
 
 @query("structure_groups", f"""WITH RECURSIVE {NOTES_SQL}, {TIES}, b(x, y) AS (SELECT a, b FROM t UNION SELECT b, a FROM t), {COMPONENTS}, g AS (SELECT root, count(*) AS notes, count(DISTINCT subtheme) AS subthemes FROM lab JOIN notes ON id = node GROUP BY root)
 SELECT root, notes, subthemes, sum(score)::BIGINT AS score FROM g JOIN lab USING (root) JOIN t ON t.a = lab.node WHERE notes >= 3 AND subthemes >= 2 GROUP BY ALL""")
 def groups(spark, d):
-    g = G.groups(_ties(spark, d), notes(spark, d))
+    g = G.groups(G.ties(*_themed(spark, d)), notes(spark, d))
     return g.select("root", "notes", "subthemes", F.col("score").cast("bigint").alias("score"))
 
 

@@ -72,6 +72,27 @@ def test_groups(spark):
     assert [tuple(r) for r in G.groups(tied, notes).select("root", "notes", "subthemes", "score").collect()] == [(1, 3, 2, 9)]
 
 
+def test_ties_meet_by_blocks(spark, monkeypatch):
+    from corvex.operators import overlap as O
+
+    monkeypatch.setattr(O, "BLOCK", 7)
+    has = {i: {f"w{(i * k * k + k) % 23}" for k in range(2 + i % 6)} for i in range(60)}
+    words = spark.createDataFrame([("ta" if i % 5 else "u", i, w) for i, ws in has.items() for w in ws] + [(None, 77, "w1")], "theme string, id bigint, word string")
+    links = [(i, (i * 7 + 3) % 50) for i in range(60)] + [(5, 5), (99, 1)]
+    e = spark.createDataFrame(links, "src bigint, dst bigint")
+    both = {(min(x), max(x)) for x in links if x[0] != x[1]}
+    want = set()
+    for a in has:
+        for b in has:
+            w = min(len(has[a] & has[b]), 3)
+            if a < b and bool(a % 5) == bool(b % 5) and w and w + 2 * ((a, b) in both) >= 3:
+                want.add((a, b, w + 2 * ((a, b) in both)))
+    tied = G.ties(words, e)
+    assert {tuple(r) for r in tied.collect()} == want and tied.count() == len(want) and {s for *_, s in want} >= {3, 4}
+    plan = tied._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("FlatMapGroupsInArrow")[0]  # no pair is shuffled
+
+
 def test_hubs_claim_in_order(spark):
     pairs = [("h", "p"), ("h", "q"), ("i", "p"), ("i", "q")]
     e = spark.createDataFrame(pairs + [(b, a) for a, b in pairs[:2]], "src string, dst string")
