@@ -8,6 +8,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -214,6 +215,51 @@ def groups(tied: DataFrame, notes: DataFrame, least: int = 3) -> DataFrame:
     return _of_size(label, score, notes, least)
 
 
+def tied_groups(words: DataFrame, edges: DataFrame, notes: DataFrame, least: int = 3, most: int = 3) -> DataFrame:
+    """What `groups` says of `ties`, without the pairs: a pair of blocks hands on, for each note with a tie in it, one
+    that it hangs together with and the scores of its pairs, each counted at one end. A block's notes are joined up
+    once more before all are."""
+    kind = words.schema["id"].dataType.simpleString()
+    rows = _themed(words)
+    schema = f"theme {words.schema['theme'].dataType.simpleString()}, _at int, node {kind}, near {kind}, score bigint"
+
+    def tell(theme, at, ids, who, near, score) -> Iterator[pa.RecordBatch]:
+        n = len(who)
+        yield from pa.table({"theme": pa.repeat(theme, n), "_at": pa.array(at, pa.int32()), "node": ids.take(who), "near": ids.take(near), "score": pa.array(score, pa.int64())}).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        root = None
+        for first, second, p, q, score in O.pairs_alike(t, most, 2):
+            one, n = second is first, first.num_rows
+            if root is None:
+                ids = pa.chunked_array(first["id"].chunks + ([] if one else second["id"].chunks))
+                root, total, tied = np.arange(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+            q = q if one else q + n
+            root = O.unite(root, p, q)
+            total[:n] += np.bincount(p, score, n).astype(np.int64)
+            tied[p] = tied[q] = True
+        if root is not None and tied.any():
+            who = np.flatnonzero(tied)
+            yield from tell(t["theme"][0], np.where(who < n, t["_i"][0].as_py(), t["_j"][0].as_py()), ids, who, root[who], total[who])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        coded = pa.chunked_array(t["node"].chunks + t["near"].chunks).combine_chunks().dictionary_encode()
+        n, ids = t.num_rows, coded.dictionary
+        a, b = np.split(coded.indices.to_numpy(), [n])
+        root = O.unite(np.arange(len(ids)), a, b)
+        total = np.zeros(len(ids), np.int64)
+        np.add.at(total, a, t["score"].to_numpy())
+        yield from tell(t["theme"][0], np.full(len(ids), t["_at"][0].as_py()), ids, np.arange(len(ids)), root, total)
+
+    parts = O.alike(rows, undirected(edges), ["theme"], run, schema)
+    joined = cut(O.grouped(parts, ["theme", "_at"]).applyInArrow(again, schema).select("node", "near", "score"))
+    label = components(joined.select(F.col("node").alias("src"), F.col("near").alias("dst")))
+    score = joined.join(label, "node").groupBy("root").agg(F.sum("score").alias("score"))
+    return _of_size(label, score, notes, least)
+
+
 def mutual(edges: DataFrame) -> DataFrame:
     """Pairs hub, part that link to each other."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

@@ -163,3 +163,16 @@ def pairs_alike(t: pa.Table, least: int, weight: int) -> Iterator[tuple[pa.Table
         if a < b:
             score[np.isin(p * shared.shape[1] + q, u * shared.shape[1] + v)] += weight
         yield first, second, p + at, q, score
+
+
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`root`, the smallest member of each one's component, after a[k] and b[k] are joined for all k."""
+    while True:
+        a, b = root[a], root[b]
+        far = a != b
+        if not far.any():
+            return root
+        a, b = a[far], b[far]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]

@@ -99,7 +99,7 @@ def ties(spark, d):
 @query("structure_groups", f"""WITH RECURSIVE {NOTES_SQL}, {TIES}, b(x, y) AS (SELECT a, b FROM t UNION SELECT b, a FROM t), {COMPONENTS}, g AS (SELECT root, count(*) AS notes, count(DISTINCT subtheme) AS subthemes FROM lab JOIN notes ON id = node GROUP BY root)
 SELECT root, notes, subthemes, sum(score)::BIGINT AS score FROM g JOIN lab USING (root) JOIN t ON t.a = lab.node WHERE notes >= 3 AND subthemes >= 2 GROUP BY ALL""")
 def groups(spark, d):
-    g = G.groups(G.ties(*_themed(spark, d)), notes(spark, d))
+    g = G.tied_groups(*_themed(spark, d), notes(spark, d))
     return g.select("root", "notes", "subthemes", F.col("score").cast("bigint").alias("score"))
 
 

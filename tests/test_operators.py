@@ -91,6 +91,10 @@ def test_ties_meet_by_blocks(spark, monkeypatch):
     assert {tuple(r) for r in tied.collect()} == want and tied.count() == len(want) and {s for *_, s in want} >= {3, 4}
     plan = tied._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("FlatMapGroupsInArrow")[0]  # no pair is shuffled
+    notes = spark.createDataFrame([(i, "s" + str(i % 2)) for i in range(60)], "id bigint, subtheme string")
+    named = ("root", "notes", "subthemes", "score")
+    got = {tuple(r) for r in G.tied_groups(words, e, notes).select(*named).collect()}
+    assert got and got == {tuple(r) for r in G.groups(tied, notes).select(*named).collect()}
 
 
 def test_hubs_claim_in_order(spark):
