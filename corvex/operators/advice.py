@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvex.functions import text as X
+from corvex.operators import overlap as O
 
 LARGE, HINT_PARTS, HINT_NOTES, TOP_READ = 5000, 4, 2, 3
 INDEX_LARGE = 2000
@@ -66,6 +67,10 @@ def group_topics(members: DataFrame, words: DataFrame) -> DataFrame:
 # ---- writing ----
 
 
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def hub_parts(listed: DataFrame, declared: DataFrame, archived: DataFrame) -> DataFrame:
     """hub, part, hook: the parts that a hub lists, or of a hub that lists none those that declare it; archived notes
     are neither hubs nor parts."""
@@ -80,12 +85,14 @@ def hub_hints(writes: DataFrame, parts: DataFrame, notes: DataFrame, most: int =
     """write, hub, shown, more: for a write to a hub the parts to write to instead, those first that share most words
     with what was added. `writes`: write, hub, added; `notes`: id, description, label."""
     topic = F.coalesce(F.nullif("hook", F.lit("")), F.nullif("description", F.lit("")), "label", F.lit(""))
-    known = parts.join(notes.select(F.col("id").alias("part"), "description", "label"), "part", "left").select("hub", "part", X.significant_words(topic).alias("own"))
-    met = writes.select("write", "hub", X.significant_words(F.col("added")).alias("new")).join(known, "hub")
-    shared = F.size(F.array_intersect("own", "new"))
-    each = met.select("write", "hub", F.struct((-shared).alias("s"), F.col("part").cast("string").alias("part")).alias("x"))
-    g = each.groupBy("write", "hub").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return g.select("write", "hub", F.transform(F.slice("xs", 1, most), lambda x: x["part"]).alias("shown"), (F.size("xs") > most).alias("more"))
+    known = parts.join(notes.select(F.col("id").alias("part"), "description", "label"), "part", "left")
+    told = writes.select("hub", F.col("write").alias("id"), O.joined(X.significant_words(F.col("added"))).alias("words"), F.lit(0).alias("least"))
+    own = known.select("hub", F.col("part").cast("string").alias("other"), O.joined(X.significant_words(topic)).alias("words"))
+    schema = f"hub {_type(writes, 'hub')}, id {_type(writes, 'write')}, other string, shared int"
+    near = O.best(told, own, ["hub"], most, [("other", "ascending")], schema)
+    each = near.select(F.col("id").alias("write"), "hub", F.struct((-F.col("shared")).alias("s"), F.col("other").alias("part")).alias("x"))
+    g = each.groupBy("write", "hub").agg(F.array_sort(F.collect_list("x")).alias("xs")).join(parts.groupBy("hub").agg((F.count("*") > most).alias("more")), "hub")
+    return g.select("write", "hub", F.transform(F.slice("xs", 1, most), lambda x: x["part"]).alias("shown"), "more")
 
 
 def duplicate_hints(writes: DataFrame, notes: DataFrame, most: int = HINT_NOTES, shared: int = DUP_SHARED, coverage: float = DUP_COVERAGE) -> DataFrame:

@@ -100,16 +100,21 @@ def best(left: DataFrame, right: DataFrame, by: list[str], most: int, order: lis
         theirs = theirs.sort_by(order)
         least, m = mine["least"].to_numpy(), theirs.num_rows
         for at, shared in strips(mine["words"], theirs["words"]):
+            enough = np.flatnonzero(shared.max(1) >= least[at : at + len(shared)])
+            if not len(enough):
+                continue
+            shared = shared if len(enough) == len(shared) else shared[enough]
             shared *= m
             shared += np.arange(m - 1, -1, -1)
             who = np.arange(len(shared))
+            enough += at
             rows, found, times = [], [], []
             for _ in range(min(most, m)):
                 j = shared.argmax(1)
                 s = shared[who, j]
                 shared[who, j] = -1
-                ok = s >= least[at : at + len(who)] * m
-                rows.append(who[ok] + at)
+                ok = s >= least[enough] * m
+                rows.append(enough[ok])
                 found.append(j[ok])
                 times.append(s[ok] // m)
             x, y = mine.take(np.concatenate(rows)), theirs.take(np.concatenate(found))

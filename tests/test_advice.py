@@ -130,6 +130,26 @@ def test_labels_tools_and_hints(spark):
     assert [tuple(r) for r in A.slug_hints(w, "notes").orderBy("write").collect()] == [(1, "Café Notes", "cafe-notes", False), (2, "good-slug", None, True), (4, "???", "a-kebab-slug", True)]
 
 
+def test_hub_hints_meet_by_blocks(spark, monkeypatch):
+    from corvex.operators import overlap as O
+
+    monkeypatch.setattr(O, "BLOCK", 5)
+    text = lambda k: " ".join(f"word{(k * j * j + j) % 13}" for j in range(k % 6))
+    writes = [(w, w % 3, text(w)) for w in range(40)] + [(90, 0, None), (91, 7, "word1")]
+    parts = [(p % 3, p, "" if p % 4 else text(p + 1)) for p in range(100, 137)] + [(5, 200, "")]
+    label = {p: None if p % 7 == 0 else text(p) for _, p, _ in parts}
+    want = {}
+    for w, hub, added in writes:
+        has = set((added or "").split())
+        own = sorted((-len(has & set((hook or label[p] or "").split())), str(p)) for h, p, hook in parts if h == hub)
+        if own:
+            want[w, hub] = ([p for _, p in own[:4]], len(own) > 4)
+    notes = spark.createDataFrame([(p, None, x) for p, x in label.items()], "id bigint, description string, label string")
+    got = A.hub_hints(spark.createDataFrame(writes, "write bigint, hub int, added string"), spark.createDataFrame(parts, "hub int, part bigint, hook string"), notes)
+    assert {(r.write, r.hub): (r.shown, r.more) for r in got.collect()} == want
+    assert "array_intersect" not in got._jdf.queryExecution().executedPlan().toString()  # no pair is a row
+
+
 def test_stable_share(spark):
     rows = [("abcdef", "abcxef", 0.5), ("", "a", 0.0), ("x", "", 1.0), ("same", "same", 1.0), ("a" * 90_000 + "b", "a" * 90_000 + "c" * 10_000, 0.9)]
     df = spark.createDataFrame([(a, b) for a, b, _ in rows], "a string, b string")
