@@ -98,19 +98,15 @@ def hub_hints(writes: DataFrame, parts: DataFrame, notes: DataFrame, most: int =
 def duplicate_hints(writes: DataFrame, notes: DataFrame, most: int = HINT_NOTES, shared: int = DUP_SHARED, coverage: float = DUP_COVERAGE) -> DataFrame:
     """write, id, shared: for a note being written those that it may repeat, `shared` words in common that cover so much
     of its title; most words first, then the larger note. `writes`: write, words (of the title); `notes`: id, words (of
-    id, label and description), tokens. A title of n words whose notes must have k of them meets notes by its n - k + 1
-    rarest words only, so that frequent words are not joined alone."""
+    id, label and description), tokens. Writes and notes meet by blocks, of which each hands on a write's first ones."""
     need = F.greatest(F.lit(shared), F.ceil(F.size("words") * F.lit(coverage)).cast("int"))
-    asked = writes.select("write", F.array_distinct("words").alias("words")).where(F.size("words") >= shared)
-    b = notes.select("id", "tokens", F.array_distinct("words").alias("words"))
-    each = b.select("id", "tokens", "words", F.explode("words").alias("word"))
-    df = each.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = asked.select("write", F.explode("words").alias("word")).join(df, "word", "left").groupBy("write").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))), lambda x: x["word"]).alias("words"))
-    a = ranked.select("write", "words", need.alias("need"), F.explode(F.slice("words", F.lit(1), F.size("words") - need + 1)).alias("word")).withColumnRenamed("words", "title")
-    met = a.join(each, "word").dropDuplicates(["write", "id"]).withColumn("shared", F.size(F.array_intersect("title", "words"))).where(F.col("shared") >= F.col("need"))
-    w = W.partitionBy("write").orderBy(F.desc("shared"), F.desc("tokens"), "id")
-    return met.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("write", "id", "shared")
+    asked = writes.select(F.col("write").alias("id"), F.array_distinct("words").alias("words")).where(F.size("words") >= shared)
+    a = asked.select(F.lit(0).alias("all"), "id", O.joined(F.col("words")).alias("words"), need.alias("least"))
+    b = notes.where(F.size("words") > 0).select(F.lit(0).alias("all"), F.col("id").alias("other"), O.joined(F.col("words")).alias("words"), "tokens")
+    schema = f"id {_type(writes, 'write')}, other {_type(notes, 'id')}, tokens {_type(notes, 'tokens')}, shared int"
+    near = O.best(a, b, ["all"], most, [("tokens", "descending"), ("other", "ascending")], schema)
+    w = W.partitionBy("id").orderBy(F.desc("shared"), F.desc("tokens"), "other")
+    return near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select(F.col("id").alias("write"), F.col("other").alias("id"), "shared")
 
 
 #: What a title has to look like, and folders that are the notes' root.

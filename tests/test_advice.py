@@ -150,6 +150,24 @@ def test_hub_hints_meet_by_blocks(spark, monkeypatch):
     assert "array_intersect" not in got._jdf.queryExecution().executedPlan().toString()  # no pair is a row
 
 
+def test_duplicate_hints_meet_by_blocks(spark, monkeypatch):
+    from corvex.operators import overlap as O
+
+    monkeypatch.setattr(O, "BLOCK", 5)
+    words = lambda k: [f"word{(k * j * j + j) % 13}" for j in range(k % 8)]
+    writes = [(w, words(w)) for w in range(30)] + [(90, None), (91, ["a", "a"])]
+    notes = [(n, words(n), n % 3) for n in range(100, 150)] + [(200, None, 1), (201, ["a"], 9)]
+    want = set()
+    for w, has in writes:
+        near = [(-len(set(has or []) & set(ws or [])), -tokens, n) for n, ws, tokens in notes]
+        need = max(2, -(-len(set(has or [])) * 6 // 10))
+        want |= {(w, n, -s) for s, _, n in sorted(x for x in near if -x[0] >= need)[:2]}
+    a = spark.createDataFrame(writes, "write bigint, words array<string>")
+    got = A.duplicate_hints(a, spark.createDataFrame(notes, "id bigint, words array<string>, tokens int"))
+    assert len(want) > 20 and {tuple(r) for r in got.collect()} == want
+    assert "array_intersect" not in got._jdf.queryExecution().executedPlan().toString()  # no pair is a row
+
+
 def test_stable_share(spark):
     rows = [("abcdef", "abcxef", 0.5), ("", "a", 0.0), ("x", "", 1.0), ("same", "same", 1.0), ("a" * 90_000 + "b", "a" * 90_000 + "c" * 10_000, 0.9)]
     df = spark.createDataFrame([(a, b) for a, b, _ in rows], "a string, b string")
