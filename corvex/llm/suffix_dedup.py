@@ -15,7 +15,8 @@ dealt into chunks by a hash of the id:
 
 Hash collisions of anchors only bring more stretches to compare. However many copies a passage has, a chunk
 sends it once. An anchor in very many contexts (HOT_CHUNKS, HOT_CONTEXTS) does not bring them to one shard: its
-strings travel one by one, to the shards of their own hashes. Nothing is collected or broadcast.
+strings travel one by one, to the shards of their own hashes. An anchor in many chunks, but few contexts, is none of
+these. Nothing is collected or broadcast.
 
 Defined results: null and empty texts and texts under WIDTH bytes lose nothing; rows with the same id never
 lose bytes to each other; a null id counts as larger than all others; rows come out as often as they went in.
@@ -38,7 +39,8 @@ K = 24
 SIDE = (WIDTH - K) // 2  # an equal string goes on for so many bytes left or right of its anchor
 SPAN = WIDTH - K + 1  # anchors are the smallest of so many hashes
 STRETCH = 64  # strings in one stretch at most
-HOT_CHUNKS, HOT_CONTEXTS = 512, 256  # an anchor in more chunks, or in more contexts of one, is hot
+HOT_CHUNKS, HOT_CONTEXTS = 512, 256  # an anchor in more contexts of one chunk, or than so many chunks of them can have, is hot
+FEW, HOT = 16, 15  # an anchor in so few places of a chunk is taken to have a context each; the level of one that is hot
 PIECE = 1 << 17  # bytes hashed at a time
 CHUNK_BYTES = 4 << 20  # of stored input in a chunk; texts take about twice that
 LEAST_CHUNKS = 64
@@ -185,14 +187,16 @@ def _send_anchors(shards: int, bits: int):
         a, own = a[order], own[order]
         first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
         several = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-        size, hot = np.diff(np.append(first, len(a))), np.zeros(len(first), bool)
-        for k in np.flatnonzero(size > HOT_CONTEXTS):  # few
-            hot[k] = len(np.unique(context[order[first[k] : first[k] + size[k]]])) > HOT_CONTEXTS
+        size = np.diff(np.append(first, len(a)))
+        level = np.ceil(np.log2(np.minimum(size, FEW))).astype(np.uint8)
+        for k in np.flatnonzero(size > min(FEW, HOT_CONTEXTS)):  # few
+            n = len(np.unique(context[order[first[k] : first[k] + size[k]]]))
+            level[k] = HOT if n > HOT_CONTEXTS else (n - 1).bit_length()
         a = a[first]
         s = _shard(a, bits, shards)
         cuts = np.flatnonzero(np.append(True, np.diff(s) != 0)).tolist() + [len(s)]
         chunk = key[0].as_py()
-        return _table(ANCHORS, [(int(s[x]), chunk, _pack(a[x:y]) + np.packbits(several[x:y]).tobytes() + np.packbits(hot[x:y]).tobytes(), y - x) for x, y in zip(cuts, cuts[1:])])
+        return _table(ANCHORS, [(int(s[x]), chunk, _pack(a[x:y]) + np.packbits(several[x:y]).tobytes() + _nibbles(level[x:y]), y - x) for x, y in zip(cuts, cuts[1:])])
 
     return run
 
@@ -200,20 +204,21 @@ def _send_anchors(shards: int, bits: int):
 def _match_anchors(key, t):
     release()
     blobs, chunks, ns = (t.column(c).to_pylist() for c in ("blob", "chunk", "n"))
-    parts, flags, hots = [], [], []
+    parts, flags, levels = [], [], []
     for b, n in zip(blobs, ns):
         keys, at = _unpack(b, n)
         parts.append(keys)
         flags.append(_bits(b, n, at))
-        hots.append(_bits(b, n, at + (n + 7) // 8))
-    a, several, hot = np.concatenate(parts), np.concatenate(flags), np.concatenate(hots)
+        levels.append(_of_nibbles(b, n, at + (n + 7) // 8))
+    a, several, level = np.concatenate(parts), np.concatenate(flags), np.concatenate(levels)
     source = np.repeat(np.arange(len(ns)), ns)
     order = np.argsort(a, kind="stable")
-    a, several, hot, source = a[order], several[order], hot[order], source[order]
+    a, several, level, source = a[order], several[order], level[order], source[order]
     first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
     size = np.diff(np.append(first, len(a)))
     hit = np.repeat((size > 1) | np.logical_or.reduceat(several, first), size)
-    hot = np.repeat((size > HOT_CHUNKS) | np.logical_or.reduceat(hot, first), size)
+    contexts = np.add.reduceat(np.left_shift(1, level.astype(np.int64)), first)  # as many at most, up to twice
+    hot = np.repeat((contexts > HOT_CHUNKS * HOT_CONTEXTS) | np.logical_or.reduceat(level == HOT, first), size)
     a, source, hot = a[hit], source[hit], hot[hit]
     by = np.argsort(source, kind="stable")  # and so sorted within each
     a, hot, cuts = a[by], hot[by], np.searchsorted(source[by], np.arange(len(ns) + 1))
@@ -224,6 +229,16 @@ def _bits(b: bytes, n: int, at: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
 
 
+def _nibbles(x: np.ndarray) -> bytes:
+    x = np.append(x, np.zeros(len(x) % 2, np.uint8))
+    return (x[::2] | x[1::2] << np.uint8(4)).tobytes()
+
+
+def _of_nibbles(b: bytes, n: int, at: int) -> np.ndarray:
+    x = np.frombuffer(b, np.uint8, (n + 1) // 2, at)
+    return np.stack([x & np.uint8(15), x >> np.uint8(4)], 1).ravel()[:n]
+
+
 def _anchors_of(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Sorted anchors that two documents have, and those of them that are hot."""
     rows = zip(*(replies.column(c).to_pylist() for c in ("kind", "blob", "n")))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -88,6 +89,22 @@ def test_hot_anchors_and_rows_without_ids(spark, docs_of, monkeypatch):
     check(docs_of(rows), rows)
 
 
+def test_a_passage_in_all_chunks_is_not_hot():
+    """One passage in the same context of a thousand chunks travels as stretches, one in many contexts string by string."""
+    passage = b"A notice that stands at the end of very many texts, word for word and always the same."
+    letters = np.random.default_rng(2).integers(97, 123, (5000, 60)).astype(np.uint8)
+    hot = b"Z" * 8 + b"one string for them all!"
+    rows = []
+    for chunk in range(1000):
+        texts = [passage] if chunk else [passage, *(x[:30].tobytes() + hot + x[30:].tobytes() for x in letters)]
+        t = pa.table({"_cx_id": [10_000 * chunk + i for i in range(len(texts))], "_cx_text": [x.decode() for x in texts]})
+        rows += S._send_anchors(1, 40)((pa.scalar(chunk),), t).to_pylist()
+    told = S._match_anchors(None, pa.Table.from_pylist(rows, schema=S.ANCHORS))
+    wanted, split = S._anchors_of(told)
+    of = lambda x: {int(k) for *_, a in S.stretches([x]) for k in S._key(a, 40)}
+    assert of(passage) <= set(wanted.tolist()) and not of(passage) & set(split.tolist()) and len(split)
+
+
 def test_one_string_in_a_hundred_thousand_contexts():
     """The strings under a hot anchor go to the shards of their own hashes."""
     rng = np.random.default_rng(1)
